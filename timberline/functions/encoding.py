@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DETECT_BYTES = 64 * 1024
 MAX_INVALID_POSITIONS = 100
@@ -107,7 +108,10 @@ def _decode_one(data: bytes, codec: str) -> tuple[str, list[int]]:
     return "".join(text), bad
 
 
-@F.pandas_udf("text STRING, bad_at ARRAY<BIGINT>")
+_DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("bad_at", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_DECODED)
 def decode_codepage(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Decode bytes with a code page each; NULL bytes stay NULL. Arrow batches, one pass."""
     for data, page in batches:

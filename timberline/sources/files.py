@@ -6,6 +6,8 @@ read by many tasks. The scanned lines are stored once: row ids must not be compu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,8 @@ def file_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     filled = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     # The reader skips empty files although it lists them; the listing is on the driver already.
-    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path STRING")
+    # It spells local paths file:///x there and file:/x in rows.
+    listed = spark.createDataFrame([(re.sub("^([a-z0-9]+):///", r"\1:/", p),) for p in found.inputFiles()], "path STRING")
     empty = listed.join(filled.select("path"), "path", "left_anti")
     return filled.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("mtime")))
 
