@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,8 +71,12 @@ def line_regex(fmt: Format) -> str:
 # gateway call per node, which is what building them from Columns costs.
 
 
-def _case(format_id: str, value: Callable[[Format], str], formats: Iterable[Format] = FORMATS) -> str:
-    return f"CASE {format_id} " + " ".join(f"WHEN '{f.id}' THEN {value(f)}" for f in formats) + " END"
+def _case(format_id: str, value: Callable[[Format], str]) -> str:
+    return f"CASE {format_id} " + " ".join(f"WHEN '{f.id}' THEN {value(f)}" for f in FORMATS) + " END"
+
+
+def _case_of_hit(hit: str, value: Callable[[Format], str]) -> str:
+    return f"CASE {hit} " + " ".join(f"WHEN {i} THEN {value(f)}" for i, f in enumerate(FORMATS, 1)) + " END"
 
 
 def _matches(text: str, fmt: Format) -> str:
@@ -151,6 +155,56 @@ def parse_auto(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def mark(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``hit`` and ``hit_key``: the number of the format a line matches (0 for none) and the key under it.
+
+    Boundary rules leave one format per line, except that whatever matches 004 also matches
+    005; such a line has hit 4. So two narrow columns hold all that any later choice of format needs, and
+    the text is parsed once, before that choice is known. One character tells which format can match.
+    """
+    seconds, fraction = "{ss} * 1000L", {2: "{f2} * 10L", 3: "{f3}"}
+    number = {fmt: i for i, fmt in enumerate(FORMATS, 1)}
+    of = {fmt.id[-3:]: fmt for fmt in FORMATS}
+
+    def at(position: int) -> str:
+        return f"substring({text}, {position}, 1)"
+
+    def hit(id_: str, otherwise: str = "0") -> str:
+        return f"CASE WHEN {_matches(text, of[id_])} THEN {number[of[id_]]} ELSE {otherwise} END"
+
+    found = (
+        f"CASE WHEN {text} IS NULL OR NOT ({at(11)} = ' ' AND {at(14)} = ':') THEN 0 "
+        f"WHEN {at(5)} = '-' THEN {hit('002')} WHEN {at(17)} <> ':' THEN {hit('006')} "
+        f"WHEN {at(20)} = '.' THEN {hit('001', hit('003'))} "
+        f"WHEN {at(20)} = ':' THEN {hit('004', hit('005'))} ELSE {hit('005')} END"
+    )
+    key = _ms_of(
+        text,
+        _case_of_hit("_hit", lambda f: seconds if f.has_seconds else "0L"),
+        _case_of_hit("_hit", lambda f: fraction.get(f.fraction_digits, "0L")),
+    )
+    keyed = df.withColumn("_hit", F.expr(found)).withColumn("hit_key", F.expr(f"CASE WHEN _hit > 0 THEN {key} END"))
+    # a day the calendar does not have
+    return keyed.withColumn("hit", F.when(F.col("hit_key").isNull(), 0).otherwise(F.col("_hit"))).drop("_hit")
+
+
+def key_of_hit(format_id: str) -> Column:
+    """Key of a marked line under the format in column ``format_id``."""
+    own = _case(format_id, lambda f: f"CASE WHEN hit = {FORMATS.index(f) + 1} THEN hit_key END")
+    to_second = "CASE WHEN format_id = 'LOG-DT-005' AND hit = 4 THEN hit_key - pmod(hit_key, 1000L) END"
+    return F.expr(f"coalesce({own}, {to_second.replace('format_id', format_id)})")
+
+
+def outcome_of_hit() -> Column:
+    """``NoMatch``, ``Matched`` or ``Ambiguous`` for a marked line."""
+    return F.expr("CASE hit WHEN 0 THEN 'NoMatch' WHEN 4 THEN 'Ambiguous' ELSE 'Matched' END")
+
+
+def format_of_hit() -> Column:
+    """Format id of a matched, unambiguous marked line."""
+    return F.expr("CASE WHEN hit NOT IN (0, 4) THEN concat('LOG-DT-00', hit) END")
+
+
 def format_catalog(spark: SparkSession) -> DataFrame:
     """The six formats as a table."""
     rows = [(f.id, f.pattern, f.length, f.precision) for f in FORMATS]

@@ -18,12 +18,29 @@ SCAN_LINES = 100
 BODY_PART_BYTES = 16 * 1024 * 1024
 
 
+NARROW = ("source_id", "line_no", "raw_offset", "raw_len", "confirmed", "text_bytes", "hit", "hit_key")
+
+
+def mark_lines(lines: DataFrame) -> DataFrame:
+    """The narrow form of lines: position, size, and what the line start parses to, without the text.
+
+    Store it and both the choice of format and the assembly run without touching the text again.
+    """
+    return dt.mark(lines.withColumn("text_bytes", F.octet_length("text"))).select(*NARROW)
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    return lines if "hit" in lines.columns else dt.mark(lines)
+
+
 def infer_source_format(lines: DataFrame) -> DataFrame:
     """Per source: the first line that is not NoMatch among the first 100 decides.
 
     ``format`` is NULL for raw display; ``fell_back`` tells an ambiguous hit from none at all.
     """
-    head = dt.parse_auto(lines.filter(F.col("line_no") <= SCAN_LINES))
+    head = _marked(lines.filter(F.col("line_no") <= SCAN_LINES)).select(
+        "source_id", "line_no", dt.outcome_of_hit().alias("outcome"), dt.format_of_hit().alias("format")
+    )
     deciding = F.when(F.col("outcome") != "NoMatch", F.struct("line_no", "outcome", "format"))
     return (
         head.groupBy("source_id")
@@ -62,11 +79,9 @@ def format_route(settings: DataFrame, inferred: DataFrame) -> DataFrame:
 
 
 def keyed_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Lines with ``key_ms`` under their source's format; NULL where undated or raw."""
+    """Lines with ``format`` and ``key_ms`` under it; NULL where undated or raw."""
     chosen = small_side(formats.select("source_id", "format"), row_bytes=64)
-    return lines.join(chosen, "source_id", "left").withColumn(
-        "key_ms", dt.key_for("text", "format")
-    )
+    return _marked(lines).join(chosen, "source_id", "left").withColumn("key_ms", dt.key_of_hit("format")).drop("hit", "hit_key")
 
 
 def item_seq(keyed: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
@@ -95,20 +110,12 @@ def item_seq(keyed: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
 def assemble_items(lines: DataFrame, formats: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
     """The item index: one row per logical item, without bodies.
 
+    ``lines`` is best the stored result of :func:`mark_lines`; lines with text are marked and stored here.
     ``raw_offset``/``raw_len`` span first to last line; ``body_bytes`` is the UTF-8
     size of the lines joined with LF.
     """
-    # Stored, so that the text is read and parsed once although the index looks at the keys twice.
-    narrow = stored(keyed_lines(lines, formats).select(
-        "source_id",
-        "line_no",
-        "raw_offset",
-        "raw_len",
-        "confirmed",
-        "key_ms",
-        F.octet_length("text").alias("text_bytes"),
-    ), "keys")
-    return index_of(item_seq(narrow, width))
+    narrow = lines if "hit" in lines.columns else stored(mark_lines(lines), "marked")
+    return index_of(item_seq(keyed_lines(narrow, formats), width))
 
 
 def index_of(numbered: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def query(fn: Query) -> Query:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(derive.log_lines(spark, sf_dir), "lines")
+    lines = stored(assemble.mark_lines(derive.log_lines(spark, sf_dir)), "marked")
     return assemble.assemble_items(lines, assemble.infer_source_format(lines))
 
 
@@ -90,7 +90,7 @@ def write_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def write_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(_lines_with_seq(stored(derive.log_lines(spark, sf_dir), "lines")), "seq")
+    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
     items = assemble.index_of(lines.withColumn("text_bytes", F.octet_length("text")))
     view = timeline.merged_timeline(items, derive.source_table(spark, sf_dir))
     chosen = ranges.extract_ranges(view, derive.part_ranges(spark, sf_dir))
@@ -222,7 +222,7 @@ def parse_datetime_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(derive.log_lines(spark, sf_dir), "lines")
+    lines = stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")
     return assemble.keyed_lines(lines, assemble.infer_source_format(lines))
 
 
@@ -289,7 +289,7 @@ def format_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(derive.log_lines(spark, sf_dir), "lines")
+    lines = stored(assemble.mark_lines(derive.log_lines(spark, sf_dir)), "marked")
     routes = stored(_routes(spark, sf_dir, lines), "routes")
     return summary.source_summary(assemble.assemble_items(lines, routes), routes)
 
@@ -318,11 +318,10 @@ def transfer_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assemble_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(derive.log_lines(spark, sf_dir), "lines")
-    formats = assemble.infer_source_format(lines)
-    items = assemble.assemble_items(lines, formats)
-    bodies = assemble.item_bodies(_lines_with_seq(lines))
-    return items.join(bodies, ["source_id", "seq"]).drop("part")
+    lines = stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")
+    numbered = stored(_lines_with_seq(lines), "seq")
+    items = assemble.index_of(numbered.withColumn("text_bytes", F.octet_length("text")))
+    return items.join(assemble.item_bodies(numbered), ["source_id", "seq"]).drop("part")
 
 
 @query
@@ -335,7 +334,8 @@ def raw_display_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def item_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines_with_seq(stored(derive.log_lines(spark, sf_dir), "lines")).select("source_id", "line_no", "seq")
+    lines = stored(assemble.mark_lines(derive.log_lines(spark, sf_dir)), "marked")
+    return _lines_with_seq(lines).select("source_id", "line_no", "seq")
 
 
 @query
@@ -377,7 +377,7 @@ def jump_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(_lines_with_seq(stored(derive.log_lines(spark, sf_dir), "lines")), "seq")
+    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
     items = assemble.index_of(lines.withColumn("text_bytes", F.octet_length("text")))
     view = timeline.merged_timeline(items, derive.source_table(spark, sf_dir))
     readable = assemble.item_bodies(lines.filter(F.col("source_id") != 4))
@@ -463,7 +463,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items of even and of odd sources, with the event type as identifier."""
-    lines = stored(_lines_with_seq(stored(derive.log_lines(spark, sf_dir), "lines")), "seq")
+    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
     items = lines.filter(F.col("key_ms").isNotNull()).select(
         "source_id", "seq", "key_ms", F.regexp_extract("text", " ([a-z]+) user=", 1).alias("ident")
     )
@@ -500,7 +500,7 @@ def refresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reload_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(derive.log_lines(spark, sf_dir), "lines")
+    lines = stored(assemble.mark_lines(derive.log_lines(spark, sf_dir)), "marked")
     before, old, new = derive.grown_sources(lines)
     path = fresh_path(spark, "items")
     store.write_items(assemble.assemble_items(before, assemble.infer_source_format(before)), path)
@@ -543,7 +543,7 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items_with_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(_lines_with_seq(stored(derive.log_lines(spark, sf_dir), "lines")), "seq")
+    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
     items = assemble.index_of(lines.withColumn("text_bytes", F.octet_length("text")))
     return items.join(assemble.item_bodies(lines), ["source_id", "seq"])
 

@@ -168,7 +168,7 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
         F.when(error.isNotNull(), F.lit(None)).when(F.col("codepage").isNull(), "utf-8").otherwise(
             F.concat(F.lit("windows-"), F.col("codepage").cast("string"))
         ).alias("encoding"),
-        F.col("codepage").cast("int").alias("codepage"),
+        F.when(error.isNull(), F.col("codepage")).cast("int").alias("codepage"),
         "route",
         F.when(F.col("_bom8") & F.col("codepage").isNull() & error.isNull(), 3).otherwise(0).alias("bom_len"),
         F.when(conflict, "BOM_CONFLICT").alias("warning"),

@@ -55,10 +55,10 @@ class StreamAssembler:
         """One micro-batch: close what can be closed, keep the rest for the next epoch."""
         batch = _typed(batch, LINES)
         known = self._state("sources", SOURCES, epoch)
-        fresh = stored(self._state("pending", LINES, epoch).unionByName(batch), "batch")
+        fresh = stored(dt.mark(self._state("pending", LINES, epoch).unionByName(batch)), "batch")
         sources = stored(self._decide(known, fresh), "sources")
         waiting = small_side(sources.filter(~F.col("decided")).select("source_id"), row_bytes=8)
-        pending = fresh.join(waiting, "source_id", "left_semi")
+        pending = _typed(fresh.join(waiting, "source_id", "left_semi"), LINES)
         parts = self._assemble(fresh, sources, known)
         closed, held = self._close(stored(parts, "parts"), self._state("held", ITEMS, epoch))
         self._write("items", closed, epoch)
@@ -97,12 +97,12 @@ class StreamAssembler:
 
     def _keyed(self, fresh: DataFrame, sources: DataFrame) -> DataFrame:
         ready = small_side(sources.filter("decided").select("source_id", "format", "dated", "first_dated"), row_bytes=64)
-        return fresh.join(ready, "source_id").withColumn("key_ms", dt.key_for("text", "format"))
+        return fresh.join(ready, "source_id").withColumn("key_ms", dt.key_of_hit("format"))
 
     def _assemble(self, fresh: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:
         dated = F.col("key_ms").isNotNull()
         keyed = stored(
-            self._keyed(fresh, sources).withColumn("text_bytes", F.octet_length("text")).drop("text", "format"), "keys"
+            self._keyed(fresh, sources).withColumn("text_bytes", F.octet_length("text")).drop("text", "format", "hit", "hit_key"), "keys"
         )
         here = running(
             keyed,
