@@ -143,7 +143,7 @@ def test_decoded_text(encoded):
         "latin": ["café au lait"],
         "cp932": ["ログ", "テスト"],
         "cp1252": ["café"],
-        "conflict": ["锘ｿa" if False else BOM.decode("cp932", "replace") + "a", "b"],
+        "conflict": [BOM.decode("cp932", "replace") + "a", "b"],
         "cut_tail": ["a�"],
     }
     for name, lines in expected.items():

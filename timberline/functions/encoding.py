@@ -38,6 +38,10 @@ OTHER_PAGES = {
 PAGES = tuple(sorted({*CP_PAGES, *OTHER_PAGES}))
 
 
+# Pages whose digits and punctuation are not those of ASCII.
+EBCDIC_PAGES = (37, 273, 424, 500, 875, 1026, 1140)
+
+
 def codec_of(page: int) -> str:
     """Codec name of a known code page."""
     return OTHER_PAGES.get(page) or f"cp{page}"

@@ -26,7 +26,7 @@ def mark_lines(lines: DataFrame) -> DataFrame:
 
     Store it and both the choice of format and the assembly run without touching the text again.
     """
-    return dt.mark(lines.withColumn("text_bytes", F.octet_length("text"))).select(*NARROW)
+    return _marked(lines).withColumn("text_bytes", F.octet_length("text")).select(*NARROW)
 
 
 def _marked(lines: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def assemble_items(lines: DataFrame, formats: DataFrame, width: int = BLOCK_ROWS
     ``raw_offset``/``raw_len`` span first to last line; ``body_bytes`` is the UTF-8
     size of the lines joined with LF.
     """
-    narrow = lines if "hit" in lines.columns else stored(mark_lines(lines), "marked")
+    narrow = lines if set(NARROW) <= set(lines.columns) else stored(mark_lines(lines), "marked")
     return index_of(item_seq(keyed_lines(narrow, formats), width))
 
 

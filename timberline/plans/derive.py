@@ -292,3 +292,11 @@ def encoding_settings(sources: DataFrame) -> DataFrame:
         F.when(kind == 4, "windows-1252").when(kind == 6, "UTF-8").alias("encoding_name"),
         F.when(kind == 1, 1252).alias("ansi_codepage"),
     )
+
+
+def configured_from_folders(paths: DataFrame) -> DataFrame:
+    """A configured source for each file under ``source_id=<n>``."""
+    number = F.regexp_extract("path", "source_id=([0-9]+)/", 1).cast("int")
+    return paths.select(
+        "path", number.alias("source_id"), number.alias("config_pos"), F.concat(F.lit("app-"), number.cast("string")).alias("name")
+    )

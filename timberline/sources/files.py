@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators.prefix import running
 from timberline.session import small_side, stored
@@ -19,40 +20,46 @@ HEAD_BYTES = 4096
 
 
 def scan_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, line_no, raw_len, line_bytes, bytes, confirmed, utf8_bom``.
+    """``path, line_no, raw_len, line_bytes, confirmed, utf8_bom, valid8, hit, hit_key, bytes``.
 
     ``bytes`` is the line without its LF and without one CR right before that LF;
     ``line_bytes`` counts the separator too. The last line of a file that does not end in LF
     is unconfirmed and keeps a trailing CR. Empty files have no rows.
+
+    The text is read once and stored with everything later steps want to know about it (size, validity as UTF-8,
+    date-time at its start), so they read narrow columns and leave ``bytes`` alone.
     """
     raw = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
-        F.col("value").cast("binary").alias("bytes"),
+        F.octet_length("value").alias("size"),
+        F.endswith("value", F.lit("\r")).alias("ends_in_cr"),
+        F.is_valid_utf8("value").alias("valid8"),
+        "value",
     )
-    staged = stored(raw, "lines")
-    splits = split_offsets(staged)
-    placed = staged.join(small_side(splits, row_bytes=256), ["path", "split_start"])
+    marked = dt.mark(raw, "value")
+    staged = stored(marked.withColumn("bytes", F.col("value").cast("binary")).drop("value"), "lines")
+    placed = staged.join(small_side(split_offsets(staged), row_bytes=256), ["path", "split_start"])
     line_no = F.col("_line_base") + F.col("row_id") - F.col("_first_row") + 1
-    is_last = F.col("line_no") == F.col("_lines")
     # A separator was counted for every line and the reader drops a UTF-8 BOM, so the
     # difference to the file size tells both: 0 or 3 with a final LF, -1 or 2 without.
-    open_tail = is_last & F.col("_gap").isin(-1, 2)
+    open_tail = (F.col("line_no") == F.col("_lines")) & F.col("_gap").isin(-1, 2)
     lines = placed.withColumn("line_no", line_no).withColumn("confirmed", ~open_tail)
-    lines = lines.filter(~(open_tail & (F.octet_length("bytes") == 0)))
-    ends_in_cr = F.col("confirmed") & (F.hex(F.substring("bytes", -1, 1)) == "0D")
-    size = F.octet_length("bytes")
-    content = F.when(ends_in_cr, F.substring("bytes", F.lit(1), size - 1)).otherwise(F.col("bytes"))
+    lines = lines.filter(F.col("confirmed") | (F.col("size") > 0))
+    strip = F.col("confirmed") & F.col("ends_in_cr")
     return lines.select(
         "path",
         "line_no",
-        (size - ends_in_cr.cast("int")).alias("raw_len"),
-        (size + F.col("confirmed").cast("int")).alias("line_bytes"),
-        content.alias("bytes"),
+        (F.col("size") - strip.cast("int")).alias("raw_len"),
+        (F.col("size") + F.col("confirmed").cast("int")).alias("line_bytes"),
         "confirmed",
         F.col("_gap").isin(2, 3).alias("utf8_bom"),
+        "valid8",
+        "hit",
+        "hit_key",
+        F.when(strip, F.substring("bytes", F.lit(1), F.col("size") - 1)).otherwise(F.col("bytes")).alias("bytes"),
     )
 
 
@@ -60,7 +67,7 @@ def split_offsets(staged: DataFrame) -> DataFrame:
     """One row per file split: lines and bytes before it, and what the file's totals say about its ends."""
     splits = staged.groupBy("path", "split_start").agg(
         F.count("*").alias("_n"),
-        F.sum(F.octet_length("bytes").cast("bigint") + 1).alias("_bytes"),
+        F.sum(F.col("size").cast("bigint") + 1).alias("_bytes"),
         F.min("row_id").alias("_first_row"),
         F.max("file_size").alias("_file_size"),
     )
@@ -126,17 +133,36 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
     head = lines.filter(F.col("line_no") <= enc.DETECT_BYTES)
     before = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("line_bytes").over(before), F.lit(0))
-    head = head.withColumn("_at", at).filter(F.col("_at") < enc.DETECT_BYTES)
     room = (F.lit(enc.DETECT_BYTES) - F.col("_at")).cast("int")
-    inside = F.substring("bytes", F.lit(1), F.least(room, F.octet_length("bytes")))
-    text_bytes = F.col("line_bytes") - F.col("confirmed").cast("int")
-    cut = (room <= F.col("raw_len")) | ((F.col("raw_len") == text_bytes) & ~F.col("confirmed"))
-    fine = enc.valid_utf8(inside) | (cut & enc.valid_utf8_head(inside))
-    first2 = F.when(F.col("line_no") == 1, F.hex(F.substring("bytes", 1, 2)))
-    facts = head.groupBy("source_id").agg(
-        F.bool_and(fine).alias("_valid"),
-        F.bool_or("utf8_bom").alias("_bom8"),
-        F.bool_or(first2.isin("FFFE", "FEFF")).alias("_bom16"),
+    # The last line looked at may end inside a character: it is cut off by the limit or by the end of the file.
+    cut = (room <= F.col("raw_len")) | ~F.col("confirmed")
+    head = (
+        head.select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8", "utf8_bom")
+        .withColumn("_at", at)
+        .filter(F.col("_at") < enc.DETECT_BYTES)
+        .withColumn("_cut", cut)
+    )
+    # Only a cut line that is not valid as a whole has to be looked at again; one per source at most.
+    doubtful = head.filter(F.col("_cut") & ~F.col("valid8")).select("source_id", "line_no", room.alias("_room"))
+    inside = F.substring("bytes", F.lit(1), F.least("_room", F.octet_length("bytes")))
+    rescued = (
+        lines.filter(~F.col("valid8"))
+        .select("source_id", "line_no", "bytes")
+        .join(small_side(doubtful, row_bytes=24), ["source_id", "line_no"])
+        .select("source_id", enc.valid_utf8_head(inside).alias("_rescued"))
+    )
+    # The reader leaves a UTF-16 BOM in place; FF and FE never occur in UTF-8.
+    first2 = F.hex(F.substring("bytes", 1, 2))
+    utf16 = lines.filter(~F.col("valid8") & (F.col("line_no") == 1)).select("source_id", first2.isin("FFFE", "FEFF").alias("_bom16"))
+    facts = (
+        head.groupBy("source_id")
+        .agg(
+            F.bool_and(F.col("valid8") | F.col("_cut")).alias("_fine"),
+            F.bool_or("utf8_bom").alias("_bom8"),
+        )
+        .join(rescued, "source_id", "left")
+        .join(utf16, "source_id", "left")
+        .select("source_id", "_bom8", "_bom16", (F.col("_fine") & F.coalesce("_rescued", F.lit(True))).alias("_valid"))
     )
     known = settings.join(facts, "source_id", "left").fillna(False, ["_bom8", "_bom16"]).fillna(True, ["_valid"])
     name = F.col("encoding_name")
@@ -203,9 +229,10 @@ def decode_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
             "bytes": F.when(bom_is_text, F.concat(bom, F.col("bytes"))).otherwise(F.col("bytes")),
             "raw_len": F.col("raw_len") + F.when(bom_is_text, 3).otherwise(0),
             "line_bytes": F.col("line_bytes") + F.when(bom_is_text, 3).otherwise(0),
+            "hit": F.when(bom_is_text, 0).otherwise(F.col("hit")),
         }
     )
-    needs_codec = F.col("codepage").isNotNull() | ~enc.valid_utf8(F.col("bytes"))
+    needs_codec = F.col("codepage").isNotNull() | ~F.col("valid8")
     handed = F.when(needs_codec, F.col("bytes"))
     decoded = joined.withColumn("_decoded", enc.decode_codepage(handed, F.coalesce("codepage", F.lit(65001))))
     return decoded.withColumns(
