@@ -33,7 +33,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{CPUS}]",
-        spark__sql__shuffle__partitions=CPUS,
+        spark__sql__shuffle__partitions=str(4 * int(CPUS)),
         spark__ui__enabled="false",
         spark__driver__memory="12g",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="timberline-bench-"),
@@ -64,12 +64,10 @@ def main() -> None:
 
     def load_index() -> tuple:
         opened = open_logs(spark, configured)
-        path = fresh_path(spark, "items")
-        store.write_items(opened.items, path)
-        return opened, spark.read.parquet(path)
+        return opened, opened.items.count()
 
-    opened, items = timed("load_index", load_index)
-    line_count, item_count = opened.lines.count(), items.count()
+    opened, item_count = timed("load_index", load_index)
+    line_count, items = opened.lines.count(), opened.items
 
     def merge():
         path = fresh_path(spark, "timeline")
@@ -82,6 +80,7 @@ def main() -> None:
     timed("fetch_range_head", lambda: timeline.fetch_range(view, 0, total=total).collect())
     timed("fetch_range_middle", lambda: timeline.fetch_range(view, total // 2, total=total).collect())
     timed("fetch_range_tail", lambda: timeline.fetch_range(view, total - 300, total=total).collect())
+    timed("write_items", lambda: store.write_items(items, fresh_path(spark, "items")))
     timed("page_directory", lambda: run(summary.page_directory(view)))
     timed("source_summary", lambda: opened.summary().collect())
     picked = derive.part_ranges(spark, SF_DIR)
@@ -95,8 +94,7 @@ def main() -> None:
     timed("latency_summary", lambda: run(summary.latency_summary(samples)))
 
     def bodies():
-        lines = stored(opened.text_lines(), "text")
-        run(search.filter_text(assemble.item_bodies(lines), "at frame 3"))
+        run(search.filter_text(assemble.bodies_of_parts(opened.parts_with_text()), "at frame 3"))
 
     timed("filter_text_with_bodies", bodies)
     print(

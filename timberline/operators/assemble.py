@@ -84,13 +84,15 @@ def keyed_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     return _marked(lines).join(chosen, "source_id", "left").withColumn("key_ms", dt.key_of_hit("format")).drop("hit", "hit_key")
 
 
-def item_seq(keyed: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
+def item_seq(keyed: DataFrame, width: int = BLOCK_ROWS, sums: dict[str, Column] | None = None, keep_block: bool = False) -> DataFrame:
     """Add ``seq``, the 0-based number of the item each line belongs to within its source.
 
     Before the first dated line every line is its own item; from there on an
-    item starts at each dated line. ``line_no`` must be dense and start at 1.
+    item starts at each dated line. ``line_no`` must be dense and start at 1. ``sums`` names further
+    running sums to take in the same pass.
     """
     dated = F.col("key_ms").isNotNull()
+    sums = sums or {}
     counted = running(
         keyed,
         ["source_id"],
@@ -98,13 +100,14 @@ def item_seq(keyed: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
         {
             "_dated": ("sum", dated.cast("bigint")),
             "_first_dated": ("min", F.when(dated, F.col("line_no"))),
+            **{name: ("sum", column) for name, column in sums.items()},
         },
         width,
+        keep_block=keep_block,
     )
-    seq = F.when(F.col("_dated") == 0, F.col("line_no") - 1).otherwise(
-        F.col("_first_dated") + F.col("_dated") - 2
-    )
-    return counted.withColumn("seq", seq).drop("_dated", "_first_dated")
+    leading = F.col("_dated") == 0
+    seq = F.when(leading, F.col("line_no") - 1).otherwise(F.col("_first_dated") + F.col("_dated") - 2)
+    return counted.withColumns({"seq": seq, "starts": leading | dated}).drop("_dated", "_first_dated")
 
 
 def assemble_items(lines: DataFrame, formats: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
@@ -115,11 +118,78 @@ def assemble_items(lines: DataFrame, formats: DataFrame, width: int = BLOCK_ROWS
     size of the lines joined with LF.
     """
     narrow = lines if set(NARROW) <= set(lines.columns) else stored(mark_lines(lines), "marked")
-    return index_of(item_seq(keyed_lines(narrow, formats), width))
+    return items_of_parts(item_parts(item_seq(keyed_lines(narrow, formats), width, keep_block=True)))
+
+
+def item_parts(numbered: DataFrame, with_text: bool = False) -> DataFrame:
+    """Lines of one block and one item folded into one row, stored.
+
+    ``numbered`` comes from :func:`item_seq` with its block kept, so this needs no shuffle. An item that runs over a
+    block border has one part that ``starts`` it and at most one more per block.
+    """
+    texts = [_joined("text", "line_no").alias("raw_text")] if with_text else []
+    folded = numbered.groupBy("source_id", F.col("_block").alias("block"), "seq").agg(
+        F.max("key_ms").alias("key_ms"),
+        F.min("line_no").alias("first_line"),
+        F.count("*").alias("lines"),
+        F.min("raw_offset").alias("raw_offset"),
+        F.max(F.col("raw_offset") + F.col("raw_len")).alias("raw_end"),
+        F.max_by("confirmed", "line_no").alias("confirmed"),
+        (F.sum(F.col("text_bytes").cast("bigint")) + F.count("*")).alias("bytes"),
+        F.bool_or("starts").alias("starts"),
+        *texts,
+    )
+    return stored(folded, "parts")
+
+
+def items_of_parts(parts: DataFrame) -> DataFrame:
+    """Item rows: the part that starts an item with what later blocks add to it.
+
+    Only the few continuing parts are grouped; the items themselves are not shuffled.
+    """
+    more = parts.filter(~F.col("starts")).groupBy("source_id", "seq").agg(
+        F.sum("lines").alias("_lines"),
+        F.max("raw_end").alias("_end"),
+        F.max_by("confirmed", "block").alias("_confirmed"),
+        F.sum("bytes").alias("_bytes"),
+    )
+    zero = F.lit(0)
+    return parts.filter("starts").join(small_side(more, row_bytes=48), ["source_id", "seq"], "left").select(
+        "source_id",
+        "seq",
+        "key_ms",
+        "first_line",
+        (F.col("lines") + F.coalesce("_lines", zero) - 1).alias("continuation_count"),
+        "raw_offset",
+        (F.coalesce("_end", "raw_end") - F.col("raw_offset")).alias("raw_len"),
+        F.coalesce("_confirmed", "confirmed").alias("confirmed"),
+        (F.col("bytes") + F.coalesce("_bytes", zero) - 1).alias("body_bytes"),
+    )
+
+
+def bodies_of_parts(parts: DataFrame, part_bytes: int = BODY_PART_BYTES) -> DataFrame:
+    """Bodies of items, lines joined with LF: ``source_id, seq, part, raw_text``, from parts made with text.
+
+    An item is one row with ``part`` 0 unless it goes on in later blocks for more than ``part_bytes``; then
+    each of those blocks is a row of its own, so an item that swallowed a whole file is still spread over tasks. Joining
+    the rows of an item in ``part`` order with LF gives the body.
+    """
+    later = parts.filter(~F.col("starts"))
+    sizes = later.groupBy("source_id", "seq").agg(F.sum("bytes").alias("_total"))
+    sized = later.join(small_side(sizes, row_bytes=24), ["source_id", "seq"])
+    tails = sized.filter(F.col("_total") <= part_bytes).groupBy("source_id", "seq").agg(_joined("raw_text", "block").alias("_tail"))
+    tails = small_side(tails, row_bytes=32, size=F.octet_length("_tail"))
+    whole = parts.filter("starts").join(tails, ["source_id", "seq"], "left").select(
+        "source_id", "seq", F.lit(0).cast("bigint").alias("part"), F.concat_ws("\n", "raw_text", "_tail").alias("raw_text")
+    )
+    long = sized.filter(F.col("_total") > part_bytes).select(
+        "source_id", "seq", (F.col("block") + 1).alias("part"), "raw_text"
+    )
+    return whole.unionByName(long)
 
 
 def index_of(numbered: DataFrame) -> DataFrame:
-    """Fold lines that already carry ``seq`` into item rows."""
+    """Item rows from lines that carry ``seq`` in any distribution, by grouping them."""
     return (
         numbered.groupBy("source_id", "seq")
         .agg(
@@ -172,24 +242,6 @@ def carry_forward_key(items: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
     return last.withColumn("sort_key", F.coalesce("_last.key_ms", F.lit(dt.LONG_MIN))).drop("_last")
 
 
-def item_bodies(item_lines: DataFrame, part_bytes: int = BODY_PART_BYTES) -> DataFrame:
-    """Bodies of items, lines joined with LF: ``source_id, seq, part, raw_text``.
-
-    ``item_lines`` is lines with ``seq``. An item is one row with ``part`` 0 unless
-    it is larger than ``part_bytes``; a larger body comes as consecutive
-    parts, so an item that swallowed a whole file is still spread over tasks.
-    Joining the parts of an item with LF gives the body.
-    """
-    start = item_lines.groupBy("source_id", "seq").agg(
-        F.min("raw_offset").alias("_start"), F.max(F.col("raw_offset") + F.col("raw_len")).alias("_end")
-    )
-    large = start.filter(F.col("_end") - F.col("_start") > part_bytes).select("source_id", "seq", "_start")
-    parted = item_lines.join(small_side(large, row_bytes=24), ["source_id", "seq"], "left").withColumn(
-        "part", F.coalesce(F.floor((F.col("raw_offset") - F.col("_start")) / part_bytes), F.lit(0)).cast("int")
-    )
-    return parted.groupBy("source_id", "seq", "part").agg(_joined("text", "line_no").alias("raw_text"))
-
-
 def _joined(text: str, order: str) -> Column:
     """Texts of a bounded group in order, joined with LF."""
     rows = F.array_sort(F.collect_list(F.struct(order, text)))

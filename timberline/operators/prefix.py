@@ -60,11 +60,13 @@ def running(
     width: int = BLOCK_ROWS,
     include_current: bool = True,
     block: Column | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add running totals along ``order`` within ``keys``.
 
     The first order column must be an integer with a bounded number of rows per
-    value, or ``block`` must give such a grouping; keys are not NULL. Sums start at 0; ``max`` and
+    value, or ``block`` must give such a grouping; keys are not NULL. With ``keep_block`` the
+    block stays as ``_block``; rows are partitioned by it, so grouping by keys and block needs no shuffle. Sums start at 0; ``max`` and
     ``min`` over nothing are NULL.
     """
     blocked = df.withColumn("_block", block_of(F.col(order[0]), width) if block is None else block)
@@ -77,7 +79,8 @@ def running(
         name: _COMBINE[kind](F.col("carry_" + name), _AGG[kind](col).over(local))
         for name, (kind, col) in totals.items()
     }
-    return joined.select(*df.columns, *[c.alias(name) for name, c in named.items()])
+    kept = [*df.columns, "_block"] if keep_block else df.columns
+    return joined.select(*kept, *[c.alias(name) for name, c in named.items()])
 
 
 def global_positions(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:

@@ -38,6 +38,14 @@ def _lines_with_seq(lines: DataFrame) -> DataFrame:
     return assemble.item_seq(assemble.keyed_lines(lines, assemble.infer_source_format(lines)))
 
 
+def _parts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item parts with their text, from which both the index and the bodies are made."""
+    lines = dt.mark(derive.log_lines(spark, sf_dir)).withColumn("text_bytes", F.octet_length("text"))
+    lines = stored(lines, "lines")
+    keyed = assemble.keyed_lines(lines, assemble.infer_source_format(lines))
+    return assemble.item_parts(assemble.item_seq(keyed, keep_block=True), with_text=True)
+
+
 # --- scans, sources, sinks
 
 
@@ -318,10 +326,8 @@ def transfer_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assemble_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")
-    numbered = stored(_lines_with_seq(lines), "seq")
-    items = assemble.index_of(numbered.withColumn("text_bytes", F.octet_length("text")))
-    return items.join(assemble.item_bodies(numbered), ["source_id", "seq"]).drop("part")
+    parts = _parts_with_text(spark, sf_dir)
+    return assemble.items_of_parts(parts).join(assemble.bodies_of_parts(parts), ["source_id", "seq"]).drop("part")
 
 
 @query
@@ -377,11 +383,11 @@ def jump_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
-    items = assemble.index_of(lines.withColumn("text_bytes", F.octet_length("text")))
-    view = timeline.merged_timeline(items, derive.source_table(spark, sf_dir))
-    readable = assemble.item_bodies(lines.filter(F.col("source_id") != 4))
-    sources = derive.source_table(spark, sf_dir).join(lines.select("source_id", "format").distinct(), "source_id")
+    parts = _parts_with_text(spark, sf_dir)
+    view = timeline.merged_timeline(assemble.items_of_parts(parts), derive.source_table(spark, sf_dir))
+    readable = assemble.bodies_of_parts(parts.filter(F.col("source_id") != 4))
+    heads = derive.log_lines(spark, sf_dir)
+    sources = derive.source_table(spark, sf_dir).join(assemble.infer_source_format(heads), "source_id")
     return timeline.hydrate(view, readable, sources).select(
         "position", "source_id", "seq", "first_line", "raw_text", "unreadable", "source_label", "timestamp_display", "raw_display"
     )
@@ -543,9 +549,8 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items_with_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stored(_lines_with_seq(stored(dt.mark(derive.log_lines(spark, sf_dir)), "lines")), "seq")
-    items = assemble.index_of(lines.withColumn("text_bytes", F.octet_length("text")))
-    return items.join(assemble.item_bodies(lines), ["source_id", "seq"])
+    parts = _parts_with_text(spark, sf_dir)
+    return assemble.items_of_parts(parts).join(assemble.bodies_of_parts(parts), ["source_id", "seq"])
 
 
 @query

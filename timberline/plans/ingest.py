@@ -29,12 +29,9 @@ class OpenedLogs:
         """One row per source."""
         return summary.source_summary(self.items, self.formats, self.encodings, self.resolved)
 
-    def text_lines(self) -> DataFrame:
-        """Decoded lines with offsets and item numbers."""
-        readable, _ = files.reject_unsupported(self.lines, self.encodings)
-        decoded = files.decode_lines(readable, self.encodings)
-        placed = files.line_positions(decoded, F.col("bom_len"))
-        return assemble.item_seq(assemble.keyed_lines(placed, self.formats))
+    def parts_with_text(self) -> DataFrame:
+        """Item parts with text; bodies come from them by ``assemble.bodies_of_parts``."""
+        return assemble.item_parts(_numbered(_decoded(self.lines, self.encodings), self.formats), with_text=True)
 
 
 def open_logs(
@@ -52,7 +49,7 @@ def open_logs(
             data_sources = data_sources.withColumn(column, F.lit(None).cast("string"))
     data_sources = stored(data_sources, "sources")
     paths = [r["path"] for r in data_sources.select("path").toLocalIterator()]
-    lines = files.scan_configured_sources(files.scan_log_lines(spark, paths), data_sources)
+    lines = files.scan_log_lines(spark, paths, data_sources)
     if profile_table is None:
         resolved = data_sources.select(
             "source_id", F.lit("no_match").alias("route"), F.lit(None).cast("string").alias("profile_name")
@@ -68,35 +65,70 @@ def open_logs(
         settings = stored(profiles.profile_settings(resolved, profile_table), "settings")
     decided = stored(files.detect_encoding(lines, settings, default_codepage), "encodings")
     readable, errors = files.reject_unsupported(lines, decided)
-    narrow = stored(_narrow(readable, decided), "marked")
-    inferred = assemble.infer_source_format(narrow)
+    inferred = assemble.infer_source_format(_marked(readable, decided))
     wanted = settings.join(data_sources.select("source_id", "manual_format"), "source_id")
     formats = stored(assemble.format_route(wanted, inferred), "formats")
-    return OpenedLogs(lines, assemble.assemble_items(narrow, formats), formats, decided, resolved, errors)
+    parts = assemble.item_parts(_numbered(_sized(readable, decided), formats))
+    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors)
 
 
-def _narrow(lines: DataFrame, decided: DataFrame) -> DataFrame:
-    """Marked lines with offsets. Only lines that are not plain UTF-8 are decoded for it."""
-    special = decided.filter(F.col("error").isNull() & (F.col("codepage").isNotNull() | F.col("warning").isNotNull()))
-    special = special.select("source_id")
+def _numbered(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """Offsets and item numbers in one pass over the lines."""
+    keyed = assemble.keyed_lines(lines, formats)
+    sums = {"_end": F.col("line_bytes").cast("bigint")}
+    placed = assemble.item_seq(keyed, sums=sums, keep_block=True)
+    return placed.withColumn("raw_offset", F.col("_end") - F.col("line_bytes") + F.col("bom_len"))
+
+
+def _special(decided: DataFrame) -> DataFrame:
+    """Sources whose lines are not simply UTF-8 with the BOM skipped."""
+    unusual = F.col("codepage").isNotNull() | F.col("warning").isNotNull()
+    return decided.filter(F.col("error").isNull() & unusual)
+
+
+def _decoded(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """Lines of readable sources with ``text`` and ``text_bytes``; the Arrow decoder runs only if something needs it."""
+    readable, _ = files.reject_unsupported(lines, decided)
+    if _special(decided).isEmpty() and readable.filter(~F.col("valid8")).isEmpty():
+        bom_len = F.when(F.col("utf8_bom"), 3).otherwise(0)
+        text = readable.withColumn("text", F.col("bytes").cast("string")).withColumn("bom_len", bom_len)
+    else:
+        text = files.decode_lines(readable, decided)
+    return text.drop("bytes").withColumn("text_bytes", F.octet_length("text"))
+
+
+def _marked(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """What the format is inferred from. Code pages that do not share ASCII's digits are parsed after decoding."""
+    other = decided.filter(F.col("codepage").isin(*enc.EBCDIC_PAGES)).select("source_id")
+    warned = decided.filter(F.col("warning").isNotNull() & (F.col("codepage").isNotNull())).select("source_id")
+    if other.isEmpty() and warned.isEmpty():
+        return lines
+    decoded = _decoded(lines.filter(F.col("line_no") <= assemble.SCAN_LINES), decided)
+    again = dt.mark(decoded.join(other, "source_id", "left_semi").drop("hit", "hit_key"))
+    columns = ["source_id", "line_no", "hit", "hit_key"]
+    return decoded.join(other, "source_id", "left_anti").select(*columns).unionByName(again.select(*columns))
+
+
+def _sized(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """Narrow lines with ``text_bytes`` and ``bom_len``. Only lines that are not plain UTF-8 are decoded for it."""
+    columns = ["source_id", "line_no", "raw_len", "line_bytes", "confirmed", "hit", "hit_key", "text_bytes", "bom_len"]
+
+    def plain(of: DataFrame) -> DataFrame:
+        return of.filter("valid8").select(
+            "*", F.col("raw_len").alias("text_bytes"), F.when(F.col("utf8_bom"), 3).otherwise(0).alias("bom_len")
+        ).select(*columns)
+
+    special = _special(decided).select("source_id")
     if special.isEmpty():
-        coded, plain = lines.filter(~F.col("valid8")), lines.filter("valid8")
+        if lines.filter(~F.col("valid8")).isEmpty():
+            return plain(lines)
+        coded, rest = lines.filter(~F.col("valid8")), lines
     else:
-        coded = lines.join(special, "source_id", "left_semi").unionByName(
-            lines.filter(~F.col("valid8")).join(special, "source_id", "left_anti")
-        )
-        plain = lines.filter("valid8").join(special, "source_id", "left_anti")
-    columns = ["source_id", "line_no", "raw_len", "line_bytes", "confirmed", "utf8_bom", "hit", "hit_key"]
-    decoded = files.decode_lines(coded, decided)
-    ebcdic = decided.filter(F.col("codepage").isin(*enc.EBCDIC_PAGES))
-    if not ebcdic.isEmpty():
-        again = decoded.join(ebcdic.select("source_id"), "source_id", "left_semi").drop("hit", "hit_key")
-        decoded = decoded.join(ebcdic.select("source_id"), "source_id", "left_anti").unionByName(
-            dt.mark(again), allowMissingColumns=True
-        )
-    sized = decoded.select(*columns, F.octet_length("text").alias("text_bytes"), "bom_len").unionByName(
-        plain.select(
-            *columns, F.col("raw_len").alias("text_bytes"), F.when(F.col("utf8_bom"), 3).otherwise(0).alias("bom_len")
-        )
-    )
-    return files.line_positions(stored(sized, "sized"), F.col("bom_len")).select(*assemble.NARROW)
+        rest = lines.join(special, "source_id", "left_anti")
+        coded = lines.join(special, "source_id", "left_semi").unionByName(rest.filter(~F.col("valid8")))
+    decoded = files.decode_lines(coded, decided).withColumn("text_bytes", F.octet_length("text"))
+    other = decided.filter(F.col("codepage").isin(*enc.EBCDIC_PAGES)).select("source_id")
+    if not other.isEmpty():
+        again = dt.mark(decoded.join(other, "source_id", "left_semi").drop("hit", "hit_key"))
+        decoded = decoded.join(other, "source_id", "left_anti").unionByName(again)
+    return stored(decoded.select(*columns).unionByName(plain(rest)), "sized")

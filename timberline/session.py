@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -70,11 +70,12 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """``df`` stored and, if its counted size is under the limit, marked for broadcast.
+def small_side(df: DataFrame, row_bytes: int, size: Column | None = None, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``df`` stored and, if its measured size is under the limit, marked for broadcast.
 
-    Beyond the limit the join stays a shuffle join, where adaptive execution
-    splits skewed partitions.
+    The size is ``row_bytes`` per row plus, where rows hold text, the sum of ``size``. Beyond the limit the
+    join stays a shuffle join, where adaptive execution splits skewed partitions.
     """
     kept = stored(df, "small")
-    return F.broadcast(kept) if kept.count() * row_bytes <= limit_bytes else kept
+    rows, extra = kept.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return F.broadcast(kept) if rows * row_bytes + extra <= limit_bytes else kept

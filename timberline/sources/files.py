@@ -19,7 +19,7 @@ from timberline.session import small_side, stored
 HEAD_BYTES = 4096
 
 
-def scan_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: DataFrame | None = None) -> DataFrame:
     """``path, line_no, raw_len, line_bytes, confirmed, utf8_bom, valid8, hit, hit_key, bytes``.
 
     ``bytes`` is the line without its LF and without one CR right before that LF;
@@ -28,6 +28,9 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     The text is read once and stored with everything later steps want to know about it (size, validity as UTF-8,
     date-time at its start), so they read narrow columns and leave ``bytes`` alone.
+
+    With ``data_sources`` the lines carry ``source_id, label, config_pos`` in place of ``path``, as from
+    :func:`scan_configured_sources`, without a second join.
     """
     raw = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("path"),
@@ -41,7 +44,10 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     marked = dt.mark(raw, "value")
     staged = stored(marked.withColumn("bytes", F.col("value").cast("binary")).drop("value"), "lines")
-    placed = staged.join(small_side(split_offsets(staged), row_bytes=256), ["path", "split_start"])
+    splits, named = split_offsets(staged), ["path"]
+    if data_sources is not None:
+        splits, named = scan_configured_sources(splits, data_sources, keep_path=True), ["source_id", "label", "config_pos"]
+    placed = staged.join(small_side(splits, row_bytes=320), ["path", "split_start"])
     line_no = F.col("_line_base") + F.col("row_id") - F.col("_first_row") + 1
     # A separator was counted for every line and the reader drops a UTF-8 BOM, so the
     # difference to the file size tells both: 0 or 3 with a final LF, -1 or 2 without.
@@ -50,7 +56,7 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = lines.filter(F.col("confirmed") | (F.col("size") > 0))
     strip = F.col("confirmed") & F.col("ends_in_cr")
     return lines.select(
-        "path",
+        *named,
         "line_no",
         (F.col("size") - strip.cast("int")).alias("raw_len"),
         (F.col("size") + F.col("confirmed").cast("int")).alias("line_bytes"),
@@ -103,13 +109,14 @@ def with_identity(manifest: DataFrame, lines: DataFrame) -> DataFrame:
     return manifest.join(heads, "path", "left")
 
 
-def scan_configured_sources(lines: DataFrame, data_sources: DataFrame) -> DataFrame:
+def scan_configured_sources(lines: DataFrame, data_sources: DataFrame, keep_path: bool = False) -> DataFrame:
     """Lines of configured sources with ``source_id``, ``label`` and ``config_pos``.
 
     ``data_sources`` is ``source_id, config_pos, name, path``, paths as the reader reports them.
     """
     named = data_sources.select("path", "source_id", F.col("name").alias("label"), "config_pos")
-    return lines.join(small_side(named, row_bytes=512), "path").drop("path")
+    joined = lines.join(small_side(named, row_bytes=512), "path")
+    return joined if keep_path else joined.drop("path")
 
 
 def line_positions(lines: DataFrame, bom_len: Column | None = None) -> DataFrame:
@@ -130,14 +137,16 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
     first 64 KiB as UTF-8, then ``default_codepage``.
     """
     # Every line takes at least one byte, so the first 64 KiB hold at most 65,536 lines: a bounded window.
-    head = lines.filter(F.col("line_no") <= enc.DETECT_BYTES)
+    # A source without a single bad line needs no closer look.
+    suspects = small_side(lines.filter(~F.col("valid8")).select("source_id").distinct(), row_bytes=8)
+    head = lines.filter(F.col("line_no") <= enc.DETECT_BYTES).join(suspects, "source_id", "left_semi")
     before = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("line_bytes").over(before), F.lit(0))
     room = (F.lit(enc.DETECT_BYTES) - F.col("_at")).cast("int")
     # The last line looked at may end inside a character: it is cut off by the limit or by the end of the file.
     cut = (room <= F.col("raw_len")) | ~F.col("confirmed")
     head = (
-        head.select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8", "utf8_bom")
+        head.select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8")
         .withColumn("_at", at)
         .filter(F.col("_at") < enc.DETECT_BYTES)
         .withColumn("_cut", cut)
@@ -155,14 +164,17 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
     first2 = F.hex(F.substring("bytes", 1, 2))
     utf16 = lines.filter(~F.col("valid8") & (F.col("line_no") == 1)).select("source_id", first2.isin("FFFE", "FEFF").alias("_bom16"))
     facts = (
-        head.groupBy("source_id")
-        .agg(
-            F.bool_and(F.col("valid8") | F.col("_cut")).alias("_fine"),
-            F.bool_or("utf8_bom").alias("_bom8"),
-        )
+        lines.filter(F.col("line_no") == 1)
+        .select("source_id", F.col("utf8_bom").alias("_bom8"))
+        .join(head.groupBy("source_id").agg(F.bool_and(F.col("valid8") | F.col("_cut")).alias("_fine")), "source_id", "left")
         .join(rescued, "source_id", "left")
         .join(utf16, "source_id", "left")
-        .select("source_id", "_bom8", "_bom16", (F.col("_fine") & F.coalesce("_rescued", F.lit(True))).alias("_valid"))
+        .select(
+            "source_id",
+            "_bom8",
+            "_bom16",
+            (F.coalesce("_fine", F.lit(True)) & F.coalesce("_rescued", F.lit(True))).alias("_valid"),
+        )
     )
     known = settings.join(facts, "source_id", "left").fillna(False, ["_bom8", "_bom16"]).fillna(True, ["_valid"])
     name = F.col("encoding_name")
