@@ -165,6 +165,8 @@ def mark(df: DataFrame, text: str = "text") -> DataFrame:
     seconds, fraction = "{ss} * 1000L", {2: "{f2} * 10L", 3: "{f3}"}
     number = {fmt: i for i, fmt in enumerate(FORMATS, 1)}
     of = {fmt.id[-3:]: fmt for fmt in FORMATS}
+    # No rule looks past the 24th character, so long lines cost no more than short ones.
+    df, text = df.withColumn("_head", F.substring(text, 1, 24)), "_head"
 
     def at(position: int) -> str:
         return f"substring({text}, {position}, 1)"
@@ -185,7 +187,7 @@ def mark(df: DataFrame, text: str = "text") -> DataFrame:
     )
     keyed = df.withColumn("_hit", F.expr(found)).withColumn("hit_key", F.expr(f"CASE WHEN _hit > 0 THEN {key} END"))
     # a day the calendar does not have
-    return keyed.withColumn("hit", F.when(F.col("hit_key").isNull(), 0).otherwise(F.col("_hit"))).drop("_hit")
+    return keyed.withColumn("hit", F.when(F.col("hit_key").isNull(), 0).otherwise(F.col("_hit"))).drop("_hit", "_head")
 
 
 def key_of_hit(format_id: str) -> Column:
