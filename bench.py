@@ -48,19 +48,24 @@ def main() -> None:
         took[name] = round(time.perf_counter() - start, 3)
         return result
 
-    def write_logs() -> str:
-        lines = derive.log_lines(spark, SF_DIR, COPIES)
+    def write_logs(sf_dir: str, copies: int) -> str:
+        lines = derive.log_lines(spark, sf_dir, copies)
         root = fresh_path(spark, "logs")
         placed = lines.repartition("source_id").sortWithinPartitions("source_id", "line_no")
         placed.select("source_id", "text").write.partitionBy("source_id").text(root)
         return root
 
-    root = write_logs()
-    paths = spark.read.text(root).select(F.col("_metadata.file_path").alias("path")).distinct()
-    configured = stored(derive.configured_from_folders(paths), "configured")
-    # One small run first, so that class loading is not what is measured.
-    warm = stored(assemble.mark_lines(derive.log_lines(spark, os.path.join(os.path.dirname(SF_DIR), "sf0.001"))), "warm")
-    run(assemble.assemble_items(warm, assemble.infer_source_format(warm)))
+    def configured_in(root: str):
+        paths = spark.read.text(root).select(F.col("_metadata.file_path").alias("path")).distinct()
+        return stored(derive.configured_from_folders(paths), "configured")
+
+    # A small run of the main steps first: the figures are for a session that is up, not for loading classes.
+    for _ in range(2):
+        small = configured_in(write_logs(SF_DIR, 1))
+        warm = open_logs(spark, small)
+        run(timeline.merged_timeline(warm.items, small.withColumn("source_ordinal", F.col("config_pos"))))
+        run(assemble.bodies_of_parts(warm.parts_with_text()))
+    configured = configured_in(write_logs(SF_DIR, COPIES))
 
     def load_index() -> tuple:
         opened = open_logs(spark, configured)

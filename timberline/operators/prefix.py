@@ -73,8 +73,9 @@ def running(
     offsets = carry_in(blocked, keys, "_block", totals)
     last = 0 if include_current else -1
     local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    # Both sides are shuffled by the columns the window needs, so rows move once.
-    joined = blocked.join(offsets, [*keys, "_block"])
+    # Both sides are shuffled by the columns the window needs, so rows move once. The hint keeps the planner
+    # from broadcasting well-compressed rows, whose estimated size may be below that of the block table.
+    joined = blocked.join(offsets.hint("merge"), [*keys, "_block"])
     named = {
         name: _COMBINE[kind](F.col("carry_" + name), _AGG[kind](col).over(local))
         for name, (kind, col) in totals.items()

@@ -65,10 +65,12 @@ def open_logs(
         settings = stored(profiles.profile_settings(resolved, profile_table), "settings")
     decided = stored(files.detect_encoding(lines, settings, default_codepage), "encodings")
     readable, errors = files.reject_unsupported(lines, decided)
-    inferred = assemble.infer_source_format(_marked(readable, decided))
+    # Stored narrow: format choice and both passes of the assembly read it, not the lines and their joins.
+    narrow = stored(_sized(readable, decided), "marked")
+    inferred = assemble.infer_source_format(narrow)
     wanted = settings.join(data_sources.select("source_id", "manual_format"), "source_id")
     formats = stored(assemble.format_route(wanted, inferred), "formats")
-    parts = assemble.item_parts(_numbered(_sized(readable, decided), formats))
+    parts = assemble.item_parts(_numbered(narrow, formats))
     return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors)
 
 
@@ -97,20 +99,11 @@ def _decoded(lines: DataFrame, decided: DataFrame) -> DataFrame:
     return text.drop("bytes").withColumn("text_bytes", F.octet_length("text"))
 
 
-def _marked(lines: DataFrame, decided: DataFrame) -> DataFrame:
-    """What the format is inferred from. Code pages that do not share ASCII's digits are parsed after decoding."""
-    other = decided.filter(F.col("codepage").isin(*enc.EBCDIC_PAGES)).select("source_id")
-    warned = decided.filter(F.col("warning").isNotNull() & (F.col("codepage").isNotNull())).select("source_id")
-    if other.isEmpty() and warned.isEmpty():
-        return lines
-    decoded = _decoded(lines.filter(F.col("line_no") <= assemble.SCAN_LINES), decided)
-    again = dt.mark(decoded.join(other, "source_id", "left_semi").drop("hit", "hit_key"))
-    columns = ["source_id", "line_no", "hit", "hit_key"]
-    return decoded.join(other, "source_id", "left_anti").select(*columns).unionByName(again.select(*columns))
-
-
 def _sized(lines: DataFrame, decided: DataFrame) -> DataFrame:
-    """Narrow lines with ``text_bytes`` and ``bom_len``. Only lines that are not plain UTF-8 are decoded for it."""
+    """Narrow lines with ``text_bytes`` and ``bom_len``. Only lines that are not plain UTF-8 are decoded for it.
+
+    Lines in code pages that do not share ASCII's digits are parsed anew after decoding.
+    """
     columns = ["source_id", "line_no", "raw_len", "line_bytes", "confirmed", "hit", "hit_key", "text_bytes", "bom_len"]
 
     def plain(of: DataFrame) -> DataFrame:
@@ -131,4 +124,4 @@ def _sized(lines: DataFrame, decided: DataFrame) -> DataFrame:
     if not other.isEmpty():
         again = dt.mark(decoded.join(other, "source_id", "left_semi").drop("hit", "hit_key"))
         decoded = decoded.join(other, "source_id", "left_anti").unionByName(again)
-    return stored(decoded.select(*columns).unionByName(plain(rest)), "sized")
+    return decoded.select(*columns).unionByName(plain(rest))
