@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from timberline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
+from timberline.llm.packing import op3_packing
 from timberline.llm.url_filter import OP2_SQL, op2_url_filter
 
 REGISTRY = {
     "op2_url_filter": op2_url_filter,
+    "op3_packing": op3_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
 }
