@@ -5,16 +5,23 @@ from __future__ import annotations
 from timberline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
 from timberline.llm.packing import op3_packing
+from timberline.llm.quality_rules import op4_quality_rules
+from timberline.llm.rule_ensemble import op6_rule_ensemble
 from timberline.llm.url_filter import OP2_SQL, op2_url_filter
+from timberline.llm.warc import OP10_SQL, op10_warc
 
 REGISTRY = {
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op10_warc": op10_warc,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op10_warc": OP10_SQL,
 }
