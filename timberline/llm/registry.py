@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from timberline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
+from timberline.llm.minhash import op9_minhash
 from timberline.llm.packing import op3_packing
 from timberline.llm.quality_rules import op4_quality_rules
 from timberline.llm.rule_ensemble import op6_rule_ensemble
@@ -17,6 +18,7 @@ REGISTRY = {
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_minhash": op9_minhash,
     "op10_warc": op10_warc,
 }
 SQL = {
