@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from timberline.llm.backoff_lm import op5_backoff_lm
 from timberline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
 from timberline.llm.minhash import op9_minhash
@@ -15,6 +16,7 @@ REGISTRY = {
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_backoff_lm": op5_backoff_lm,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
