@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from timberline.llm.backoff_lm import op5_backoff_lm
+from timberline.llm.chat_format import OP1_SQL, op1_chat_format
 from timberline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
 from timberline.llm.minhash import op9_minhash
@@ -13,6 +14,7 @@ from timberline.llm.url_filter import OP2_SQL, op2_url_filter
 from timberline.llm.warc import OP10_SQL, op10_warc
 
 REGISTRY = {
+    "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
@@ -24,6 +26,7 @@ REGISTRY = {
     "op10_warc": op10_warc,
 }
 SQL = {
+    "op1_chat_format": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
