@@ -56,10 +56,11 @@ def judge_quality(docs: DataFrame, forest: Forest, threshold: float = 0.3, keep_
     schema = StructType([*[docs.schema[c] for c in own], *[StructField(c, kinds.get(c, LongType())) for c in added]])
     arrow = to_arrow_schema(schema)
     n = len(own)
+    text_at = own.index("text") if "text" in own else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, texts in groups_of(batch, n):
+            for begin, end, texts in groups_of(batch, text_at):
                 counts = text_counts(texts)
                 score = forest.score(rates(counts))
                 failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > 20 * counts[:, 0])
@@ -67,7 +68,7 @@ def judge_quality(docs: DataFrame, forest: Forest, threshold: float = 0.3, keep_
                 columns += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(*own, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own, *[F.col("text").alias("_text")] * (text_at == n)).mapInArrow(run, schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
