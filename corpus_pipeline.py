@@ -10,21 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table
+from timberline.llm.decontaminate import contaminated
 from timberline.llm.line_dedup import drop_repeated_lines
-from timberline.session import stored
+from timberline.llm.minhash import near_duplicates
+from timberline.llm.packing import pack
+from timberline.llm.quality_rules import judge_quality, train
+from timberline.session import small_side, stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base limits or that the trees, trained on the labels, reject."""
+    judged = judge_quality(docs, train(docs, table(spark, sf_dir, "labels")), keep_columns=True)
+    return judged.filter("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated long lines go from all documents but the one with the largest id."""
+    """Lines of twenty and more characters that three documents hold stay only in the one with the largest id."""
     kept = drop_repeated_lines(docs, into="text")
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return _without(docs, near_duplicates(docs).filter("not kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a passage of a benchmark item."""
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their place in sequences of 2048."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    ids = small_side(gone.select(F.col("doc_id").alias("_gone")).distinct(), 16)
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
 ]
 
-#: Trained scores, signatures and token ids cannot be put in SQL; the tests hold each stage against brute force.
+#: Trained scores, signatures and token ids cannot be put in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
