@@ -14,7 +14,7 @@ import time
 from pyspark.sql import functions as F
 
 from timberline.functions.datetime import DAY_MS
-from timberline.operators import assemble, ranges, search, summary, timeline
+from timberline.operators import ranges, search, summary, timeline
 from timberline.plans import derive
 from timberline.plans.ingest import open_logs
 from timberline.session import build_session, fresh_path, stored
@@ -64,7 +64,7 @@ def main() -> None:
         small = configured_in(write_logs(SF_DIR, 1))
         warm = open_logs(spark, small)
         run(timeline.merged_timeline(warm.items, small.withColumn("source_ordinal", F.col("config_pos"))))
-        run(assemble.bodies_of_parts(warm.parts_with_text()))
+        run(search.filter_text(warm.item_lines(), "at frame 3"))
     configured = configured_in(write_logs(SF_DIR, COPIES))
 
     def load_index() -> tuple:
@@ -99,7 +99,7 @@ def main() -> None:
     timed("latency_summary", lambda: run(summary.latency_summary(samples)))
 
     def bodies():
-        run(search.filter_text(assemble.bodies_of_parts(opened.parts_with_text()), "at frame 3"))
+        run(search.filter_text(opened.item_lines(), "at frame 3"))
 
     timed("filter_text_with_bodies", bodies)
     print(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators import assemble
+from timberline.operators import assemble, search
 from timberline.session import stored
 
 LINES = "source_id INT, line_no BIGINT, raw_offset BIGINT, raw_len INT, text STRING, confirmed BOOLEAN"
@@ -41,7 +41,7 @@ def expected(sources):
     out = {}
     for source, texts in sources.items():
         dated = lambda t: t[:4] == "2026"
-        has_format = any(dated(t) for t in texts[:100])
+        has_format = any(map(dated, texts))
         items = []
         for n, text in enumerate(texts, 1):
             if has_format and not dated(text) and items and dated(items[-1][1][0]):
@@ -57,15 +57,15 @@ def assembled(spark, rows, width, scatter):
     df = df.repartition(7, F.rand(3)) if scatter else df
     df = df.withColumn("text_bytes", F.octet_length("text"))
     keyed = assemble.keyed_lines(df, assemble.infer_source_format(df))
-    return assemble.item_parts(assemble.item_seq(keyed, width, keep_block=True), with_text=True)
+    numbered = stored(assemble.item_seq(keyed, width, keep_block=True))
+    return assemble.items_of_parts(assemble.item_parts(numbered)), numbered.select("source_id", "seq", "line_no", "text")
 
 
 @pytest.mark.parametrize("seed,width,scatter", [(1, 1 << 16, False), (1, 8, True), (2, 1, True), (3, 64, True)])
 def test_against_state_machine(spark, seed, width, scatter):
     sources = random_sources(seed)
-    parts = assembled(spark, lines_of(sources), width, scatter)
-    items = assemble.items_of_parts(parts)
-    rows = items.join(assemble.bodies_of_parts(parts), ["source_id", "seq"]).orderBy("source_id", "seq").collect()
+    items, lines = assembled(spark, lines_of(sources), width, scatter)
+    rows = items.join(assemble.bodies(lines), ["source_id", "seq"]).orderBy("source_id", "seq").collect()
     want = expected(sources)
     for source, texts in sources.items():
         mine = [r for r in rows if r["source_id"] == source]
@@ -75,14 +75,25 @@ def test_against_state_machine(spark, seed, width, scatter):
         assert [r["confirmed"] for r in mine] == [True] * (len(mine) - 1) + [source % 2 == 0]
 
 
-def test_item_spanning_a_whole_source_stays_in_parts(spark):
-    sources = {0: ["2026/07/28 10:00:00 start"] + [f"line {i}" for i in range(999)], 1: ["2026/07/28 10:00:00 x", "y"]}
-    parts = assembled(spark, lines_of(sources), 64, True)
-    bodies = assemble.bodies_of_parts(parts, part_bytes=500).orderBy("source_id", "part").collect()
-    mine = [r["raw_text"] for r in bodies if r["source_id"] == 0]
-    assert len(mine) > 10 and "\n".join(mine) == "\n".join(sources[0])
-    assert [r["part"] for r in bodies if r["source_id"] == 1] == [0]
-    assert assemble.items_of_parts(parts).filter("source_id = 0").first()["continuation_count"] == 999
+@pytest.mark.parametrize("width", [1, 64, 128, 1 << 16])
+def test_body_has_one_shape_however_many_blocks_it_spans(spark, width):
+    sources = {0: ["2031/02/03 10:00:00 start"] + [f"line {i}" for i in range(999)], 1: ["2031/02/03 10:00:00 x", "y"]}
+    items, lines = assembled(spark, lines_of(sources), width, True)
+    bodies = {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies(lines).collect()}
+    assert bodies == {(0, 0): "\n".join(sources[0]), (1, 0): "2031/02/03 10:00:00 x\ny"}
+    assert items.filter("source_id = 0").first()["continuation_count"] == 999
+    found = search.filter_text(lines, "line 500\nline 501").collect()
+    assert [(r["source_id"], r["raw_text"]) for r in found] == [(0, "\n".join(sources[0]))]
+    assert search.filter_regex(lines, "line 7\\nline 8\\n").count() == search.filter_regex(lines, "line 7\\nline 8\\n", literal="line 7").count() == 1
+    with pytest.raises(Exception, match="source 0 item 0"):
+        assemble.bodies(lines, limit_bytes=500).collect()
+
+
+def test_format_of_a_late_line(spark):
+    texts = ["no date"] * 150 + ["2031/02/03 10:00:00 at last"]
+    df = spark.createDataFrame(lines_of({0: texts}), LINES)
+    assert assemble.infer_source_format(df).first()["decided_at"] == 151
+    assert assemble.infer_source_format(df, scan_lines=100).first()["decided_at"] is None
 
 
 def test_items_equal_grouping_by_seq(spark):

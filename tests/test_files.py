@@ -187,8 +187,8 @@ def items_of(spark, folder, content, formats=None):
     if formats:
         inferred = inferred.withColumn("format", F.coalesce(*[F.when(F.col("source_id") == ids[k], v) for k, v in formats.items()], F.col("format")))
     keyed = assemble.keyed_lines(lines.withColumn("text_bytes", F.octet_length("text")), inferred)
-    parts = assemble.item_parts(assemble.item_seq(keyed, keep_block=True), with_text=True)
-    rows = assemble.items_of_parts(parts).join(assemble.bodies_of_parts(parts), ["source_id", "seq"]).orderBy("source_id", "seq").collect()
+    numbered = assemble.item_seq(keyed, keep_block=True)
+    rows = assemble.items_of_parts(assemble.item_parts(numbered)).join(assemble.bodies(numbered), ["source_id", "seq"]).orderBy("source_id", "seq").collect()
     return {name: [r for r in rows if r["source_id"] == i] for name, i in ids.items()}
 
 

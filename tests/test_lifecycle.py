@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark, tmp_path, seed, batches):
         df.filter((F.col("line_no") > low) & (F.col("line_no") <= cut)).write.mode("append").parquet(base + "/in")
         assembler.start(spark.readStream.schema(df.schema).parquet(base + "/in"), base + "/checkpoint").awaitTermination()
         low = cut
-    streamed = assembler.finish(batches - 1)
+    streamed = assembler.finish()
     batch = assemble.assemble_items(df, assemble.infer_source_format(df))
     assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0
 
@@ -40,7 +40,7 @@ def test_repeated_epoch_changes_nothing(spark, tmp_path):
     more = spark.createDataFrame([(0, 3, 24, 1, "c", True)], LINES)
     for _ in range(3):
         assembler.process(more, 1)
-    rows = assembler.finish(1).orderBy("source_id", "seq").collect()
+    rows = assembler.finish().orderBy("source_id", "seq").collect()
     assert [(r["source_id"], r["continuation_count"]) for r in rows] == [(0, 2), (1, 0), (1, 0)]
 
 
@@ -74,7 +74,7 @@ def test_open_store_reload(spark, tmp_path):
     assert [(summary[i]["line_count"], summary[i]["item_count"], summary[i]["format"]) for i in (0, 1)] == [(3, 2, "LOG-DT-005"), (2, 2, "LOG-DT-001")]
     assert (summary[1]["encoding"], summary[1]["profile_route"], summary[1]["format_route"], summary[1]["unconfirmed_tail"]) == ("windows-1252", "glob", "profile", True)
     assert (summary[2]["error"], summary[2]["line_count"]) == ("UNSUPPORTED_UTF16", 0)
-    bodies = {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies_of_parts(opened.parts_with_text()).collect()}
+    bodies = {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies(opened.item_lines()).collect()}
     assert bodies == {(0, 0): "lead", (0, 1): "2026/07/28 10:00:01 a1\nmore", (1, 0): "2026/07/28 10:00:02.500 café", (1, 1): "2026/07/28 10:00:03.500 x"}
     view = timeline.merged_timeline(opened.items, sources.withColumn("source_ordinal", F.col("config_pos")))
     order = [(r["source_id"], r["seq"]) for r in view.orderBy("position").collect()]

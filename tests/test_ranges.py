@@ -113,7 +113,33 @@ def test_verdict_at_its_limits(spark, max_lines, max_bytes, verdict, size):
 def test_verdict_needs_readable_sources(spark):
     view = spark.createDataFrame([(0, 4), (1, None)], "position BIGINT, body_bytes BIGINT")
     chosen = spark.createDataFrame([(0, 0, 2)], "pos BIGINT, start BIGINT, count BIGINT")
-    assert ranges.extract_verdict(view, chosen).first()["verdict"] == "source_unavailable"
+    assert ranges.extract_verdict(view, chosen, 100, 1000).first()["verdict"] == "source_unavailable"
+
+
+def test_verdict_against_sums(spark):
+    rng = random.Random(11)
+    sizes = [rng.randrange(0, 30) for _ in range(300)]
+    view = spark.createDataFrame(list(enumerate(sizes)), "position BIGINT, body_bytes BIGINT")
+    rows = [(s, i, rng.randrange(320), rng.randrange(0, 40)) for s in range(25) for i in range(rng.randrange(1, 6))]
+    got = {r["sel"]: r for r in ranges.extract_verdict(view, spark.createDataFrame(rows, SCHEMA), 120, 500, KEYS).collect()}
+    for s in range(25):
+        mine = [r for r in rows if r[0] == s]
+        picked = sorted({p for _, _, a, n in mine for p in range(a, a + n) if p < 300})
+        lines, at, over = sum(r[3] for r in mine), -1, None
+        for p in picked:
+            at += sizes[p] + 1
+            over = at if over is None and at > 500 else over
+        want = ("too_many_lines", None) if lines > 120 else ("too_many_bytes", over) if over else ("accepted", at if picked else None)
+        assert (got[s]["verdict"], got[s]["selected_bytes"], got[s]["selected_lines"]) == (*want, lines)
+
+
+def test_a_range_of_any_length(spark):
+    view = spark.range(0, 1000).withColumnRenamed("id", "position")
+    huge = spark.createDataFrame([(0, 990, 10**13)], "pos INT, start BIGINT, count BIGINT")
+    assert sorted(r[0] for r in ranges.extract_ranges(view, huge).collect()) == list(range(990, 1000))
+    assert ranges.extract_ranges(view, huge.withColumn("sel", F.lit(1)), KEYS).count() == 10
+    rows = spark.createDataFrame([(5,), (995,), (10**12,)], "row BIGINT")
+    assert {r["row"]: r["selected"] for r in ranges.row_selected(rows, huge).collect()} == {5: False, 995: True, 10**12: True}
 
 
 def test_small_constructors(spark):

@@ -60,7 +60,7 @@ def view(spark):
     "start,items_,bytes_,first,n,truncated",
     [
         (0, 10, 10_000, 0, 10, True),
-        (0, 9999, 10**9, 0, 512, True),
+        (0, 9999, 10**9, 0, 1100, False),
         (1090, 50, 10_000, 1090, 10, False),
         (5000, 10, 10_000, None, 0, None),
         (0, 100, 1000, 0, 10, True),
@@ -89,7 +89,7 @@ def test_page_reads_only_its_row_groups(spark, view, tmp_path):
 @pytest.mark.parametrize(
     "raw,row",
     [("1", 0), ("0", 0), ("-3", 0), ("100", 99), ("101", 99), ("7.9", 6), (" 7 ", 6), ("\u00a07\u3000", 6), ("1e1", 9), ("+5", 4), (".5", 0), ("0x10", 15),
-     ("0b11", 2), ("0o17", 14), ("", None), ("  ", None), ("abc", None), ("Infinity", None), ("NaN", None), ("1e999", None), ("5d", None), ("1,000", None), (None, None)],
+     ("0b11", 2), ("0o17", 14), ("", None), ("  ", None), ("abc", None), ("Infinity", None), ("NaN", None), ("1e999", None), ("5d", None), ("1,000", None), (None, None), ("0x" + "F" * 40, 99), ("0x" + "0" * 120 + "10", 15)],
 )
 def test_jump(spark, raw, row):
     df = spark.createDataFrame([(raw,)], "raw STRING")
@@ -130,27 +130,41 @@ def test_positions_with_one_hot_key(spark):
 @pytest.mark.parametrize("identifier", [None, "ident"])
 def test_correlation_against_pairs(spark, identifier):
     rng = random.Random(8)
-    make = lambda s, n: [(s, i, rng.choice([None, 7, rng.randrange(10_000_000)]), rng.choice("ab")) for i in range(n)]
+    make = lambda s, n: [(s, i, rng.choice([None, 7, rng.randrange(10_000_000)]), rng.choice(["a", "b", None])) for i in range(n)]
     left, right = make(0, 150), make(1, 170)
     schema = "source_id INT, seq BIGINT, key_ms BIGINT, ident STRING"
     got = search.time_correlate(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 40_000, identifier).collect()
     assert len(got) == sum(1 for r in left if r[2] is not None)
+    right_df = spark.createDataFrame(right, schema)
+    chosen = search.time_correlate(spark.createDataFrame(left, schema), right_df, 40_000, identifier)
+    listed = sorted((r["of_seq"], r["seq"]) for r in search.related_items(chosen, right_df, identifier).collect())
+    by_hand = [
+        (a[1], b[1]) for a in left for b in right
+        if a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 40_000 and (identifier is None or (a[3] is not None and a[3] == b[3]))
+    ]
+    assert listed == sorted(by_hand)
     for r in got:
-        near = [b for b in right if b[2] is not None and (identifier is None or b[3] == r["ident"])]
+        near = [b for b in right if b[2] is not None and (identifier is None or (b[3] is not None and b[3] == r["ident"]))]
         assert r["match_start"] == sum(b[2] < r["key_ms"] - 40_000 for b in near)
         assert r["match_count"] == sum(abs(b[2] - r["key_ms"]) <= 40_000 for b in near)
 
 
 def test_filters(spark):
-    df = spark.createDataFrame([(0, None, 0, "INFO Start"), (0, 10, 10, "ERROR stop"), (1, 20, 20, "WARN start")], "source_id INT, key_ms BIGINT, sort_key BIGINT, raw_text STRING")
+    rows = [(0, 0, 1, None, 0, "INFO Start"), (0, 1, 2, 10, 10, "ERROR stop"), (0, 1, 3, 10, 10, " more"), (1, 0, 1, 20, 20, "WARN start")]
+    df = spark.createDataFrame(rows, "source_id INT, seq BIGINT, line_no BIGINT, key_ms BIGINT, sort_key BIGINT, text STRING")
     texts = lambda d: sorted(r["raw_text"] for r in d.collect())
     assert texts(search.filter_text(df, "tart")) == ["INFO Start", "WARN start"]
     assert texts(search.filter_text(df, "START", ignore_case=True)) == ["INFO Start", "WARN start"]
-    assert texts(search.filter_regex(df, "^(INFO|WARN)")) == ["INFO Start", "WARN start"]
-    assert texts(search.filter_time_range(df, 0, 20)) == ["ERROR stop"]
-    assert texts(search.filter_time_range(df, 0, 20, undated=True)) == ["ERROR stop", "INFO Start"]
-    assert texts(search.filter_source(df, [1])) == ["WARN start"]
-    assert texts(search.filter_level(df, "^([A-Z]+) ", ["ERROR"])) == ["ERROR stop"]
+    assert texts(search.filter_text(df, "op\n mo")) == texts(search.filter_text(df, "more")) == ["ERROR stop\n more"]
+    for known in ({}, {"within_line": True}, {"literal": "N"}, {"literal": "N", "within_line": True}):
+        assert texts(search.filter_regex(df, "^(INFO|WARN)", **known)) == ["INFO Start", "WARN start"]
+    assert texts(search.filter_regex(df, "stop.more".replace(".", "\\s+"))) == ["ERROR stop\n more"]
+    firsts = df.filter("line_no <> 3")
+    lines = lambda d: sorted(r["text"] for r in d.collect())
+    assert lines(search.filter_time_range(firsts, 0, 20)) == ["ERROR stop"]
+    assert lines(search.filter_time_range(firsts, 0, 20, undated=True)) == ["ERROR stop", "INFO Start"]
+    assert lines(search.filter_source(firsts, [1])) == ["WARN start"]
+    assert lines(search.filter_level(firsts, "^([A-Z]+) ", ["ERROR"])) == ["ERROR stop"]
 
 
 def test_latency_small(spark):

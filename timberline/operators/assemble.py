@@ -14,8 +14,8 @@ from timberline.functions import datetime as dt
 from timberline.operators.prefix import BLOCK_ROWS, running
 from timberline.session import small_side, stored
 
-SCAN_LINES = 100
-BODY_PART_BYTES = 16 * 1024 * 1024
+#: The most a body may have to be handed out as one value.
+BODY_BYTES = 1 << 30
 
 
 NARROW = ("source_id", "line_no", "raw_offset", "raw_len", "confirmed", "text_bytes", "hit", "hit_key")
@@ -33,12 +33,12 @@ def _marked(lines: DataFrame) -> DataFrame:
     return lines if "hit" in lines.columns else dt.mark(lines)
 
 
-def infer_source_format(lines: DataFrame) -> DataFrame:
-    """Per source: the first line that is not NoMatch among the first 100 decides.
+def infer_source_format(lines: DataFrame, scan_lines: int | None = None) -> DataFrame:
+    """Per source: the first line that is not NoMatch decides, among all lines or the first ``scan_lines``.
 
     ``format`` is NULL for raw display; ``fell_back`` tells an ambiguous hit from none at all.
     """
-    head = _marked(lines.filter(F.col("line_no") <= SCAN_LINES)).select(
+    head = _marked(lines if scan_lines is None else lines.filter(F.col("line_no") <= scan_lines)).select(
         "source_id", "line_no", dt.outcome_of_hit().alias("outcome"), dt.format_of_hit().alias("format")
     )
     deciding = F.when(F.col("outcome") != "NoMatch", F.struct("line_no", "outcome", "format"))
@@ -121,13 +121,12 @@ def assemble_items(lines: DataFrame, formats: DataFrame, width: int = BLOCK_ROWS
     return items_of_parts(item_parts(item_seq(keyed_lines(narrow, formats), width, keep_block=True)))
 
 
-def item_parts(numbered: DataFrame, with_text: bool = False) -> DataFrame:
+def item_parts(numbered: DataFrame) -> DataFrame:
     """Lines of one block and one item folded into one row, stored.
 
     ``numbered`` comes from :func:`item_seq` with its block kept, so this needs no shuffle. An item that runs over a
     block border has one part that ``starts`` it and at most one more per block.
     """
-    texts = [_joined("text", "line_no").alias("raw_text")] if with_text else []
     folded = numbered.groupBy("source_id", F.col("_block").alias("block"), "seq").agg(
         F.max("key_ms").alias("key_ms"),
         F.min("line_no").alias("first_line"),
@@ -137,7 +136,6 @@ def item_parts(numbered: DataFrame, with_text: bool = False) -> DataFrame:
         F.max_by("confirmed", "line_no").alias("confirmed"),
         (F.sum(F.col("text_bytes").cast("bigint")) + F.count("*")).alias("bytes"),
         F.bool_or("starts").alias("starts"),
-        *texts,
     )
     return stored(folded, "parts")
 
@@ -167,25 +165,20 @@ def items_of_parts(parts: DataFrame) -> DataFrame:
     )
 
 
-def bodies_of_parts(parts: DataFrame, part_bytes: int = BODY_PART_BYTES) -> DataFrame:
-    """Bodies of items, lines joined with LF: ``source_id, seq, part, raw_text``, from parts made with text.
+def bodies(item_lines: DataFrame, wanted: DataFrame | None = None, limit_bytes: int = BODY_BYTES) -> DataFrame:
+    """Bodies of items, lines joined with LF, always one row per item: ``source_id, seq, raw_text``.
 
-    An item is one row with ``part`` 0 unless it goes on in later blocks for more than ``part_bytes``; then
-    each of those blocks is a row of its own, so an item that swallowed a whole file is still spread over tasks. Joining
-    the rows of an item in ``part`` order with LF gives the body.
+    ``item_lines`` is ``source_id, seq, line_no, text``, the form in which bodies are kept, searched and extracted; a body as one value is
+    for the few items of a page or a result, ``wanted`` (``source_id, seq``). A body over ``limit_bytes`` ends the
+    query with an error that names the item: read it as its lines.
     """
-    later = parts.filter(~F.col("starts"))
-    sizes = later.groupBy("source_id", "seq").agg(F.sum("bytes").alias("_total"))
-    sized = later.join(small_side(sizes, row_bytes=24), ["source_id", "seq"])
-    tails = sized.filter(F.col("_total") <= part_bytes).groupBy("source_id", "seq").agg(_joined("raw_text", "block").alias("_tail"))
-    tails = small_side(tails, row_bytes=32, size=F.octet_length("_tail"))
-    whole = parts.filter("starts").join(tails, ["source_id", "seq"], "left").select(
-        "source_id", "seq", F.lit(0).cast("bigint").alias("part"), F.concat_ws("\n", "raw_text", "_tail").alias("raw_text")
-    )
-    long = sized.filter(F.col("_total") > part_bytes).select(
-        "source_id", "seq", (F.col("block") + 1).alias("part"), "raw_text"
-    )
-    return whole.unionByName(long)
+    lines = item_lines.select("source_id", "seq", "line_no", "text")
+    if wanted is not None:
+        lines = lines.join(small_side(wanted.select("source_id", "seq").distinct(), row_bytes=16), ["source_id", "seq"], "left_semi")
+    size = F.sum(F.octet_length("text").cast("bigint") + 1) - 1
+    name = F.concat_ws(" ", F.lit("body too large for one value: source"), "source_id", F.lit("item"), "seq")
+    checked = F.when(size > limit_bytes, F.raise_error(name)).otherwise(_joined("text", "line_no"))
+    return lines.groupBy("source_id", "seq").agg(checked.alias("raw_text"))
 
 
 def index_of(numbered: DataFrame) -> DataFrame:

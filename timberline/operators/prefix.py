@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from timberline.session import stored
 
 BLOCK_ROWS = 1 << 16
+BLOCKS_OF_BLOCKS = 1 << 12
 _LOCAL_BITS = 33
 
 _COMBINE = {
@@ -42,13 +43,21 @@ def carry_in(
     ``totals`` maps a name to ``(kind, column)`` with kind ``sum``, ``max`` or ``min``.
     """
     per_block = df.groupBy(*keys, block).agg(*[_AGG[kind](col).alias(name) for name, (kind, col) in totals.items()])
-    earlier = (
-        Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return per_block.select(
-        *keys,
-        block,
-        *[_AGG[kind](F.col(name)).over(earlier).alias(prefix + name) for name, (kind, _) in totals.items()],
+
+    def through(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+        earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = [_AGG[kind](F.col(name)).over(earlier).alias(prefix + name) for name, (kind, _) in totals.items()]
+        return rows.select(*keys, *[c for c in rows.columns if c in (block, "_far")], *sums)
+
+    if keys:
+        return through(per_block, keys, block)
+    # Without keys the blocks themselves are cut into blocks, so that no task sees all of them.
+    far = per_block.withColumn("_far", F.shiftright(F.col(block), BLOCKS_OF_BLOCKS.bit_length() - 1))
+    outer = through(far.groupBy("_far").agg(*[_AGG[kind](F.col(name)).alias(name) for name, (kind, _) in totals.items()]), [], "_far")
+    outer = outer.select("_far", *[F.col(prefix + name).alias("_outer_" + name) for name in totals])
+    inner = through(far, ["_far"], block).join(outer, "_far")
+    return inner.select(
+        block, *[_COMBINE[kind](F.col("_outer_" + name), F.col(prefix + name)).alias(prefix + name) for name, (kind, _) in totals.items()]
     )
 
 

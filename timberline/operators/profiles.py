@@ -169,14 +169,23 @@ def _readable_name(name: Column) -> Column:
     return (F.lower(F.trim(name)) == "utf-8") | named_codepage(name).isNotNull()
 
 
+class InvalidProfiles(ValueError):
+    """Profiles that resolution must not run on; ``violations`` is the table of all of them, ``pos, violation``."""
+
+    def __init__(self, count: int, violations: DataFrame):
+        first = violations.orderBy("pos").first()
+        super().__init__(f"profile table: {count} violations, the first in row {first['pos']}: {first['violation']}")
+        self.violations = violations
+
+
 def require_valid(profiles: DataFrame) -> DataFrame:
     """``profiles`` itself, or an error naming what is wrong: resolution does not run on a bad table."""
     bad = profile_value_checks(profiles).select("pos", "violation").unionByName(
         profile_conflicts(profiles).select("pos", F.col("conflict").alias("violation"))
     )
-    shown = bad.orderBy("pos").take(20)
-    if shown:
-        raise ValueError("profile table: " + "; ".join(f"row {r['pos']}: {r['violation']}" for r in shown))
+    n = bad.count()
+    if n:
+        raise InvalidProfiles(n, bad)
     return profiles
 
 

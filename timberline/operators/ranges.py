@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.operators.prefix import BLOCK_ROWS, block_of, running
+from timberline.operators.prefix import running
 from timberline.session import stored
 
 PAGE_ROWS = 4096
-MAX_LINES = 100_000
-MAX_BYTES = 16 * 1024 * 1024
+#: Bytes of running sums per block.
+BYTES_BLOCK = 1 << 24
 
 
 def _ends(ranges: DataFrame, keys: list[str], counter: str) -> DataFrame:
@@ -137,54 +137,91 @@ def selection_reason(ranges: DataFrame, total: int) -> str | None:
     return "NoRanges" if row is None or (row["reason"] is None and row["selected_lines"] is None) else row["reason"]
 
 
-def range_pieces(ranges: DataFrame, keys: list[str], width: int = PAGE_ROWS) -> DataFrame:
-    """Ranges cut at page borders, with their ``_page``: an equi-join key for row positions.
+def _points(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Range ends with what they add to the number of open ranges, ends at one place summed."""
+    return _ends(ranges, keys, "_open").groupBy(*keys, "at").agg(F.sum("_open").alias("_open"))
 
-    There are at most one piece per range plus one per ``width`` selected rows.
-    """
-    last = F.col("start") + F.col("count") - 1
-    pages = F.sequence(block_of(F.col("start"), width), block_of(last, width))
-    return ranges.filter(F.col("count") > 0).select(
-        *keys, "start", (last + 1).alias("_stop"), F.explode(pages).alias("_page")
-    )
+
+def _rows_of(ranges: DataFrame) -> DataFrame:
+    """A row per selected position, by arrays of at most ``PAGE_ROWS`` entries each for anything up to 10^10 rows."""
+    rows = ranges.filter(F.col("count") > 0).withColumn("_stop", F.col("start") + F.col("count")).drop("count")
+    for width in (PAGE_ROWS * PAGE_ROWS, PAGE_ROWS, 1):
+        cuts = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_stop") - F.col("start") - 1) / width)), lambda k: F.col("start") + k * width
+        )
+        rows = rows.withColumn("_cut", F.explode(cuts)).withColumn("_stop", F.least(F.col("_cut") + width, "_stop"))
+        rows = rows.drop("start").withColumnRenamed("_cut", "start")
+    return rows.drop("_stop").withColumnRenamed("start", "position")
 
 
 def extract_ranges(view: DataFrame, ranges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows of ``view`` whose position lies in a selected range, once per selection."""
-    keys = keys or []
-    pieces = range_pieces(normalize_ranges(ranges, keys), keys)
-    paged = view.withColumn("_page", block_of(F.col("position"), PAGE_ROWS))
-    return (
-        paged.join(pieces, "_page")
-        .filter((F.col("position") >= F.col("start")) & (F.col("position") < F.col("_stop")))
-        .drop("_page", "start", "_stop")
+    """Rows of ``view`` whose position lies in a selected range, once per selection, in no particular order.
+
+    One selection is a sweep: range ends and rows in order of position, and rows stay where a range is open. Several selections (``keys``) are as
+    large as what they select from the view, so their positions are listed and meet the rows one to one.
+    """
+    if keys:
+        last = view.agg(F.max("position")).first()[0]
+        inside = clamp_ranges(ranges, 0 if last is None else last + 1, keys)
+        return view.join(_rows_of(inside), "position")
+    ends = _points(ranges, []).withColumnRenamed("at", "position")
+    both = view.withColumn("_open", F.lit(0).cast("bigint")).withColumn("_row", F.lit(True)).unionByName(
+        ends.withColumn("_row", F.lit(False)), allowMissingColumns=True
     )
+    # An end and a row at one position: the end counts first.
+    swept = running(both, [], ["position", "_row"], {"_now": ("sum", F.col("_open"))})
+    return swept.filter(F.col("_row") & (F.col("_now") > 0)).select(*view.columns)
 
 
 def row_selected(rows: DataFrame, ranges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Add ``selected`` to ``rows`` (``keys, row``)."""
+    """Add ``selected`` to ``rows`` (``keys, row``), by the same sweep."""
     keys = keys or []
-    pieces = range_pieces(normalize_ranges(ranges, keys), keys).withColumnRenamed("start", "_start")
-    paged = rows.withColumn("_page", block_of(F.col("row"), PAGE_ROWS))
-    hits = (
-        paged.join(pieces, [*keys, "_page"])
-        .filter((F.col("row") >= F.col("_start")) & (F.col("row") < F.col("_stop")))
-        .select(*keys, "row")
-        .distinct()
-        .withColumn("selected", F.lit(True))
-    )
-    return rows.join(hits, [*keys, "row"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
-
-
-def extract_verdict(
-    view: DataFrame, ranges: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, keys: list[str] | None = None
-) -> DataFrame:
+    asked = rows.select(*keys, F.col("row").alias("at")).distinct().withColumn("_open", F.lit(0).cast("bigint")).withColumn("_row", F.lit(True))
+    both = asked.unionByName(_points(ranges, keys).withColumn("_row", F.lit(False)))
+    swept = running(both, keys, ["at", "_row"], {"_now": ("sum", F.col("_open"))})
+    found = swept.filter("_row").select(*keys, F.col("at").alias("row"), (F.col("_now") > 0).alias("selected"))
+    return rows.join(found, [*keys, "row"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+def byte_sums(view: DataFrame) -> DataFrame:
+    """Per position: ``_cum``, bodies with one LF each up to and including it, and ``_bad``, bodies of unknown size. Stored."""
+    size = F.coalesce(F.col("body_bytes") + 1, F.lit(0)).cast("bigint")
+    unknown = F.col("body_bytes").isNull().cast("bigint")
+    sums = running(view.select("position", "body_bytes"), [], ["position"], {"_cum": ("sum", size), "_bad": ("sum", unknown)})
+    return stored(sums.select("position", "_cum", "_bad"), "sums")
+
+
+def sized_ranges(ranges: DataFrame, sums: DataFrame) -> DataFrame:
+    """Ranges inside the view with ``_before`` (bytes up to their start), ``_bytes`` and ``_unknown``: two lookups by position each."""
+    first = sums.select((F.col("position") + 1).alias("start"), F.col("_cum").alias("_before"), F.col("_bad").alias("_bad_before"))
+    last = sums.select((F.col("position") + 1).alias("_stop"), F.col("_cum").alias("_until"), F.col("_bad").alias("_bad_until"))
+    zero = F.lit(0).cast("bigint")
+    placed = ranges.withColumn("_stop", F.col("start") + F.col("count")).join(first, "start", "left").join(last, "_stop")
+    placed = placed.withColumn("_before", F.coalesce("_before", zero))
+    return placed.select(
+        *ranges.columns, "_before", (F.col("_until") - F.col("_before")).alias("_bytes"),
+        (F.col("_bad_until") - F.coalesce("_bad_before", zero)).alias("_unknown"),
+    )
+
+
+def _next_sum(limits: DataFrame, sums: DataFrame) -> DataFrame:
+    """For each ``_limit``: the smallest ``_cum`` above it, ``_next``. One ordered pass over both, from the top down."""
+    asked = limits.select("_limit").distinct().select((-F.col("_limit")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_value"))
+    there = sums.select((-F.col("_cum")).alias("_at"), F.lit(1).alias("_kind"), (-F.col("_cum")).alias("_value"))
+    passed = running(asked.unionByName(there), [], ["_at", "_kind"], {"_last": ("max", F.col("_value"))}, BYTES_BLOCK)
+    return passed.filter("_kind = 0").select((-F.col("_at")).alias("_limit"), (-F.col("_last")).alias("_next"))
+
+
+def extract_verdict(view: DataFrame, ranges: DataFrame, max_lines: int, max_bytes: int, keys: list[str] | None = None) -> DataFrame:
     """May these selections be extracted? One row per selection, never a partial answer.
 
     Too many lines is decided from ``ranges`` alone and leaves ``selected_bytes`` NULL;
     such selections are not joined to the view at all. Otherwise bodies plus one LF between items are
     summed in position order; past ``max_bytes`` the total at the first overflow is reported. A body
     of unknown size (``body_bytes`` NULL) makes the source unavailable.
+
+    Bytes of a range are the difference of two running sums over the view, so the work follows the view and the number
+    of ranges, not the rows they hold. Positions of ``view`` are dense from 0.
     """
     if not keys:
         one = ranges.withColumn("_selection", F.lit(0))
@@ -192,17 +229,18 @@ def extract_verdict(
     counted = range_count(ranges, keys)
     small_enough = counted.filter(F.col("selected_rows") <= max_lines)
     wanted = ranges.join(small_enough.select(*keys), keys, "left_semi")
-    rows = extract_ranges(view.select("position", "body_bytes"), wanted, keys)
-    size = F.col("body_bytes") + 1
-    summed = running(rows, keys, ["position"], {"_running": ("sum", size)}).withColumn(
-        "_running", F.col("_running") - 1
-    )
-    sizes = summed.groupBy(*keys).agg(
-        F.min(F.when(F.col("_running") > max_bytes, F.col("_running"))).alias("_over"),
-        F.max("_running").alias("_all"),
-        F.bool_or(F.col("body_bytes").isNull()).alias("_unreadable"),
-    )
-    joined = counted.join(sizes, keys, "left")
+    last = view.agg(F.max("position")).first()[0]
+    sums = byte_sums(view)
+    sized = stored(sized_ranges(clamp_ranges(wanted, 0 if last is None else last + 1, keys), sums), "sized")
+    totals = sized.groupBy(*keys).agg((F.sum("_bytes") - 1).alias("_all"), (F.sum("_unknown") > 0).alias("_unreadable"))
+    # Where a selection overflows: in its first range whose end is past the limit, at the first row that is.
+    over = sized.join(totals.filter(F.col("_all") > max_bytes).select(*keys), keys, "left_semi")
+    summed = running(over, keys, ["start"], {"_so_far": ("sum", F.col("_bytes"))})
+    crossing = summed.filter((F.col("_so_far") - 1 > max_bytes) & (F.col("_so_far") - F.col("_bytes") - 1 <= max_bytes))
+    crossing = crossing.withColumn("_shift", F.col("_so_far") - F.col("_bytes") - F.col("_before") - 1)
+    crossing = stored(crossing.select(*keys, "_shift", (F.lit(max_bytes) - F.col("_shift")).alias("_limit")), "crossing")
+    first_over = crossing.join(_next_sum(crossing, sums), "_limit").select(*keys, (F.col("_next") + F.col("_shift")).alias("_over"))
+    joined = counted.join(totals, keys, "left").join(first_over, keys, "left")
     too_many = F.col("selected_rows") > max_lines
     verdict = (
         F.when(too_many, "too_many_lines")

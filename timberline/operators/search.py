@@ -7,23 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.prefix import running
+from timberline.operators import assemble
+from timberline.operators.prefix import global_positions, running
 from timberline.session import stored
 
 # 2^22 ms, a little over an hour of distinct keys per block.
 KEY_BLOCK = 1 << 22
 
 
-def filter_text(items: DataFrame, needle: str, ignore_case: bool = False) -> DataFrame:
-    """Items whose body contains ``needle``."""
-    if ignore_case:
-        return items.filter(F.contains(F.lower("raw_text"), F.lower(F.lit(needle))))
-    return items.filter(F.contains(F.col("raw_text"), F.lit(needle)))
+def filter_text(item_lines: DataFrame, needle: str, ignore_case: bool = False) -> DataFrame:
+    """``source_id, seq, raw_text`` of items whose body contains ``needle``.
 
+    ``item_lines`` is ``source_id, seq, line_no, text``. Lines are filtered where they are read, and bodies are put together
+    for the items of matching lines only. A needle of several lines is looked for by its longest line first.
+    """
+    fold = F.lower if ignore_case else (lambda c: c)
+    longest = max(needle.split("\n"), key=len)
+    hits = item_lines.filter(F.contains(fold(F.col("text")), fold(F.lit(longest))))
+    found = assemble.bodies(item_lines, hits)
+    return found.filter(F.contains(fold(F.col("raw_text")), fold(F.lit(needle)))) if "\n" in needle else found
+
+
+def filter_regex(item_lines: DataFrame, pattern: str, literal: str | None = None, within_line: bool = False) -> DataFrame:
+    """``source_id, seq, raw_text`` of items whose body matches ``pattern`` somewhere.
 
-def filter_regex(items: DataFrame, pattern: str) -> DataFrame:
-    """Items whose body matches ``pattern`` somewhere."""
-    return items.filter(F.col("raw_text").rlike(pattern))
+    The match is made on the whole body. Two things that the caller may know about the pattern spare most bodies: a ``literal`` without LF
+    that every match contains, or that no match reaches beyond a line (``within_line``). Otherwise all bodies are put together.
+    """
+    if literal is None and not within_line:
+        return assemble.bodies(item_lines).filter(F.col("raw_text").rlike(pattern))
+    line = F.col("text")
+    hits = item_lines.filter(F.contains(line, F.lit(literal or "")) & (line.rlike(pattern) if within_line else F.lit(True)))
+    return assemble.bodies(item_lines, hits).filter(F.col("raw_text").rlike(pattern))
 
 
 def filter_time_range(items: DataFrame, start_ms: int, end_ms: int, undated: bool = False) -> DataFrame:
@@ -37,9 +52,12 @@ def filter_source(items: DataFrame, source_ids: Sequence[int]) -> DataFrame:
     return items.filter(F.col("source_id").isin(*source_ids))
 
 
-def filter_level(items: DataFrame, level_pattern: str, levels: Sequence[str]) -> DataFrame:
-    """Items whose level, group 1 of ``level_pattern``, is one of ``levels``; adds ``level``."""
-    return items.withColumn("level", F.regexp_extract("raw_text", level_pattern, 1)).filter(F.col("level").isin(*levels))
+def filter_level(first_lines: DataFrame, level_pattern: str, levels: Sequence[str]) -> DataFrame:
+    """Items whose level, group 1 of ``level_pattern``, is one of ``levels``; adds ``level``.
+
+    ``first_lines`` is one row per item with the item's first line as ``text``: a level stands on the line that starts an item.
+    """
+    return first_lines.withColumn("level", F.regexp_extract("text", level_pattern, 1)).filter(F.col("level").isin(*levels))
 
 
 def time_correlate(left: DataFrame, right: DataFrame, tolerance_ms: int, identifier: str | None = None) -> DataFrame:
@@ -47,15 +65,19 @@ def time_correlate(left: DataFrame, right: DataFrame, tolerance_ms: int, identif
 
     The related items are consecutive in ``right`` ordered by (identifier, key),
     so they are given as a range, ``match_start`` and ``match_count``, into that order: exact, and one
-    row per left item however dense the times are. ``basis`` says whether time alone or time and
-    identifier were used. Neither side's items are changed or merged.
+    row per left item however dense the times are. That order is (identifier, key, source_id, seq), which
+    :func:`related_items` resolves. ``basis`` says whether time alone or time and
+    identifier were used. An item without identifier has none in common with any other: it comes back with no match.
+    Neither side's items are changed or merged.
     """
     keys = [identifier] if identifier else []
     dated_right = right.filter(F.col("key_ms").isNotNull())
     dated_left = left.filter(F.col("key_ms").isNotNull())
+    if identifier:
+        dated_right = dated_right.filter(F.col(identifier).isNotNull())
     # Both sides shrink to distinct keys before anything is ordered.
     there = dated_right.groupBy(*keys, F.col("key_ms").alias("_at")).agg(F.count("*").alias("_n"))
-    asked = dated_left.select(*keys, "key_ms").distinct()
+    asked = dated_left.select(*keys, "key_ms").dropna().distinct()
     probes = asked.select(
         *keys, F.explode(F.array(F.col("key_ms") - tolerance_ms - 1, F.col("key_ms") + tolerance_ms)).alias("_at")
     ).distinct()
@@ -69,10 +91,35 @@ def time_correlate(left: DataFrame, right: DataFrame, tolerance_ms: int, identif
         count_up_to("_stop", tolerance_ms), [*keys, "key_ms"]
     )
     basis = "time_and_identifier" if identifier else "time"
-    return dated_left.join(bounds, [*keys, "key_ms"]).select(
+    zero = F.lit(0).cast("bigint")
+    return dated_left.join(bounds, [*keys, "key_ms"], "left").select(
         *left.columns,
-        "match_start",
-        (F.col("_stop") - F.col("match_start")).alias("match_count"),
+        F.coalesce("match_start", zero).alias("match_start"),
+        F.coalesce(F.col("_stop") - F.col("match_start"), zero).alias("match_count"),
         F.lit(tolerance_ms).cast("bigint").alias("tolerance_ms"),
         F.lit(basis).alias("basis"),
     )
+
+
+def related_items(matches: DataFrame, right: DataFrame, identifier: str | None = None) -> DataFrame:
+    """The items of ``right`` that chosen rows of :func:`time_correlate` point to, one row per match and item.
+
+    ``matches`` is a chosen part of its result with ``source_id, seq``: the output is as large as their ``match_count`` say. Every match gives
+    the columns ``of_source_id, of_seq`` to its items. Positions are counted per identifier, so no order over all items is made.
+    """
+    keys = [identifier] if identifier else []
+    dated = right.filter(F.col("key_ms").isNotNull())
+    if identifier:
+        dated = dated.filter(F.col(identifier).isNotNull())
+    wanted = matches.filter(F.col("match_count") > 0).select(
+        *[F.col(k).alias("_id") for k in keys], F.col("source_id").alias("of_source_id"), F.col("seq").alias("of_seq"),
+        F.explode(F.sequence(F.col("match_start"), F.col("match_start") + F.col("match_count") - 1)).alias("_place"),
+    )
+    if identifier:
+        order = ["key_ms", "source_id", "seq"]
+        placed = running(dated, keys, order, {"_nth": ("sum", F.lit(1).cast("bigint"))}, KEY_BLOCK).withColumn("_place", F.col("_nth") - 1).drop("_nth")
+        joined = placed.join(wanted.withColumnRenamed("_id", identifier), [identifier, "_place"])
+    else:
+        placed = global_positions(dated, ["key_ms", "source_id", "seq"]).withColumnRenamed("position", "_place")
+        joined = placed.join(wanted, "_place")
+    return joined.select(*right.columns, "of_source_id", "of_seq")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.prefix import global_positions
-from timberline.operators.ranges import extract_ranges
+from timberline.operators.ranges import byte_sums, sized_ranges
 from timberline.operators.timeline import PAGE_ITEMS
+from timberline.session import small_side, stored
 
 
 def source_summary(
@@ -77,9 +78,10 @@ def latency_summary(samples: DataFrame, by: str = "variant", value: str = "ms",
         F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     ordered = global_positions(counted, [by, value])
-    upto = _counts_through(ordered, "_n").join(totals, by)
+    # Read twice: for the variants' first counts and for the ranks.
+    upto = stored(_counts_through(ordered, "_n"), "through").join(small_side(totals, 64), by)
     starts = upto.groupBy(by).agg(F.min(F.col("_through") - F.col("_n")).alias("_base"))
-    placed = upto.join(starts, by).select(
+    placed = upto.join(small_side(starts, 24), by).select(
         by, value, "n", "min", "max", (F.col("_through") - F.col("_base")).alias("_last"), "_n"
     )
     first = F.col("_last") - F.col("_n")
@@ -112,10 +114,13 @@ def sample_starts(variants: DataFrame, samples: int, total: int) -> DataFrame:
 
 def transfer_volume(timeline: DataFrame, starts: DataFrame, total: int) -> DataFrame:
     """Items and body bytes each sampled range returns: ``max_items, sample, start, items, bytes, truncated``."""
-    keys = ["max_items", "sample"]
-    ranges = starts.withColumn("count", F.col("max_items").cast("bigint"))
-    rows = extract_ranges(timeline.select("position", "body_bytes"), ranges, keys)
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("body_bytes").alias("bytes"))
-    return starts.join(sums, keys, "left").fillna(0, ["items", "bytes"]).withColumn(
-        "truncated", F.col("start") + F.col("items") < total
-    )
+    last = timeline.agg(F.max("position")).first()[0]
+    end = F.lit(0 if last is None else last + 1).cast("bigint")
+    cut = starts.withColumn("items", F.greatest(F.least(F.col("start") + F.col("max_items"), end) - F.col("start"), F.lit(0)).cast("bigint"))
+    sized = sized_ranges(cut.filter("items > 0").withColumn("count", F.col("items")), byte_sums(timeline))
+    # Each body was counted with one LF.
+    plain = sized.select("max_items", "sample", (F.col("_bytes") - F.col("items") + F.col("_unknown")).alias("bytes"))
+    return cut.join(plain, ["max_items", "sample"], "left").select(
+        "max_items", "sample", "start", "items", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"),
+        (F.col("start") + F.col("items") < total).alias("truncated"),
+    )

@@ -53,8 +53,8 @@ def merged_timeline(items: DataFrame, sources: DataFrame, assembled: bool = True
 
 
 def single_source_view(items: DataFrame, source_id: int) -> DataFrame:
-    """Items of one source in file order; ``seq`` is the position."""
-    return items.filter(F.col("source_id") == source_id).withColumn("position", F.col("seq"))
+    """Items of one source, sorted in file order; ``seq`` is the position."""
+    return items.filter(F.col("source_id") == source_id).withColumn("position", F.col("seq")).orderBy("position")
 
 
 def fetch_range(
@@ -64,16 +64,15 @@ def fetch_range(
     max_bytes: int = PAGE_BYTES,
     total: int | None = None,
 ) -> DataFrame:
-    """One page: at most ``max_items`` (never over 512) items from ``start``, cut before the item that would pass ``max_bytes``.
+    """One page: at most ``max_items`` items from ``start``, cut before the item that would pass ``max_bytes``.
 
     The first item always comes, whatever its size. Positions are compared with
     literals, so a stored timeline is read only where its row groups overlap.
     """
     total = view.count() if total is None else total
     start = min(start, total)
-    size = min(max_items, PAGE_ITEMS)
-    page = view.filter((F.col("position") >= start) & (F.col("position") < start + size))
-    # The window sees one page, at most 512 rows.
+    page = view.filter((F.col("position") >= start) & (F.col("position") < start + max_items))
+    # The window sees one page.
     so_far = F.sum("raw_len").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
     kept = page.withColumn("_bytes", so_far).filter((F.col("position") == start) | (F.col("_bytes") <= max_bytes))
     last = F.max("position").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -82,30 +81,31 @@ def fetch_range(
     )
 
 
+def page_header(view: DataFrame, start: int, total: int | None = None) -> DataFrame:
+    """``start, total_items, at_end`` of a page that may have no rows."""
+    total = view.count() if total is None else total
+    start = min(start, total)
+    return view.sparkSession.range(1).select(
+        F.lit(start).cast("bigint").alias("start"), F.lit(total).cast("bigint").alias("total_items"), F.lit(start >= total).alias("at_end")
+    )
+
+
 def typed_number(df: DataFrame, raw: str, out: str) -> DataFrame:
     """Add the finite number typed in column ``raw`` as DOUBLE; NULL for anything else.
 
-    Decimal with optional exponent, or hexadecimal, octal and binary with ``0x``, ``0o``, ``0b``.
+    A decimal number, or whole digits with ``0x``, ``0o``, ``0b``; of these, numbers beyond 10^18 count as 10^18.
     """
-    typed = F.regexp_replace(F.regexp_replace(raw, "^" + _BLANKS, ""), _BLANKS + "$", "")
-    text = F.col("_typed")
-    digits = F.substring(text, 3, 100)
-    value = F.when(
-        text.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")
-    )
-    for pattern, base in (("^0[xX][0-9a-fA-F]+$", 16), ("^0[oO][0-7]+$", 8), ("^0[bB][01]+$", 2)):
-        value = value.when(text.rlike(pattern), F.conv(digits, base, 10).try_cast("double"))
-    infinite = F.abs(F.col(out)) == F.lit(float("inf"))
-    return (
-        df.withColumn("_typed", typed)
-        .withColumn(out, value)
-        .withColumn(out, F.when(~infinite, F.col(out)))
-        .drop("_typed")
-    )
+    text = F.regexp_replace(F.regexp_replace(raw, "^" + _BLANKS, ""), _BLANKS + "$", "")
+    value = F.when(text.rlike("^[-+.0-9eE]+$"), text.try_cast("double"))
+    for prefix, digits, base, most in (("0x", "0-9a-f", 16, 14), ("0o", "0-7", 8, 19), ("0b", "01", 2, 59)):
+        typed = F.regexp_extract(F.lower(text), f"^{prefix}0*([{digits}]+)$", 1)
+        read = F.conv(F.when(F.length(typed) <= most, typed), base, 10).try_cast("double")
+        value = value.when(typed != "", F.coalesce(read, F.lit(1e18)))
+    return df.withColumn(out, value).withColumn(out, F.when(F.abs(out) < F.lit(float("inf")), F.col(out)))
 
 
-def jump_to_row(requests: DataFrame, total: int, raw: str = "raw") -> DataFrame:
-    """Add ``row_index`` for a typed 1-based row number, truncated and clamped, and the page it opens.
+def jump_to_row(requests: DataFrame, total: int, raw: str = "raw", page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Add ``row_index`` for a typed 1-based row number, truncated and clamped, and the size of the page it opens.
 
     NULL when ``raw`` is no finite number or there are no rows.
     """
@@ -117,7 +117,7 @@ def jump_to_row(requests: DataFrame, total: int, raw: str = "raw") -> DataFrame:
         "row_index",
         F.when(
             F.col("row_index").isNotNull(),
-            F.least(F.lit(PAGE_ITEMS).cast("bigint"), F.lit(total) - F.col("row_index")),
+            F.least(F.lit(page_items).cast("bigint"), F.lit(total) - F.col("row_index")),
         ).alias("page_count"),
     )
 
@@ -125,17 +125,16 @@ def jump_to_row(requests: DataFrame, total: int, raw: str = "raw") -> DataFrame:
 def hydrate(index_rows: DataFrame, bodies: DataFrame, sources: DataFrame) -> DataFrame:
     """Attach body, label and display time to index rows.
 
-    ``bodies`` is ``source_id, seq, part, raw_text``; ``sources`` is ``source_id, label, format``. An item
-    without a readable body gets an empty one and ``unreadable`` true; the others are
-    not affected. An oversized body stays in its parts, in rows of the same item.
+    ``bodies`` is ``source_id, seq, raw_text``, one row per item as from ``assemble.bodies(item_lines, index_rows)``; ``sources`` is
+    ``source_id, label, format``. An item without a readable body gets an empty one and ``unreadable`` true; the others are
+    not affected.
     """
-    small = small_side(sources.select("source_id", "label", "format"), row_bytes=128)
+    small = small_side(sources.select("source_id", "label", "format"), 32, F.octet_length("label"))
     joined = index_rows.join(bodies, ["source_id", "seq"], "left").join(small, "source_id", "left")
     joined = joined.withColumn("_first_line", first_line("raw_text"))
-    dated = F.col("key_ms").isNotNull() & (F.coalesce("part", F.lit(0)) == 0)
+    dated = F.col("key_ms").isNotNull()
     return joined.select(
         *index_rows.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.col("raw_text").isNull().alias("unreadable"),
         F.col("label").alias("source_label"),

@@ -38,12 +38,14 @@ def _lines_with_seq(lines: DataFrame) -> DataFrame:
     return assemble.item_seq(assemble.keyed_lines(lines, assemble.infer_source_format(lines)))
 
 
-def _parts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item parts with their text, from which both the index and the bodies are made."""
-    lines = dt.mark(derive.log_lines(spark, sf_dir)).withColumn("text_bytes", F.octet_length("text"))
-    lines = stored(lines, "lines")
-    keyed = assemble.keyed_lines(lines, assemble.infer_source_format(lines))
-    return assemble.item_parts(assemble.item_seq(keyed, keep_block=True), with_text=True)
+def _items_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The item index, and bodies as ordered lines: text joined with stored item numbers."""
+    text = stored(derive.log_lines(spark, sf_dir), "lines")
+    narrow = stored(assemble.mark_lines(text), "marked")
+    numbered = assemble.item_seq(assemble.keyed_lines(narrow, assemble.infer_source_format(narrow)), keep_block=True)
+    numbers = stored(numbered, "numbered")
+    lines = text.select("source_id", "line_no", "text").join(numbers.select("source_id", "line_no", "seq"), ["source_id", "line_no"])
+    return assemble.items_of_parts(assemble.item_parts(numbers)), lines
 
 
 # --- scans, sources, sinks
@@ -326,8 +328,8 @@ def transfer_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assemble_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts_with_text(spark, sf_dir)
-    return assemble.items_of_parts(parts).join(assemble.bodies_of_parts(parts), ["source_id", "seq"]).drop("part")
+    items, lines = _items_and_lines(spark, sf_dir)
+    return items.join(assemble.bodies(lines), ["source_id", "seq"])
 
 
 @query
@@ -383,9 +385,9 @@ def jump_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts_with_text(spark, sf_dir)
-    view = timeline.merged_timeline(assemble.items_of_parts(parts), derive.source_table(spark, sf_dir))
-    readable = assemble.bodies_of_parts(parts.filter(F.col("source_id") != 4))
+    items, lines = _items_and_lines(spark, sf_dir)
+    view = timeline.merged_timeline(items, derive.source_table(spark, sf_dir))
+    readable = assemble.bodies(lines.filter(F.col("source_id") != 4))
     heads = derive.log_lines(spark, sf_dir)
     sources = derive.source_table(spark, sf_dir).join(assemble.infer_source_format(heads), "source_id")
     return timeline.hydrate(view, readable, sources).select(
@@ -548,21 +550,15 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- filters
 
 
-def _items_with_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts_with_text(spark, sf_dir)
-    return assemble.items_of_parts(parts).join(assemble.bodies_of_parts(parts), ["source_id", "seq"])
-
-
 @query
 def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.filter_text(_items_with_bodies(spark, sf_dir), "at frame 3")
-    return found.select("source_id", "seq", "raw_text")
+    return search.filter_text(_items_and_lines(spark, sf_dir)[1], "at frame 3")
 
 
 @query
 def filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.filter_regex(_items_with_bodies(spark, sf_dir), "user=[0-9]*7 v=[1-3][0-9]{2}\\b")
-    return found.select("source_id", "seq", "raw_text")
+    _, lines = _items_and_lines(spark, sf_dir)
+    return search.filter_regex(lines, "user=[0-9]*7 v=[1-3][0-9]{2}\\b", literal="user=", within_line=True)
 
 
 @query
@@ -579,7 +575,9 @@ def filter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.filter_level(_items_with_bodies(spark, sf_dir), "^[-0-9/:. ]+ ([a-z]+) user=", ["error", "signup"])
+    items, lines = _items_and_lines(spark, sf_dir)
+    firsts = items.select("source_id", "seq", F.col("first_line").alias("line_no")).join(lines.drop("seq"), ["source_id", "line_no"])
+    found = search.filter_level(firsts, "^[-0-9/:. ]+ ([a-z]+) user=", ["error", "signup"])
     return found.select("source_id", "seq", "level")
 
 
@@ -596,4 +594,4 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrived = lines.filter((F.col("line_no") > batch * step) & (F.col("line_no") <= (batch + 1) * step))
         arrived.write.mode("append").parquet(base + "/in")
         assembler.start(spark.readStream.schema(lines.schema).parquet(base + "/in"), base + "/checkpoint").awaitTermination()
-    return assembler.finish(2)
+    return assembler.finish()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators import assemble, profiles, summary
-from timberline.session import stored
+from timberline.session import small_side, stored
 from timberline.sources import files
 
 
@@ -24,14 +24,19 @@ class OpenedLogs:
     encodings: DataFrame
     resolved: DataFrame
     errors: DataFrame
+    line_items: DataFrame  # source_id, line_no, seq
 
     def summary(self) -> DataFrame:
         """One row per source."""
         return summary.source_summary(self.items, self.formats, self.encodings, self.resolved)
 
-    def parts_with_text(self) -> DataFrame:
-        """Item parts with text; bodies come from them by ``assemble.bodies_of_parts``."""
-        return assemble.item_parts(_numbered(_decoded(self.lines, self.encodings), self.formats), with_text=True)
+    def item_lines(self) -> DataFrame:
+        """Bodies as ordered lines, ``source_id, seq, line_no, text``: what search, extracts and ``assemble.bodies`` read.
+
+        The text meets the stored item numbers by line, and stays where a filter drops it.
+        """
+        text = _decoded(self.lines, self.encodings).select("source_id", "line_no", "text")
+        return text.join(self.line_items, ["source_id", "line_no"]).select("source_id", "seq", "line_no", "text")
 
 
 def open_logs(
@@ -70,8 +75,10 @@ def open_logs(
     inferred = assemble.infer_source_format(narrow)
     wanted = settings.join(data_sources.select("source_id", "manual_format"), "source_id")
     formats = stored(assemble.format_route(wanted, inferred), "formats")
-    parts = assemble.item_parts(_numbered(narrow, formats))
-    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors)
+    numbered = _numbered(narrow, formats)
+    parts = assemble.item_parts(numbered)
+    line_items = numbered.select("source_id", "line_no", "seq")
+    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors, line_items)
 
 
 def _numbered(lines: DataFrame, formats: DataFrame) -> DataFrame:
@@ -88,15 +95,22 @@ def _special(decided: DataFrame) -> DataFrame:
     return decided.filter(F.col("error").isNull() & unusual)
 
 
+def _split(lines: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that are plain UTF-8, and lines that need the decoder: those of special sources and those with bad bytes."""
+    special = small_side(_special(decided).select("source_id"), row_bytes=8)
+    rest = lines.join(special, "source_id", "left_anti")
+    coded = lines.join(special, "source_id", "left_semi").unionByName(rest.filter(~F.col("valid8")))
+    return rest.filter("valid8"), coded
+
+
 def _decoded(lines: DataFrame, decided: DataFrame) -> DataFrame:
-    """Lines of readable sources with ``text`` and ``text_bytes``; the Arrow decoder runs only if something needs it."""
+    """Lines of readable sources with ``text`` and ``text_bytes``; only lines that need it pass the Arrow decoder."""
     readable, _ = files.reject_unsupported(lines, decided)
-    if _special(decided).isEmpty() and readable.filter(~F.col("valid8")).isEmpty():
-        bom_len = F.when(F.col("utf8_bom"), 3).otherwise(0)
-        text = readable.withColumn("text", F.col("bytes").cast("string")).withColumn("bom_len", bom_len)
-    else:
-        text = files.decode_lines(readable, decided)
-    return text.drop("bytes").withColumn("text_bytes", F.octet_length("text"))
+    plain, coded = _split(readable, decided)
+    columns = ["source_id", "line_no", "text"]
+    text = plain.withColumn("text", F.col("bytes").cast("string")).select(*columns)
+    text = text.unionByName(files.decode_lines(coded, decided).select(*columns))
+    return text.withColumn("text_bytes", F.octet_length("text"))
 
 
 def _sized(lines: DataFrame, decided: DataFrame) -> DataFrame:
@@ -106,22 +120,13 @@ def _sized(lines: DataFrame, decided: DataFrame) -> DataFrame:
     """
     columns = ["source_id", "line_no", "raw_len", "line_bytes", "confirmed", "hit", "hit_key", "text_bytes", "bom_len"]
 
-    def plain(of: DataFrame) -> DataFrame:
-        return of.filter("valid8").select(
-            "*", F.col("raw_len").alias("text_bytes"), F.when(F.col("utf8_bom"), 3).otherwise(0).alias("bom_len")
-        ).select(*columns)
-
-    special = _special(decided).select("source_id")
-    if special.isEmpty():
-        if lines.filter(~F.col("valid8")).isEmpty():
-            return plain(lines)
-        coded, rest = lines.filter(~F.col("valid8")), lines
-    else:
-        rest = lines.join(special, "source_id", "left_anti")
-        coded = lines.join(special, "source_id", "left_semi").unionByName(rest.filter(~F.col("valid8")))
+    valid, coded = _split(lines, decided)
+    plain = valid.select(
+        "*", F.col("raw_len").alias("text_bytes"), F.when(F.col("utf8_bom"), 3).otherwise(0).alias("bom_len")
+    ).select(*columns)
     decoded = files.decode_lines(coded, decided).withColumn("text_bytes", F.octet_length("text"))
     other = decided.filter(F.col("codepage").isin(*enc.EBCDIC_PAGES)).select("source_id")
     if not other.isEmpty():
         again = dt.mark(decoded.join(other, "source_id", "left_semi").drop("hit", "hit_key"))
         decoded = decoded.join(other, "source_id", "left_anti").unionByName(again)
-    return decoded.select(*columns).unionByName(plain(rest))
+    return decoded.select(*columns).unionByName(plain)

@@ -139,7 +139,7 @@ SELECT source_id, coalesce(hit.outcome, 'NoMatch') AS outcome, CASE WHEN hit.out
        hit.line_no AS decided_at, coalesce(hit.outcome = 'Ambiguous', FALSE) AS fell_back
 FROM (SELECT source_id, min_by({{'outcome': outcome, 'format': format, 'line_no': line_no}}, line_no) FILTER (WHERE outcome <> 'NoMatch') AS hit
       FROM (SELECT source_id, line_no, {_OUTCOME} AS outcome, {first} AS format
-            FROM ({_parsed(f'(SELECT * FROM {lines} WHERE line_no <= 100)', 'source_id, line_no')})) GROUP BY source_id)
+            FROM ({_parsed(lines, 'source_id, line_no')})) GROUP BY source_id)
 """
 
 

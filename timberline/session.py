@@ -79,3 +79,9 @@ def small_side(df: DataFrame, row_bytes: int, size: Column | None = None, limit_
     kept = stored(df, "small")
     rows, extra = kept.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
     return F.broadcast(kept) if rows * row_bytes + extra <= limit_bytes else kept
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored copy that nothing will read again, in whatever store it lies; a missing one is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -1,9 +1,9 @@
 """Items from lines that arrive in batches; the result equals one batch run over all lines.
 
 Each micro-batch is assembled by the same distributed plan as a batch job. What has to survive between
-batches is one row per source (format, line and date counts, the item still open) and, while a
-source's format is undecided, its first lines (fewer than 100). Both are kept as tables per epoch, so a
-repeated epoch starts from the same state and overwrites its own output.
+batches is one row per source (format, line and date counts) and the item still open. Lines before the one that decides a
+source's format are undated whatever it will be: one item each, written at once. State is kept as tables per epoch, so a
+repeated epoch starts from the same state and overwrites its own output; older epochs' state is deleted.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import datetime as dt
-from timberline.operators.assemble import SCAN_LINES, index_of, infer_source_format, raw_display_items
+from timberline.operators.assemble import index_of, infer_source_format
 from timberline.operators.prefix import running
-from timberline.session import small_side, stored
+from timberline.session import discard, small_side, stored
 
 LINES = "source_id INT, line_no BIGINT, raw_offset BIGINT, raw_len INT, text STRING, confirmed BOOLEAN"
 SOURCES = (
@@ -34,9 +34,10 @@ class StreamAssembler:
     A source's lines have to arrive in line order from batch to batch, in any order inside one.
     """
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, scan_lines: int | None = None):
         self.spark = spark
         self.base = base
+        self.scan_lines = scan_lines
 
     def start(self, lines: DataFrame, checkpoint: str):
         """Start the query over a streaming ``lines`` and process what is available now."""
@@ -55,36 +56,34 @@ class StreamAssembler:
         """One micro-batch: close what can be closed, keep the rest for the next epoch."""
         batch = _typed(batch, LINES)
         known = self._state("sources", SOURCES, epoch)
-        fresh = stored(dt.mark(self._state("pending", LINES, epoch).unionByName(batch)), "batch")
+        fresh = stored(dt.mark(batch), "batch")
         sources = stored(self._decide(known, fresh), "sources")
-        waiting = small_side(sources.filter(~F.col("decided")).select("source_id"), row_bytes=8)
-        pending = _typed(fresh.join(waiting, "source_id", "left_semi"), LINES)
         parts = self._assemble(fresh, sources, known)
         closed, held = self._close(stored(parts, "parts"), self._state("held", ITEMS, epoch))
         self._write("items", closed, epoch)
         self._write("held", held, epoch)
-        self._write("pending", pending, epoch)
         self._write("sources", self._counted(sources, fresh), epoch)
-
-    def finish(self, epoch: int) -> DataFrame:
-        """End of all sources after ``epoch``: close held items and show undecided sources raw."""
-        held = self._state("held", ITEMS, epoch + 1)
-        raw = raw_display_items(self._state("pending", LINES, epoch + 1))
-        self._write("items", held.unionByName(_typed(raw, ITEMS)), epoch + 1)
+        # The epoch before this one may be asked for again, those before it not.
+        for name in ("held", "sources"):
+            discard(self.spark, self._path(name, epoch - 2))
+
+    def finish(self) -> DataFrame:
+        """End of all sources after the last stored epoch: close held items."""
+        last = self.spark.read.parquet(os.path.join(self.base, "sources")).agg(F.max("epoch")).first()[0]
+        self._write("items", self._state("held", ITEMS, last + 1), last + 1)
         return self.items()
 
     def _decide(self, known: DataFrame, fresh: DataFrame) -> DataFrame:
         """State rows of all sources with the format settled where it can be."""
         counts = fresh.groupBy("source_id").agg(F.max("line_no").alias("_to"))
-        # Lines past the first hundred cannot decide anything.
-        hits = infer_source_format(fresh)
+        hits = infer_source_format(fresh, self.scan_lines)
         both = known.join(counts, "source_id", "full_outer").join(hits.withColumnsRenamed(
             {"format": "_format", "fell_back": "_fell_back"}
         ), "source_id", "left")
         was = F.coalesce("decided", F.lit(False))
-        now = was | (F.coalesce("outcome", F.lit("NoMatch")) != "NoMatch") | (
-            F.greatest(F.coalesce("_to", F.lit(0)), F.coalesce("lines_seen", F.lit(0))) >= SCAN_LINES
-        )
+        now = was | (F.coalesce("outcome", F.lit("NoMatch")) != "NoMatch")
+        if self.scan_lines is not None:
+            now = now | (F.greatest(F.coalesce("_to", F.lit(0)), F.coalesce("lines_seen", F.lit(0))) >= self.scan_lines)
         return both.select(
             "source_id",
             F.when(was, F.col("format")).otherwise(F.col("_format")).alias("format"),
@@ -96,7 +95,7 @@ class StreamAssembler:
         )
 
     def _keyed(self, fresh: DataFrame, sources: DataFrame) -> DataFrame:
-        ready = small_side(sources.filter("decided").select("source_id", "format", "dated", "first_dated"), row_bytes=64)
+        ready = small_side(sources.select("source_id", "format", "dated", "first_dated"), row_bytes=64)
         return fresh.join(ready, "source_id").withColumn("key_ms", dt.key_of_hit("format"))
 
     def _assemble(self, fresh: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:
