@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds: fixed masks skip some token positions, so a hit survives substitutions.
 
-DataFrame functions only. Documents are read once; seed hashes of training text are joined with those of the
-benchmark inside the scan's stage, and only hits leave it. Around each hit the two texts are compared token by
-token on the hit's diagonal, where substituted tokens count as differences and not as ends.
+DataFrame functions only. Seed hashes of training text are joined with those of the benchmark where the text is read, and only
+hits are kept, a list per document that has any. Those documents' texts are then compared with the items token by
+token on each hit's diagonal, where substituted tokens count as differences and not as ends.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table
-from timberline.session import BROADCAST_LIMIT_BYTES, stored
+from timberline.llm.line_dedup import ROW_KEY, row_key
+from timberline.session import BROADCAST_LIMIT_BYTES, small_side, stored
 
 #: Masks over nine tokens: 1 counts, 0 is ignored. Any two substituted neighbours are skipped by one of them.
 MASKS = ("110110101", "101011011", "111001110")
@@ -27,18 +28,19 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
 
-def _seeds(df: DataFrame, hashes: str, at: str, masks: tuple[str, ...]) -> DataFrame:
-    """``df`` once per start position ``at`` and mask, with the ``seed`` of the tokens that the mask keeps."""
-    starts = F.when(
-        F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN)
-    )
-    # The outer form keeps the optimizer from computing the tokens a second time for a filter.
-    placed = df.select("*", F.explode_outer(starts).alias(at)).filter(F.col(at).isNotNull())
-    of = [
-        F.xxhash64(F.lit(k), *[F.get(hashes, F.col(at) + i) for i, kept in enumerate(mask) if kept == "1"])
-        for k, mask in enumerate(masks)
-    ]
-    return placed.select("*", F.explode(F.array(*of)).alias("seed"))
+def _seeds(hashes: str, masks: tuple[str, ...]) -> Column:
+    """Seeds of all start positions, one per mask, in order; null where there are fewer tokens than a mask spans."""
+    starts = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN))
+
+    def at(i: Column) -> Column:
+        return F.array(
+            *[
+                F.xxhash64(F.lit(k), *[F.get(hashes, i + n) for n, kept in enumerate(mask) if kept == "1"])
+                for k, mask in enumerate(masks)
+            ]
+        )
+
+    return F.flatten(F.transform(starts, at))
 
 
 def contaminated(
@@ -57,45 +59,47 @@ def contaminated(
 
     A hit is a seed that both texts share. It is verified on the ``window`` tokens of the item around it (the whole
     item if shorter), aligned at the hit: the pair counts if at least ``similarity`` of them are equal. ``overlap``
-    is the best share found, ``matched`` the most equal tokens, ``n_hits`` the verified hits.
+    is the best share found, ``matched`` the most equal tokens, ``n_hits`` the places that were verified.
 
     Null and empty texts and items of fewer than nine tokens match nothing. Rows that repeat an id are taken
     together; a null id is an id of its own. Ties cannot arise. Other columns are ignored. Hits are rows of their
     own: a phrase in every document makes one row per place, never a pair of documents.
 
-    The benchmark is broadcast when its measured size is within ``limit_bytes``. Beyond it the seeds are joined by
-    shuffle with narrow rows, and the hits' windows are fetched from the text again; the result is the same.
+    Seeds of the benchmark are broadcast when their measured size is within ``limit_bytes``, and joined by shuffle beyond it.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("item_hashes"))
     items = stored(items.distinct(), "items")
-    parts = stored(
-        _seeds(items, "item_hashes", "item_at", masks).select("seed", "item_id", "item_at", *_slice("item_hashes", "item_at", window)).distinct(),
-        "seeds",
-    )
-    size = parts.agg(F.coalesce(F.sum(40 + 8 * F.size("item_window")), F.lit(0))).first()[0]
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("doc_hashes"))
-    seeded = _seeds(hashed, "doc_hashes", "doc_at", masks)
-    if size <= limit_bytes:
-        hits = seeded.join(F.broadcast(parts), "seed")
-    else:
-        narrow = seeded.select("doc_id", "doc_at", "seed").join(parts.select("seed").distinct(), "seed", "left_semi")
-        keyed = hashed.join(narrow.select(F.col("doc_id").alias("_id"), "doc_at", "seed").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
-        hits = keyed.join(parts, "seed")
-        # Rows that repeat an id: the seed must really stand at the place.
-        again = F.array(*[F.xxhash64(F.lit(k), *[F.get("doc_hashes", F.col("doc_at") + i) for i, b in enumerate(m) if b == "1"]) for k, m in enumerate(masks)])
-        hits = hits.filter(F.array_contains(again, F.col("seed")))
-    first = F.col("doc_at") - F.col("item_shift")
-    # Starts before the text's first token are padded, so that both windows keep their alignment.
-    theirs = F.transform(F.sequence(F.lit(0), F.size("item_window") - 1), lambda i: F.get("doc_hashes", first + i))
-    equal = F.size(F.filter(F.zip_with("item_window", theirs, lambda a, b: a == b), lambda x: x))
-    # Several masks may hit one place: it counts once.
-    places = hits.select("doc_id", "item_id", "doc_at", "item_at", "item_tokens", equal.alias("matched"), F.size("item_window").alias("wide"))
-    good = places.filter(F.col("matched") >= F.lit(similarity) * F.col("wide"))
-    once = good.groupBy("doc_id", "item_id", "doc_at", "item_at").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max("matched").alias("matched"), F.max("wide").alias("wide")
+    placed = items.select("*", F.posexplode(_seeds("item_hashes", masks)).alias("n", "seed"))
+    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(masks)).cast("int"))
+    parts = placed.select("seed", "item_id", "item_at", *_slice("item_hashes", "item_at", window)).distinct()
+    parts = small_side(parts, 48, 8 * F.size("item_window"), limit_bytes)
+    # Positions leave a document as narrow rows; nothing of the text goes with them.
+    hashed = docs.select(*row_key(doc_id, text), token_hashes(F.col(text)).alias("doc_hashes"))
+    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", masks)).alias("n", "seed"))
+    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(masks)).cast("int"))
+    told = hits.groupBy(*ROW_KEY).agg(
+        F.collect_set(F.struct("doc_at", "item_id", "item_at", "item_window", "item_shift", "item_tokens")).alias("hits")
     )
+    told = stored(told, "hits")
+    ids = small_side(told.select(F.col("_ld_id").alias("_id")).distinct(), 16)
+    wanted = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    known = told.select(*[F.col(c).alias(c + "_d") for c in ROW_KEY], "hits")
+    same = [F.col(c).eqNullSafe(F.col(c + "_d")) for c in ROW_KEY]
+    # Rows that are equal altogether are looked at once.
+    both = wanted.select(*row_key(doc_id, text), F.col(text).alias("text")).dropDuplicates(ROW_KEY).join(known, same[0] & same[1] & same[2])
+    both = both.select("_ld_id", "hits", token_hashes(F.col("text")).alias("doc_hashes"))
+
+    def verify(hit: Column) -> Column:
+        first = hit["doc_at"] - hit["item_shift"]
+        theirs = F.transform(F.sequence(F.lit(0), F.size(hit["item_window"]) - 1), lambda i: F.get("doc_hashes", first + i))
+        equal = F.size(F.filter(F.zip_with(hit["item_window"], theirs, lambda a, b: a == b), lambda x: x))
+        return F.struct(hit["item_id"].alias("item_id"), hit["doc_at"].alias("doc_at"), hit["item_at"].alias("item_at"), hit["item_tokens"].alias("item_tokens"),
+                        equal.alias("matched"), F.size(hit["item_window"]).alias("wide"))
+
+    places = both.select(F.col("_ld_id").alias("doc_id"), F.inline(F.transform("hits", verify)))
+    once = places.filter(F.col("matched") >= F.lit(similarity) * F.col("wide")).distinct()
     return once.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_hits"),
+        F.countDistinct("doc_at", "item_at").alias("n_hits"),
         F.max("item_tokens").cast("bigint").alias("item_tokens"),
         F.max("matched").cast("bigint").alias("matched"),
         F.max(F.col("matched") / F.col("wide")).alias("overlap"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from timberline.llm.common import BLANKS, LOWER, UPPER, lower_ascii, table
 from timberline.session import stored
 
-_ROW = ["_ld_id", "_ld_text", "_ld_size"]
+ROW_KEY = ["_ld_id", "_ld_text", "_ld_size"]
 
 
 def line_key(line: Column) -> Column:
@@ -23,7 +23,7 @@ def _whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def _row_key(doc_id: str, text: str) -> list[Column]:
+def row_key(doc_id: str, text: str) -> list[Column]:
     """Names a row by id and content, so that rows which repeat an id keep their own lines."""
     return [
         F.col(doc_id).alias("_ld_id"),
@@ -34,11 +34,11 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """Row key, position and the two hashes of every line whose key has ``min_chars`` code points."""
-    lines = docs.select(*_row_key(doc_id, text), F.posexplode(F.split(_whole(text), "\n", -1)).alias("pos", "line"))
-    keyed = lines.select(*_ROW, "pos", line_key(F.col("line")).alias("key"))
+    lines = docs.select(*row_key(doc_id, text), F.posexplode(F.split(_whole(text), "\n", -1)).alias("pos", "line"))
+    keyed = lines.select(*ROW_KEY, "pos", line_key(F.col("line")).alias("key"))
     # The leading constant seeds the second hash, which makes the two independent.
     return keyed.filter(F.length("key") >= min_chars).select(
-        *_ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")
+        *ROW_KEY, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")
     )
 
 
@@ -76,13 +76,13 @@ def drop_repeated_lines(
     dropped = (
         lines.join(over, ["h1", "h2"])
         .filter(~F.col("_ld_id").eqNullSafe(F.col("keeper")))
-        .groupBy(*_ROW)
+        .groupBy(*ROW_KEY)
         .agg(F.array_sort(F.collect_set("pos")).alias("drops"))
-        .select(*[F.col(c).alias(c + "_d") for c in _ROW], "drops")
+        .select(*[F.col(c).alias(c + "_d") for c in ROW_KEY], "drops")
     )
-    same = [F.col(c).eqNullSafe(F.col(c + "_d")) for c in _ROW]
+    same = [F.col(c).eqNullSafe(F.col(c + "_d")) for c in ROW_KEY]
     own = [c for c in docs.columns if c not in (into, "n_lines", "n_dropped")]
-    keyed = docs.select(*[F.col(c) for c in own], _whole(text).alias("_ld_whole"), *_row_key(doc_id, text))
+    keyed = docs.select(*[F.col(c) for c in own], _whole(text).alias("_ld_whole"), *row_key(doc_id, text))
     joined = keyed.join(dropped, same[0] & same[1] & same[2], "left")
     # One flag byte per line up to the last dropped one: looked up in constant time, however long the text is.
     gap = lambda p, i: F.concat(
