@@ -6,13 +6,15 @@ is a gzip member of its own; the separator that the text writer sets after each
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table
@@ -28,15 +30,6 @@ _END = b"\r\n\r\n"
 # ---- writing ---------------------------------------------------------------------------------------------------
 
 
-def payload_digest(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a binary column: 160 bits as 32 letters of five bits."""
-    bits = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.lit(40), F.lit(5)), lambda k: F.lpad(F.conv(F.substring(F.sha1(payload), k, F.lit(5)), 16, 2), 20, "0")), ""
-    )
-    letter = lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, k, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(160), F.lit(5)), letter), "")
-
-
 def _head(fields: list[tuple[str, str]], length: int) -> bytes:
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}"]
     return "\r\n".join(lines).encode() + _END
@@ -47,14 +40,14 @@ def _clean(value: str | None) -> str:
     return re.sub(r"[\x00-\x20%\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "")
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member. A revisit holds no payload but its digest, size and the record it refers to."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
+    """One record as a gzip member, from the payload and its hex digest. A revisit holds no payload but its digest, size and the record it refers to."""
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:page:{page_id}>"),
         ("WARC-Target-URI", _clean(url)),
-        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Payload-Digest", f"sha1:{base32(bytes.fromhex(sha1))}"),
         ("Payload-Length", str(len(payload))),
     ]
     if revisit:
@@ -67,13 +60,13 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, ref
 
 
 def mark_revisits(pages: DataFrame, page_id: str, html: str, min_bytes: int) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: of equal payloads the largest id is the response.
+    """``page_id, url, payload, digest`` (hex) ``, refers_to``: of equal payloads the largest id is the response.
 
     Digests alone are grouped (combined before the shuffle) and joined back by page, so that neither a payload in a third
     of all rows nor its text meets in one task.
     """
     ready = pages.withColumn("_payload", F.coalesce(F.col(html), F.lit("")).cast("binary"))
-    ready = ready.withColumns({"_digest": payload_digest(F.col("_payload")), "_size": F.octet_length("_payload")})
+    ready = ready.withColumns({"_digest": F.sha1("_payload"), "_size": F.octet_length("_payload")})
     narrow = stored(ready.select(F.col(page_id).alias("_page"), "_digest", "_size"), "digests")
     best = narrow.groupBy(F.col("_digest").alias("_of"), F.col("_size").alias("_bytes")).agg(F.max("_page").alias("_first"))
     told = narrow.distinct().join(best, (F.col("_digest") == F.col("_of")) & (F.col("_size") == F.col("_bytes")))
@@ -170,14 +163,11 @@ def _plain_records(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes |
 def _sound(fields: dict, block: bytes) -> bool:
     """A response's block must have the digest that its head tells."""
     told = fields.get("warc-payload-digest", "")
-    return fields.get("warc-type") != "response" or not told.startswith("sha1:") or told[5:] == sha1_base32(block)
-
+    return fields.get("warc-type") != "response" or not told.startswith("sha1:") or told[5:] == base32(hashlib.sha1(block).digest())
 
-def sha1_base32(block: bytes) -> str:
-    import base64
-    import hashlib
 
-    return base64.b32encode(hashlib.sha1(block).digest()).decode()
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None]]:
