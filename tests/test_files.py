@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import assemble
+from timberline.plans.ingest import open_logs
 from timberline.session import stored
 from timberline.sources import files
 
@@ -88,6 +89,42 @@ def test_manifest_lists_empty_files(spark, tmp_path):
     assert {r["name"]: r["size"] for r in rows} == {k: len(v) for k, v in CONTENT.items()}
 
 
+ODD_NAMES = {"two words.log": b"2031/02/03 10:00:00 x\n", "caf\u00e9+1%20.log": b"a\nb\n", "nothing here.log": b""}
+
+
+def test_odd_names_and_missing_files(spark, tmp_path):
+    root = tmp_path / "odd"
+    root.mkdir()
+    for name, content in ODD_NAMES.items():
+        (root / name).write_bytes(content)
+    rows = files.file_manifest(spark, str(root)).collect()
+    assert {r["path"].split("/")[-1]: r["size"] for r in rows} == {k: len(v) for k, v in ODD_NAMES.items()}
+    assert len(rows) == 3 and all(r["mtime"] is not None for r in rows)
+    wanted = [(i, n, str(root / n), i) for i, n in enumerate([*ODD_NAMES, "missing.log"])]
+    opened = open_logs(spark, spark.createDataFrame(wanted, "source_id INT, name STRING, path STRING, config_pos INT"))
+    assert {(r["source_id"], r["error"]) for r in opened.errors.collect()} == {(3, "NOT_FOUND")}
+    assert sorted(r["source_id"] for r in opened.lines.select("source_id").collect()) == [0, 1, 1]
+    assert {r["source_id"]: r["raw_text"] for r in assemble.bodies(opened.item_lines()).filter("seq = 0").collect()} == {0: "2031/02/03 10:00:00 x", 1: "a"}
+
+
+def test_late_bytes_decide_and_identity_is_the_content(spark, tmp_path):
+    early, late = b"x" * 70_000 + b"\n", b"\xe9t\xe9\n"
+    lines = named(files.scan_log_lines(spark, write(tmp_path, {"late": early + late}))).withColumn("source_id", F.lit(0))
+    settings = spark.createDataFrame([(0, None, None)], "source_id INT, encoding_name STRING, ansi_codepage INT")
+    routes = [files.detect_encoding(lines, settings, 1252, limit).first()["route"] for limit in (None, 65536)]
+    assert routes == ["default_codepage", "utf8_valid"]
+    assert [tuple(r) for r in files.bad_line_counts(lines).collect()] == [(0, 2, 1)]
+
+    def look(content, before=None):
+        folder = str(write(tmp_path, {"log": content}))
+        seen = files.with_identity(files.file_manifest(spark, folder), files.scan_log_lines(spark, folder), before)
+        return stored(seen.filter("path like '%/log.log'"))
+
+    first = look(b"banner\none\ntail")
+    for content, same in ((b"banner\none\ntail and more\n", True), (b"banner\nnew\nlonger than before\n", False)):
+        assert (look(content, first).first()["file_id"] == first.first()["file_id"]) is same
+
+
 ENCODED = {
     # name: (bytes, encoding name, page, expected encoding, route, warning, error)
     "utf8": ("héllo\n".encode(), None, None, "utf-8", "utf8_valid", None, None),
@@ -120,7 +157,7 @@ def encoded(spark, tmp_path_factory):
     ids = {name: i for i, name in enumerate(ENCODED)}
     table = spark.createDataFrame([(i, n, ENCODED[n][1], ENCODED[n][2]) for n, i in ids.items()], "source_id INT, name STRING, encoding_name STRING, ansi_codepage INT")
     lines = named(files.scan_log_lines(spark, path)).join(table.select("name", "source_id"), "name")
-    decided = stored(files.detect_encoding(lines, table, 1252))
+    decided = stored(files.detect_encoding(lines, table, 1252, detect_bytes=65536))
     readable, errors = files.reject_unsupported(lines, decided)
     text = files.line_positions(files.decode_lines(readable, decided), F.col("bom_len"))
     return ids, {r["source_id"]: r for r in decided.collect()}, stored(text), errors
@@ -170,10 +207,10 @@ def test_invalid_positions(spark, tmp_path):
     lines = lines.join(spark.createDataFrame(list(ids.items()), "name STRING, source_id INT"), "name")
     settings = spark.createDataFrame([(0, "utf-8", None), (1, "utf-8", None), (2, "windows-932", None)], "source_id INT, encoding_name STRING, ansi_codepage INT")
     decoded = files.line_positions(files.decode_lines(lines, files.detect_encoding(lines, settings, 0)), F.col("bom_len"))
-    report = {r["source_id"]: r for r in files.invalid_byte_report(decoded).collect()}
-    assert report[0]["positions"] == [3, 4, 10] and not report[0]["truncated"]
-    assert report[1]["positions"] == list(range(0, 200, 2)) and report[1]["truncated"] and report[1]["invalid_count"] == 150
-    assert report[2]["positions"] == [3]
+    report = sorted((r["source_id"], r["position"], r["line_no"], r["invalid_count"]) for r in files.invalid_byte_report(decoded).collect())
+    assert [r for r in report if r[0] == 0] == [(0, 3, 2, 3), (0, 4, 2, 3), (0, 10, 3, 3)]
+    assert [r[1:] for r in report if r[0] == 1] == [(2 * k, k + 1, 150) for k in range(150)]
+    assert [r[1] for r in report if r[0] == 2] == [3]
     texts = [r["text"] for r in decoded.filter("source_id = 0").orderBy("line_no").collect()]
     assert texts == ["ok", "��x", "é�"]
 

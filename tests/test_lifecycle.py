@@ -86,7 +86,7 @@ def test_open_store_reload(spark, tmp_path):
     with open(folder / "a.log", "a") as f:
         f.write(stamp.format(4, "a2"))
     (folder / "b.log").unlink()
-    after = stored(files.with_identity(files.file_manifest(spark, str(folder)), files.scan_log_lines(spark, str(folder))))
+    after = stored(files.with_identity(files.file_manifest(spark, str(folder)), files.scan_log_lines(spark, str(folder)), before))
     verdicts = stored(changes.compare_snapshots(before, after).join(sources.select("path", "source_id"), "path"))
     assert {r["source_id"]: r["verdict"] for r in verdicts.collect()} == {0: "Appended", 1: "Deleted", 2: "Unchanged"}
     status = spark.createDataFrame([(i, 1, "Loaded", None) for i in range(3)], STATUS)

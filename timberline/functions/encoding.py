@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DETECT_BYTES = 64 * 1024
-MAX_INVALID_POSITIONS = 100
 
 # Code pages with a decoder, those named cpNNN and those under another name.
 CP_PAGES = (

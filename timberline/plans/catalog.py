@@ -196,8 +196,7 @@ def decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def invalid_byte_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.invalid_byte_report(_decoded(spark, sf_dir))
-    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return files.invalid_byte_report(_decoded(spark, sf_dir))
 
 
 @query

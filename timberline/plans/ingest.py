@@ -47,13 +47,19 @@ def open_logs(
 ) -> OpenedLogs:
     """Open ``data_sources`` (``source_id, name, path, config_pos`` and optionally ``manual_profile, manual_format``).
 
-    ``path`` is a file as the reader reports it. The list of paths is what the driver hands to the reader.
+    ``path`` is a file's plain path. The list of paths is what the driver hands to the reader. A source that cannot be read becomes a row of
+    ``errors`` and does not stop the others.
     """
     for column in ("manual_profile", "manual_format"):
         if column not in data_sources.columns:
             data_sources = data_sources.withColumn(column, F.lit(None).cast("string"))
     data_sources = stored(data_sources, "sources")
-    paths = [r["path"] for r in data_sources.select("path").toLocalIterator()]
+    found = files.find_paths(spark, [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()])
+    known = spark.createDataFrame(found, "path STRING, _found STRING, _error STRING")
+    data_sources = stored(data_sources.join(known, "path", "left"), "found")
+    unread = data_sources.filter("_error is not null").select("source_id", F.col("_error").alias("error"))
+    data_sources = data_sources.filter("_error is null").withColumn("path", F.col("_found")).drop("_found", "_error")
+    paths = [path for _, path, _ in found if path]
     lines = files.scan_log_lines(spark, paths, data_sources)
     if profile_table is None:
         resolved = data_sources.select(
@@ -78,7 +84,7 @@ def open_logs(
     numbered = _numbered(narrow, formats)
     parts = assemble.item_parts(numbered)
     line_items = numbered.select("source_id", "line_no", "seq")
-    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors, line_items)
+    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors.unionByName(unread), line_items)
 
 
 def _numbered(lines: DataFrame, formats: DataFrame) -> DataFrame:

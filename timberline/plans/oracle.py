@@ -364,7 +364,7 @@ C.add(
 C.add(
     "enc_sources",
     r"""
-SELECT source_id, kind, bool_or(off < 65536 AND regexp_matches(substr(text, 1, CAST(greatest(65536 - off, 0) AS BIGINT)), '[^\x{01}-\x{7f}]')) AS high
+SELECT source_id, kind, bool_or(regexp_matches(text, '[^\x{01}-\x{7f}]')) AS high
 FROM enc_at GROUP BY source_id, kind""",
     "enc_at",
 )
@@ -397,16 +397,13 @@ FROM enc_at JOIN enc_sources USING (source_id, kind) WHERE kind <> 5""",
 C.add(
     "bad_bytes",
     rf"""
-SELECT source_id, CAST(off + i - 1 AS BIGINT) AS position FROM (SELECT e.source_id, e.text, e.off, unnest(range(1, length(e.text) + 1)) AS i
+SELECT source_id, line_no, CAST(off + i - 1 AS BIGINT) AS position FROM (SELECT e.source_id, e.line_no, e.text, e.off, unnest(range(1, length(e.text) + 1)) AS i
   FROM enc_at e JOIN enc_sources s USING (source_id) WHERE e.kind = 6 OR (e.kind = 3 AND NOT s.high)) WHERE regexp_matches(substr(text, i, 1), '{_BAD}')""",
     "enc_at",
     "enc_sources",
 )
 SQL["invalid_byte_report"] = C.query(
-    """
-SELECT source_id, string_agg(position, ',' ORDER BY position) FILTER (WHERE r <= 100) AS positions, count(*) AS invalid_count, count(*) > 100 AS truncated
-FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY position) AS r FROM bad_bytes) GROUP BY source_id""",
-    "bad_bytes",
+    "SELECT source_id, line_no, position, count(*) OVER (PARTITION BY source_id) AS invalid_count FROM bad_bytes", "bad_bytes"
 )
 SQL["reject_unsupported"] = C.query(
     """SELECT source_id, CASE WHEN kind <> 5 THEN count(*) END AS line_count, CASE WHEN kind = 5 THEN 'UNSUPPORTED_UTF16' END AS error

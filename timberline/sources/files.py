@@ -6,8 +6,6 @@ read by many tasks. The scanned lines are stored once: row ids must not be compu
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +14,6 @@ from timberline.functions import encoding as enc
 from timberline.operators.prefix import running
 from timberline.session import small_side, stored
 
-HEAD_BYTES = 4096
-
 
 def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: DataFrame | None = None) -> DataFrame:
     """``path, line_no, raw_len, line_bytes, confirmed, utf8_bom, valid8, hit, hit_key, bytes``.
@@ -33,7 +29,7 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: Da
     :func:`scan_configured_sources`, without a second join.
     """
     raw = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
@@ -47,7 +43,7 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: Da
     splits, named = split_offsets(staged), ["path"]
     if data_sources is not None:
         splits, named = scan_configured_sources(splits, data_sources, keep_path=True), ["source_id", "label", "config_pos"]
-    placed = staged.join(small_side(splits, row_bytes=320), ["path", "split_start"])
+    placed = staged.join(small_side(splits, 64, F.octet_length("path")), ["path", "split_start"])
     line_no = F.col("_line_base") + F.col("row_id") - F.col("_first_row") + 1
     # A separator was counted for every line and the reader drops a UTF-8 BOM, so the
     # difference to the file size tells both: 0 or 3 with a final LF, -1 or 2 without.
@@ -89,24 +85,57 @@ def split_offsets(staged: DataFrame) -> DataFrame:
     )
 
 
+def plain_path(path: Column) -> Column:
+    """A path as people write it: percent escapes undone, and ``file:/x`` for ``file:///x``."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^([a-zA-Z][a-zA-Z0-9]*):///", "$1:/")
+
+
+def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """``given, path, error`` of configured paths: the file system's own spelling, or why a file cannot be read."""
+    conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for given in paths:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(given)
+            found.append((given, target.getFileSystem(conf).getFileStatus(target).getPath().toString(), None))
+        except Exception as error:  # whatever the store says, the other sources go on
+            cause = getattr(error, "java_exception", None)
+            reason = cause.getClass().getSimpleName() if cause is not None else type(error).__name__
+            found.append((given, None, "NOT_FOUND" if reason == "FileNotFoundException" else f"UNREADABLE: {reason}"))
+    return found
+
+
 def file_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, size, mtime`` of every file, empty ones included; contents are not read."""
+    """``path, size, mtime`` of every file, empty ones included; contents are not read.
+
+    Empty files are known to the reader's listing alone; their times come from the file system.
+    """
     paths = [paths] if isinstance(paths, str) else paths
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    filled = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    # The reader skips empty files although it lists them; the listing is on the driver already.
-    # It spells local paths file:///x there and file:/x in rows.
-    listed = spark.createDataFrame([(re.sub("^([a-z0-9]+):///", r"\1:/", p),) for p in found.inputFiles()], "path STRING")
-    empty = listed.join(filled.select("path"), "path", "left_anti")
-    return filled.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("mtime")))
-
-
-def with_identity(manifest: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``file_id``, a hash of the head of the first line; NULL for an empty file."""
-    heads = lines.filter(F.col("line_no") == 1).select(
-        "path", F.sha2(F.substring("bytes", 1, HEAD_BYTES), 256).alias("file_id")
-    )
-    return manifest.join(heads, "path", "left")
+    filled = found.select(F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path STRING").select(plain_path(F.col("path")).alias("path"))
+    conf, empty = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for row in listed.join(filled.select("path"), "path", "left_anti").toLocalIterator():
+        target = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+        empty.append((row["path"], target.getFileSystem(conf).getFileStatus(target).getModificationTime()))
+    times = spark.createDataFrame(empty, "path STRING, ms BIGINT")
+    return filled.unionByName(times.select("path", F.lit(0).cast("bigint").alias("size"), F.timestamp_millis("ms").alias("mtime")))
+
+
+def with_identity(manifest: DataFrame, lines: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Add ``file_id``, a hash over the finished lines of each file; NULL where there are none.
+
+    With ``previous`` (``path, size`` as of the last look) only lines inside the former size count, so that a file that grew keeps its
+    identity and one that was replaced does not, whatever its size and its first lines.
+    """
+    ends = running(lines, ["path"], ["line_no"], {"_end": ("sum", F.col("line_bytes").cast("bigint"))})
+    ends = ends.withColumn("_end", F.col("_end") + F.when(F.col("utf8_bom"), 3).otherwise(0)).filter("confirmed")
+    if previous is not None:
+        before = previous.select("path", F.col("size").alias("_size"))
+        ends = ends.join(small_side(before, 16, F.octet_length("path")), "path", "left").filter("_size is null or _end <= _size")
+    content = F.sum(F.xxhash64("line_no", "line_bytes", "bytes").cast("decimal(20,0)"))
+    ids = ends.groupBy("path").agg(F.concat_ws(":", F.count("*"), content).alias("file_id"))
+    return manifest.join(ids, "path", "left")
 
 
 def scan_configured_sources(lines: DataFrame, data_sources: DataFrame, keep_path: bool = False) -> DataFrame:
@@ -115,7 +144,7 @@ def scan_configured_sources(lines: DataFrame, data_sources: DataFrame, keep_path
     ``data_sources`` is ``source_id, config_pos, name, path``, paths as the reader reports them.
     """
     named = data_sources.select("path", "source_id", F.col("name").alias("label"), "config_pos")
-    joined = lines.join(small_side(named, row_bytes=512), "path")
+    joined = lines.join(small_side(named, 24, F.octet_length("path") + F.octet_length("label")), "path")
     return joined if keep_path else joined.drop("path")
 
 
@@ -129,28 +158,30 @@ def line_positions(lines: DataFrame, bom_len: Column | None = None) -> DataFrame
     return end.withColumn("raw_offset", F.col("_end") - F.col("line_bytes") + lead).drop("_end")
 
 
-def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int) -> DataFrame:
+def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int, detect_bytes: int | None = None) -> DataFrame:
     """Per source: ``encoding, codepage, route, bom_len, warning, error``.
 
     ``settings`` is ``source_id, encoding_name, ansi_codepage``, one row for every source, empty ones too.
-    An explicit name wins over an explicit code page, then a BOM, then validity of the
-    first 64 KiB as UTF-8, then ``default_codepage``.
+    An explicit name wins over an explicit code page, then a BOM, then validity as UTF-8 of all
+    lines or of the first ``detect_bytes``, then ``default_codepage``. :func:`bad_line_counts` tells a damaged line from a code page.
     """
-    # Every line takes at least one byte, so the first 64 KiB hold at most 65,536 lines: a bounded window.
     # A source without a single bad line needs no closer look.
     suspects = small_side(lines.filter(~F.col("valid8")).select("source_id").distinct(), row_bytes=8)
-    head = lines.filter(F.col("line_no") <= enc.DETECT_BYTES).join(suspects, "source_id", "left_semi")
-    before = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum("line_bytes").over(before), F.lit(0))
-    room = (F.lit(enc.DETECT_BYTES) - F.col("_at")).cast("int")
-    # The last line looked at may end inside a character: it is cut off by the limit or by the end of the file.
-    cut = (room <= F.col("raw_len")) | ~F.col("confirmed")
-    head = (
-        head.select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8")
-        .withColumn("_at", at)
-        .filter(F.col("_at") < enc.DETECT_BYTES)
-        .withColumn("_cut", cut)
-    )
+    head = lines.join(suspects, "source_id", "left_semi").select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8")
+    # The last line looked at may end inside a character: it is cut off by the end of the file or by the limit.
+    if detect_bytes is None:
+        room = F.col("raw_len")
+        head = head.withColumn("_cut", ~F.col("confirmed"))
+    else:
+        # Every line takes at least one byte, so the window sees at most ``detect_bytes`` lines of a source.
+        before = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+        room = (F.lit(detect_bytes) - F.col("_at")).cast("int")
+        head = (
+            head.filter(F.col("line_no") <= detect_bytes)
+            .withColumn("_at", F.coalesce(F.sum("line_bytes").over(before), F.lit(0)))
+            .filter(F.col("_at") < detect_bytes)
+            .withColumn("_cut", (room <= F.col("raw_len")) | ~F.col("confirmed"))
+        )
     # Only a cut line that is not valid as a whole has to be looked at again; one per source at most.
     doubtful = head.filter(F.col("_cut") & ~F.col("valid8")).select("source_id", "line_no", room.alias("_room"))
     inside = F.substring("bytes", F.lit(1), F.least("_room", F.octet_length("bytes")))
@@ -256,28 +287,20 @@ def decode_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def invalid_byte_report(decoded: DataFrame) -> DataFrame:
-    """Per source with bad bytes: the first 100 ``positions`` in the file, ``invalid_count``, ``truncated``.
-
-    Positions are ranked through block counts, so only the reported ones are gathered.
-    """
-    bad = decoded.filter(F.size("bad_at") > 0).select(
-        "source_id", "line_no", F.explode("bad_at").alias("_in_line"), "raw_offset"
-    ).withColumn("position", F.col("raw_offset") + F.col("_in_line"))
-    ranked = running(
-        bad, ["source_id"], ["position"], {"_rank": ("sum", F.lit(1))}, width=1 << 22
-    )
-    listed = ranked.filter(F.col("_rank") <= enc.MAX_INVALID_POSITIONS).groupBy("source_id").agg(
-        F.array_sort(F.collect_list("position")).alias("positions")
-    )
-    counts = bad.groupBy("source_id").agg(F.count("*").alias("invalid_count"))
-    return counts.join(listed, "source_id").select(
-        "source_id",
-        "positions",
-        "invalid_count",
-        (F.col("invalid_count") > enc.MAX_INVALID_POSITIONS).alias("truncated"),
+    """A row per bad stretch of bytes: ``source_id, line_no, position`` in the file, and its source's ``invalid_count``."""
+    bad = decoded.filter(F.size("bad_at") > 0)
+    counts = bad.groupBy("source_id").agg(F.sum(F.size("bad_at").cast("bigint")).alias("invalid_count"))
+    rows = bad.select("source_id", "line_no", "raw_offset", F.explode("bad_at").alias("_in_line"))
+    return rows.join(small_side(counts, row_bytes=16), "source_id").select(
+        "source_id", "line_no", (F.col("raw_offset") + F.col("_in_line")).alias("position"), "invalid_count"
     )
 
 
+def bad_line_counts(lines: DataFrame) -> DataFrame:
+    """``source_id, line_count, bad_lines``: how many lines are not valid UTF-8."""
+    return lines.groupBy("source_id").agg(F.count("*").alias("line_count"), F.count_if(~F.col("valid8")).alias("bad_lines"))
+
+
 def unconfirmed_tail(lines: DataFrame) -> DataFrame:
     """``path, line_count, unconfirmed_tail`` per file with lines."""
     key = "source_id" if "source_id" in lines.columns else "path"
