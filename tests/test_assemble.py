@@ -30,7 +30,7 @@ def random_sources(seed, count=6, longest=400):
         lead = rng.choice([0, 1, 5, 99, 100, 101])
         texts = [f"lead {i}" for i in range(lead)]
         for i in range(rng.randrange(1, longest)):
-            stamp = f"2026/07/{rng.randrange(1, 29):02d} 10:{rng.randrange(60):02d}:00"
+            stamp = f"2031/05/{rng.randrange(1, 29):02d} 10:{rng.randrange(60):02d}:00"
             texts.append("  more é" if rng.random() < rate else f"{stamp} m{i}")
         sources[source] = texts
     return sources
@@ -40,7 +40,7 @@ def expected(sources):
     """One source at a time, the rule in words: a dated line opens an item, others join a dated one."""
     out = {}
     for source, texts in sources.items():
-        dated = lambda t: t[:4] == "2026"
+        dated = lambda t: t[:4] == "2031"
         has_format = any(map(dated, texts))
         items = []
         for n, text in enumerate(texts, 1):
@@ -105,13 +105,13 @@ def test_items_equal_grouping_by_seq(spark):
 
 
 def test_explicit_format_reads_004_and_005(spark):
-    texts = ["2026/07/28 15:12:23:45 a", "2026/07/28 15:12:24 b"]
+    texts = ["2031/05/17 08:47:36:72 a", "2031/05/17 08:47:37 b"]
     df = spark.createDataFrame(lines_of({0: texts, 1: texts, 2: texts}), LINES)
     formats = spark.createDataFrame([(0, "LOG-DT-004"), (1, "LOG-DT-005"), (2, None)], "source_id INT, format STRING")
     keys = {}
     for r in assemble.assemble_items(df, formats).orderBy("source_id", "seq").collect():
         keys.setdefault(r["source_id"], []).append(r["key_ms"])
-    assert keys == {0: [1785251543450], 1: [1785251543000, 1785251544000], 2: [None, None]}
+    assert keys == {0: [1936774056720], 1: [1936774056000, 1936774057000], 2: [None, None]}
 
 
 def test_carry_forward(spark):

@@ -4,43 +4,43 @@ from pyspark.sql import functions as F
 from timberline.functions import datetime as dt
 
 CASES = [
-    ("2026/07/28 15:12:23.456", "Matched", "LOG-DT-001", "2026-07-28T15:12:23.456"),
-    ("2026-07-28 15:12:23:456", "Matched", "LOG-DT-002", "2026-07-28T15:12:23.456"),
-    ("2026/07/28 15:12:23.45", "Matched", "LOG-DT-003", "2026-07-28T15:12:23.45"),
-    ("2026/07/28 15:12:23:45", "Ambiguous", None, None),
-    ("2026/07/28 15:12:23:45x", "Ambiguous", None, None),
-    ("2026/07/28 15:12:23", "Matched", "LOG-DT-005", "2026-07-28T15:12:23"),
-    ("2026/07/28 15:12", "Matched", "LOG-DT-006", "2026-07-28T15:12"),
-    ("2026/07/28 15:12:23.4567", "NoMatch", None, None),
-    ("2026/07/28 15:12:23:4", "NoMatch", None, None),
-    ("2026/07/28 15:12:23:456", "NoMatch", None, None),
-    ("2026/07/28 15:12:23:4567", "NoMatch", None, None),
-    ("2026/07/28 15:12:23.4", "NoMatch", None, None),
-    ("2026/07/28 15:12:234", "NoMatch", None, None),
-    ("2026/07/28 15:12:23: text", "Matched", "LOG-DT-005", "2026-07-28T15:12:23"),
-    ("2026/07/28 15:12:23:", "Matched", "LOG-DT-005", "2026-07-28T15:12:23"),
-    ("2026/07/28 15:12:23 \t text", "Matched", "LOG-DT-005", "2026-07-28T15:12:23"),
-    ("2026/02/29 00:00", "NoMatch", None, None),
-    ("2026/13/01 00:00", "NoMatch", None, None),
-    ("2026/00/01 00:00", "NoMatch", None, None),
-    ("2026/04/31 00:00", "NoMatch", None, None),
-    ("2026/04/00 00:00", "NoMatch", None, None),
+    ("2031/05/17 08:47:36.729", "Matched", "LOG-DT-001", "2031-05-17T08:47:36.729"),
+    ("2031-05-17 08:47:36:729", "Matched", "LOG-DT-002", "2031-05-17T08:47:36.729"),
+    ("2031/05/17 08:47:36.72", "Matched", "LOG-DT-003", "2031-05-17T08:47:36.72"),
+    ("2031/05/17 08:47:36:72", "Ambiguous", None, None),
+    ("2031/05/17 08:47:36:72x", "Ambiguous", None, None),
+    ("2031/05/17 08:47:36", "Matched", "LOG-DT-005", "2031-05-17T08:47:36"),
+    ("2031/05/17 08:47", "Matched", "LOG-DT-006", "2031-05-17T08:47"),
+    ("2031/05/17 08:47:36.7294", "NoMatch", None, None),
+    ("2031/05/17 08:47:36:7", "NoMatch", None, None),
+    ("2031/05/17 08:47:36:729", "NoMatch", None, None),
+    ("2031/05/17 08:47:36:7294", "NoMatch", None, None),
+    ("2031/05/17 08:47:36.7", "NoMatch", None, None),
+    ("2031/05/17 08:47:364", "NoMatch", None, None),
+    ("2031/05/17 08:47:36: text", "Matched", "LOG-DT-005", "2031-05-17T08:47:36"),
+    ("2031/05/17 08:47:36:", "Matched", "LOG-DT-005", "2031-05-17T08:47:36"),
+    ("2031/05/17 08:47:36 \t text", "Matched", "LOG-DT-005", "2031-05-17T08:47:36"),
+    ("2031/02/29 00:00", "NoMatch", None, None),
+    ("2031/13/01 00:00", "NoMatch", None, None),
+    ("2031/00/01 00:00", "NoMatch", None, None),
+    ("2031/04/31 00:00", "NoMatch", None, None),
+    ("2031/04/00 00:00", "NoMatch", None, None),
     ("2028/02/29 00:00", "Matched", "LOG-DT-006", "2028-02-29T00:00"),
     ("2100/02/29 00:00", "NoMatch", None, None),
     ("2000/02/29 00:00", "Matched", "LOG-DT-006", "2000-02-29T00:00"),
     ("0000/01/01 00:00", "Matched", "LOG-DT-006", "0000-01-01T00:00"),
     ("0000/02/29 00:00", "Matched", "LOG-DT-006", "0000-02-29T00:00"),
     ("9999/12/31 23:59:59.999", "Matched", "LOG-DT-001", "9999-12-31T23:59:59.999"),
-    ("2026/07/28 24:00", "NoMatch", None, None),
-    ("2026/07/28 23:60", "NoMatch", None, None),
-    ("2026/07/28 23:59:60", "NoMatch", None, None),
-    (" 2026/07/28 15:12", "NoMatch", None, None),
+    ("2031/05/17 24:00", "NoMatch", None, None),
+    ("2031/05/17 23:60", "NoMatch", None, None),
+    ("2031/05/17 23:59:60", "NoMatch", None, None),
+    (" 2031/05/17 08:47", "NoMatch", None, None),
     ("", "NoMatch", None, None),
-    ("2026/07/28\t15:12", "NoMatch", None, None),
-    ("２０２６/07/28 15:12", "NoMatch", None, None),
-    ("2026/07/28 15:12:", "NoMatch", None, None),
-    ("2026-07-28 15:12", "NoMatch", None, None),
-    ("2026/07/28 15:12:23.45é", "Matched", "LOG-DT-003", "2026-07-28T15:12:23.45"),
+    ("2031/05/17\t08:47", "NoMatch", None, None),
+    ("２０３１/05/17 08:47", "NoMatch", None, None),
+    ("2031/05/17 08:47:", "NoMatch", None, None),
+    ("2031-05-17 08:47", "NoMatch", None, None),
+    ("2031/05/17 08:47:36.72é", "Matched", "LOG-DT-003", "2031-05-17T08:47:36.72"),
 ]
 
 
@@ -63,11 +63,11 @@ def test_ambiguous_candidates(parsed):
 
 
 def test_keys(spark):
-    rows = [("2026/07/28 15:12:23.45", "LOG-DT-003"), ("2026/07/28 15:12:23:45", "LOG-DT-004"), ("1970/01/01 00:00", "LOG-DT-006"),
-            ("1969/12/31 23:59:59", "LOG-DT-005"), ("2026/07/28 15:12:23:45", None), ("2026/07/28 15:12:23:45", "LOG-DT-001")]
+    rows = [("2031/05/17 08:47:36.72", "LOG-DT-003"), ("2031/05/17 08:47:36:72", "LOG-DT-004"), ("1970/01/01 00:00", "LOG-DT-006"),
+            ("1969/12/31 23:59:59", "LOG-DT-005"), ("2031/05/17 08:47:36:72", None), ("2031/05/17 08:47:36:72", "LOG-DT-001")]
     df = spark.createDataFrame(rows, "text STRING, format STRING").coalesce(1)
     keys = [r[0] for r in df.select(dt.key_for("text", "format")).collect()]
-    assert keys == [1785251543450, 1785251543450, 0, -1000, None, None]
+    assert keys == [1936774056720, 1936774056720, 0, -1000, None, None]
 
 
 def test_key_does_not_depend_on_time_zone(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,27 +89,19 @@ def utf8_text(data: Column) -> Column:
 
 
 def _decode_one(data: bytes, codec: str) -> tuple[str, list[int]]:
-    """Text of ``data`` and the offsets of undecodable stretches."""
-    try:
-        return data.decode(codec), []
-    except UnicodeDecodeError:
-        pass
-    text, bad, at = [], [], 0
-    while at < len(data):
-        try:
-            text.append(data[at:].decode(codec))
-            break
-        except UnicodeDecodeError as error:
-            text.append(data[at : at + error.start].decode(codec))
-            byte = data[at + error.start]
-            if codec.startswith("cp125") and 0x80 <= byte <= 0x9F:
-                # unassigned in the table, passed through as the control character of that number
-                text.append(chr(byte))
-            else:
-                bad.append(at + error.start)
-                text.append("�")
-            at += max(error.end, error.start + 1)
-    return "".join(text), bad
+    """Text of ``data`` and the offsets of undecodable stretches, in one pass."""
+    bad: list[int] = []
+
+    def replaced(error: UnicodeDecodeError) -> tuple[str, int]:
+        byte = error.object[error.start]
+        if codec.startswith("cp125") and 0x80 <= byte <= 0x9F:
+            # unassigned in the table, passed through as the control character of that number
+            return chr(byte), error.start + 1
+        bad.append(error.start)
+        return "\ufffd", max(error.end, error.start + 1)
+
+    codecs.register_error("timberline-positions", replaced)
+    return data.decode(codec, "timberline-positions"), bad
 
 
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("bad_at", T.ArrayType(T.LongType()))])

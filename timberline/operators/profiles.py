@@ -13,6 +13,7 @@ from timberline.functions.datetime import FORMATS
 from timberline.functions.encoding import known_codepage, named_codepage
 from timberline.functions.paths import fixed_depth, folded, is_pattern, pattern_regex, pattern_subject, prefix_of, segments
 from timberline.operators.prefix import global_positions
+from timberline.session import small_side
 
 
 def resolve_profile_exact(sources: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -46,6 +47,8 @@ def glob_matches(sources: DataFrame, profiles: DataFrame) -> DataFrame:
         pattern_subject("path").alias("_subject"),
         F.explode(F.sequence(F.lit(0), F.size(segments("path")))).alias("_depth"),
     ).withColumn("_prefix", prefix_of("path", F.col("_depth")))
+    # A list of patterns that fits is sent to the paths: then no path is shuffled, however many share a prefix.
+    patterns = small_side(patterns, 48, F.octet_length("_regex") + F.octet_length("_prefix") + F.octet_length("name"))
     return (
         paths.join(patterns, ["_depth", "_prefix"])
         .filter(F.expr("_subject RLIKE _regex"))
