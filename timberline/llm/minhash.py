@@ -2,7 +2,7 @@
 
 Documents with equal sets are one class, and only classes are compared. Within a bucket each class is first compared
 with the bucket's two leaders, which is linear; only where that leaves a bucket in several components are its
-remaining pairs weighed, block by block inside tasks, and only pairs whose signatures are alike leave those tasks.
+remaining pairs weighed, block by block inside tasks, and only the links found leave those tasks.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ SHINGLE = 5
 #: A pair at a similarity of 0.75 shares no band once in 190,000 times (0.684 to the power of 32).
 ROWS, BANDS = 4, 32
 WIDTH = ROWS * BANDS
-#: Signature shares under this are not verified: four standard deviations and more below the limit.
-LIKELY = 0.55
+#: Signature shares under this are not verified: nearly four standard deviations below the limit.
+LIKELY = 0.6
 #: Rows per side of a block of pairs.
-BLOCK = 512
+BLOCK = 1024
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,15 +155,12 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> Dat
     return both.select("a", "b", "bands_a", "bands_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
-    """Of ``a, b`` those whose full shingle sets are similar enough.
+def shingles_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, shingles`` of the documents in ``ids`` (``_id``), made again from their texts and stored.
 
-    The sets of the documents in question are made again from their texts, which are scanned, not shuffled, while the
-    list of ids is small (measured), and then meet pair by pair.
+    The texts are scanned, not shuffled, while the list of ids is small (measured).
     """
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).join(small_side(ids, 16), F.col("doc_id") == F.col("_id"))
+    wanted = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).join(small_side(ids.distinct(), 16), F.col("doc_id") == F.col("_id"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -172,18 +169,25 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similari
                 found = [s.astype("<u8").tobytes() for s in shingle_sets(texts, known)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = wanted.select("doc_id", text).mapInArrow(make, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
-    sets = stored(sets, "sets")
+    sets = wanted.select("doc_id", text).mapInArrow(make, "doc_id bigint, shingles binary")
+    return stored(sets.dropDuplicates(["doc_id"]), "sets")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= hundredths * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """Of ``a, b`` those whose full shingle sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
+    sets = shingles_of(ids, docs, doc_id, text)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hundredths = round(100 * similarity)
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= hundredths * (len(a) + len(b) - both))
+            both = zip(batch.column("set_a"), batch.column("set_b"))
+            ok = [_similar(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), round(100 * similarity)) for a, b in both]
             if batch.num_rows:
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -214,36 +218,57 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def remaining_pairs(members: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """``a, b`` of one bucket but different components with alike signatures, from buckets that the leaders left divided.
+def remaining_links(members: DataFrame, classes: DataFrame, groups: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """Links ``a, b`` between components that share a bucket which the leaders left divided.
 
     ``members`` has ``band, key, rep`` of buckets of four and more. Large buckets are dealt in blocks: each row meets each block of its
-    bucket in a task of its own, so that no task holds a bucket, and no pair leaves its task unless it is likely.
+    bucket in a task of its own, so that no task holds a bucket. A task weighs signatures first, takes a pair up in the first band that it
+    shares and verifies it on the full sets unless its own links already join the two; only links leave it, at most one per row.
     """
     told = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     told = stored(told, "told")
     divided = told.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     divided = divided.filter("lo <> hi").select("band", "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     rows = told.join(divided, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = stored(rows, "divided")
+    sets = shingles_of(rows.select(F.col("rep").alias("_id")), docs, doc_id, text)
+    known = classes.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "bands", "shingles").dropDuplicates(["rep"])
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.join(classes.select("rep", "bands"), "rep").select(
-        "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "bands"
+    dealt = dealt.join(known, "rep").select(
+        "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "bands", "shingles"
     )
+    hundredths = round(100 * similarity)
 
     def weigh(rows: pa.Table) -> pa.Table:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
         block, rep, part = (rows.column(c).to_numpy() for c in ("block", "rep", "component"))
-        sig = np.ascontiguousarray(_matrix(rows.column("bands").combine_chunks())).view("<u2")
+        bands = _matrix(rows.column("bands").combine_chunks())
+        sig = np.ascontiguousarray(bands).view("<u2")
+        full = rows.column("shingles").combine_chunks()
+        own = [np.frombuffer(full[x].as_buffer(), "<u8") for x in range(len(full))]
+        size = np.array([len(x) for x in own])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a_out, b_out = [], []
+        links = []
         for x in left:
             far = right[(part[right] != part[x]) & ((rep[right] > rep[x]) | (i != j))]
-            near = far[(sig[far] == sig[x]).mean(axis=1) >= LIKELY] if len(far) else far
-            a_out.append(np.minimum(rep[near], rep[x]))
-            b_out.append(np.maximum(rep[near], rep[x]))
-        return pa.table({"a": np.concatenate(a_out or [np.zeros(0, np.int64)]), "b": np.concatenate(b_out or [np.zeros(0, np.int64)])})
+            far = far[100 * np.minimum(size[far], size[x]) >= hundredths * np.maximum(size[far], size[x])]
+            far = far[(bands[far] == bands[x]).argmax(axis=1) == band]
+            for y in far[(sig[far] == sig[x]).mean(axis=1) >= LIKELY]:
+                a, b = root(int(part[x])), root(int(part[y]))
+                if a != b and _similar(own[x], own[y], hundredths):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(weigh, "a bigint, b bigint").distinct()
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(weigh, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,10 +298,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, doc_id: str = "do
     links = stored(verified(pairs, docs, doc_id, text, similarity), "links")
     groups = stored(components(contracted(links)), "groups")
 
-    rest = remaining_pairs(members.filter("k > 3").select("band", "key", "rep"), classes, groups)
-    rest = stored(likely_pairs(rest.join(pairs, ["a", "b"], "left_anti"), classes, similarity), "rest")
-    if not rest.isEmpty():
-        more = verified(rest, docs, doc_id, text, similarity)
+    more = remaining_links(members.filter("k > 3").select("band", "key", "rep"), classes, groups, docs, doc_id, text, similarity)
+    more = stored(more, "more")
+    if not more.isEmpty():
         # What is known already comes in as one edge per document.
         known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
         groups = stored(components(contracted(more.union(known))), "groups")
