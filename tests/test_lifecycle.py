@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_assemble import LINES, lines_of, random_sources
 
 from timberline.operators import assemble, changes, timeline
-from timberline.plans.ingest import open_logs
+from timberline.plans.ingest import open_logs, reload_files, snapshot_files
 from timberline.session import stored
 from timberline.sources import files, store
 from timberline.streaming.assemble import StreamAssembler
@@ -99,6 +99,40 @@ def test_open_store_reload(spark, tmp_path):
     assert changes.timeline_staleness(changes.built_from(now), now).count() == 0
 
 
+def test_reload_files(spark, tmp_path):
+    line = "2031/02/03 10:00:0{} {}\n"
+    names = ["grown", "shrunk", "replaced and longer", "deleted", "new", "same"]
+    for name in names:
+        if name != "new":
+            (tmp_path / f"{name}.log").write_text(line.format(1, "banner") + line.format(2, name))
+    sources = spark.createDataFrame([(i, n, str(tmp_path / f"{n}.log"), i) for i, n in enumerate(names)], "source_id INT, name STRING, path STRING, config_pos INT")
+    before, path = snapshot_files(spark, sources), str(tmp_path / "items")
+    opened = open_logs(spark, sources)
+    store.write_items(opened.items, path)
+    assert [tuple(r) for r in opened.errors.collect()] == [(4, "NOT_FOUND")]
+    with open(tmp_path / "grown.log", "a") as f:
+        f.write(line.format(3, "more"))
+    (tmp_path / "shrunk.log").write_text(line.format(1, "banner"))
+    (tmp_path / "replaced and longer.log").write_text(line.format(1, "banner") + line.format(5, "something else") * 3)
+    (tmp_path / "deleted.log").unlink()
+    (tmp_path / "new.log").write_text(line.format(4, "hello"))
+    status = spark.createDataFrame([(i, 1, "Loaded", None) for i in (0, 1, 2, 3, 5)], STATUS)
+    now, snapshot = reload_files(spark, sources, path, status, before)
+    assert {r[0]: tuple(r)[1:4] for r in now.collect()} == {
+        0: (2, "Loaded", None), 1: (2, "Changed", "Shrunk"), 2: (2, "Changed", "Replaced"), 3: (2, "Changed", "Deleted"), 4: (1, "Loaded", None), 5: (1, "Loaded", None),
+    }
+    held = sorted((r["source_id"], r["seq"], r["generation"]) for r in store.read_items(spark, path, now).collect())
+    assert held == [(0, 0, 2), (0, 1, 2), (0, 2, 2), (4, 0, 1), (5, 0, 1), (5, 1, 1)]
+    assert snapshot.count() == 5
+    view = timeline.merged_timeline(store.read_items(spark, path, now), sources.withColumn("source_ordinal", F.col("config_pos")))
+    for generation in (1, 2):
+        store.write_timeline(view, str(tmp_path / "view"), generation)
+    kept, current = store.read_timeline(spark, str(tmp_path / "view"), expected=2)
+    assert current == 2 and sorted(r["position"] for r in kept.collect()) == list(range(6))
+    with pytest.raises(timeline.GenerationMismatch):
+        store.read_timeline(spark, str(tmp_path / "view"), expected=1)
+
+
 def test_extract_text_and_file_agree(spark, tmp_path):
     df = spark.createDataFrame(lines_of({0: ["2026/07/28 10:00:02 b", "c"], 1: ["2026/07/28 10:00:01 a", "", "z"]}), LINES)
     formats = assemble.infer_source_format(df)

@@ -85,7 +85,7 @@ def reload_sources(items: DataFrame, rebuilt: DataFrame, after: DataFrame) -> Da
     """Current items after a reload: kept sources as they are, rebuilt ones from ``rebuilt``, emptied ones gone.
 
     ``after`` comes from :func:`reload_status`. To a stored index only ``rebuilt`` is
-    appended, as a new generation; see ``ItemStore.reload``.
+    appended, as a new generation; see ``store.reload``.
     """
     def of(action: str) -> DataFrame:
         return after.filter(F.col("action") == action).select("source_id", "generation")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
-from timberline.operators import assemble, profiles, summary
+from timberline.operators import assemble, changes, profiles, summary
 from timberline.session import small_side, stored
-from timberline.sources import files
+from timberline.sources import files, store
 
 
 @dataclass
@@ -87,6 +87,41 @@ def open_logs(
     return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors.unionByName(unread), line_items)
 
 
+def snapshot_files(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``source_id, size, mtime, file_id`` of the configured files that are there; ``before`` is the snapshot to compare with. Stored."""
+    given = [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()]
+    there = [path for _, path, _ in files.find_paths(spark, given) if path]
+    names = spark.createDataFrame([(p, files.qualified(spark, p)) for p in given], "path STRING, _path STRING")
+    ids = data_sources.join(names, "path").select("source_id", F.col("_path").alias("path"))
+    if not there:
+        return stored(ids.limit(0).select("source_id", F.lit(0).cast("bigint").alias("size"), F.current_timestamp().alias("mtime"), F.lit("").alias("file_id")), "snapshot")
+    previous = None if before is None else before.join(ids, "source_id").select("path", "size")
+    seen = files.with_identity(files.file_manifest(spark, there), files.scan_log_lines(spark, there), previous)
+    return stored(seen.join(ids, "path").select("source_id", "size", "mtime", "file_id"), "snapshot")
+
+
+def reload_files(
+    spark: SparkSession, data_sources: DataFrame, items_path: str, status: DataFrame, before: DataFrame, profile_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Compare the files with the snapshot ``before``, read again what grew or is new, and return the new status and snapshot.
+
+    Items of rebuilt sources are appended to the store at ``items_path`` under their next generation. Shrunk, replaced and deleted sources are emptied;
+    unchanged ones are not touched. A new source enters with generation 1. Both results are stored.
+    """
+    # Identity is compared inside the former length; what is kept for next time covers the whole file.
+    verdicts = stored(changes.compare_snapshots(before, snapshot_files(spark, data_sources, before), "source_id"), "verdicts")
+    unknown = verdicts.filter(F.col("verdict") == "New").join(status, "source_id", "left_anti")
+    fresh = unknown.select("source_id", F.lit(0).cast("bigint").alias("generation"), F.lit("Loaded").alias("status"), F.lit(None).cast("string").alias("change_kind"))
+    asked = verdicts.withColumn("verdict", F.when(F.col("verdict") == "New", "Appended").otherwise(F.col("verdict")))
+    again = data_sources.join(asked.filter("verdict = 'Appended'").select("source_id"), "source_id", "left_semi")
+    known = status.select(*fresh.columns).unionByName(fresh)
+    if again.isEmpty():
+        after = changes.reload_status(known, asked)
+    else:
+        after = store.reload(items_path, open_logs(spark, again, profile_table).items, known, asked)
+    return stored(after, "status"), snapshot_files(spark, data_sources)
+
+
 def _numbered(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """Offsets and item numbers in one pass over the lines."""
     keyed = assemble.keyed_lines(lines, formats)

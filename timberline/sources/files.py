@@ -91,6 +91,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(decoded, "^([a-zA-Z][a-zA-Z0-9]*):///", "$1:/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The file system's own spelling of a path, whether or not a file is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(target).toString()
+
+
 def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
     """``given, path, error`` of configured paths: the file system's own spelling, or why a file cannot be read."""
     conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
@@ -126,7 +132,8 @@ def with_identity(manifest: DataFrame, lines: DataFrame, previous: DataFrame | N
     """Add ``file_id``, a hash over the finished lines of each file; NULL where there are none.
 
     With ``previous`` (``path, size`` as of the last look) only lines inside the former size count, so that a file that grew keeps its
-    identity and one that was replaced does not, whatever its size and its first lines.
+    identity and one that was replaced does not, whatever its size and its first lines. A file that is shorter than before has no identity: it counts as
+    shrunk.
     """
     ends = running(lines, ["path"], ["line_no"], {"_end": ("sum", F.col("line_bytes").cast("bigint"))})
     ends = ends.withColumn("_end", F.col("_end") + F.when(F.col("utf8_bom"), 3).otherwise(0)).filter("confirmed")
@@ -135,7 +142,11 @@ def with_identity(manifest: DataFrame, lines: DataFrame, previous: DataFrame | N
         ends = ends.join(small_side(before, 16, F.octet_length("path")), "path", "left").filter("_size is null or _end <= _size")
     content = F.sum(F.xxhash64("line_no", "line_bytes", "bytes").cast("decimal(20,0)"))
     ids = ends.groupBy("path").agg(F.concat_ws(":", F.count("*"), content).alias("file_id"))
-    return manifest.join(ids, "path", "left")
+    named = manifest.join(ids, "path", "left")
+    if previous is None:
+        return named
+    shorter = named.join(small_side(before, 16, F.octet_length("path")), "path", "left")
+    return shorter.withColumn("file_id", F.when(F.coalesce(F.col("size") >= F.col("_size"), F.lit(True)), F.col("file_id"))).drop("_size")
 
 
 def scan_configured_sources(lines: DataFrame, data_sources: DataFrame, keep_path: bool = False) -> DataFrame:

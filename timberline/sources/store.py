@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.operators.changes import reload_status
+from timberline.operators.timeline import check_generation
 from timberline.session import small_side
 
 
@@ -44,6 +45,21 @@ def reload(path: str, rebuilt: DataFrame, status: DataFrame, verdicts: DataFrame
     return after
 
 
+def write_timeline(view: DataFrame, path: str, generation: int) -> None:
+    """Store a merged view as one generation, sorted by position, so that a page read touches the matching row groups only."""
+    placed = view.withColumn("view_generation", F.lit(generation).cast("bigint"))
+    placed.repartitionByRange("position").sortWithinPartitions("position").write.mode("append").partitionBy("view_generation").parquet(path)
+
+
+def read_timeline(spark: SparkSession, path: str, expected: int | None = None) -> tuple[DataFrame, int]:
+    """The newest stored view and its generation; a caller that ``expected`` another one is refused."""
+    views = spark.read.parquet(path)
+    current = views.agg(F.max("view_generation")).first()[0]
+    if expected is not None:
+        check_generation(expected, current)
+    return views.filter(F.col("view_generation") == current).drop("view_generation"), current
+
+
 def extract_lines(positions: DataFrame, item_lines: DataFrame) -> DataFrame:
     """The text of selected items as lines in order: ``position, line_no, text``.
 
