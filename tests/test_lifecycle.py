@@ -74,6 +74,7 @@ def test_open_store_reload(spark, tmp_path):
     assert [(summary[i]["line_count"], summary[i]["item_count"], summary[i]["format"]) for i in (0, 1)] == [(3, 2, "LOG-DT-005"), (2, 2, "LOG-DT-001")]
     assert (summary[1]["encoding"], summary[1]["profile_route"], summary[1]["format_route"], summary[1]["unconfirmed_tail"]) == ("windows-1252", "glob", "profile", True)
     assert (summary[2]["error"], summary[2]["line_count"]) == ("UNSUPPORTED_UTF16", 0)
+    assert [(summary[i]["invalid_count"], summary[i]["file_bytes"]) for i in (0, 1)] == [(0, (folder / "a.log").stat().st_size), (0, (folder / "b.log").stat().st_size)]
     bodies = {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies(opened.item_lines()).collect()}
     assert bodies == {(0, 0): "lead", (0, 1): "2026/07/28 10:00:01 a1\nmore", (1, 0): "2026/07/28 10:00:02.500 café", (1, 1): "2026/07/28 10:00:03.500 x"}
     view = timeline.merged_timeline(opened.items, sources.withColumn("source_ordinal", F.col("config_pos")))

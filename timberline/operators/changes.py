@@ -112,11 +112,24 @@ def timeline_staleness(recorded: DataFrame, status: DataFrame) -> DataFrame:
     return gone.unionByName(now.exceptAll(recorded.select(*pairs)).withColumn("side", F.lit("current_only")))
 
 
-def list_sources(status: DataFrame, sources: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The status listing, by ``source_id``."""
-    return (
-        status.join(sources.select("source_id", "label"), "source_id", "left")
-        .join(manifest.select("source_id", F.col("size").alias("size_bytes")), "source_id", "left")
-        .select("source_id", "label", "generation", "status", "change_kind", "size_bytes")
-        .orderBy("source_id")
+def list_sources(
+    status: DataFrame, sources: DataFrame, manifest: DataFrame, tails: DataFrame | None = None, verdicts: DataFrame | None = None
+) -> DataFrame:
+    """The status listing, by ``source_id``.
+
+    ``tails`` (``source_id, unconfirmed_tail``) tells of unfinished last lines; an update is pending where ``verdicts``
+    (``source_id, verdict``) say that the file has grown since it was read.
+    """
+    listed = status.join(sources.select("source_id", "label"), "source_id", "left").join(
+        manifest.select("source_id", F.col("size").alias("size_bytes")), "source_id", "left"
     )
+    no = F.lit(False)
+    open_tail, pending = no, no
+    if tails is not None:
+        listed, open_tail = listed.join(tails.select("source_id", "unconfirmed_tail"), "source_id", "left"), F.col("unconfirmed_tail")
+    if verdicts is not None:
+        listed, pending = listed.join(verdicts.select("source_id", "verdict"), "source_id", "left"), F.col("verdict") == "Appended"
+    return listed.select(
+        "source_id", "label", "generation", "status", "change_kind", "size_bytes",
+        F.coalesce(open_tail, no).alias("has_unconfirmed_trailing_line"), F.coalesce(pending, no).alias("update_pending"),
+    ).orderBy("source_id")

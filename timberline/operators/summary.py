@@ -21,7 +21,7 @@ def source_summary(
 ) -> DataFrame:
     """One row per source of ``formats`` (``source_id, format, route, fell_back``), with zero counts for an empty one.
 
-    The optional tables add encoding and route, profile and route, invalid positions and file size.
+    The optional tables add encoding and route, profile and route, the number of bad bytes and the file size.
     """
     counts = items.groupBy("source_id").agg(
         F.max(F.col("raw_offset") + F.col("raw_len")).alias("content_bytes"),
@@ -49,9 +49,8 @@ def source_summary(
             profiles.select("source_id", "profile_name", F.col("route").alias("profile_route")), "source_id", "left"
         )
     if invalid is not None:
-        result = result.join(
-            invalid.select("source_id", "invalid_count", "positions", "truncated"), "source_id", "left"
-        ).fillna(0, ["invalid_count"])
+        counts_of = invalid.select("source_id", "invalid_count").distinct()
+        result = result.join(counts_of, "source_id", "left").fillna(0, ["invalid_count"])
     if manifest is not None:
         result = result.join(manifest.select("source_id", F.col("size").alias("file_bytes")), "source_id", "left")
     return result

@@ -541,9 +541,10 @@ def timeline_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("source_id"), F.col("s_name").alias("label"))
-    _, new = derive.manifests(spark, sf_dir)
-    sizes = new.select(F.regexp_extract("path", "([0-9]+)", 1).cast("int").alias("source_id"), "size")
-    return changes.list_sources(derive.supplier_status(spark, sf_dir), sources, sizes)
+    old, new = derive.manifests(spark, sf_dir)
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("int").alias("source_id")
+    verdicts = changes.compare_snapshots(old, new).select(number, "verdict")
+    return changes.list_sources(derive.supplier_status(spark, sf_dir), sources, new.select(number, "size"), verdicts=verdicts)
 
 
 # --- filters

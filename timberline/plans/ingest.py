@@ -25,10 +25,17 @@ class OpenedLogs:
     resolved: DataFrame
     errors: DataFrame
     line_items: DataFrame  # source_id, line_no, seq
+    sizes: DataFrame  # source_id, size
 
     def summary(self) -> DataFrame:
         """One row per source."""
-        return summary.source_summary(self.items, self.formats, self.encodings, self.resolved)
+        return summary.source_summary(self.items, self.formats, self.encodings, self.resolved, self.invalid(), self.sizes)
+
+    def invalid(self) -> DataFrame:
+        """``source_id, invalid_count`` of sources with bad bytes."""
+        readable, _ = files.reject_unsupported(self.lines, self.encodings)
+        decoded = files.decode_lines(_split(readable, self.encodings)[1], self.encodings).filter(F.size("bad_at") > 0)
+        return decoded.groupBy("source_id").agg(F.sum(F.size("bad_at").cast("bigint")).alias("invalid_count"))
 
     def item_lines(self) -> DataFrame:
         """Bodies as ordered lines, ``source_id, seq, line_no, text``: what search, extracts and ``assemble.bodies`` read.
@@ -55,11 +62,13 @@ def open_logs(
             data_sources = data_sources.withColumn(column, F.lit(None).cast("string"))
     data_sources = stored(data_sources, "sources")
     found = files.find_paths(spark, [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()])
-    known = spark.createDataFrame(found, "path STRING, _found STRING, _error STRING")
+    known = spark.createDataFrame(found, "path STRING, _found STRING, _error STRING, size BIGINT")
     data_sources = stored(data_sources.join(known, "path", "left"), "found")
     unread = data_sources.filter("_error is not null").select("source_id", F.col("_error").alias("error"))
     data_sources = data_sources.filter("_error is null").withColumn("path", F.col("_found")).drop("_found", "_error")
-    paths = [path for _, path, _ in found if path]
+    sizes = data_sources.select("source_id", "size")
+    data_sources = data_sources.drop("size")
+    paths = [path for _, path, _, _ in found if path]
     lines = files.scan_log_lines(spark, paths, data_sources)
     if profile_table is None:
         resolved = data_sources.select(
@@ -84,13 +93,13 @@ def open_logs(
     numbered = _numbered(narrow, formats)
     parts = assemble.item_parts(numbered)
     line_items = numbered.select("source_id", "line_no", "seq")
-    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors.unionByName(unread), line_items)
+    return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors.unionByName(unread), line_items, sizes)
 
 
 def snapshot_files(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """``source_id, size, mtime, file_id`` of the configured files that are there; ``before`` is the snapshot to compare with. Stored."""
     given = [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()]
-    there = [path for _, path, _ in files.find_paths(spark, given) if path]
+    there = [path for _, path, _, _ in files.find_paths(spark, given) if path]
     names = spark.createDataFrame([(p, files.qualified(spark, p)) for p in given], "path STRING, _path STRING")
     ids = data_sources.join(names, "path").select("source_id", F.col("_path").alias("path"))
     if not there:

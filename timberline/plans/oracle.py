@@ -683,10 +683,13 @@ UNION ALL SELECT *, 'current_only' FROM (SELECT * FROM pairs EXCEPT SELECT * FRO
     "recorded",
 )
 SQL["list_sources"] = C.query(
-    """SELECT source_id, s_name AS label, generation, status, change_kind, size AS size_bytes
-FROM supplier_status JOIN supplier ON s_suppkey = source_id LEFT JOIN manifest_new ON path = '/logs/' || source_id || '.log' ORDER BY source_id""",
+    """SELECT source_id, s_name AS label, generation, status, change_kind, n.size AS size_bytes, FALSE AS has_unconfirmed_trailing_line,
+  coalesce(n.size > o.size AND coalesce(n.file_id = o.file_id, TRUE), FALSE) AS update_pending
+FROM supplier_status JOIN supplier ON s_suppkey = source_id LEFT JOIN manifest_new n ON n.path = '/logs/' || source_id || '.log'
+LEFT JOIN manifest_old o ON o.path = n.path ORDER BY source_id""",
     "supplier_status",
     "manifest_new",
+    "manifest_old",
 )
 
 # --- filters

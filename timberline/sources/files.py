@@ -97,17 +97,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(target).toString()
 
 
-def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """``given, path, error`` of configured paths: the file system's own spelling, or why a file cannot be read."""
+def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None, int | None]]:
+    """``given, path, error, size`` of configured paths: the file system's own spelling and the size, or why a file cannot be read."""
     conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
     for given in paths:
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(given)
-            found.append((given, target.getFileSystem(conf).getFileStatus(target).getPath().toString(), None))
+            status = target.getFileSystem(conf).getFileStatus(target)
+            found.append((given, status.getPath().toString(), None, status.getLen()))
         except Exception as error:  # whatever the store says, the other sources go on
             cause = getattr(error, "java_exception", None)
             reason = cause.getClass().getSimpleName() if cause is not None else type(error).__name__
-            found.append((given, None, "NOT_FOUND" if reason == "FileNotFoundException" else f"UNREADABLE: {reason}"))
+            found.append((given, None, "NOT_FOUND" if reason == "FileNotFoundException" else f"UNREADABLE: {reason}", None))
     return found
 
 
