@@ -8,7 +8,7 @@ from test_assemble import LINES, lines_of, random_sources
 
 from timberline.operators import assemble, changes, timeline
 from timberline.plans.ingest import open_logs, reload_files, snapshot_files
-from timberline.session import stored
+from timberline.session import own_copies, stored
 from timberline.sources import files, store
 from timberline.streaming.assemble import StreamAssembler
 
@@ -146,3 +146,13 @@ def test_extract_text_and_file_agree(spark, tmp_path):
     store.write_extract(lines, str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == text["text"] + "\n"
+
+
+def test_copies_go_with_their_scope(spark):
+    with own_copies(spark):
+        gone = stored(spark.range(5))
+        assert gone.count() == 5
+    kept = stored(spark.range(3))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()

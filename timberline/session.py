@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def own_copies(spark: SparkSession):
+    """Copies stored inside the ``with`` block are deleted at its end: write or collect the result before."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            discard(spark, path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder; nothing is created yet."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
