@@ -24,6 +24,7 @@ from timberline.session import stored
 CAPACITY = 2048
 #: Encoded words kept per task: two generations of this many.
 CACHE_WORDS = 300_000
+_MARKS = ".,;:!?#*$%&"
 
 
 # ---- token ids -------------------------------------------------------------------------------------------------
@@ -32,10 +33,10 @@ CACHE_WORDS = 300_000
 class WordCache:
     """Token ids of texts, encoded word by word with a cache.
 
-    A byte-level pre-tokenizer never joins a word with the word after the next blank or line end, so a text may be cut at
-    each single blank or line end between two other characters. Words that touch further white space stay
-    together, and a text that names a special token is encoded as a whole. New words are encoded
-    many at a time, as lines of one text. ``tests/llm`` holds the ids against those of whole texts.
+    A byte-level pre-tokenizer never joins a word with what follows the next single blank or line end, so lines of printable
+    words may be cut at their blanks. A text with any other white space, or one that names a special token, is encoded as a
+    whole. New words are encoded many at a time, as lines of one text. ``tests/llm`` holds the ids against
+    those of whole texts.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -45,65 +46,75 @@ class WordCache:
         self.encoder = Tokenizer.from_file(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.line_end = self._encode("\n")
-        self.most, self.new, self.old = most, {"\n": self.line_end}, {}
+        self.most = most
+        #: Ids of words at the start of a line and after a blank: two generations each, so that frequent words stay.
+        self.new, self.old = ({}, {}), ({}, {})
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Cuts whose ids, put together, are those of ``text``."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        open_end = not parts[0] or parts[0][-1].isspace()
-        for part in parts[1:]:
-            if open_end or not part or part[0].isspace():
-                out[-1] += " " + part
-            else:
-                out.append(" " + part)
-            open_end = not part or part[-1].isspace()
-        if "\n" not in text:
-            return out
-        lines = []
-        for word in out:
-            if "\n" not in word:
-                lines.append(word)
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """The words of each line, if the text may be cut."""
+        if len(self.line_end) != 4 or any(s in text for s in self.special):
+            return None
+        lines = text.split("\n")
+        for line in lines:
+            if not line or not line.isprintable() or line[0] == " " or line[-1] == " " or "  " in line:
+                return None
+        return [line.split(" ") for line in lines]
+
+    def _fill(self, wanted: set[str], spaced: int) -> None:
+        """Ids of words not met before. Marks at a word's end are a token run of their own, so the bare word is looked up first."""
+        new, old = self.new[spaced], self.old[spaced]
+        bare, marked = [], []
+        for w in wanted.difference(new):
+            ids = old.get(w)
+            if ids is not None:
+                new[w] = ids
                 continue
-            cut = word.split("\n")
-            if all(cut) and not any(x[-1].isspace() for x in cut) and not any(x[0].isspace() for x in cut[1:]) and cut[0] != " ":
-                for x in cut:
-                    lines += (x, "\n")
-                lines.pop()
-            else:
-                lines.append(word)
-        return lines
-
-    def _fill(self, words: list[str]) -> None:
-        plain = []
-        for w in dict.fromkeys(words):
-            if w in self.new:
+            core = w.rstrip(_MARKS)
+            if core is w or not core or not core[-1].isalnum():
+                bare.append(w)
                 continue
-            ids = self.old.get(w)
-            if ids is not None:
-                self.new[w] = ids
-            elif w and "\n" not in w and not w[-1].isspace() and not w[w[0] == " "].isspace() and len(self.line_end) == 4:
-                plain.append(w)
-            else:
-                self.new[w] = self._encode(w)
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            ids = self._encode("\n".join(some))
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.line_end, "little")).tolist()
-            for w, a, b in zip(some, [0, *[4 * x + 4 for x in ends]], [*[4 * x for x in ends], len(ids)]):
-                self.new[w] = ids[a:b]
+            marked.append((w, core, w[len(core) :]))
+            if core not in new:
+                new[core] = old.get(core, b"")
+                if not new[core]:
+                    bare.append(core)
+        end = int.from_bytes(self.line_end, "little")
+        for k in range(0, len(bare), 1000):
+            some = bare[k : k + 1000]
+            ids = self._encode("\n".join([" " + w for w in some] if spaced else some))
+            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == end) * 4
+            for w, a, b in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)]):
+                new[w] = ids[a:b]
+        for w, core, marks in marked:
+            tail = self.tails.get(marks)
+            if tail is None:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                tail = self.tails[marks] = self._encode(marks)
+            new[w] = new[core] + tail
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, per text."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {"\n": self.line_end}
-        cut = [[t] if any(s in t for s in self.special) else self.words(t) for t in texts]
-        self._fill([w for words in cut for w in words])
-        return [b"".join(map(self.new.__getitem__, words)) for words in cut]
+        for k in (0, 1):
+            if len(self.new[k]) > self.most:
+                self.old = tuple(self.new[i] if i == k else self.old[i] for i in (0, 1))
+                self.new = tuple({} if i == k else self.new[i] for i in (0, 1))
+        cut = [self._lines(t) for t in texts]
+        heads = [[words.pop(0) for words in lines] if lines else None for lines in cut]
+        wanted: set[str] = set()
+        for lines in cut:
+            wanted.update(*lines or ())
+        self._fill(wanted, 1)
+        self._fill({w for head in heads for w in head or ()}, 0)
+        first, rest = self.new[0].__getitem__, self.new[1].__getitem__
+        return [
+            self.line_end.join([first(h) + b"".join(map(rest, words)) for h, words in zip(head, lines)]) if lines else self._encode(text)
+            for text, head, lines in zip(texts, heads, cut)
+        ]
 
 
 def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -231,7 +242,8 @@ def pack(
     per_part = stored(per_part.withColumn("rank_from", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
     counts = {int(r[0]): int(r[1]) for r in per_part.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = plan_bins(counts, capacity)
-    ranked = pieces.join(per_part.select("part", "length", "rank_from"), ["part", "length"])
+    # The counts grow with the number of parts, so they are never broadcast.
+    ranked = pieces.join(per_part.select("part", "length", "rank_from").hint("merge"), ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("rank_from") + F.col("nth"))
     starts = {int(x): rows[rows[:, 0] == x] for x in np.unique(rows[:, 0])}
 
