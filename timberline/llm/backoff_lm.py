@@ -9,6 +9,7 @@ automaton that its texts can reach. All that moves are hashes and counts, in pro
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from timberline.llm.minhash import _C1, WordHashes, _mix
 from timberline.session import stored
 
 #: Characters of text per block: what one task holds at a time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 20_000_000
 #: Weight of the shorter context, as a number of imagined tokens after each context.
 PRIOR = 20.0
 #: Stands for the end of a text and, as a context, for its start. No word holds a line end.
@@ -55,7 +56,7 @@ def encoded_blocks(docs: DataFrame, doc_id: str, text: str, block_chars: int) ->
 
         def block() -> pa.RecordBatch:
             words, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
-            cells = [uuid.uuid4().hex, ids, held, sizes, words.tobytes(), numbers.astype("<i4").tobytes()]
+            cells = [uuid.uuid4().hex, ids, held, sizes, sum(sizes), _packed(words), _squeezed(numbers, len(words))]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], names=names)
 
         for batch in batches:
@@ -74,21 +75,36 @@ def encoded_blocks(docs: DataFrame, doc_id: str, text: str, block_chars: int) ->
         if ids:
             yield block()
 
-    names = ["block", "doc_ids", "held", "sizes", "words", "numbers"]
-    kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    names = ["block", "doc_ids", "held", "sizes", "n_tokens", "words", "numbers"]
+    kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held"), text).mapInArrow(
-        run, "block string, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words binary, numbers binary"
+        run, "block string, doc_ids array<bigint>, held array<boolean>, sizes array<int>, n_tokens bigint, words binary, numbers binary"
     )
 
 
+def _squeezed(numbers: np.ndarray, size: int) -> bytes:
+    """Word numbers, compressed: words in order of their frequency, so that most ranks are small, in planes of one byte."""
+    by_count = np.argsort(-np.bincount(numbers, minlength=size), kind="stable").astype("<u4")
+    rank = np.empty(size, np.uint32)
+    rank[by_count] = np.arange(size, dtype=np.uint32)
+    planes = np.ascontiguousarray(rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(by_count.tobytes() + planes.tobytes(), 1)
+
+
+def _restored(raw: bytes, size: int) -> np.ndarray:
+    plain = np.frombuffer(zlib.decompress(raw), np.uint8)
+    ranks = np.ascontiguousarray(plain[4 * size :].reshape(4, -1).T).view("<u4").reshape(-1)
+    return plain[: 4 * size].view("<u4")[ranks].astype(np.int64)
+
+
 class Block:
     """The texts of a block: ``numbers`` of all tokens in a row, ``words`` by number, and the block's distinct bigrams."""
 
     def __init__(self, row: dict):
         self.doc_ids, self.held = row["doc_ids"], np.array(row["held"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.numbers = np.frombuffer(row["numbers"], "<i4").astype(np.int64)
+        self.words = _unpacked(row["words"])
+        self.numbers = _restored(row["numbers"], len(self.words))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.end = int(self.numbers[-1])
         before = np.empty_like(self.numbers)
@@ -136,7 +152,8 @@ def asked_counts(blocks: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 b = Block(row)
                 learned = b.learned()
                 words = np.bincount(b.numbers[learned], minlength=len(b.words))
@@ -245,9 +262,9 @@ def score_texts(
     Other columns are ignored. With nothing to learn from, every token has the smoothing's share alone. Ties cannot arise.
     """
     blocks = stored(encoded_blocks(docs, doc_id, text, block_chars), "blocks")
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("numbers")), F.lit(0))).first()[0]
+    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     # Questions of some tens of MB per shard, however large the corpus.
-    shards = shards or max(8, math.ceil(size / 16_000_000))
+    shards = shards or max(8, math.ceil(size / 4_000_000))
     answers = stored(summed(asked_counts(blocks, shards)), "answers")
     n, v = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
 
