@@ -121,3 +121,42 @@ def test_decontamination(spark, frame, limit):
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 0), (2, 0), (4, 2), (7, 1), (9, 1), (1, 1), (None, 1)}
     assert {r.overlap for r in found if r.doc_id in (7, 4)} == {1.0}
     assert contaminated(frame([], "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).count() == 0
+
+
+def overlaps_by_hand(rows, bench, similarity=0.75, window=20):
+    """Every alignment of every window, without seeds."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    best = {}
+    for i, text in rows:
+        d = split(text)
+        for k, item in bench:
+            w = split(item)
+            wide = min(window, len(w))
+            for shift in range(-len(w), len(d)) if wide else ():
+                equal = [0 <= shift + n < len(d) and d[shift + n] == x for n, x in enumerate(w)]
+                most = max(sum(equal[b : b + wide]) for b in range(len(w) - wide + 1))
+                if most >= similarity * wide:
+                    best[i, k] = max(best.get((i, k), 0), most)
+    return best
+
+
+def substituted(rnd, words, n):
+    gone = set(rnd.sample(range(len(words)), n))
+    return [f"swap{k}" if k in gone else w for k, w in enumerate(words)]
+
+
+def test_passages_at_any_place_of_an_item(spark, frame):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (40, 150)]
+    rows = []
+    for k in range(60):
+        at = rnd.randrange(len(items[k % 2]) - 20)
+        passage = items[k % 2][at : at + 20]
+        gone = {2, 7, 12, 17} if k % 3 else {1, 5, 16}  # the middle keeps its seeds
+        rows.append((k, " ".join([word() for _ in range(rnd.randrange(30))] + [w if n not in gone else "other" for n, w in enumerate(passage)] + [word() for _ in range(9)])))
+    rows.append((70, " ".join([word() for _ in range(1010)] + items[1] + [word() for _ in range(2000)])))
+    bench = [(k, " ".join(x)) for k, x in enumerate(items)]
+    got = contaminated(frame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    want = overlaps_by_hand(rows, bench)
+    assert len(want) == 61 and {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want

@@ -1,12 +1,15 @@
 """Benchmark decontamination by spaced seeds: fixed masks skip some token positions, so a hit survives substitutions.
 
 DataFrame functions only. Seed hashes of training text are joined with those of the benchmark where the text is read, and only
-hits are kept, a list per document that has any. Those documents' texts are then compared with the items token by
-token on each hit's diagonal, where substituted tokens count as differences and not as ends.
+hits are kept, one per diagonal. Those documents' texts are then compared with the items token by token in every window
+of the hit's diagonal, where substituted tokens count as differences and not as ends.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from timberline.session import BROADCAST_LIMIT_BYTES, small_side, stored
 #: Masks over nine tokens: 1 counts, 0 is ignored. Any two substituted neighbours are skipped by one of them.
 MASKS = ("110110101", "101011011", "111001110")
 SPAN = 9
+#: Windows of an item that are compared together, by where they begin, and tokens of a document that a row holds.
+BLOCK, STRETCH = 64, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -57,47 +62,74 @@ def contaminated(
 ) -> DataFrame:
     """One row per document id and benchmark item that overlap: ``doc_id, item_id, n_hits, item_tokens, matched, overlap``.
 
-    A hit is a seed that both texts share. It is verified on the ``window`` tokens of the item around it (the whole
-    item if shorter), aligned at the hit: the pair counts if at least ``similarity`` of them are equal. ``overlap``
-    is the best share found, ``matched`` the most equal tokens, ``n_hits`` the places that were verified.
+    A hit is a seed that both texts share. On its diagonal all windows of ``window`` tokens of the item (the whole item if shorter) are
+    compared: the pair counts if at least ``similarity`` of the tokens of one window are equal. ``overlap`` is the best share found,
+    ``matched`` the most equal tokens, ``n_hits`` the seeds that lie inside such a window.
 
     Null and empty texts and items of fewer than nine tokens match nothing. Rows that repeat an id are taken
-    together; a null id is an id of its own. Ties cannot arise. Other columns are ignored. Hits are rows of their
-    own: a phrase in every document makes one row per place, never a pair of documents.
+    together; a null id is an id of its own. Ties cannot arise. Other columns are ignored. Hits are narrow rows, one per document, item,
+    diagonal and block of ``BLOCK`` item tokens, and are never collected into lists; each meets a stretch of its document.
 
     Seeds of the benchmark are broadcast when their measured size is within ``limit_bytes``, and joined by shuffle beyond it.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("item_hashes"))
-    items = stored(items.distinct(), "items")
+    items = items.distinct().withColumn("item_no", F.monotonically_increasing_id())
+    items = items.withColumn("item_tokens", F.size("item_hashes")).withColumn("wide", F.least(F.lit(window), "item_tokens"))
+    items = stored(items, "items")
     placed = items.select("*", F.posexplode(_seeds("item_hashes", masks)).alias("n", "seed"))
     placed = placed.withColumn("item_at", F.floor(F.col("n") / len(masks)).cast("int"))
-    parts = placed.select("seed", "item_id", "item_at", *_slice("item_hashes", "item_at", window)).distinct()
-    parts = small_side(parts, 48, 8 * F.size("item_window"), limit_bytes)
+    parts = placed.select("seed", "item_no", "item_at", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
+    parts = small_side(parts, 48, limit_bytes=limit_bytes)
     # Positions leave a document as narrow rows; nothing of the text goes with them.
     hashed = docs.select(*row_key(doc_id, text), token_hashes(F.col(text)).alias("doc_hashes"))
     seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", masks)).alias("n", "seed"))
     hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(masks)).cast("int"))
-    told = hits.groupBy(*ROW_KEY).agg(
-        F.collect_set(F.struct("doc_at", "item_id", "item_at", "item_window", "item_shift", "item_tokens")).alias("hits")
-    )
-    told = stored(told, "hits")
-    ids = small_side(told.select(F.col("_ld_id").alias("_id")).distinct(), 16)
+    hits = hits.select(*ROW_KEY, "item_no", "item_block", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
+    hits = stored(hits, "hits")
+    # Where the block begins in the document, which may be before its first token.
+    hits = hits.withColumn("doc_from", F.col("diagonal") + BLOCK * F.col("item_block"))
+    hits = hits.withColumn("stretch", F.floor(F.col("doc_from") / STRETCH).cast("int"))
+    ids = small_side(hits.select(F.col("_ld_id").alias("_id")).distinct(), 16)
     wanted = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    known = told.select(*[F.col(c).alias(c + "_d") for c in ROW_KEY], "hits")
-    same = [F.col(c).eqNullSafe(F.col(c + "_d")) for c in ROW_KEY]
     # Rows that are equal altogether are looked at once.
-    both = wanted.select(*row_key(doc_id, text), F.col(text).alias("text")).dropDuplicates(ROW_KEY).join(known, same[0] & same[1] & same[2])
-    both = both.select("_ld_id", "hits", token_hashes(F.col("text")).alias("doc_hashes"))
-
-    def verify(hit: Column) -> Column:
-        first = hit["doc_at"] - hit["item_shift"]
-        theirs = F.transform(F.sequence(F.lit(0), F.size(hit["item_window"]) - 1), lambda i: F.get("doc_hashes", first + i))
-        equal = F.size(F.filter(F.zip_with(hit["item_window"], theirs, lambda a, b: a == b), lambda x: x))
-        return F.struct(hit["item_id"].alias("item_id"), hit["doc_at"].alias("doc_at"), hit["item_at"].alias("item_at"), hit["item_tokens"].alias("item_tokens"),
-                        equal.alias("matched"), F.size(hit["item_window"]).alias("wide"))
-
-    places = both.select(F.col("_ld_id").alias("doc_id"), F.inline(F.transform("hits", verify)))
-    once = places.filter(F.col("matched") >= F.lit(similarity) * F.col("wide")).distinct()
+    wanted = wanted.select(*row_key(doc_id, text), F.col(text).alias("text")).dropDuplicates(ROW_KEY)
+    wanted = wanted.select(*[F.col(c).alias(c + "_d") for c in ROW_KEY], token_hashes(F.col("text")).alias("doc_hashes"))
+    cut = F.transform(
+        F.sequence(F.lit(-1), F.floor(F.size("doc_hashes") / STRETCH).cast("int")),
+        lambda c: F.struct(c.alias("stretch_d"), F.slice("doc_hashes", F.greatest(c * STRETCH, F.lit(0)) + 1, F.lit(STRETCH + BLOCK + window)).alias("doc_part")),
+    )
+    pieces = wanted.select(*[c + "_d" for c in ROW_KEY], F.inline(cut))
+    same = [F.col(c).eqNullSafe(F.col(c + "_d")) for c in ROW_KEY]
+    met = hits.join(pieces, same[0] & same[1] & same[2] & (F.col("stretch") == F.col("stretch_d")))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.col("item_tokens") - F.col("wide")) / BLOCK).cast("int")),
+        lambda b: F.struct(b.alias("item_block"), F.slice("item_hashes", b * BLOCK + 1, F.col("wide") + (BLOCK - 1)).alias("item_part")),
+    )
+    theirs = items.filter("item_tokens > 0").select("item_no", "item_id", "item_tokens", "wide", F.inline(blocks))
+    met = met.join(small_side(theirs, 64, 8 * F.size("item_part"), limit_bytes), ["item_no", "item_block"])
+
+    # One step per projection, as an expression that is used twice is computed twice.
+    first = F.col("doc_from") - F.greatest(F.col("stretch") * STRETCH, F.lit(0))
+    equal = F.transform("item_part", lambda x, i: F.coalesce(F.get("doc_part", first + i) == x, F.lit(False)))
+    own = ["_ld_id", "item_id", "item_tokens", "wide", "item_block", "doc_from"]
+    sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("wide")), lambda b: F.size(F.filter(F.slice("equal", b + 1, F.col("wide")), lambda x: x)))
+    compared = met.select(*own, equal.alias("equal")).select(*own, "equal", sums.alias("sums"))
+    least = F.lit(similarity) * F.col("wide")
+    compared = compared.filter(F.array_max("sums") >= least)
+    good = F.filter(F.sequence(F.lit(0), F.size("sums") - 1), lambda b: F.get("sums", b) >= least)
+
+    def seen(s: Column) -> Column:
+        fits = [reduce(and_, [F.get("equal", s + n) for n, kept in enumerate(mask) if kept == "1"]) for mask in masks]
+        return reduce(or_, fits) & F.exists("good", lambda b: (b <= s) & (s + SPAN <= b + F.col("wide")))
+
+    places = F.filter(F.when(F.size("equal") >= SPAN, F.sequence(F.lit(0), F.size("equal") - SPAN)).otherwise(F.array().cast("array<int>")), seen)
+    compared = compared.select(*own, F.array_max("sums").alias("matched"), "equal", good.alias("good"))
+    compared = compared.select(*own, "matched", "good", places.alias("places"))
+    once = compared.select(
+        F.col("_ld_id").alias("doc_id"), "item_id", "item_tokens", "matched", "wide", "doc_from", "item_block",
+        F.explode(F.when(F.size("places") > 0, F.col("places")).otherwise(F.slice("good", 1, 1))).alias("s"),
+    )
+    once = once.withColumn("doc_at", F.col("doc_from") + F.col("s")).withColumn("item_at", BLOCK * F.col("item_block") + F.col("s"))
     return once.groupBy("doc_id", "item_id").agg(
         F.countDistinct("doc_at", "item_at").alias("n_hits"),
         F.max("item_tokens").cast("bigint").alias("item_tokens"),
@@ -106,17 +138,12 @@ def contaminated(
     )
 
 
-def _slice(hashes: str, at: str, window: int) -> list[Column]:
-    """The item's ``window`` tokens around a seed, kept inside the item, and how far before the seed they begin."""
-    size = F.size(hashes)
-    begin = F.greatest(
-        F.lit(0), F.least(F.col(at) - (window - SPAN) // 2, size - window)
-    )
-    return [
-        F.slice(hashes, begin + 1, F.lit(window)).alias("item_window"),
-        (F.col(at) - begin).alias("item_shift"),
-        size.alias("item_tokens"),
-    ]
+def _blocks_of(at: str) -> Column:
+    """Blocks of the item that hold position ``at``; a block also has the tokens that its last window reaches. Windows begin in one block only."""
+    own = F.floor(F.col(at) / BLOCK).cast("int")
+    last = F.floor((F.col("item_tokens") - F.col("wide")) / BLOCK).cast("int")
+    before = F.when((F.col(at) % BLOCK < F.col("wide") - 1) & (own > 0), own - 1)
+    return F.filter(F.array(F.when(own <= last, own), before), lambda b: b.isNotNull())
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
