@@ -160,3 +160,29 @@ def test_passages_at_any_place_of_an_item(spark, frame):
     got = contaminated(frame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
     want = overlaps_by_hand(rows, bench)
     assert len(want) == 61 and {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want
+
+
+def test_no_pattern_of_substitutions_is_missed(spark, frame):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    other = lambda n: [word() for _ in range(n)]
+    items = [other(n) for n in (200, 20, 19, 18, 17, 16, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5)]
+    rows = [(k, " ".join(other(5) + [w if n % 4 != k else "every" for n, w in enumerate(items[0])] + other(5))) for k in range(4)]
+    for n, item in enumerate(items):
+        for _ in range(25):
+            begin = rnd.randrange(len(item) - 19) if len(item) > 20 else 0
+            passage = item[begin : begin + 20]
+            rows.append((len(rows), " ".join(other(rnd.randrange(4)) + substituted(rnd, passage, len(passage) - -(-3 * len(passage) // 4)) + other(3))))
+        rows.append((len(rows), " ".join(substituted(rnd, item[:20], 1 + min(len(item), 20) // 4))))
+    bench = [(k, " ".join(x)) for k, x in enumerate(items)]
+    got = contaminated(frame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    want = overlaps_by_hand(rows, bench)
+    assert len(want) >= 4 + 25 * len(items) and {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want
+
+
+def test_items_of_few_tokens(spark, frame):
+    clauses = ["今天天气很好我们一起去公园散步吧", "他说明天还要再来"]
+    bench = [(0, "。".join(clauses)), (1, "yes"), (2, "New York"), (3, clauses[0] + "了")]
+    rows = [(0, "然后。" + "，".join(clauses) + "。"), (1, "yes, New York"), (2, clauses[1]), (3, clauses[0] + "了")]
+    got = contaminated(frame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (3, 3)}

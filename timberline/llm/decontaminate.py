@@ -1,8 +1,8 @@
-"""Benchmark decontamination by spaced seeds: fixed masks skip some token positions, so a hit survives substitutions.
+"""Benchmark decontamination: texts that share short runs with an item are compared with it, so a hit survives substitutions.
 
-DataFrame functions only. Seed hashes of training text are joined with those of the benchmark where the text is read, and only
-hits are kept, one per diagonal. Those documents' texts are then compared with the items token by token in every window
-of the hit's diagonal, where substituted tokens count as differences and not as ends.
+DataFrame functions only. Hashes of runs of training text are joined with those of the benchmark where the text is read; only
+diagonals that share enough of them are kept. Those documents' texts are then compared with the items token by token in every
+window of the diagonal, where substituted tokens count as differences and not as ends.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from timberline.llm.common import table
 from timberline.llm.line_dedup import ROW_KEY, row_key
 from timberline.session import BROADCAST_LIMIT_BYTES, small_side, stored
 
-#: Masks over nine tokens: 1 counts, 0 is ignored. Any two substituted neighbours are skipped by one of them.
+#: Masks over nine tokens: 1 counts, 0 is ignored. Places are counted by them; what is compared does not depend on them.
 MASKS = ("110110101", "101011011", "111001110")
 SPAN = 9
 #: Windows of an item that are compared together, by where they begin, and tokens of a document that a row holds.
 BLOCK, STRETCH = 64, 1024
+#: Items of fewer tokens count as whole copies, if they have so many letters and digits.
+FEW, FEW_LETTERS = 5, 16
 
 
 def tokens(text: Column) -> Column:
@@ -33,17 +35,28 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
 
-def _seeds(hashes: str, masks: tuple[str, ...]) -> Column:
-    """Seeds of all start positions, one per mask, in order; null where there are fewer tokens than a mask spans."""
-    starts = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN))
+def _least(wide: int, similarity: float) -> int:
+    """The fewest equal tokens of ``wide`` that are enough; a whole copy where there are fewer than ``FEW``."""
+    return wide if wide < FEW else next(k for k in range(wide + 1) if k >= similarity * wide)
+
+
+def _shape(wide: int, similarity: float) -> tuple[int, int, int]:
+    """Of windows of ``wide`` tokens: the equal tokens that are enough, the length of a run that each such window holds, and of how many.
+
+    The substituted tokens cut a window into one more stretch than they are, so the longest stretch has at least the mean length; and each
+    spoils no more runs than a run has tokens.
+    """
+    enough = max(_least(wide, similarity), 1)
+    run = max(wide // (wide - enough + 1), 1)
+    return enough, run, max(wide - run + 1 - (wide - enough) * run, 1)
+
+
+def _seeds(hashes: str, runs: list[int]) -> Column:
+    """Hashes of the runs that begin at each position, one per length, in order; null where a run does not fit in."""
+    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1))
 
     def at(i: Column) -> Column:
-        return F.array(
-            *[
-                F.xxhash64(F.lit(k), *[F.get(hashes, i + n) for n, kept in enumerate(mask) if kept == "1"])
-                for k, mask in enumerate(masks)
-            ]
-        )
+        return F.array(*[F.when(i + run <= F.size(hashes), F.xxhash64(F.lit(run), *[F.get(hashes, i + n) for n in range(run)])) for run in runs])
 
     return F.flatten(F.transform(starts, at))
 
@@ -62,30 +75,42 @@ def contaminated(
 ) -> DataFrame:
     """One row per document id and benchmark item that overlap: ``doc_id, item_id, n_hits, item_tokens, matched, overlap``.
 
-    A hit is a seed that both texts share. On its diagonal all windows of ``window`` tokens of the item (the whole item if shorter) are
-    compared: the pair counts if at least ``similarity`` of the tokens of one window are equal. ``overlap`` is the best share found,
-    ``matched`` the most equal tokens, ``n_hits`` the seeds that lie inside such a window.
+    The pair counts if, at any alignment, at least ``similarity`` of the tokens of one window of ``window`` item tokens (the whole item if
+    shorter) are equal. No such pair is missed: each window holds runs of equal tokens whose least length and number follow from the
+    similarity (three and three at 20 and 0.75), and all windows around diagonals with so many shared runs are compared. ``overlap`` is
+    the best share found, ``matched`` the most equal tokens, ``n_hits`` the places where all that ``masks`` keep is equal inside such a
+    window, or one for a window without any.
 
-    Null and empty texts and items of fewer than nine tokens match nothing. Rows that repeat an id are taken
-    together; a null id is an id of its own. Ties cannot arise. Other columns are ignored. Hits are narrow rows, one per document, item,
-    diagonal and block of ``BLOCK`` item tokens, and are never collected into lists; each meets a stretch of its document.
+    Null and empty texts match nothing. Items of fewer than ``FEW`` tokens count as whole copies only, and only where they have
+    ``FEW_LETTERS`` letters and digits, as others are in nearly every text. Rows that repeat an id are taken together; a null id is an id
+    of its own. Ties cannot arise. Other columns are ignored. Hits are narrow rows, one per document, item, diagonal and block of
+    ``BLOCK`` item tokens, and are never collected into lists; each meets a stretch of its document.
 
     Seeds of the benchmark are broadcast when their measured size is within ``limit_bytes``, and joined by shuffle beyond it.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("item_hashes"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.length(F.array_join(tokens(F.col(item_text)), "")).alias("letters"),
+                             token_hashes(F.col(item_text)).alias("item_hashes"))
     items = items.distinct().withColumn("item_no", F.monotonically_increasing_id())
     items = items.withColumn("item_tokens", F.size("item_hashes")).withColumn("wide", F.least(F.lit(window), "item_tokens"))
+    items = items.filter((F.col("item_tokens") >= FEW) | (F.col("item_tokens") > 0) & (F.col("letters") >= FEW_LETTERS))
+    shapes = F.array(*[F.struct(*map(F.lit, _shape(wide, similarity))) for wide in range(1, window + 1)])
+    items = items.withColumn("shape", F.get(shapes, F.col("wide") - 1))
+    items = items.select("item_id", "item_no", "item_hashes", "item_tokens", "wide", *[F.col(f"shape.col{k}").alias(c) for k, c in ((1, "enough"), (2, "run"), (3, "least_runs"))])
     items = stored(items, "items")
-    placed = items.select("*", F.posexplode(_seeds("item_hashes", masks)).alias("n", "seed"))
-    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(masks)).cast("int"))
-    parts = placed.select("seed", "item_no", "item_at", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
+    runs = sorted(r.run for r in items.select("run").distinct().collect()) or [1]
+    place = F.posexplode(_seeds("item_hashes", runs)).alias("n", "seed")
+    placed = items.select("*", place).filter(F.get(F.array(*map(F.lit, runs)), F.col("n") % len(runs)) == F.col("run"))
+    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(runs)).cast("int")).filter("seed is not null")
+    parts = placed.select("seed", "item_no", "item_at", "least_runs", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
     parts = small_side(parts, 48, limit_bytes=limit_bytes)
     # Positions leave a document as narrow rows; nothing of the text goes with them.
     hashed = docs.select(*row_key(doc_id, text), token_hashes(F.col(text)).alias("doc_hashes"))
-    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", masks)).alias("n", "seed"))
-    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(masks)).cast("int"))
-    hits = hits.select(*ROW_KEY, "item_no", "item_block", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = stored(hits, "hits")
+    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", runs)).alias("n", "seed"))
+    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(runs)).cast("int"))
+    hits = hits.groupBy(*ROW_KEY, "item_no", "item_block", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.first("least_runs").alias("least_runs")
+    )
+    hits = stored(hits.filter("n_runs >= least_runs").drop("n_runs", "least_runs"), "hits")
     # Where the block begins in the document, which may be before its first token.
     hits = hits.withColumn("doc_from", F.col("diagonal") + BLOCK * F.col("item_block"))
     hits = hits.withColumn("stretch", F.floor(F.col("doc_from") / STRETCH).cast("int"))
@@ -105,18 +130,17 @@ def contaminated(
         F.sequence(F.lit(0), F.floor((F.col("item_tokens") - F.col("wide")) / BLOCK).cast("int")),
         lambda b: F.struct(b.alias("item_block"), F.slice("item_hashes", b * BLOCK + 1, F.col("wide") + (BLOCK - 1)).alias("item_part")),
     )
-    theirs = items.filter("item_tokens > 0").select("item_no", "item_id", "item_tokens", "wide", F.inline(blocks))
+    theirs = items.select("item_no", "item_id", "item_tokens", "wide", "enough", F.inline(blocks))
     met = met.join(small_side(theirs, 64, 8 * F.size("item_part"), limit_bytes), ["item_no", "item_block"])
 
     # One step per projection, as an expression that is used twice is computed twice.
     first = F.col("doc_from") - F.greatest(F.col("stretch") * STRETCH, F.lit(0))
     equal = F.transform("item_part", lambda x, i: F.coalesce(F.get("doc_part", first + i) == x, F.lit(False)))
-    own = ["_ld_id", "item_id", "item_tokens", "wide", "item_block", "doc_from"]
+    own = ["_ld_id", "item_id", "item_tokens", "wide", "enough", "item_block", "doc_from"]
     sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("wide")), lambda b: F.size(F.filter(F.slice("equal", b + 1, F.col("wide")), lambda x: x)))
     compared = met.select(*own, equal.alias("equal")).select(*own, "equal", sums.alias("sums"))
-    least = F.lit(similarity) * F.col("wide")
-    compared = compared.filter(F.array_max("sums") >= least)
-    good = F.filter(F.sequence(F.lit(0), F.size("sums") - 1), lambda b: F.get("sums", b) >= least)
+    compared = compared.filter(F.array_max("sums") >= F.col("enough"))
+    good = F.filter(F.sequence(F.lit(0), F.size("sums") - 1), lambda b: F.get("sums", b) >= F.col("enough"))
 
     def seen(s: Column) -> Column:
         fits = [reduce(and_, [F.get("equal", s + n) for n, kept in enumerate(mask) if kept == "1"]) for mask in masks]
