@@ -31,13 +31,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).filter("not kept"))
+    """One document of each group of near copies stays: the one with the smallest id, then text hash; a null id is the largest.
+
+    Rows are told apart by id and text (``_keyed``), so null and repeated ids are decided row by row. Rows that are equal in both are one
+    document and stay once, with the least of their other columns. Different rows without words stay.
+    """
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.select("_row", "text"), doc_id="_row").groupBy(F.col("doc_id").alias("_row"))
+    found = stored(found.agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("copies")), "found")
+    # Only groups of several rows need ids again.
+    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component")
+    rank = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    rows = keyed.select("doc_id", "_row").distinct().join(found.join(groups, "component").select("_row", "component"), "_row")
+    rows = stored(rows.select("_row", "component", rank.alias("rank")), "ranked")
+    first = rows.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = rows.join(first, "component").filter("_row <> first.row")
+    left = _without(keyed, gone)
+    twice = stored(found.filter("copies > 1").select("_row"), "twice")
+    if not twice.isEmpty():
+        more = left.join(small_side(twice, 8), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one"))
+        left = _without(left, twice).select(*docs.columns).unionByName(more.select("one.*"))
+    return left.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold a passage of a benchmark item."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Rows go that hold a passage of a benchmark item, and no others that share their id, null or not."""
+    keyed = _keyed(docs)
+    found = contaminated(keyed.select("_row", "text"), table(spark, sf_dir, "benchmark"), doc_id="_row")
+    return _without(keyed, found.select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +68,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = small_side(gone.select(F.col("doc_id").alias("_gone")).distinct(), 16)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a 64-bit name of id, text and its size; a null id or text has a name of its own."""
+    empty = [F.col(c).isNull() for c in ("doc_id", "text")]
+    return docs.withColumn("_row", F.xxhash64(*empty, "doc_id", "text", F.octet_length("text")))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    return keyed.join(small_side(gone.select("_row").distinct(), 8), "_row", "left_anti")
 
 
 STAGES = [

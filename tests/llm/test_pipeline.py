@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import random
+
 from timberline.llm.quality_rules import judge_quality, train
 from timberline.session import stored
 
@@ -37,3 +39,22 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(rows(clean))
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(14)
+    other = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copied, passage, clean, near = other(40), other(30), other(40), other(80)
+    spark.createDataFrame([(0, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, copied), (None, copied), (None, clean), (7, other(30)), (7, other(30)), (8, clean + " x y z"), (9, "same " + copied[:99]), (9, "same " + copied[:99])]
+    rows += [(None, near), (None, near + " end"), (None, near + " close"), (None, other(50))]
+    rows += [(11, ""), (12, None), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, extra bigint")
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    got = [r.extra for r in left.collect()]
+    assert left.columns == docs.columns and len([k for k in got if k in (8, 9, 10)]) == 1
+    assert sorted(k for k in got if k not in (8, 9, 10)) == [0, 3, 4, 5, 6, 11, 12, 13, 14]
+
+    rows = [(None, other(9) + " " + passage), (None, clean), (None, clean), (4, other(5) + " " + passage), (4, clean), (6, None), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, extra bigint")
+    assert sorted(r.extra for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 2, 4, 5, 6]
