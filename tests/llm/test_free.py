@@ -309,6 +309,19 @@ def test_near_duplicates_of_odd_rows(spark, frame):
     assert minhash.near_duplicates(frame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark, frame):
+    rnd = random.Random(15)
+    text = lambda: ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(80)]
+    rows, want = [], {}
+    for k in range(20):
+        one, two = text(), text()
+        a, b, c = 10 * k + 5, 10 * k + 3, 10 * k + 8  # the near copies have a smaller and a larger id
+        rows += [(a, " ".join(one)), (a, " ".join(two)), (b, " ".join([*one[:-1], "end"])), (c, " ".join(["begin", *two[1:]]))]
+        want |= {x: (b, x == b) for x in (a, b, c)}
+    got = minhash.near_duplicates(frame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.component_id, r.kept) for r in got} == want
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(2)
     errors = []

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table
@@ -106,6 +106,11 @@ def _binary(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
+def set_names(sets: list[np.ndarray]) -> list[list[int]]:
+    """Two 64-bit sums per set, over differently mixed elements."""
+    return [[int(_mix(s ^ c).sum(dtype=np.uint64).view(np.int64)) for s in sets] for c in (_C2, _C3)]
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, n_shingles, h1, h2`` (a 128-bit name of the set) and ``bands``, null for empty sets."""
 
@@ -115,12 +120,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for begin, end, texts in groups_of(batch, 1, 500_000):
                 sets = shingle_sets(texts, known)
                 bands = lanes(super_minhash(sets)).view("<i8")
-                name = [[int(_mix(s ^ c).sum(dtype=np.uint64).view(np.int64)) for s in sets] for c in (_C2, _C3)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, end - begin),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        *[pa.array(x, pa.int64()) for x in name],
+                        *[pa.array(x, pa.int64()) for x in set_names(sets)],
                         pa.array([b if len(s) else None for s, b in zip(sets, bands)], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands"],
@@ -142,7 +146,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Of ``a, b`` those whose sizes allow the similarity and whose signatures are alike."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
 
@@ -155,22 +159,35 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> Dat
     return both.select("a", "b", "bands_a", "bands_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def shingles_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, shingles`` of the documents in ``ids`` (``_id``), made again from their texts and stored.
+def class_of() -> Column:
+    """A 64-bit name of a class of equal sets, from the set's 128-bit name and size; null for empty sets."""
+    return F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))
+
 
-    The texts are scanned, not shuffled, while the list of ids is small (measured).
+def shingles_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``cls, shingles`` of the classes in ``wanted`` (``cls``), made again from the texts of their ids and stored.
+
+    The texts are scanned, not shuffled, while the list of ids is small (measured). An id may have several texts; each names its own class.
     """
-    wanted = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).join(small_side(ids.distinct(), 16), F.col("doc_id") == F.col("_id"))
+    ids = classes.join(wanted.distinct(), "cls", "left_semi").select(F.col("rep").alias("_id")).distinct()
+    found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).join(small_side(ids, 16), F.col("doc_id") == F.col("_id"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for begin, end, texts in groups_of(batch, 1, 500_000):
-                found = [s.astype("<u8").tobytes() for s in shingle_sets(texts, known)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            for _, _, texts in groups_of(batch, 1, 500_000):
+                sets = shingle_sets(texts, known)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        *[pa.array(x, pa.int64()) for x in set_names(sets)],
+                        pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["n_shingles", "h1", "h2", "shingles"],
+                )
 
-    sets = wanted.select("doc_id", text).mapInArrow(make, "doc_id bigint, shingles binary")
-    return stored(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = found.select("doc_id", text).mapInArrow(make, "n_shingles bigint, h1 bigint, h2 bigint, shingles binary")
+    return stored(sets.select(class_of().alias("cls"), "shingles").filter("cls is not null").dropDuplicates(["cls"]), "sets")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
@@ -178,11 +195,11 @@ def _similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     return 100 * both >= hundredths * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     """Of ``a, b`` those whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
-    sets = shingles_of(ids, docs, doc_id, text)
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+    sets = shingles_of(wanted, classes, docs, doc_id, text)
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"set_{x}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,27 +238,27 @@ def contracted(links: DataFrame) -> DataFrame:
 def remaining_links(members: DataFrame, classes: DataFrame, groups: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     """Links ``a, b`` between components that share a bucket which the leaders left divided.
 
-    ``members`` has ``band, key, rep`` of buckets of four and more. Large buckets are dealt in blocks: each row meets each block of its
+    ``members`` has ``band, key, cls`` of buckets of four and more. Large buckets are dealt in blocks: each row meets each block of its
     bucket in a task of its own, so that no task holds a bucket. A task weighs signatures first, takes a pair up in the first band that it
     shares and verifies it on the full sets unless its own links already join the two; only links leave it, at most one per row.
     """
-    told = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = members.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     told = stored(told, "told")
     divided = told.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     divided = divided.filter("lo <> hi").select("band", "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = told.join(divided, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = told.join(divided, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = stored(rows, "divided")
-    sets = shingles_of(rows.select(F.col("rep").alias("_id")), docs, doc_id, text)
-    known = classes.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "bands", "shingles").dropDuplicates(["rep"])
+    sets = shingles_of(rows.select("cls"), classes, docs, doc_id, text)
+    known = classes.join(sets, "cls").select("cls", "bands", "shingles")
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.join(known, "rep").select(
-        "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "bands", "shingles"
+    dealt = dealt.join(known, "cls").select(
+        "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "component", "bands", "shingles"
     )
     hundredths = round(100 * similarity)
 
     def weigh(rows: pa.Table) -> pa.Table:
         band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
-        block, rep, part = (rows.column(c).to_numpy() for c in ("block", "rep", "component"))
+        block, cls, part = (rows.column(c).to_numpy() for c in ("block", "cls", "component"))
         bands = _matrix(rows.column("bands").combine_chunks())
         sig = np.ascontiguousarray(bands).view("<u2")
         full = rows.column("shingles").combine_chunks()
@@ -258,14 +275,14 @@ def remaining_links(members: DataFrame, classes: DataFrame, groups: DataFrame, d
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = []
         for x in left:
-            far = right[(part[right] != part[x]) & ((rep[right] > rep[x]) | (i != j))]
+            far = right[(part[right] != part[x]) & ((cls[right] > cls[x]) | (i != j))]
             far = far[100 * np.minimum(size[far], size[x]) >= hundredths * np.maximum(size[far], size[x])]
             far = far[(bands[far] == bands[x]).argmax(axis=1) == band]
             for y in far[(sig[far] == sig[x]).mean(axis=1) >= LIKELY]:
                 a, b = root(int(part[x])), root(int(part[y]))
                 if a != b and _similar(own[x], own[y], hundredths):
                     parent[max(a, b)] = min(a, b)
-                    links.append((int(rep[x]), int(rep[y])))
+                    links.append((int(cls[x]), int(cls[y])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(weigh, "a bigint, b bigint")
@@ -280,35 +297,41 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, doc_id: str = "do
     text but shares the component of an equal set; where there is none its component is null and it is kept. Ties go to the smaller id.
     Other columns are ignored.
     """
-    sigs = stored(signatures(docs, doc_id, text), "signatures")
-    name = ["h1", "h2", "n_shingles"]
-    reps = sigs.filter("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
-    named = stored(sigs.select("doc_id", *name).join(reps, name, "left"), "named")
-    firsts = reps.select(F.col("rep").alias("_rep"), *[F.col(c).alias("_" + c) for c in name]).filter("_rep is not null")
-    classes = sigs.join(firsts, [F.col("doc_id") == F.col("_rep"), *[F.col(c) == F.col("_" + c) for c in name]])
-    classes = stored(classes.select(F.col("_rep").alias("rep"), F.col("n_shingles").alias("n"), "bands"), "classes").distinct()
-
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    led = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("k"))
+    sigs = stored(signatures(docs, doc_id, text).withColumn("cls", class_of()), "signatures")
+    named = sigs.select("doc_id", "n_shingles", "cls")
+    reps = stored(named.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    firsts = reps.select(F.col("rep").alias("_rep"), F.col("cls").alias("_cls")).filter("_rep is not null")
+    classes = sigs.join(firsts, (F.col("doc_id") == F.col("_rep")) & (F.col("cls") == F.col("_cls")))
+    classes = classes.select("cls", F.col("_rep").alias("rep"), F.col("n_shingles").alias("n"), "bands")
+    classes = stored(classes, "classes").dropDuplicates(["cls"])
+
+    banded = classes.select("cls", F.posexplode("bands").alias("band", "key"))
+    led = banded.groupBy("band", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("k"))
     members = stored(banded.join(led.filter("k > 1"), ["band", "key"]), "members")
-    to_leaders = members.select("rep", F.explode(F.array("first", "last")).alias("leader")).filter("rep <> leader")
-    pairs = to_leaders.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    to_leaders = members.select("cls", F.explode(F.array("first", "last")).alias("leader")).filter("cls <> leader")
+    pairs = to_leaders.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     pairs = stored(likely_pairs(pairs, classes, similarity), "leaders")
-    # An id that stands for several classes (rows that repeat it) links them by being one node.
-    links = stored(verified(pairs, docs, doc_id, text, similarity), "links")
+    links = verified(pairs, classes, docs, doc_id, text, similarity)
+    # An id that stands on several classes (rows that repeat it) links them.
+    spans = named.filter("doc_id is not null and cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("last"))
+    spans = spans.filter("a <> last").select("doc_id", "a")
+    shared = named.join(small_side(spans, 16), "doc_id").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    links = stored(links.union(shared), "links")
     groups = stored(components(contracted(links)), "groups")
 
-    more = remaining_links(members.filter("k > 3").select("band", "key", "rep"), classes, groups, docs, doc_id, text, similarity)
+    more = remaining_links(members.filter("k > 3").select("band", "key", "cls"), classes, groups, docs, doc_id, text, similarity)
     more = stored(more, "more")
     if not more.isEmpty():
-        # What is known already comes in as one edge per document.
+        # What is known already comes in as one edge per class.
         known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
         groups = stored(components(contracted(more.union(known))), "groups")
-    return named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "rep", "doc_id")).alias("kept"),
+    # From classes to the smallest id that a component has.
+    placed = stored(reps.join(groups.withColumnRenamed("node", "cls"), "cls"), "placed")
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    label = reps.join(placed.join(least, "component").select("cls", "least"), "cls", "left")
+    component = F.coalesce("least", "rep", "doc_id")
+    return named.join(label.select("cls", "rep", "least"), "cls", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
