@@ -57,6 +57,36 @@ def test_conversations(spark, frame):
     assert chat_format.format_chats(frame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_templates_that_look_back_over_many_turns(spark, frame):
+    def system(turns):  # the first turn decides how all are marked
+        return "".join(f"{turns[0][1][:3]}<{r}>{t};" for r, t in turns)
+
+    def numbered(turns):
+        return "".join(f"{k}<{r}>{t};" for k, (r, t) in enumerate(turns))
+
+    def strict(turns):
+        if any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(turns)):
+            raise ValueError("roles alternate")
+        return "".join(f"<{r}>{t};" for r, t in turns)
+
+    def forgets(turns):  # what is a hundred turns back is cut
+        return "".join(f"<{r}>{t if k + 100 > len(turns) else '-'};" for k, (r, t) in enumerate(turns))
+
+    talk = [(("user", "assistant")[k % 2], f"text {k}") for k in range(131)]
+    rows = [(c, k, *x) for c, n in ((1, 65), (2, 131), (3, 3)) for k, x in enumerate(talk[:n])]
+    table = frame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for template in (system, numbered, strict, forgets):
+        got = {(r.conv_id, r.turn): (r.piece, r.text_begin, r.text_end, r.rewrites) for r in chat_format.format_chats(table, template).collect()}
+        assert got == {(c, k): chat_format.locate(template, talk[:k], talk[k]) for c, k, *_ in rows}
+        assert any(x[3] for x in got.values()) == (template is forgets)
+
+    def empties(turns):
+        return chat_format.turn_template([(r, t if k + 100 > len(turns) else "") for k, (r, t) in enumerate(turns)])
+
+    with pytest.raises(Exception, match="rewrites history"):
+        chat_format.chat_digests(chat_format.format_chats(table, empties)).collect()
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------
 
 

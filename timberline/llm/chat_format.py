@@ -47,6 +47,10 @@ def turn_template(turns: list[Turn]) -> str:
     return "<s>" + "".join(marked)
 
 
+#: The template says itself that a turn's span needs no other turn than the one before it; of others nothing is presumed.
+turn_template.local = True
+
+
 def parse_turn(piece: str) -> Turn:
     """Role and text read back from a turn's span."""
     found = _TURN.fullmatch(piece)
@@ -68,6 +72,34 @@ def locate(template: Template, history: list[Turn], turn: Turn) -> tuple[str, in
     return piece, min(head, len(piece)), max(len(piece) - tail, min(head, len(piece))), rewrites
 
 
+def spans_of(template: Template, turns: list[Turn], block_turns: int) -> list[tuple[str, int, int, bool]]:
+    """``locate`` for every turn of a conversation with all turns before it as history.
+
+    Beyond ``block_turns`` turns this is first tried with a block's history, begun with the turn before it. The spans so made have to be
+    the real output at 1, 2, 4, ... blocks and at the end, and at each block's first turn the span with the whole history;
+    where they are not, or a turn rewrites or fails, every turn is rendered after its whole history.
+    """
+    whole = lambda: [locate(template, turns[:k], turn) for k, turn in enumerate(turns)]
+    if len(turns) <= block_turns:
+        return whole()
+    out: list[tuple[str, int, int, bool]] = []
+    proof = block_turns
+    try:
+        for k, turn in enumerate(turns):
+            begin = k - k % block_turns
+            found = locate(template, turns[max(begin - 1, 0) : k], turn)
+            if found[3] or k and k == begin and found != locate(template, turns[:k], turn):
+                return whole()
+            out.append(found)
+            if k + 1 in (proof, len(turns)):
+                if template(turns[: k + 1]) != "".join(x[0] for x in out):
+                    return whole()
+                proof *= 2 if k + 1 == proof else 1
+    except Exception:  # a template may refuse a history that does not begin where the conversation does
+        return whole()
+    return out
+
+
 def _blocks(turns: DataFrame, block_turns: int) -> DataFrame:
     """``turns`` with their block, and in each later block of a conversation the turn before it as ``context``."""
     rows = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("bigint")).withColumn("context", F.lit(False))
@@ -103,16 +135,20 @@ def format_chats(
     the output before it; ``piece`` is then what follows their common beginning, and the pieces do not make up the final output.
 
     Turns are taken in order of ``turn`` (null first), then role and text, so ties and repeated rows have one order. Null roles and texts are
-    empty; a null id is a conversation of its own. Other columns are ignored. A conversation of any length goes through in blocks of ``block_turns``, each in
-    a task of its own with the turn before it as the template's history; a template may look further back within a block only.
+    empty; a null id is a conversation of its own. Other columns are ignored. Of a template nothing is presumed: a conversation is one list
+    in one task, and ``spans_of`` holds its spans against the real output. Only a template with a true ``local`` attribute, whose spans
+    need the turn before them at most, goes through in blocks of ``block_turns``, each in a task of its own.
     """
+    local = getattr(template, "local", False)
     kind = conversations.schema[conv_id].dataType.simpleString()
     own = conversations.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     order = ["conv_id", "block", F.desc("context"), "turn", "role", "text"]
-    ready = _blocks(own, block_turns).repartition("conv_id", "block").sortWithinPartitions(*order)
+    ready = _blocks(own, block_turns)
+    ready = ready.repartition("conv_id", "block") if local else ready.filter("not context").repartition("conv_id")
+    ready = ready.sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, history, nth = [], 0, [], 0
@@ -136,20 +172,43 @@ def format_chats(
                 out, size = [], 0
         yield batch()
 
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def conversation() -> Iterator[pa.RecordBatch]:
+            out, size, nth, last = [], 0, 0, None
+            for (conv, block, at, who, _), found in zip(rows, spans_of(template, [r[3:] for r in rows], block_turns)):
+                nth = nth + 1 if block == last else 0
+                last = block
+                out.append((conv, block, nth, at, who, *found))
+                size += len(found[0])
+                if size > 4_000_000 or len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+
+        for (conv,), new, (block, _, at, who, said) in _runs(batches, 1):
+            if new and rows:
+                yield from conversation()
+                rows = []
+            rows.append((conv, block, at, who, said))
+        if rows:
+            yield from conversation()
+
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = f"conv_id {kind}, block bigint, nth bigint, turn bigint, role string, piece string, text_begin bigint, text_end bigint, rewrites boolean"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     names = arrow.names
-    return ready.select("conv_id", "block", "context", "turn", "role", "text").mapInArrow(run, schema)
+    return ready.select("conv_id", "block", "context", "turn", "role", "text").mapInArrow(run if local else run_whole, schema)
 
 
 def chat_digests(pieces: DataFrame) -> DataFrame:
     """What can be read back from the pieces of ``turn_template``, per conversation.
 
     A digest of a text can only be made from its beginning to its end, so one task reads a conversation; it does so in
-    a stream, with one piece in memory, after Spark's sort.
+    a stream, with one piece in memory, after Spark's sort. Pieces that rewrite history do not make up the text: they are an error.
     """
     kind = pieces.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -166,7 +225,9 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in out], schema=arrow)
 
-        for (conv,), new, (piece, begin, end) in _runs(batches, 1):
+        for (conv,), new, (piece, begin, end, rewrites) in _runs(batches, 1):
+            if rewrites:
+                raise ValueError(f"conversation {conv}: the template rewrites history")
             if new:
                 if state:
                     close()
@@ -190,7 +251,7 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return ready.select("conv_id", "piece", "text_begin", "text_end").mapInArrow(run, schema)
+    return ready.select("conv_id", "piece", "text_begin", "text_end", "rewrites").mapInArrow(run, schema)
 
 
 def _with_sample(conversations: DataFrame) -> DataFrame:
