@@ -9,7 +9,10 @@ from timberline.llm.line_dedup import OP7_SQL, op7_line_dedup
 from timberline.llm.minhash import op9_minhash
 from timberline.llm.packing import op3_packing
 from timberline.llm.quality_rules import op4_quality_rules
+from timberline.llm.repair import OP12_SQL, op12_repair
 from timberline.llm.rule_ensemble import op6_rule_ensemble
+from timberline.llm.runs import op11_runs
+from timberline.llm.toxicity import op13_toxicity
 from timberline.llm.url_filter import OP2_SQL, op2_url_filter
 from timberline.llm.warc import OP10_SQL, op10_warc
 
@@ -24,6 +27,9 @@ REGISTRY = {
     "op8_decontaminate": op8_decontaminate,
     "op9_minhash": op9_minhash,
     "op10_warc": op10_warc,
+    "op11_runs": op11_runs,
+    "op12_repair": op12_repair,
+    "op13_toxicity": op13_toxicity,
 }
 SQL = {
     "op1_chat_format": OP1_SQL,
@@ -31,4 +37,5 @@ SQL = {
     "op7_line_dedup": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op12_repair": OP12_SQL,
 }
