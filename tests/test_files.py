@@ -215,12 +215,12 @@ def test_invalid_positions(spark, tmp_path):
     assert texts == ["ok", "��x", "é�"]
 
 
-def items_of(spark, folder, content, formats=None):
+def items_of(spark, folder, content, formats=None, scan_lines=None):
     lines = named(files.scan_log_lines(spark, write(folder, content)))
     ids = {name: i for i, name in enumerate(content)}
     lines = lines.join(spark.createDataFrame(list(ids.items()), "name STRING, source_id INT"), "name")
     lines = stored(files.line_positions(lines).withColumn("text", F.col("bytes").cast("string")))
-    inferred = assemble.infer_source_format(lines)
+    inferred = assemble.infer_source_format(lines, scan_lines)
     if formats:
         inferred = inferred.withColumn("format", F.coalesce(*[F.when(F.col("source_id") == ids[k], v) for k, v in formats.items()], F.col("format")))
     keyed = assemble.keyed_lines(lines.withColumn("text_bytes", F.octet_length("text")), inferred)
@@ -242,7 +242,7 @@ def test_assembled_files(spark, tmp_path):
         "late100": b"u\n" * 100 + dated(1) + b"c\n",
         "wrong": dated(1) + b"x\n" + dated(2),
     }
-    got = items_of(spark, tmp_path, content, {"dt004_named": "LOG-DT-004", "wrong": "LOG-DT-002"})
+    got = items_of(spark, tmp_path, content, {"dt004_named": "LOG-DT-004", "wrong": "LOG-DT-002"}, scan_lines=100)
     assert [(r["raw_text"].count("\n"), r["continuation_count"]) for r in got["continuation"]] == [(2, 2), (0, 0)]
     assert [r["key_ms"] is None for r in got["leading"]] == [True, True, False]
     assert [(r["raw_text"], r["confirmed"]) for r in got["open"]] == [("2026/07/28 15:12:21.123 m1\ntail\r", False)]
@@ -253,3 +253,6 @@ def test_assembled_files(spark, tmp_path):
     assert (len(got["late99"]), got["late99"][-1]["continuation_count"]) == (100, 1)
     assert (len(got["late100"]), {r["key_ms"] for r in got["late100"]}) == (102, {None})
     assert [(r["key_ms"], r["continuation_count"]) for r in got["wrong"]] == [(None, 0)] * 3
+    # By default all lines are looked at.
+    late = items_of(spark, tmp_path, {"late100": content["late100"]})["late100"]
+    assert (len(late), [r["continuation_count"] for r in late][-1], late[-1]["key_ms"] is None) == (101, 1, False)

@@ -11,7 +11,7 @@ from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators import assemble, changes, profiles, summary
 from timberline.session import small_side, stored
-from timberline.sources import files, store
+from timberline.sources import files, spans, store
 
 
 @dataclass
@@ -37,6 +37,10 @@ class OpenedLogs:
         decoded = files.decode_lines(_split(readable, self.encodings)[1], self.encodings).filter(F.size("bad_at") > 0)
         return decoded.groupBy("source_id").agg(F.sum(F.size("bad_at").cast("bigint")).alias("invalid_count"))
 
+    def resume_points(self) -> DataFrame:
+        """Per source what reading on from its last item needs, the columns of ``RESUME``: how it is decoded and parsed, and where that item begins."""
+        return _resume_points(self.encodings, self.formats, self.items)
+
     def item_lines(self) -> DataFrame:
         """Bodies as ordered lines, ``source_id, seq, line_no, text``: what search, extracts and ``assemble.bodies`` read.
 
@@ -51,9 +55,12 @@ def open_logs(
     data_sources: DataFrame,
     profile_table: DataFrame | None = None,
     default_codepage: int = 1252,
+    sizes_seen: DataFrame | None = None,
 ) -> OpenedLogs:
     """Open ``data_sources`` (``source_id, name, path, config_pos`` and optionally ``manual_profile, manual_format``).
 
+    With ``sizes_seen`` (``source_id, size``) a file counts as ending there, whatever it has grown by since.
+
     ``path`` is a file's plain path. The list of paths is what the driver hands to the reader. A source that cannot be read becomes a row of
     ``errors`` and does not stop the others.
     """
@@ -69,7 +76,12 @@ def open_logs(
     sizes = data_sources.select("source_id", "size")
     data_sources = data_sources.drop("size")
     paths = [path for _, path, _, _ in found if path]
-    lines = files.scan_log_lines(spark, paths, data_sources)
+    if sizes_seen is None:
+        lines = files.scan_log_lines(spark, paths, data_sources)
+    else:
+        sizes = sizes_seen.join(data_sources.select("source_id"), "source_id", "left_semi").select("source_id", "size")
+        seen = data_sources.join(sizes, "source_id").select("path", F.lit(0).cast("bigint").alias("start"), "size")
+        lines = files.scan_ends(seen, data_sources)
     if profile_table is None:
         resolved = data_sources.select(
             "source_id", F.lit("no_match").alias("route"), F.lit(None).cast("string").alias("profile_name")
@@ -96,39 +108,155 @@ def open_logs(
     return OpenedLogs(lines, assemble.items_of_parts(parts), formats, decided, resolved, errors.unionByName(unread), line_items, sizes)
 
 
-def snapshot_files(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """``source_id, size, mtime, file_id`` of the configured files that are there; ``before`` is the snapshot to compare with. Stored."""
+#: What a snapshot may carry besides, so that a reload can read on where the last one ended.
+RESUME = ("encoding", "codepage", "encoding_route", "bom_len", "warning", "error", "format", "format_route", "fell_back", "last_seq", "last_line", "last_offset")
+
+
+def _resume_points(encodings: DataFrame, formats: DataFrame, items: DataFrame) -> DataFrame:
+    last = items.groupBy("source_id").agg(F.max(F.struct("seq", "first_line", "raw_offset")).alias("last"))
+    decoded = encodings.select("source_id", "encoding", "codepage", F.col("route").alias("encoding_route"), "bom_len", "warning", "error")
+    parsed = formats.select("source_id", "format", F.col("route").alias("format_route"), "fell_back")
+    return decoded.join(parsed, "source_id").join(last, "source_id", "left").select(
+        "source_id", *RESUME[:-3], F.col("last.seq").alias("last_seq"), F.col("last.first_line").alias("last_line"), F.col("last.raw_offset").alias("last_offset")
+    )
+
+
+def _seen(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None, probe_bytes: int, direct: bool | None) -> DataFrame:
+    """``source_id, path, size, mtime, file_id, inside_id`` of the files that are there; ``inside_id`` is the identity within the former size. Stored."""
     given = [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()]
-    there = [path for _, path, _, _ in files.find_paths(spark, given) if path]
-    names = spark.createDataFrame([(p, files.qualified(spark, p)) for p in given], "path STRING, _path STRING")
-    ids = data_sources.join(names, "path").select("source_id", F.col("_path").alias("path"))
-    if not there:
-        return stored(ids.limit(0).select("source_id", F.lit(0).cast("bigint").alias("size"), F.current_timestamp().alias("mtime"), F.lit("").alias("file_id")), "snapshot")
-    previous = None if before is None else before.join(ids, "source_id").select("path", "size")
-    seen = files.with_identity(files.file_manifest(spark, there), files.scan_log_lines(spark, there), previous)
-    return stored(seen.join(ids, "path").select("source_id", "size", "mtime", "file_id"), "snapshot")
+    there = [(g, path, size, mtime) for g, path, _, size, mtime in files.file_status(spark, given) if path]
+    known = spark.createDataFrame(there, "path STRING, _path STRING, size BIGINT, _ms BIGINT")
+    now = stored(data_sources.select("source_id", "path").join(known, "path").select("source_id", F.col("_path").alias("path"), "size", F.timestamp_millis("_ms").alias("mtime")), "listed")
+    # A file is looked at within its size and, to tell whether it is still the same, within its former size; where these agree, once.
+    former = now.limit(0).select("source_id", "path", "size") if before is None else now.join(before.select("source_id", F.col("size").alias("_size")), "source_id").filter("size >= _size").select("source_id", "path", F.col("_size").alias("size"))
+    former = stored(former, "former")
+    sizes = now.select("path", "size").unionByName(former.select("path", "size")).distinct()
+    ranges = stored(spans.probe_ranges(sizes, probe_bytes), "ranges")
+    probed = stored(spans.probe(ranges.select("path", "start", "stop").distinct(), direct), "probed")
+    ids = spans.identities(ranges, probed)
+    inside = former.join(ids, ["path", "size"], "left").select("source_id", F.col("file_id").alias("inside_id"))
+    named = now.join(ids, ["path", "size"], "left").join(inside, "source_id", "left")
+    return stored(named.select("source_id", "path", "size", "mtime", "file_id", "inside_id"), "snapshot")
+
+
+def snapshot_files(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None = None, probe_bytes: int = spans.PROBE_BYTES, direct: bool | None = None) -> DataFrame:
+    """``source_id, size, mtime, file_id`` of the configured files that are there; ``before`` is the snapshot to compare with. Stored.
+
+    The identity is made of the first and the last ``probe_bytes`` of a file, so a check reads two probes of a file that is as long as it was, and four at most.
+    With ``before`` only bytes inside the former size count: a file that grew keeps its identity and one that was replaced does not, unless it begins and,
+    up to the former size, ends the same. An empty file and one that is shorter than before have none. Times are not compared.
+    """
+    seen = _seen(spark, data_sources, before, probe_bytes, direct)
+    if before is None:
+        return seen.select("source_id", "size", "mtime", "file_id")
+    known = seen.join(before.select("source_id", F.lit(True).alias("_known")), "source_id", "left")
+    return known.select("source_id", "size", "mtime", F.when(F.col("_known"), F.col("inside_id")).otherwise(F.col("file_id")).alias("file_id"))
 
 
 def reload_files(
-    spark: SparkSession, data_sources: DataFrame, items_path: str, status: DataFrame, before: DataFrame, profile_table: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+    spark: SparkSession, data_sources: DataFrame, items_path: str, status: DataFrame, before: DataFrame, profile_table: DataFrame | None = None,
+    probe_bytes: int = spans.PROBE_BYTES, direct: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Compare the files with the snapshot ``before``, read again what grew or is new, and return the new status and snapshot.
 
     Items of rebuilt sources are appended to the store at ``items_path`` under their next generation. Shrunk, replaced and deleted sources are emptied;
     unchanged ones are not touched. A new source enters with generation 1. Both results are stored.
+
+    The snapshot that is returned is the one the verdicts rest on, and files are read up to its sizes: what is appended meanwhile is found the next time. If ``before`` has the columns
+    ``RESUME`` (join it with ``OpenedLogs.resume_points``; a snapshot that comes back has them again), sources that grew are read from their last item on, and only
+    the items from there are stored; where a line that is no UTF-8 makes an earlier choice of encoding wrong, the whole source is read.
     """
-    # Identity is compared inside the former length; what is kept for next time covers the whole file.
-    verdicts = stored(changes.compare_snapshots(before, snapshot_files(spark, data_sources, before), "source_id"), "verdicts")
+    seen = _seen(spark, data_sources, before, probe_bytes, direct)
+    resumes = "last_offset" in before.columns
+    was = before.select("source_id", F.lit(True).alias("_known"))
+    inside = seen.join(was, "source_id", "left").withColumn("file_id", F.when(F.col("_known"), F.col("inside_id")).otherwise(F.col("file_id")))
+    verdicts = stored(changes.compare_snapshots(before, inside, "source_id"), "verdicts")
     unknown = verdicts.filter(F.col("verdict") == "New").join(status, "source_id", "left_anti")
     fresh = unknown.select("source_id", F.lit(0).cast("bigint").alias("generation"), F.lit("Loaded").alias("status"), F.lit(None).cast("string").alias("change_kind"))
     asked = verdicts.withColumn("verdict", F.when(F.col("verdict") == "New", "Appended").otherwise(F.col("verdict")))
     again = data_sources.join(asked.filter("verdict = 'Appended'").select("source_id"), "source_id", "left_semi")
     known = status.select(*fresh.columns).unionByName(fresh)
+    snapshot = seen.select("source_id", "size", "mtime", "file_id")
+    points = before.select("source_id", *RESUME) if resumes else None
     if again.isEmpty():
         after = changes.reload_status(known, asked)
-    else:
-        after = store.reload(items_path, open_logs(spark, again, profile_table).items, known, asked)
-    return stored(after, "status"), snapshot_files(spark, data_sources)
+        return stored(after, "status"), stored(snapshot if points is None else snapshot.join(points, "source_id", "left"), "snapshot")
+    ends = None
+    if resumes:
+        # Emptied sources hold no items to go on from.
+        loaded = status.filter(F.col("status") == "Loaded").select("source_id")
+        grown = asked.filter("verdict = 'Appended'").select("source_id").join(loaded, "source_id", "left_semi")
+        wanted = seen.select("source_id", "path", "size").join(grown, "source_id", "left_semi").join(points, "source_id").filter("last_offset is not null and error is null")
+        ends = stored(wanted, "ends")
+    rebuilt, made = [], []
+    if ends is not None and not ends.isEmpty():
+        items, sure = _read_on(spark, ends, direct)
+        rebuilt.append(items)
+        made.append(sure)
+        ends = sure.select("source_id", F.col("from_seq"))
+        again = again.join(sure.select("source_id"), "source_id", "left_anti")
+    if not again.isEmpty():
+        opened = open_logs(spark, again, profile_table, sizes_seen=seen.select("source_id", "size"))
+        rebuilt.append(opened.items)
+        made.append(opened.resume_points())
+    items = rebuilt[0] if len(rebuilt) == 1 else rebuilt[0].unionByName(rebuilt[1])
+    after = store.reload(items_path, items, known, asked, ends)
+    if resumes:
+        told = made[0].select("source_id", *RESUME) if len(made) == 1 else made[0].select("source_id", *RESUME).unionByName(made[1].select("source_id", *RESUME))
+        told = stored(told, "points")
+        points = points.join(told.select("source_id"), "source_id", "left_anti").unionByName(told)
+        snapshot = snapshot.join(points, "source_id", "left")
+    return stored(after, "status"), stored(snapshot, "snapshot")
+
+
+def _read_on(spark: SparkSession, ends: DataFrame, direct: bool | None) -> tuple[DataFrame, DataFrame]:
+    """Items of grown sources from their last one on, and what the next reload needs, with ``from_seq``. Sources whose encoding may change are left out.
+
+    The last item is made again, as it may go on. Lines before it are not read: all that they say about those that follow is the choice of encoding and format.
+    """
+    wanted = ends.select("path", F.col("last_offset").alias("start"), "size")
+    named = ends.select("source_id", "path", F.lit("").alias("name"), F.lit(0).alias("config_pos"))
+    lines = files.scan_ends(wanted, named, direct)
+    # All lines were UTF-8 so far; one that is not makes the file one of the default code page.
+    doubtful = ends.filter("encoding_route = 'utf8_valid'").select("source_id")
+    bad = stored(lines.filter(~F.col("valid8")).select("source_id").distinct().join(doubtful, "source_id", "left_semi"), "bad")
+    sure = ends.join(bad, "source_id", "left_anti")
+    lines = lines.join(small_side(bad, 8), "source_id", "left_anti")
+    decided = stored(sure.select("source_id", "encoding", "codepage", F.col("encoding_route").alias("route"), "bom_len", "warning", "error"), "encodings")
+    narrow = stored(_sized(lines, decided), "marked")
+    inferred = assemble.infer_source_format(narrow).select("source_id", F.col("format").alias("_format"), F.col("fell_back").alias("_fell_back"))
+    # A format that is decided stays. One line that decides is enough, and before it all were undated.
+    choice = sure.join(inferred, "source_id", "left")
+    is_open = F.col("format").isNull() & ~F.col("fell_back") & (F.col("format_route") == "auto")
+    formats = choice.select(
+        "source_id", F.when(is_open, F.col("_format")).otherwise(F.col("format")).alias("format"), F.col("format_route").alias("route"),
+        F.when(is_open, F.coalesce("_fell_back", F.lit(False))).otherwise(F.col("fell_back")).alias("fell_back"),
+    )
+    formats = stored(formats, "formats")
+    items = assemble.items_of_parts(assemble.item_parts(_numbered(narrow, formats)))
+    shift = small_side(sure.select("source_id", "last_seq", "last_line", "last_offset"), 32)
+    # The offsets of a range begin at its first byte; the BOM before the first line was counted there already.
+    moved = items.join(shift, "source_id").withColumns(
+        {"seq": F.col("seq") + F.col("last_seq"), "first_line": F.col("first_line") + F.col("last_line") - 1, "raw_offset": F.col("raw_offset") + F.col("last_offset")}
+    )
+    items = stored(moved.select(*items.columns), "items")
+    points = _resume_points(decided, formats, items).join(sure.select("source_id", F.col("last_seq").alias("from_seq")), "source_id")
+    return items, stored(points, "points")
+
+
+def bodies_from_files(items: DataFrame, data_sources: DataFrame, encodings: DataFrame, direct: bool | None = None) -> DataFrame:
+    """``source_id, seq, raw_text`` of the items of a page or a result, read from their files by place, as no copy of the text is needed.
+
+    ``items`` is index rows (``source_id, seq, raw_offset, raw_len``), ``encodings`` is ``source_id, codepage, bom_len``. A body whose bytes are not there any more is NULL.
+    """
+    chosen = items.join(data_sources.select("source_id", "path"), "source_id").join(encodings.select("source_id", "codepage", "bom_len"), "source_id")
+    # A BOM that belongs to the text lies before the first item, whose offset is 0 and whose length counts it.
+    spans_of = chosen.select("source_id", "seq", "path", F.col("raw_offset").alias("start"), (F.col("raw_offset") + F.col("raw_len")).alias("stop"), "codepage")
+    read = spans.read_spans(spans_of, direct)
+    needs_codec = F.col("codepage").isNotNull() | ~enc.valid_utf8(F.col("data"))
+    decoded = read.withColumn("_decoded", enc.decode_codepage(F.when(needs_codec, F.col("data")), F.coalesce("codepage", F.lit(65001))))
+    text = F.coalesce("_decoded.text", enc.utf8_text(F.col("data")))
+    return decoded.select("source_id", "seq", F.when(F.col("data").isNotNull(), F.replace(text, F.lit("\r\n"), F.lit("\n"))).alias("raw_text"))
 
 
 def _numbered(lines: DataFrame, formats: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators.prefix import running
 from timberline.session import small_side, stored
+from timberline.sources import spans
 
 
 def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: DataFrame | None = None) -> DataFrame:
@@ -28,11 +29,31 @@ def scan_log_lines(spark: SparkSession, paths: str | list[str], data_sources: Da
     With ``data_sources`` the lines carry ``source_id, label, config_pos`` in place of ``path``, as from
     :func:`scan_configured_sources`, without a second join.
     """
-    raw = spark.read.option("lineSep", "\n").text(paths).select(
+    read = spark.read.option("lineSep", "\n").text(paths).select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
+        "value",
+    )
+    return placed_lines(read, data_sources)
+
+
+def scan_ends(wanted: DataFrame, data_sources: DataFrame | None = None, direct: bool | None = None) -> DataFrame:
+    """What :func:`scan_log_lines` gives, of files from a line's first byte on: ``wanted`` is ``path, start, size``.
+
+    The file counts as ending at ``size``, whatever was appended since. ``line_no`` counts from that first line. Bytes before ``start`` are not read.
+    """
+    return placed_lines(spans.read_lines(wanted, direct=direct), data_sources)
+
+
+def placed_lines(read: DataFrame, data_sources: DataFrame | None = None) -> DataFrame:
+    """Lines as a reader gives them, ``path, file_size, split_start, row_id, value``, numbered and stored. Row ids follow the order inside a split."""
+    raw = read.select(
+        "path",
+        "file_size",
+        "split_start",
+        "row_id",
         F.octet_length("value").alias("size"),
         F.endswith("value", F.lit("\r")).alias("ends_in_cr"),
         F.is_valid_utf8("value").alias("valid8"),
@@ -97,21 +118,43 @@ def qualified(spark: SparkSession, path: str) -> str:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(target).toString()
 
 
-def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None, int | None]]:
-    """``given, path, error, size`` of configured paths: the file system's own spelling and the size, or why a file cannot be read."""
-    conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
-    for given in paths:
+def file_status(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None, int | None, int | None]]:
+    """``given, path, error, size, mtime`` (ms) of configured paths: the file system's own spelling, size and time, or why a file cannot be read.
+
+    Nothing is opened. Of folders with many configured files the listing is asked for once, of others each file.
+    """
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    targets = [(given, jvm.Path(given)) for given in paths]
+    listed: dict[str, dict[str, object]] = {}
+    folders: dict[str, list] = {}
+    for _, target in targets:
+        if target.getParent() is not None:
+            folders.setdefault(target.getParent().toString(), []).append(target)
+    for folder, inside in folders.items():
+        if len(inside) >= 16:
+            try:
+                some = inside[0].getFileSystem(conf).listStatus(inside[0].getParent())
+                listed[folder] = {s.getPath().getName(): s for s in some}
+            except Exception:  # each file is asked for then, and says why it cannot be read
+                continue
+    found = []
+    for given, target in targets:
+        folder = target.getParent().toString() if target.getParent() is not None else ""
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(given)
-            status = target.getFileSystem(conf).getFileStatus(target)
-            found.append((given, status.getPath().toString(), None, status.getLen()))
+            status = listed.get(folder, {}).get(target.getName()) or target.getFileSystem(conf).getFileStatus(target)
+            found.append((given, status.getPath().toString(), None, status.getLen(), status.getModificationTime()))
         except Exception as error:  # whatever the store says, the other sources go on
             cause = getattr(error, "java_exception", None)
             reason = cause.getClass().getSimpleName() if cause is not None else type(error).__name__
-            found.append((given, None, "NOT_FOUND" if reason == "FileNotFoundException" else f"UNREADABLE: {reason}", None))
+            found.append((given, None, "NOT_FOUND" if reason == "FileNotFoundException" else f"UNREADABLE: {reason}", None, None))
     return found
 
 
+def find_paths(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None, int | None]]:
+    """``given, path, error, size`` of configured paths, as in :func:`file_status`."""
+    return [found[:4] for found in file_status(spark, paths)]
+
+
 def file_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, size, mtime`` of every file, empty ones included; contents are not read.
 
