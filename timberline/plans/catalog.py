@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators import assemble, changes, profiles, ranges, search, summary, timeline
-from timberline.plans import derive
+from timberline.plans import derive, ingest
 from timberline.plans.derive import table
 from timberline.session import fresh_path, stored
-from timberline.sources import files, store
+from timberline.sources import files, search_store, store, timeline_store
 from timberline.streaming.assemble import StreamAssembler
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,6 +529,37 @@ def resync_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("position", "source_id", "seq", F.lit(generation).alias("generation"))
 
 
+@query
+def reload_reads_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grew, read from their last item on; the items of all generations put together."""
+    was, now = (stored(derive.sources_in(spark, root), "configured") for root in derive.write_growing_files(spark, sf_dir))
+    seen, path = ingest.snapshot_files(spark, was), fresh_path(spark, "items")
+    opened = ingest.open_logs(spark, was, sizes_seen=seen)
+    store.write_items(opened.items, path)
+    status = was.select("source_id", F.lit(1).cast("bigint").alias("generation"), F.lit("Loaded").alias("status"), F.lit(None).cast("string").alias("change_kind"))
+    before = stored(seen.join(opened.resume_points(), "source_id", "left"), "before")
+    after, _ = ingest.reload_files(spark, now, path, status, before)
+    return store.read_items(spark, path, after)
+
+
+@query
+def resync_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored view brought up to date: sources 1 and 5 grew since, 4 was closed. Items that a source gained are made from the last one on."""
+    lines = stored(assemble.mark_lines(derive.log_lines(spark, sf_dir)), "marked")
+    sources, path = stored(derive.source_table(spark, sf_dir), "sources"), fresh_path(spark, "view")
+    was, _, _ = derive.grown_sources(lines)
+    formats = stored(assemble.infer_source_format(lines), "formats")
+    before, items = (stored(assemble.assemble_items(some, formats), "items") for some in (was, lines))
+    timeline_store.write_view(before, sources, path, piece_rows=1 << 12)
+    grown = F.col("source_id").isin(1, 5)
+    last = stored(before.filter(grown).groupBy("source_id").agg(F.max("seq").alias("from_seq")), "last")
+    closed = sources.filter("source_id = 4").select("source_id", F.lit(0).cast("bigint").alias("from_seq"))
+    added = items.join(last, "source_id").filter("seq >= from_seq").drop("from_seq")
+    timeline_store.update_view(spark, path, last.unionByName(closed), added, sources, piece_rows=1 << 12)
+    view, _ = timeline_store.read_view(spark, path)
+    return view.select("position", "source_id", "seq", "key_ms")
+
+
 @query
 def timeline_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = derive.supplier_status(spark, sf_dir)
@@ -555,6 +586,16 @@ def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_text(_items_and_lines(spark, sf_dir)[1], "at frame 3")
 
 
+@query
+def filter_text_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two needles, one in capitals, looked for by the signatures of stored blocks."""
+    items, lines = _items_and_lines(spark, sf_dir)
+    items, path = stored(items, "items"), fresh_path(spark, "search")
+    search_store.write_search(lines, path)
+    found = [search_store.find_text(spark, path, needle, items, fold).withColumn("needle", F.lit(needle)) for needle, fold in (("at frame 3", False), ("USER=77 ", True))]
+    return found[0].unionByName(found[1])
+
+
 @query
 def filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lines = _items_and_lines(spark, sf_dir)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from timberline.functions.datetime import FORMATS
 from timberline.operators.prefix import running
 from timberline.plans import fixtures
-from timberline.session import fresh_path, small_side
+from timberline.session import fresh_path, small_side, stored
+from timberline.sources.files import plain_path
 
 SOURCES = 6
 
@@ -276,6 +277,23 @@ def encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("text", F.concat(F.coalesce(lead, F.unhex(F.lit(""))), data).cast("string"))
 
 
+def write_growing_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Event lines as files of at most 65,536 lines, as they were and as they are: of sources 1 modulo 3 the first half of the lines, then all."""
+    lines = _by_file(log_lines(spark, sf_dir))
+    lines = stored(lines.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source_id", "file_no"))), "growing")
+    place = (F.col("line_no") - 1) % FILE_LINES + 1
+    grows = (F.col("file_no") * SOURCES + F.col("source_id")) % 3 == 1
+    was = lines.filter(~grows | (place <= F.shiftright("n", 1)))
+    return tuple(_write_files(spark, some, ["source_id", "file_no"], ["line_no"], lineSep="\n") for some in (was, lines))
+
+
+def sources_in(spark: SparkSession, root: str) -> DataFrame:
+    """A configured source for each file under ``root``."""
+    paths = spark.read.text(root).select(plain_path(F.col("_metadata.file_path")).alias("path")).distinct()
+    number = file_source_id(F.col("path"))
+    return paths.select("path", number.alias("source_id"), number.alias("config_pos"), F.concat(F.lit("app-"), number.cast("string")).alias("name"))
+
+
 def write_encoded_files(spark: SparkSession, sf_dir: str) -> str:
     return _write_files(spark, encoded_lines(spark, sf_dir), ["source_id"], ["doc_id", "k"], lineSep="\n")
 

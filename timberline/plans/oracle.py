@@ -670,6 +670,28 @@ FROM items WHERE source_id IN (0, 1, 5)""",
 C.add("loaded_items", "SELECT * FROM items WHERE source_id % 4 <> 1", "items")
 C.add("resynced", _MERGED.format(items="loaded_items"), "loaded_items", "sources")
 SQL["resync_timeline"] = C.query("SELECT position, source_id, seq, 2 AS generation FROM resynced", "resynced")
+C.add(
+    "grown_lines",
+    """SELECT source_id, line_no, text, CAST(strlen(text) AS INTEGER) AS raw_len, TRUE AS confirmed, count(*) OVER (PARTITION BY source_id) AS n,
+       CAST(sum(strlen(text) + 1) OVER (PARTITION BY source_id ORDER BY line_no) - strlen(text) - 1 AS BIGINT) AS raw_offset FROM file_lines""",
+    "file_lines",
+)
+C.add("grown_formats", _infer("grown_lines"), "grown_lines")
+C.add("grown_keyed", _keyed("grown_lines", "grown_formats"), "grown_lines", "grown_formats")
+C.add("grown_numbered", _assembled("grown_keyed"), "grown_keyed")
+C.add("grown_items", _ITEMS.format(lines="grown_numbered"), "grown_numbered")
+SQL["reload_reads_on"] = C.query(
+    """SELECT i.source_id, CAST(CASE WHEN i.source_id % 3 = 1 AND n > 1 THEN 2 ELSE 1 END AS BIGINT) AS generation, seq, key_ms, first_line, continuation_count, raw_offset, raw_len,
+       confirmed, body_bytes FROM grown_items i JOIN (SELECT source_id, count(*) AS n FROM grown_lines GROUP BY source_id) USING (source_id)""",
+    "grown_items",
+    "grown_lines",
+)
+SQL["resync_ranges"] = C.query(
+    f"""SELECT row_number() OVER (ORDER BY coalesce(key_ms, {_LONG_MIN}), source_ordinal, seq) - 1 AS position, source_id, seq, key_ms
+FROM items JOIN sources USING (source_id) WHERE source_id <> 4""",
+    "items",
+    "sources",
+)
 C.add("pairs", "SELECT source_id, generation FROM supplier_status WHERE status IN ('Loaded', 'CancelledPartial')", "supplier_status")
 C.add(
     "recorded",
@@ -695,6 +717,11 @@ LEFT JOIN manifest_old o ON o.path = n.path ORDER BY source_id""",
 # --- filters
 
 SQL["filter_text"] = C.query("SELECT source_id, seq, raw_text FROM items WHERE contains(raw_text, 'at frame 3')", "items")
+SQL["filter_text_signed"] = C.query(
+    """SELECT source_id, seq, raw_text, 'at frame 3' AS needle FROM items WHERE contains(raw_text, 'at frame 3')
+UNION ALL SELECT source_id, seq, raw_text, 'USER=77 ' FROM items WHERE contains(lower(raw_text), 'user=77 ')""",
+    "items",
+)
 SQL["filter_regex"] = C.query(
     r"SELECT source_id, seq, raw_text FROM items WHERE regexp_matches(raw_text, 'user=[0-9]*7 v=[1-3][0-9]{2}\b')", "items"
 )
