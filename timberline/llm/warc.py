@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,16 +88,16 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     """
     marked = mark_revisits(pages.select(page_id, F.col(url).alias("url"), html), page_id, html, min_bytes)
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow keeps ids as whole numbers, null or not.
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if pd.isna(x) else int(x) for x in batch["page_id"]]
-            firsts = [None if pd.isna(x) else int(x) for x in batch["refers_to"]]
-            rows = zip(ids, batch["url"], batch["payload"], batch["digest"], firsts)
-            yield pd.DataFrame({"member": [record_bytes(i, u if isinstance(u, str) else None, bytes(p), d, f) for i, u, p, d, f in rows]})
+            rows = zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")))
+            made = [record_bytes(*(x.as_py() for x in row)) for row in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
     if files:
         marked = marked.repartition(files)
-    written = marked.mapInPandas(members, "member binary")
+    written = marked.mapInArrow(members, "member binary")
     # The text writer passes bytes on as they are; the separator is written in Latin-1, byte for byte.
     written.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
         "lineSep", _BETWEEN.decode("latin-1")
@@ -120,6 +121,34 @@ def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int] | No
     return b"".join(out), min(at, len(data)) - len(gz.unused_data)
 
 
+def _sound_beginning(data: bytes, at: int) -> tuple[list[tuple[dict, bytes] | None], int]:
+    """What can be saved of the damaged member at ``at``: responses in front of the damage whose digest holds, None for what lies between them, and where the last ends.
+
+    Nothing else is taken: without the check sum of the whole member only a digest tells that a record is as it was.
+    """
+    gz, out, reached, step, begin = zlib.decompressobj(31), bytearray(), [], 1 << 12, at
+    while at < len(data) and not gz.eof:
+        before = gz.copy() if step > 1 else None
+        try:
+            out += gz.decompress(data[at : at + step])
+        except zlib.error:
+            if step == 1:
+                break
+            # Once more, byte by byte up to the one at which decoding fails.
+            gz, step = before, 1
+            continue
+        at = min(at + step, len(data))
+        reached.append((len(out), at))
+    saved: list[tuple[dict, bytes] | None] = []
+    last, end = 0, begin
+    for _, stop, fields, block in _plain_records(bytes(out)):
+        proven = fields is not None and fields.get("warc-type") == "response" and fields.get("warc-payload-digest", "").startswith("sha1:")
+        saved.append((fields, block) if proven else None)
+        if proven:
+            last, end = len(saved), next(place for size, place in reached if size >= stop)
+    return saved[:last], end
+
+
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     """The record at ``at``: its fields, its block and its end, if version line, head, length and ending hold."""
     if not _VERSION.match(data, at):
@@ -174,7 +203,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None]]
     """``begin, end, fields, block`` over an archive's bytes, gzip members or plain; gaps have no fields.
 
     After a failed check the search goes on at the next byte that begins a valid member or a version line. Records inside
-    a gzip member carry the member's place. Bytes that nothing accounts for come out as gaps, so that all places
+    a gzip member carry the member's place. Of a damaged member the responses before the damage are saved, if their digest holds; what lay
+    between them comes out as gaps of the same place. Bytes that nothing accounts for come out as gaps, so that all places
     together cover the file once.
     """
     at = gap = 0
@@ -195,6 +225,17 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None]]
                     yield at, end, fields, block
             at = gap = end
             continue
+        if data.startswith(_MAGIC, at):
+            saved, end = _sound_beginning(data, at)
+            if saved:
+                if gap < at:
+                    yield gap, at, None, None
+                for one in saved:
+                    yield at, end, *(one or (None, None))
+                at = gap = end
+                # The rest of the damaged member is searched from its first byte.
+                if data.startswith(_MAGIC, at) or _VERSION.match(data, at):
+                    continue
         if version <= at:
             line = _VERSION.search(data, at + 1)
             version = line.start() if line else len(data)
@@ -211,7 +252,7 @@ def read_warc(spark: SparkSession, path: str, with_block: bool = True) -> DataFr
     """Records and quarantined gaps of all archives under ``path``, as ``READ_SCHEMA`` says.
 
     ``record_type`` is ``gap`` for bytes that no valid record accounts for: log or store them by file, begin and end. A file is
-    the unit of work and is read whole, so archives should be kept to some hundred MB, as is usual. Empty files give no row.
+    the unit of work and is read whole, so archives should be kept to some hundred MB, as is usual; Spark's reader refuses files over 2 GB. Empty files give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -244,12 +285,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    back = read_warc(spark, path, with_block=False).filter("record_type <> 'gap'")
+    back = read_warc(spark, path, with_block=False)
+    # An archive that was just written has no damaged stretch: one that turns up is an error that names it.
+    damage = F.raise_error(F.concat_ws(" ", F.lit("damaged bytes in"), "file", "begin", "end"))
     return back.select(
         number("record_id").try_cast("bigint").alias("page_id"),
         "payload_bytes",
         "payload_digest",
-        "record_type",
+        F.when(F.col("record_type") == "gap", damage).otherwise(F.col("record_type")).alias("record_type"),
         number("refers_to").try_cast("bigint").alias("refers_to"),
     )
 
