@@ -109,3 +109,13 @@ def test_query_holds_on_unseen_rows(spark):
     share = {r["toxic"]: r["share"] for r in told}
     assert share[1] > 0.85 and share[0] < 0.01
     assert op13_toxicity(spark, big).count() == table(spark, big, "documents").count()
+
+
+def test_other_samples_are_bounded_in_rows(spark):
+    from timberline.llm.quality_rules import training_sample
+
+    docs = spark.range(30_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, None), (2, "b b"), (3, "c")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id bigint, quality int")
+    x, y = training_sample(docs, labels)
+    assert len(x) == 2 and sorted(y) == [0, 1]

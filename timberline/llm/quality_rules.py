@@ -23,12 +23,15 @@ MIN_WORDS = 10
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """``RATES`` and labels of at most ``most`` labelled documents, the first by hash of their id.
 
-    Rows without label or id are left out; of labels that repeat an id the largest counts. Only the sample's ids, at
-    most ``most``, are broadcast, and only its statistics come to the driver.
+    Rows without label or id are left out; of labels that repeat an id the largest counts, of rows that repeat one the text of the least hash. Only the
+    sample's ids, at most ``most``, are broadcast, and only its statistics, a row per id, come to the driver.
     """
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.struct("_id", "_y").alias("doc_id"), "text")
+    met = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    # Map-side, each task keeps one text of an id, however many rows have it.
+    one = met.groupBy("_id").agg(F.max("_y").alias("_y"), F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"))).alias("least"))
+    rows = one.select(F.struct("_id", "_y").alias("doc_id"), F.col("least.text").alias("text"))
     found = with_counts(rows).select("doc_id.*", *COUNTS).toPandas().sort_values(["_id", *COUNTS])
     return rates(found[list(COUNTS)].to_numpy(np.int64)), found["_y"].to_numpy(np.float64)
 
