@@ -1,11 +1,13 @@
 """URL filter, components, line dedup and decontamination on small tables."""
 
 import random
+from itertools import combinations
 
 import pytest
+from check import differences
 
 from timberline.llm.components import components
-from timberline.llm.decontaminate import contaminated
+from timberline.llm.decontaminate import OP8_SQL, contaminated, family, left_out
 from timberline.llm.line_dedup import drop_repeated_lines
 from timberline.llm.url_filter import canonical_form, judge_urls, rule_table
 from pyspark.sql import functions as F
@@ -184,5 +186,40 @@ def test_items_of_few_tokens(spark, frame):
     clauses = ["今天天气很好我们一起去公园散步吧", "他说明天还要再来"]
     bench = [(0, "。".join(clauses)), (1, "yes"), (2, "New York"), (3, clauses[0] + "了")]
     rows = [(0, "然后。" + "，".join(clauses) + "。"), (1, "yes, New York"), (2, clauses[1]), (3, clauses[0] + "了")]
-    got = contaminated(frame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (3, 3)}
+    docs, bench = frame(rows, "doc_id bigint, text string"), spark.createDataFrame([*bench, (4, "?!")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench, few_letters=16).collect()} == {(0, 0), (3, 3)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(0, 0), (3, 3), (1, 1), (1, 2)}
+    assert {tuple(r) for r in left_out(bench, 16).collect()} == {(1, "too short"), (2, "too short"), (4, "no tokens")}
+    assert {tuple(r) for r in left_out(bench, 0).collect()} == {(4, "no tokens")}
+
+
+def test_masks_fit_beside_every_choice_of_substitutions():
+    shapes = [(n, n - (n if n < 5 else -(-3 * n // 4))) for n in range(1, 21)] + [(12, 5), (16, 8), (24, 4), (10, 0), (7, 6)]
+    for wide, errors in shapes:
+        masks, least = family(wide, errors)
+        assert least >= 1 and (wide < 4 or errors * 2 > wide or any("0" in m for m in masks) or (wide, errors) == (24, 4))
+        fewest = wide * wide
+        for gone in combinations(range(wide), errors):
+            hits = sum(not any(m[k - at] == "1" for k in gone if at <= k < at + len(m)) for m in masks for at in range(wide - len(m) + 1))
+            fewest = min(fewest, hits)
+        assert fewest == least
+    assert family(50, 12) == (("111",), 1)
+
+
+def test_sql_and_operator_state_the_same_rule(spark, con):
+    rnd = random.Random(21)
+    other = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    items = [other(n) for n in (40, 25, 20, 17, 9, 6, 3)]
+    rows = []
+    for k in range(120):
+        item = items[k % len(items)]
+        at = rnd.randrange(max(len(item) - 19, 1))
+        part = item[at : at + 20]
+        rows.append((k, " ".join(other(rnd.randrange(5)) + substituted(rnd, part, min(rnd.choice([len(part) // 4] * 3 + [len(part) // 4 + 1]), len(part))) + other(3))))
+    bench = [(k, " ".join(x)) for k, x in enumerate(items)]
+    got = contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    for name, some in (("d", rows), ("b", bench)):
+        con.execute(f"CREATE OR REPLACE TEMP TABLE given_{name} ({'doc_id' if name == 'd' else 'item_id'} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO given_{name} VALUES (?, ?)", some)
+    assert differences(got, con, OP8_SQL.replace("FROM documents", "FROM given_d").replace("FROM benchmark", "FROM given_b")) == []
+    assert got.count() > 80

@@ -1,15 +1,17 @@
-"""Benchmark decontamination: texts that share short runs with an item are compared with it, so a hit survives substitutions.
+"""Benchmark decontamination by spaced seeds: hashes that ignore chosen token positions, so a hit survives substitutions.
 
-DataFrame functions only. Hashes of runs of training text are joined with those of the benchmark where the text is read; only
-diagonals that share enough of them are kept. Those documents' texts are then compared with the items token by token in every
+DataFrame functions only. Seeds of training text are joined with those of the benchmark where the text is read; diagonals with hits
+are kept. Those documents' texts are then compared with the items token by token in every
 window of the diagonal, where substituted tokens count as differences and not as ends.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ from timberline.llm.common import table
 from timberline.llm.line_dedup import ROW_KEY, row_key
 from timberline.session import BROADCAST_LIMIT_BYTES, small_side, stored
 
-#: Masks over nine tokens: 1 counts, 0 is ignored. Places are counted by them; what is compared does not depend on them.
-MASKS = ("110110101", "101011011", "111001110")
-SPAN = 9
+#: Masks by the length of a window, for a similarity of 0.75: 1 is compared, 0 is ignored. Whichever tokens of a window of that many
+#: or more are substituted, up to a quarter, some mask fits somewhere beside them; the tests go through all choices.
+FAMILIES = ((12, ("11101", "100111")), (8, ("1101", "11001")), (5, ("1101", "1011")), (4, ("1101",)), (3, ("101",)), (1, ("1",)))
+#: Choices of substituted tokens that are gone through to find masks for other windows, and masks of a family, at most.
+MOST_CHOICES, MOST_MASKS, MOST_SPAN = 200_000, 3, 12
 #: Windows of an item that are compared together, by where they begin, and tokens of a document that a row holds.
 BLOCK, STRETCH = 64, 1024
-#: Items of fewer tokens count as whole copies, if they have so many letters and digits.
-FEW, FEW_LETTERS = 5, 16
+#: Items of fewer tokens count as whole copies.
+FEW = 5
 
 
 def tokens(text: Column) -> Column:
@@ -40,23 +44,58 @@ def _least(wide: int, similarity: float) -> int:
     return wide if wide < FEW else next(k for k in range(wide + 1) if k >= similarity * wide)
 
 
-def _shape(wide: int, similarity: float) -> tuple[int, int, int]:
-    """Of windows of ``wide`` tokens: the equal tokens that are enough, the length of a run that each such window holds, and of how many.
+def _choices(wide: int, errors: int) -> np.ndarray:
+    """Every way to leave all but ``errors`` of ``wide`` tokens equal, as bits."""
+    return np.array([(1 << wide) - 1 - sum(1 << k for k in some) for some in combinations(range(wide), errors)], np.int64)
+
+
+def hits_left(masks: tuple[str, ...], wide: int, errors: int) -> np.ndarray:
+    """Per choice of substituted tokens, how often masks fit beside them."""
+    equal = _choices(wide, errors)
+    hits = np.zeros(len(equal), np.int64)
+    for mask in masks:
+        kept = sum(1 << k for k, bit in enumerate(mask) if bit == "1")
+        for at in range(wide - len(mask) + 1):
+            hits += equal & kept << at == kept << at
+    return hits
 
-    The substituted tokens cut a window into one more stretch than they are, so the longest stretch has at least the mean length; and each
-    spoils no more runs than a run has tokens.
-    """
-    enough = max(_least(wide, similarity), 1)
-    run = max(wide // (wide - enough + 1), 1)
-    return enough, run, max(wide - run + 1 - (wide - enough) * run, 1)
 
+@lru_cache(256)
+def family(wide: int, errors: int) -> tuple[tuple[str, ...], int]:
+    """Masks that miss no window of ``wide`` tokens with up to ``errors`` substituted, and how many hits each such window has at least.
 
-def _seeds(hashes: str, runs: list[int]) -> Column:
-    """Hashes of the runs that begin at each position, one per length, in order; null where a run does not fit in."""
+    The given families where they hold; else the heaviest of up to ``MOST_MASKS`` masks that a greedy search finds; where there are too many
+    choices to go through, the run of equal tokens that must be somewhere.
+    """
+    if comb(wide, errors) > MOST_CHOICES:
+        return ("1" * max(wide // (errors + 1), 1),), 1
+    given = next(masks for least, masks in FAMILIES if wide >= least)
+    least = int(hits_left(given, wide, errors).min()) if wide < 64 else 0
+    if least:
+        return given, least
+    for weight in range(max(wide - errors, 1), 0, -1):
+        some = ["1"] if weight == 1 else [
+            "1" + "".join("1" if k in inner else "0" for k in range(1, span - 1)) + "1"
+            for span in range(weight, min(wide, MOST_SPAN) + 1) for inner in map(set, combinations(range(1, span - 1), weight - 2))
+        ]
+        fits = [hits_left((mask,), wide, errors) > 0 for mask in some] if len(some) <= 500 else []
+        open_, chosen = np.ones(comb(wide, errors), bool), []
+        while fits and open_.any() and len(chosen) < MOST_MASKS:
+            best = max(range(len(some)), key=lambda k: int((fits[k] & open_).sum()))
+            chosen.append(some[best])
+            open_ &= ~fits[best]
+        if fits and not open_.any():
+            return tuple(chosen), int(hits_left(tuple(chosen), wide, errors).min())
+    raise ValueError("no mask fits")
+
+
+def _seeds(hashes: str, masks: list[str]) -> Column:
+    """Hashes of what each mask keeps from each position on, in order; null where a mask does not fit in."""
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1))
 
     def at(i: Column) -> Column:
-        return F.array(*[F.when(i + run <= F.size(hashes), F.xxhash64(F.lit(run), *[F.get(hashes, i + n) for n in range(run)])) for run in runs])
+        kept = [F.xxhash64(F.lit(number), *[F.get(hashes, i + k) for k, bit in enumerate(mask) if bit == "1"]) for number, mask in enumerate(masks)]
+        return F.array(*[F.when(i + len(mask) <= F.size(hashes), seed) for mask, seed in zip(masks, kept)])
 
     return F.flatten(F.transform(starts, at))
 
@@ -66,7 +105,7 @@ def contaminated(
     benchmark: DataFrame,
     similarity: float = 0.75,
     window: int = 20,
-    masks: tuple[str, ...] = MASKS,
+    few_letters: int = 0,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -76,13 +115,12 @@ def contaminated(
     """One row per document id and benchmark item that overlap: ``doc_id, item_id, n_hits, item_tokens, matched, overlap``.
 
     The pair counts if, at any alignment, at least ``similarity`` of the tokens of one window of ``window`` item tokens (the whole item if
-    shorter) are equal. No such pair is missed: each window holds runs of equal tokens whose least length and number follow from the
-    similarity (three and three at 20 and 0.75), and all windows around diagonals with so many shared runs are compared. ``overlap`` is
-    the best share found, ``matched`` the most equal tokens, ``n_hits`` the places where all that ``masks`` keep is equal inside such a
-    window, or one for a window without any.
+    shorter) are equal. No such pair is missed: the masks of :func:`family` leave each such window a number of hits on its diagonal, and all windows around
+    diagonals with so many hits are compared. ``overlap`` is the best share found, ``matched`` the most equal tokens, ``n_hits`` the windows that count, by where they begin in
+    the item and in the document.
 
-    Null and empty texts match nothing. Items of fewer than ``FEW`` tokens count as whole copies only, and only where they have
-    ``FEW_LETTERS`` letters and digits, as others are in nearly every text. Rows that repeat an id are taken together; a null id is an id
+    Null and empty texts match nothing. Items of fewer than ``FEW`` tokens count as whole copies only; short ones like ``yes`` stand in nearly every text, and
+    ``few_letters`` leaves out those that have fewer letters and digits (:func:`left_out` names them). Rows that repeat an id are taken together; a null id is an id
     of its own. Ties cannot arise. Other columns are ignored. Hits are narrow rows, one per document, item, diagonal and block of
     ``BLOCK`` item tokens, and are never collected into lists; each meets a stretch of its document.
 
@@ -92,25 +130,27 @@ def contaminated(
                              token_hashes(F.col(item_text)).alias("item_hashes"))
     items = items.distinct().withColumn("item_no", F.monotonically_increasing_id())
     items = items.withColumn("item_tokens", F.size("item_hashes")).withColumn("wide", F.least(F.lit(window), "item_tokens"))
-    items = items.filter((F.col("item_tokens") >= FEW) | (F.col("item_tokens") > 0) & (F.col("letters") >= FEW_LETTERS))
-    shapes = F.array(*[F.struct(*map(F.lit, _shape(wide, similarity))) for wide in range(1, window + 1)])
+    items = items.filter((F.col("item_tokens") >= FEW) | (F.col("item_tokens") > 0) & (F.col("letters") >= few_letters))
+    found = {wide: (max(_least(wide, similarity), 1), *family(wide, wide - max(_least(wide, similarity), 1))) for wide in range(1, window + 1)}
+    lengths = [r.wide for r in items.select("wide").distinct().collect()]
+    masks = sorted({mask for wide in lengths for mask in found[wide][1]}) or ["1"]
+    shapes = F.array(*[F.struct(F.lit(enough), F.array(*[F.lit(m in own) for m in masks]), F.lit(least)) for enough, own, least in found.values()])
     items = items.withColumn("shape", F.get(shapes, F.col("wide") - 1))
-    items = items.select("item_id", "item_no", "item_hashes", "item_tokens", "wide", *[F.col(f"shape.col{k}").alias(c) for k, c in ((1, "enough"), (2, "run"), (3, "least_runs"))])
+    items = items.select("item_id", "item_no", "item_hashes", "item_tokens", "wide", *[F.col(f"shape.col{k}").alias(c) for k, c in ((1, "enough"), (2, "own"), (3, "least_hits"))])
     items = stored(items, "items")
-    runs = sorted(r.run for r in items.select("run").distinct().collect()) or [1]
-    place = F.posexplode(_seeds("item_hashes", runs)).alias("n", "seed")
-    placed = items.select("*", place).filter(F.get(F.array(*map(F.lit, runs)), F.col("n") % len(runs)) == F.col("run"))
-    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(runs)).cast("int")).filter("seed is not null")
-    parts = placed.select("seed", "item_no", "item_at", "least_runs", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
+    place = F.posexplode(_seeds("item_hashes", masks)).alias("n", "seed")
+    placed = items.select("*", place).filter(F.get("own", F.col("n") % len(masks)))
+    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(masks)).cast("int")).filter("seed is not null")
+    parts = placed.select("seed", "item_no", "item_at", "least_hits", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
     parts = small_side(parts, 48, limit_bytes=limit_bytes)
     # Positions leave a document as narrow rows; nothing of the text goes with them.
     hashed = docs.select(*row_key(doc_id, text), token_hashes(F.col(text)).alias("doc_hashes"))
-    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", runs)).alias("n", "seed"))
-    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(runs)).cast("int"))
+    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", masks)).alias("n", "seed"))
+    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(masks)).cast("int"))
     hits = hits.groupBy(*ROW_KEY, "item_no", "item_block", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.first("least_runs").alias("least_runs")
+        F.count(F.lit(1)).alias("n"), F.first("least_hits").alias("least_hits")
     )
-    hits = stored(hits.filter("n_runs >= least_runs").drop("n_runs", "least_runs"), "hits")
+    hits = stored(hits.filter("n >= least_hits").drop("n", "least_hits"), "hits")
     # Where the block begins in the document, which may be before its first token.
     hits = hits.withColumn("doc_from", F.col("diagonal") + BLOCK * F.col("item_block"))
     hits = hits.withColumn("stretch", F.floor(F.col("doc_from") / STRETCH).cast("int"))
@@ -141,19 +181,11 @@ def contaminated(
     compared = met.select(*own, equal.alias("equal")).select(*own, "equal", sums.alias("sums"))
     compared = compared.filter(F.array_max("sums") >= F.col("enough"))
     good = F.filter(F.sequence(F.lit(0), F.size("sums") - 1), lambda b: F.get("sums", b) >= F.col("enough"))
-
-    def seen(s: Column) -> Column:
-        fits = [reduce(and_, [F.get("equal", s + n) for n, kept in enumerate(mask) if kept == "1"]) for mask in masks]
-        return reduce(or_, fits) & F.exists("good", lambda b: (b <= s) & (s + SPAN <= b + F.col("wide")))
-
-    places = F.filter(F.when(F.size("equal") >= SPAN, F.sequence(F.lit(0), F.size("equal") - SPAN)).otherwise(F.array().cast("array<int>")), seen)
-    compared = compared.select(*own, F.array_max("sums").alias("matched"), "equal", good.alias("good"))
-    compared = compared.select(*own, "matched", "good", places.alias("places"))
-    once = compared.select(
-        F.col("_ld_id").alias("doc_id"), "item_id", "item_tokens", "matched", "wide", "doc_from", "item_block",
-        F.explode(F.when(F.size("places") > 0, F.col("places")).otherwise(F.slice("good", 1, 1))).alias("s"),
+    windows = compared.select(*own, F.array_max("sums").alias("matched"), F.explode(good).alias("b"))
+    once = windows.select(
+        F.col("_ld_id").alias("doc_id"), "item_id", "item_tokens", "matched", "wide",
+        (F.col("doc_from") + F.col("b")).alias("doc_at"), (BLOCK * F.col("item_block") + F.col("b")).alias("item_at"),
     )
-    once = once.withColumn("doc_at", F.col("doc_from") + F.col("s")).withColumn("item_at", BLOCK * F.col("item_block") + F.col("s"))
     return once.groupBy("doc_id", "item_id").agg(
         F.countDistinct("doc_at", "item_at").alias("n_hits"),
         F.max("item_tokens").cast("bigint").alias("item_tokens"),
@@ -162,6 +194,14 @@ def contaminated(
     )
 
 
+def left_out(benchmark: DataFrame, few_letters: int, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``item_id, reason`` of the items that :func:`contaminated` does not look for: those without tokens, and those that ``few_letters`` leaves out."""
+    words = tokens(F.col(item_text))
+    sized = benchmark.select(F.col(item_id).alias("item_id"), F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("letters"))
+    reason = F.when(F.col("n") == 0, "no tokens").when((F.col("n") < FEW) & (F.col("letters") < few_letters), "too short")
+    return sized.select("item_id", reason.alias("reason")).filter("reason is not null")
+
+
 def _blocks_of(at: str) -> Column:
     """Blocks of the item that hold position ``at``; a block also has the tokens that its last window reaches. Windows begin in one block only."""
     own = F.floor(F.col(at) / BLOCK).cast("int")
@@ -175,36 +215,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def _oracle() -> str:
-    word = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-    keyed = " UNION ALL ".join(
-        f"SELECT *, {n} AS mask, [" + ", ".join(f"w[{{at}} + {k + 1}]" for k, x in enumerate(m) if x == "1") + "] AS seed FROM {of}"
-        for n, m in enumerate(MASKS)
-    )
-    return f"""
-WITH item AS (SELECT DISTINCT item_id, {word} AS w FROM benchmark),
-ipos AS (SELECT item_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS j FROM item),
-iseed AS ({keyed.format(at="j", of="ipos")}),
-doc AS (SELECT doc_id, {word} AS w FROM documents),
-dpos AS (SELECT doc_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS i FROM doc),
-dseed AS ({keyed.format(at="i", of="dpos")}),
-hit AS (
-  SELECT DISTINCT d.doc_id, b.item_id, d.i, b.j, d.w AS dw, b.w AS bw
-  FROM dseed d JOIN iseed b ON d.mask = b.mask AND d.seed = b.seed
-), placed AS (
-  SELECT *, greatest(0, least(j - {(20 - SPAN) // 2}, len(bw) - 20)) AS b0, least(20, len(bw)) AS wide FROM hit
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+#: Every window at every alignment, from all pairs of equal tokens; no seeds.
+OP8_SQL = f"""
+WITH item AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+ipos AS (SELECT item_id, w, len(w) AS n, least(20, len(w)) AS wide, unnest(range(0, len(w))) AS j FROM item),
+doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dpos AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM doc)),
+diagonal AS (
+  SELECT doc_id, item_id, i - j AS d, n, wide, CASE WHEN wide < {FEW} THEN wide ELSE CAST(ceil(0.75 * wide) AS BIGINT) END AS enough, list(j) AS js
+  FROM dpos JOIN (SELECT *, w[j + 1] AS word FROM ipos) USING (word) GROUP BY doc_id, item_id, i - j, n, wide HAVING count(*) >= enough
 ), compared AS (
-  SELECT doc_id, item_id, i, j, len(bw) AS item_tokens, wide,
-    len(list_filter(range(0, wide), lambda k: i - (j - b0) + k >= 0 AND dw[i - (j - b0) + k + 1] = bw[b0 + k + 1])) AS matched
-  FROM placed
-), once AS (
-  SELECT doc_id, item_id, i, j, max(item_tokens) AS item_tokens, max(matched) AS matched, max(wide) AS wide
-  FROM compared WHERE matched >= 0.75 * wide GROUP BY ALL
+  SELECT doc_id, item_id, d, n, wide, b, enough, len(list_filter(js, lambda x: x >= b AND x < b + wide)) AS matched
+  FROM (SELECT *, unnest(range(0, n - wide + 1)) AS b FROM diagonal)
 )
-SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(item_tokens) AS BIGINT) AS item_tokens,
-  CAST(max(matched) AS BIGINT) AS matched, max(matched / wide) AS overlap
-FROM once GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(n) AS BIGINT) AS item_tokens, CAST(max(matched) AS BIGINT) AS matched, max(matched / wide) AS overlap
+FROM compared WHERE matched >= enough GROUP BY doc_id, item_id
 """
-
-
-OP8_SQL = _oracle()
