@@ -1,6 +1,7 @@
 """Opening, storing, reloading and streaming end to end."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from test_assemble import LINES, lines_of, random_sources
 
 from timberline.operators import assemble, changes, timeline
 from timberline.plans.ingest import open_logs, reload_files, snapshot_files
-from timberline.session import own_copies, stored
+from timberline.session import own_copies, shared_dir, stored
 from timberline.sources import files, store
 from timberline.streaming.assemble import StreamAssembler
 
@@ -31,6 +32,20 @@ def test_stream_equals_batch(spark, tmp_path, seed, batches):
     streamed = assembler.finish()
     batch = assemble.assemble_items(df, assemble.infer_source_format(df))
     assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0
+    bodies = {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies(assembler.item_lines()).collect()}
+    numbered = assemble.item_seq(assemble.keyed_lines(df, assemble.infer_source_format(df)))
+    assert bodies == {(r["source_id"], r["seq"]): r["raw_text"] for r in assemble.bodies(numbered).collect()}
+
+
+def test_batches_leave_no_copies(spark, tmp_path):
+    assembler, seen = StreamAssembler(spark, str(tmp_path)), []
+    folders = lambda: {p.name for p in Path(shared_dir(spark)).iterdir()}
+    before = folders()
+    for epoch in range(4):
+        assembler.process(spark.createDataFrame([(0, epoch + 1, 24 * epoch, 23, "2026/07/28 10:00:00 a", True)], LINES), epoch)
+        seen.append(len(folders() - before))
+    assert seen == [0, 0, 0, 0]
+    assert len(list((tmp_path / "held").iterdir())) == len(list((tmp_path / "sources").iterdir())) == 2
 
 
 def test_repeated_epoch_changes_nothing(spark, tmp_path):

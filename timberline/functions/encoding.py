@@ -42,9 +42,13 @@ PAGES = tuple(sorted({*CP_PAGES, *OTHER_PAGES}))
 EBCDIC_PAGES = (37, 273, 424, 500, 875, 1026, 1140)
 
 
+# Pages in which a character may take more than one byte.
+WIDE_PAGES = (932, 936, 949, 950, 1361, 20932, 51932, 51949, 54936, 65001)
+
+
 def codec_of(page: int) -> str:
     """Codec name of a known code page."""
-    return OTHER_PAGES.get(page) or f"cp{page}"
+    return OTHER_PAGES.get(page) or f"cp{page:03d}"
 
 
 def known_codepage(page: Column) -> Column:
@@ -104,6 +108,31 @@ def _decode_one(data: bytes, codec: str) -> tuple[str, list[int]]:
     return data.decode(codec, "timberline-positions"), bad
 
 
+def byte_table(page: int) -> str:
+    """The character of each of the 256 bytes of a single-byte page; U+FFFD for a byte without one."""
+    return "".join(_decode_one(bytes([b]), codec_of(page))[0] for b in range(256))
+
+
+def page_text(data: Column, page: int) -> Column:
+    """Decode a single-byte page in the JVM: bytes as characters of their numbers, and those replaced by the page's."""
+    table = byte_table(page)
+    moved = [b for b in range(256) if table[b] != chr(b)]
+    latin = F.decode(data, "ISO-8859-1")
+    return F.translate(latin, "".join(map(chr, moved)), "".join(table[b] for b in moved)) if moved else latin
+
+
+def page_gaps(data: Column, page: int) -> Column:
+    """The offsets of bytes that have no character in a single-byte page."""
+    none = F.array().cast("array<bigint>")
+    gaps = "".join(chr(b) for b, c in enumerate(byte_table(page)) if c == "\ufffd")
+    if not gaps:
+        return none
+    latin = F.decode(data, "ISO-8859-1")
+    has_gap = F.translate(latin, gaps, "") != latin
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda k: F.contains(F.lit(gaps), F.substr(latin, k + 1, F.lit(1))))
+    return F.when(has_gap, places.cast("array<bigint>")).otherwise(none)
+
+
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("bad_at", T.ArrayType(T.LongType()))])
 
 

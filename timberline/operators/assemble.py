@@ -80,7 +80,7 @@ def format_route(settings: DataFrame, inferred: DataFrame) -> DataFrame:
 
 def keyed_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """Lines with ``format`` and ``key_ms`` under it; NULL where undated or raw."""
-    chosen = small_side(formats.select("source_id", "format"), row_bytes=64)
+    chosen = small_side(formats.select("source_id", "format"), row_bytes=64, few=True)
     return _marked(lines).join(chosen, "source_id", "left").withColumn("key_ms", dt.key_of_hit("format")).drop("hit", "hit_key")
 
 

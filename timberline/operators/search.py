@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.patterns import required_literals
 from timberline.operators import assemble
 from timberline.operators.prefix import global_positions, running
 from timberline.session import stored
@@ -31,14 +34,18 @@ def filter_text(item_lines: DataFrame, needle: str, ignore_case: bool = False) -
 def filter_regex(item_lines: DataFrame, pattern: str, literal: str | None = None, within_line: bool = False) -> DataFrame:
     """``source_id, seq, raw_text`` of items whose body matches ``pattern`` somewhere.
 
-    The match is made on the whole body. Two things that the caller may know about the pattern spare most bodies: a ``literal`` without LF
-    that every match contains, or that no match reaches beyond a line (``within_line``). Otherwise all bodies are put together.
+    The match is made on the whole body. Bodies are put together only for items with a line that holds a string that every match must hold: what the pattern's own
+    letters say, or a ``literal`` without LF that the caller knows of. A caller may also know that no match reaches beyond a line (``within_line``). Where a
+    pattern requires no letters, as ``[0-9]+`` does, all bodies are put together.
     """
-    if literal is None and not within_line:
-        return assemble.bodies(item_lines).filter(F.col("raw_text").rlike(pattern))
     line = F.col("text")
-    hits = item_lines.filter(F.contains(line, F.lit(literal or "")) & (line.rlike(pattern) if within_line else F.lit(True)))
-    return assemble.bodies(item_lines, hits).filter(F.col("raw_text").rlike(pattern))
+    letters = (literal,) if literal else required_literals(pattern)
+    conditions = [reduce(or_, [F.contains(line, F.lit(x)) for x in letters])] if letters else []
+    if within_line:
+        conditions.append(line.rlike(pattern))
+    if not conditions:
+        return assemble.bodies(item_lines).filter(F.col("raw_text").rlike(pattern))
+    return assemble.bodies(item_lines, item_lines.filter(reduce(and_, conditions))).filter(F.col("raw_text").rlike(pattern))
 
 
 def filter_time_range(items: DataFrame, start_ms: int, end_ms: int, undated: bool = False) -> DataFrame:

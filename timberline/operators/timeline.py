@@ -48,7 +48,7 @@ def merged_timeline(items: DataFrame, sources: DataFrame, assembled: bool = True
         keyed = items.withColumn("sort_key", F.coalesce("key_ms", F.lit(LONG_MIN)))
     else:
         keyed = carry_forward_key(items)
-    ordinals = small_side(sources.select("source_id", "source_ordinal"), row_bytes=16)
+    ordinals = small_side(sources.select("source_id", "source_ordinal"), row_bytes=16, few=True)
     return global_positions(keyed.join(ordinals, "source_id"), ["sort_key", "source_ordinal", "seq"])
 
 

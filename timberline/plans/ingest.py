@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions import datetime as dt
 from timberline.functions import encoding as enc
 from timberline.operators import assemble, changes, profiles, summary
-from timberline.session import small_side, stored
+from timberline.session import held, small_side, stored
 from timberline.sources import files, spans, store
 
 
@@ -67,10 +67,10 @@ def open_logs(
     for column in ("manual_profile", "manual_format"):
         if column not in data_sources.columns:
             data_sources = data_sources.withColumn(column, F.lit(None).cast("string"))
-    data_sources = stored(data_sources, "sources")
+    data_sources = held(data_sources, "sources")
     found = files.find_paths(spark, [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()])
     known = spark.createDataFrame(found, "path STRING, _found STRING, _error STRING, size BIGINT")
-    data_sources = stored(data_sources.join(known, "path", "left"), "found")
+    data_sources = held(data_sources.join(known, "path", "left"), "found")
     unread = data_sources.filter("_error is not null").select("source_id", F.col("_error").alias("error"))
     data_sources = data_sources.filter("_error is null").withColumn("path", F.col("_found")).drop("_found", "_error")
     sizes = data_sources.select("source_id", "size")
@@ -93,15 +93,15 @@ def open_logs(
         )
     else:
         profiles.require_valid(profile_table)
-        resolved = stored(profiles.resolve_profile(data_sources, profile_table), "resolved")
-        settings = stored(profiles.profile_settings(resolved, profile_table), "settings")
-    decided = stored(files.detect_encoding(lines, settings, default_codepage), "encodings")
+        resolved = held(profiles.resolve_profile(data_sources, profile_table), "resolved")
+        settings = held(profiles.profile_settings(resolved, profile_table), "settings")
+    decided = held(files.detect_encoding(lines, settings, default_codepage), "encodings")
     readable, errors = files.reject_unsupported(lines, decided)
     # Stored narrow: format choice and both passes of the assembly read it, not the lines and their joins.
     narrow = stored(_sized(readable, decided), "marked")
     inferred = assemble.infer_source_format(narrow)
     wanted = settings.join(data_sources.select("source_id", "manual_format"), "source_id")
-    formats = stored(assemble.format_route(wanted, inferred), "formats")
+    formats = held(assemble.format_route(wanted, inferred), "formats")
     numbered = _numbered(narrow, formats)
     parts = assemble.item_parts(numbered)
     line_items = numbered.select("source_id", "line_no", "seq")
@@ -126,13 +126,13 @@ def _seen(spark: SparkSession, data_sources: DataFrame, before: DataFrame | None
     given = [r["path"] for r in data_sources.select("path").distinct().toLocalIterator()]
     there = [(g, path, size, mtime) for g, path, _, size, mtime in files.file_status(spark, given) if path]
     known = spark.createDataFrame(there, "path STRING, _path STRING, size BIGINT, _ms BIGINT")
-    now = stored(data_sources.select("source_id", "path").join(known, "path").select("source_id", F.col("_path").alias("path"), "size", F.timestamp_millis("_ms").alias("mtime")), "listed")
+    now = held(data_sources.select("source_id", "path").join(known, "path").select("source_id", F.col("_path").alias("path"), "size", F.timestamp_millis("_ms").alias("mtime")), "listed")
     # A file is looked at within its size and, to tell whether it is still the same, within its former size; where these agree, once.
     former = now.limit(0).select("source_id", "path", "size") if before is None else now.join(before.select("source_id", F.col("size").alias("_size")), "source_id").filter("size >= _size").select("source_id", "path", F.col("_size").alias("size"))
-    former = stored(former, "former")
+    former = held(former, "former")
     sizes = now.select("path", "size").unionByName(former.select("path", "size")).distinct()
-    ranges = stored(spans.probe_ranges(sizes, probe_bytes), "ranges")
-    probed = stored(spans.probe(ranges.select("path", "start", "stop").distinct(), direct), "probed")
+    ranges = held(spans.probe_ranges(sizes, probe_bytes), "ranges")
+    probed = held(spans.probe(ranges.select("path", "start", "stop").distinct(), direct), "probed")
     ids = spans.identities(ranges, probed)
     inside = former.join(ids, ["path", "size"], "left").select("source_id", F.col("file_id").alias("inside_id"))
     named = now.join(ids, ["path", "size"], "left").join(inside, "source_id", "left")
@@ -170,7 +170,7 @@ def reload_files(
     resumes = "last_offset" in before.columns
     was = before.select("source_id", F.lit(True).alias("_known"))
     inside = seen.join(was, "source_id", "left").withColumn("file_id", F.when(F.col("_known"), F.col("inside_id")).otherwise(F.col("file_id")))
-    verdicts = stored(changes.compare_snapshots(before, inside, "source_id"), "verdicts")
+    verdicts = held(changes.compare_snapshots(before, inside, "source_id"), "verdicts")
     unknown = verdicts.filter(F.col("verdict") == "New").join(status, "source_id", "left_anti")
     fresh = unknown.select("source_id", F.lit(0).cast("bigint").alias("generation"), F.lit("Loaded").alias("status"), F.lit(None).cast("string").alias("change_kind"))
     asked = verdicts.withColumn("verdict", F.when(F.col("verdict") == "New", "Appended").otherwise(F.col("verdict")))
@@ -187,7 +187,7 @@ def reload_files(
         loaded = status.filter(F.col("status") == "Loaded").select("source_id")
         grown = asked.filter("verdict = 'Appended'").select("source_id").join(loaded, "source_id", "left_semi")
         wanted = seen.select("source_id", "path", "size").join(grown, "source_id", "left_semi").join(points, "source_id").filter("last_offset is not null and error is null")
-        ends = stored(wanted, "ends")
+        ends = held(wanted, "ends")
     rebuilt, made = [], []
     if ends is not None and not ends.isEmpty():
         items, sure = _read_on(spark, ends, direct)
@@ -203,7 +203,7 @@ def reload_files(
     after = store.reload(items_path, items, known, asked, ends)
     if resumes:
         told = made[0].select("source_id", *RESUME) if len(made) == 1 else made[0].select("source_id", *RESUME).unionByName(made[1].select("source_id", *RESUME))
-        told = stored(told, "points")
+        told = held(told, "points")
         points = points.join(told.select("source_id"), "source_id", "left_anti").unionByName(told)
         snapshot = snapshot.join(points, "source_id", "left")
     return stored(after, "status"), stored(snapshot, "snapshot")
@@ -219,10 +219,10 @@ def _read_on(spark: SparkSession, ends: DataFrame, direct: bool | None) -> tuple
     lines = files.scan_ends(wanted, named, direct)
     # All lines were UTF-8 so far; one that is not makes the file one of the default code page.
     doubtful = ends.filter("encoding_route = 'utf8_valid'").select("source_id")
-    bad = stored(lines.filter(~F.col("valid8")).select("source_id").distinct().join(doubtful, "source_id", "left_semi"), "bad")
+    bad = held(lines.filter(~F.col("valid8")).select("source_id").distinct().join(doubtful, "source_id", "left_semi"), "bad")
     sure = ends.join(bad, "source_id", "left_anti")
-    lines = lines.join(small_side(bad, 8), "source_id", "left_anti")
-    decided = stored(sure.select("source_id", "encoding", "codepage", F.col("encoding_route").alias("route"), "bom_len", "warning", "error"), "encodings")
+    lines = lines.join(small_side(bad, 8, few=True), "source_id", "left_anti")
+    decided = held(sure.select("source_id", "encoding", "codepage", F.col("encoding_route").alias("route"), "bom_len", "warning", "error"), "encodings")
     narrow = stored(_sized(lines, decided), "marked")
     inferred = assemble.infer_source_format(narrow).select("source_id", F.col("format").alias("_format"), F.col("fell_back").alias("_fell_back"))
     # A format that is decided stays. One line that decides is enough, and before it all were undated.
@@ -232,9 +232,9 @@ def _read_on(spark: SparkSession, ends: DataFrame, direct: bool | None) -> tuple
         "source_id", F.when(is_open, F.col("_format")).otherwise(F.col("format")).alias("format"), F.col("format_route").alias("route"),
         F.when(is_open, F.coalesce("_fell_back", F.lit(False))).otherwise(F.col("fell_back")).alias("fell_back"),
     )
-    formats = stored(formats, "formats")
+    formats = held(formats, "formats")
     items = assemble.items_of_parts(assemble.item_parts(_numbered(narrow, formats)))
-    shift = small_side(sure.select("source_id", "last_seq", "last_line", "last_offset"), 32)
+    shift = small_side(sure.select("source_id", "last_seq", "last_line", "last_offset"), 32, few=True)
     # The offsets of a range begin at its first byte; the BOM before the first line was counted there already.
     moved = items.join(shift, "source_id").withColumns(
         {"seq": F.col("seq") + F.col("last_seq"), "first_line": F.col("first_line") + F.col("last_line") - 1, "raw_offset": F.col("raw_offset") + F.col("last_offset")}
@@ -275,7 +275,7 @@ def _special(decided: DataFrame) -> DataFrame:
 
 def _split(lines: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines that are plain UTF-8, and lines that need the decoder: those of special sources and those with bad bytes."""
-    special = small_side(_special(decided).select("source_id"), row_bytes=8)
+    special = small_side(_special(decided).select("source_id"), row_bytes=8, few=True)
     rest = lines.join(special, "source_id", "left_anti")
     coded = lines.join(special, "source_id", "left_semi").unionByName(rest.filter(~F.col("valid8")))
     return rest.filter("valid8"), coded

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+#: Tables of a row per source and the like are kept in the plan itself up to so many rows and bytes; larger ones are stored.
+FEW_ROWS, FEW_BYTES = 4096, 4 * 1024 * 1024
 
 
 def build_session(app_name: str = "timberline", master: str | None = None, **conf: str) -> SparkSession:
@@ -90,12 +92,33 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, size: Column | None = None, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def _in_plan(df: DataFrame) -> DataFrame | None:
+    """``df`` as rows that the plan holds, if it has few; one job, and nothing is written."""
+    table = df.limit(FEW_ROWS + 1).toArrow()
+    if table.num_rows > FEW_ROWS or table.nbytes > FEW_BYTES:
+        return None
+    return df.sparkSession.createDataFrame(table, df.schema)
+
+
+def held(df: DataFrame, label: str = "held") -> DataFrame:
+    """A table that is expected to be small, computed once: in the plan if it has few rows, else :func:`stored`.
+
+    For tables of a row per source or per profile. Beyond ``FEW_ROWS`` it is computed twice, so it is not for what grows with the lines.
+    """
+    few = _in_plan(df)
+    return stored(df, label) if few is None else few
+
+
+def small_side(df: DataFrame, row_bytes: int, size: Column | None = None, limit_bytes: int = BROADCAST_LIMIT_BYTES, few: bool = False) -> DataFrame:
     """``df`` stored and, if its measured size is under the limit, marked for broadcast.
 
     The size is ``row_bytes`` per row plus, where rows hold text, the sum of ``size``. Beyond the limit the
-    join stays a shuffle join, where adaptive execution splits skewed partitions.
+    join stays a shuffle join, where adaptive execution splits skewed partitions. A side that is expected to have ``few`` rows is put into the plan
+    itself and not stored, as in :func:`held`.
     """
+    rows = _in_plan(df) if few and limit_bytes >= FEW_BYTES else None
+    if rows is not None:
+        return F.broadcast(rows)
     kept = stored(df, "small")
     rows, extra = kept.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
     return F.broadcast(kept) if rows * row_bytes + extra <= limit_bytes else kept

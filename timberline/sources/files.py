@@ -199,7 +199,7 @@ def scan_configured_sources(lines: DataFrame, data_sources: DataFrame, keep_path
     ``data_sources`` is ``source_id, config_pos, name, path``, paths as the reader reports them.
     """
     named = data_sources.select("path", "source_id", F.col("name").alias("label"), "config_pos")
-    joined = lines.join(small_side(named, 24, F.octet_length("path") + F.octet_length("label")), "path")
+    joined = lines.join(small_side(named, 24, F.octet_length("path") + F.octet_length("label"), few=True), "path")
     return joined if keep_path else joined.drop("path")
 
 
@@ -221,7 +221,7 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
     lines or of the first ``detect_bytes``, then ``default_codepage``. :func:`bad_line_counts` tells a damaged line from a code page.
     """
     # A source without a single bad line needs no closer look.
-    suspects = small_side(lines.filter(~F.col("valid8")).select("source_id").distinct(), row_bytes=8)
+    suspects = small_side(lines.filter(~F.col("valid8")).select("source_id").distinct(), row_bytes=8, few=True)
     head = lines.join(suspects, "source_id", "left_semi").select("source_id", "line_no", "line_bytes", "raw_len", "confirmed", "valid8")
     # The last line looked at may end inside a character: it is cut off by the end of the file or by the limit.
     if detect_bytes is None:
@@ -243,7 +243,7 @@ def detect_encoding(lines: DataFrame, settings: DataFrame, default_codepage: int
     rescued = (
         lines.filter(~F.col("valid8"))
         .select("source_id", "line_no", "bytes")
-        .join(small_side(doubtful, row_bytes=24), ["source_id", "line_no"])
+        .join(small_side(doubtful, row_bytes=24, few=True), ["source_id", "line_no"])
         .select("source_id", enc.valid_utf8_head(inside).alias("_rescued"))
     )
     # The reader leaves a UTF-16 BOM in place; FF and FE never occur in UTF-8.
@@ -308,16 +308,19 @@ def bom_conflict(decided: DataFrame) -> DataFrame:
 def reject_unsupported(lines: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of readable sources, and an error row for each of the others."""
     errors = decided.filter(F.col("error").isNotNull()).select("source_id", "error")
-    return lines.join(small_side(errors.select("source_id"), row_bytes=8), "source_id", "left_anti"), errors
+    return lines.join(small_side(errors.select("source_id"), row_bytes=8, few=True), "source_id", "left_anti"), errors
 
 
 def decode_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
     """Add ``text`` and ``bad_at``, the offsets of undecodable stretches within the line.
 
-    UTF-8 is decoded in the JVM. Code-page bytes, and the rare UTF-8 line with bad
-    bytes, go through one Arrow function, and only if the sources call for it.
+    UTF-8 and pages of one byte a character are decoded in the JVM. Other pages, and the rare UTF-8 line with bad
+    bytes, go through one Arrow function, which is in the plan only if some source may call for it.
     """
-    chosen = small_side(decided.filter(F.col("error").isNull()).select("source_id", "codepage", "bom_len"), row_bytes=24)
+    readable = decided.filter(F.col("error").isNull()).select("source_id", "codepage", "bom_len")
+    # One of some sixty pages, or none.
+    pages = {r["codepage"] for r in readable.select("codepage").distinct().collect()}
+    chosen = small_side(readable, row_bytes=24, few=True)
     joined = lines.join(chosen, "source_id")
     # Where the BOM is not skipped it is part of the text, but the reader has dropped it.
     bom_is_text = F.col("utf8_bom") & (F.col("bom_len") == 0) & (F.col("line_no") == 1)
@@ -330,15 +333,16 @@ def decode_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
             "hit": F.when(bom_is_text, 0).otherwise(F.col("hit")),
         }
     )
-    needs_codec = F.col("codepage").isNotNull() | ~F.col("valid8")
-    handed = F.when(needs_codec, F.col("bytes"))
-    decoded = joined.withColumn("_decoded", enc.decode_codepage(handed, F.coalesce("codepage", F.lit(65001))))
-    return decoded.withColumns(
-        {
-            "text": F.coalesce("_decoded.text", enc.utf8_text(F.col("bytes"))),
-            "bad_at": F.coalesce("_decoded.bad_at", F.array().cast("array<bigint>")),
-        }
-    ).drop("_decoded", "codepage")
+    data, page = F.col("bytes"), F.col("codepage")
+    text, bad_at = enc.utf8_text(data), F.array().cast("array<bigint>")
+    for known in sorted(p for p in pages if p is not None and p not in enc.WIDE_PAGES):
+        here = F.coalesce(page == known, F.lit(False))
+        text, bad_at = F.when(here, enc.page_text(data, known)).otherwise(text), F.when(here, enc.page_gaps(data, known)).otherwise(bad_at)
+    if pages - {p for p in enc.PAGES if p not in enc.WIDE_PAGES}:
+        needs_codec = F.when(page.isNull(), ~F.col("valid8")).otherwise(page.isin(*enc.WIDE_PAGES))
+        joined = joined.withColumn("_decoded", enc.decode_codepage(F.when(needs_codec, data), F.coalesce(page, F.lit(65001))))
+        text, bad_at = F.coalesce("_decoded.text", text), F.coalesce("_decoded.bad_at", bad_at)
+    return joined.withColumns({"text": text, "bad_at": bad_at}).drop("_decoded", "codepage")
 
 
 def invalid_byte_report(decoded: DataFrame) -> DataFrame:
@@ -346,7 +350,7 @@ def invalid_byte_report(decoded: DataFrame) -> DataFrame:
     bad = decoded.filter(F.size("bad_at") > 0)
     counts = bad.groupBy("source_id").agg(F.sum(F.size("bad_at").cast("bigint")).alias("invalid_count"))
     rows = bad.select("source_id", "line_no", "raw_offset", F.explode("bad_at").alias("_in_line"))
-    return rows.join(small_side(counts, row_bytes=16), "source_id").select(
+    return rows.join(small_side(counts, row_bytes=16, few=True), "source_id").select(
         "source_id", "line_no", (F.col("raw_offset") + F.col("_in_line")).alias("position"), "invalid_count"
     )
 

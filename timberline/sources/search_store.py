@@ -7,13 +7,14 @@ signatures have all its bits, so a search reads signatures, about a fiftieth of
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.patterns import required_literals
 from timberline.operators import assemble
 from timberline.session import small_side, stored
 
@@ -132,10 +133,31 @@ def find_text(spark: SparkSession, path: str, needle: str, items: DataFrame, ign
     fold = F.lower if ignore_case else (lambda c: c)
     longest = max(needle.split("\n"), key=len)
     near = lines_in(spark, path, candidates(spark, path, longest))
-    hits = stored(near.filter(F.contains(fold(F.col("text")), fold(F.lit(longest)))).select("source_id", "seq").distinct(), "hits")
+    hits = near.filter(F.contains(fold(F.col("text")), fold(F.lit(longest)))).select("source_id", "seq")
+    found = _bodies(spark, path, hits, items)
+    return found.filter(F.contains(fold(F.col("raw_text")), fold(F.lit(needle)))) if "\n" in needle else found
+
+
+def find_regex(spark: SparkSession, path: str, pattern: str, items: DataFrame, literals: Sequence[str] | None = None) -> DataFrame:
+    """``source_id, seq, raw_text`` of items whose body matches ``pattern``: what ``search.filter_regex`` gives, from the store at ``path``.
+
+    Blocks are chosen by the strings one of which every match must hold, from the pattern or given as ``literals``; without any, all bodies are put together.
+    """
+    needed = tuple(literals or required_literals(pattern))
+    if not needed:
+        return assemble.bodies(lines_in(spark, path, None)).filter(F.col("raw_text").rlike(pattern))
+    hits = None
+    for literal in needed:
+        near = lines_in(spark, path, candidates(spark, path, literal))
+        some = near.filter(F.contains("text", F.lit(literal))).select("source_id", "seq")
+        hits = some if hits is None else hits.unionByName(some)
+    return _bodies(spark, path, hits, items).filter(F.col("raw_text").rlike(pattern))
+
+
+def _bodies(spark: SparkSession, path: str, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Bodies of the items of ``hits`` (``source_id, seq``), read from the blocks they lie in."""
+    hits = stored(hits.distinct(), "hits")
     places = items.join(small_side(hits, 16), ["source_id", "seq"], "left_semi")
     last = F.col("first_line") + F.col("continuation_count")
     numbers = F.sequence(block_of(F.col("source_id"), F.col("first_line")), block_of(F.col("source_id"), last))
-    blocks = places.select(F.explode(numbers).alias("block")).distinct()
-    found = assemble.bodies(lines_in(spark, path, blocks), hits)
-    return found.filter(F.contains(fold(F.col("raw_text")), fold(F.lit(needle)))) if "\n" in needle else found
+    return assemble.bodies(lines_in(spark, path, places.select(F.explode(numbers).alias("block")).distinct()), hits)

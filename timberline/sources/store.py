@@ -33,7 +33,7 @@ def _clustered(items: DataFrame, path: str, mode: str) -> None:
 def read_items(spark: SparkSession, path: str, status: DataFrame) -> DataFrame:
     """Items of each source's current generation, which may lie in parts that earlier generations stored."""
     current = status.select("source_id", F.col("generation").cast("bigint").alias("generation"))
-    parts = small_side(parts_of(spark, path, current), row_bytes=40)
+    parts = small_side(parts_of(spark, path, current), row_bytes=40, few=True)
     stored_items = spark.read.parquet(path)
     columns = [c for c in stored_items.columns if c != "generation"]
     held = stored_items.withColumnRenamed("generation", "stored_in").withColumn("stored_in", F.col("stored_in").cast("bigint"))
@@ -85,7 +85,7 @@ def reload(path: str, rebuilt: DataFrame, status: DataFrame, verdicts: DataFrame
             rebuilt = rebuilt.unionByName(old.select(*rebuilt.columns))
             entries = entries.join(small_side(many, 8), "source_id", "left_anti")
         entries.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in PARTS.split(", ")]).coalesce(1).write.mode("append").parquet(_parts_path(path))
-    _clustered(rebuilt.join(small_side(fresh, row_bytes=16), "source_id"), path, "append")
+    _clustered(rebuilt.join(small_side(fresh, row_bytes=16, few=True), "source_id"), path, "append")
     return after
 
 

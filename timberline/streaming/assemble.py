@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from timberline.functions import datetime as dt
 from timberline.operators.assemble import index_of, infer_source_format
 from timberline.operators.prefix import running
-from timberline.session import discard, small_side, stored
+from timberline.session import discard, own_copies, small_side, stored
 
 LINES = "source_id INT, line_no BIGINT, raw_offset BIGINT, raw_len INT, text STRING, confirmed BOOLEAN"
 SOURCES = (
@@ -26,6 +26,7 @@ ITEMS = (
     "source_id INT, seq BIGINT, key_ms BIGINT, first_line BIGINT, continuation_count BIGINT, "
     "raw_offset BIGINT, raw_len BIGINT, confirmed BOOLEAN, body_bytes BIGINT"
 )
+BODIES = "source_id INT, seq BIGINT, line_no BIGINT, text STRING"
 
 
 class StreamAssembler:
@@ -52,15 +53,26 @@ class StreamAssembler:
         """All closed items so far."""
         return self.spark.read.schema(ITEMS).parquet(os.path.join(self.base, "items")).drop("epoch")
 
+    def item_lines(self) -> DataFrame:
+        """Bodies as ordered lines, ``source_id, seq, line_no, text``, of closed items and of those still open: what search, extracts and ``assemble.bodies`` read."""
+        return self.spark.read.schema(BODIES).parquet(os.path.join(self.base, "lines")).drop("epoch")
+
     def process(self, batch: DataFrame, epoch: int) -> None:
-        """One micro-batch: close what can be closed, keep the rest for the next epoch."""
+        """One micro-batch: close what can be closed, keep the rest for the next epoch. What is stored on the way is deleted at its end."""
+        with own_copies(self.spark):
+            self._process(batch, epoch)
+
+    def _process(self, batch: DataFrame, epoch: int) -> None:
         batch = _typed(batch, LINES)
         known = self._state("sources", SOURCES, epoch)
         fresh = stored(dt.mark(batch), "batch")
         sources = stored(self._decide(known, fresh), "sources")
-        parts = self._assemble(fresh, sources, known)
+        numbered = stored(self._number(fresh, sources), "numbered")
+        parts = _typed(index_of(numbered), ITEMS)
         closed, held = self._close(stored(parts, "parts"), self._state("held", ITEMS, epoch))
         self._write("items", closed, epoch)
+        text = fresh.select("source_id", "line_no", "text").join(numbered.select("source_id", "line_no", "seq"), ["source_id", "line_no"])
+        self._write("lines", _typed(text, BODIES), epoch)
         self._write("held", held, epoch)
         self._write("sources", self._counted(sources, fresh), epoch)
         # The epoch before this one may be asked for again, those before it not.
@@ -98,7 +110,8 @@ class StreamAssembler:
         ready = small_side(sources.select("source_id", "format", "dated", "first_dated"), row_bytes=64)
         return fresh.join(ready, "source_id").withColumn("key_ms", dt.key_of_hit("format"))
 
-    def _assemble(self, fresh: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:
+    def _number(self, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+        """Narrow lines of a batch with the ``seq`` of their items."""
         dated = F.col("key_ms").isNotNull()
         keyed = stored(
             self._keyed(fresh, sources).withColumn("text_bytes", F.octet_length("text")).drop("text", "format", "hit", "hit_key"), "keys"
@@ -111,7 +124,7 @@ class StreamAssembler:
         )
         total = F.col("dated") + F.col("_n")
         seq = F.when(total == 0, F.col("line_no") - 1).otherwise(F.least("first_dated", "_first") + total - 2)
-        return _typed(index_of(here.withColumn("seq", seq)), ITEMS)
+        return here.withColumn("seq", seq)
 
     def _close(self, parts: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Join the open item of each source with its new lines, then keep the last dated one open."""
