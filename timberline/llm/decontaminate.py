@@ -89,15 +89,18 @@ def family(wide: int, errors: int) -> tuple[tuple[str, ...], int]:
     raise ValueError("no mask fits")
 
 
-def _seeds(hashes: str, masks: list[str]) -> Column:
-    """Hashes of what each mask keeps from each position on, in order; null where a mask does not fit in."""
-    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1))
+def _seeds(rows: DataFrame, hashes: str, masks: list[str], keep: list[str]) -> DataFrame:
+    """``keep``, ``at``, ``mask`` and ``seed``: the hash of what each mask keeps from each position on, where it fits in."""
+    places = sorted({k for mask in masks for k, bit in enumerate(mask) if bit == "1"})
+    zipped = F.arrays_zip(*[F.slice(hashes, k + 1, F.size(hashes)) for k in places])
+    beside = {k: F.col("t").getField(str(n)) for n, k in enumerate(places)}
 
-    def at(i: Column) -> Column:
-        kept = [F.xxhash64(F.lit(number), *[F.get(hashes, i + k) for k, bit in enumerate(mask) if bit == "1"]) for number, mask in enumerate(masks)]
-        return F.array(*[F.when(i + len(mask) <= F.size(hashes), seed) for mask, seed in zip(masks, kept)])
+    def seed(number: int, mask: str) -> Column:
+        kept = [beside[k] for k, bit in enumerate(mask) if bit == "1"]
+        return F.struct(F.lit(number).alias("mask"), F.when(kept[-1].isNotNull(), F.xxhash64(F.lit(number), *kept)).alias("seed"))
 
-    return F.flatten(F.transform(starts, at))
+    made = rows.select(*keep, F.posexplode(zipped).alias("at", "t")).select(*keep, "at", F.inline(F.array(*[seed(n, m) for n, m in enumerate(masks)])))
+    return made.filter("seed is not null")
 
 
 def contaminated(
@@ -138,15 +141,13 @@ def contaminated(
     items = items.withColumn("shape", F.get(shapes, F.col("wide") - 1))
     items = items.select("item_id", "item_no", "item_hashes", "item_tokens", "wide", *[F.col(f"shape.col{k}").alias(c) for k, c in ((1, "enough"), (2, "own"), (3, "least_hits"))])
     items = stored(items, "items")
-    place = F.posexplode(_seeds("item_hashes", masks)).alias("n", "seed")
-    placed = items.select("*", place).filter(F.get("own", F.col("n") % len(masks)))
-    placed = placed.withColumn("item_at", F.floor(F.col("n") / len(masks)).cast("int")).filter("seed is not null")
+    own = ["item_no", "item_tokens", "wide", "least_hits", "own"]
+    placed = _seeds(items, "item_hashes", masks, own).filter(F.get("own", F.col("mask"))).withColumnRenamed("at", "item_at")
     parts = placed.select("seed", "item_no", "item_at", "least_hits", F.explode(_blocks_of("item_at")).alias("item_block")).distinct()
     parts = small_side(parts, 48, limit_bytes=limit_bytes)
     # Positions leave a document as narrow rows; nothing of the text goes with them.
     hashed = docs.select(*row_key(doc_id, text), token_hashes(F.col(text)).alias("doc_hashes"))
-    seeded = hashed.select(*ROW_KEY, F.posexplode(_seeds("doc_hashes", masks)).alias("n", "seed"))
-    hits = seeded.join(parts, "seed").withColumn("doc_at", F.floor(F.col("n") / len(masks)).cast("int"))
+    hits = _seeds(hashed, "doc_hashes", masks, ROW_KEY).withColumnRenamed("at", "doc_at").join(parts, "seed")
     hits = hits.groupBy(*ROW_KEY, "item_no", "item_block", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("n"), F.first("least_hits").alias("least_hits")
     )
