@@ -21,7 +21,7 @@ from timberline.session import BROADCAST_LIMIT_BYTES, small_side, stored
 
 #: Masks by the length of a window, for a similarity of 0.75: 1 is compared, 0 is ignored. Whichever tokens of a window of that many
 #: or more are substituted, up to a quarter, some mask fits somewhere beside them; the tests go through all choices.
-FAMILIES = ((12, ("11101", "100111")), (8, ("1101", "11001")), (5, ("1101", "1011")), (4, ("1101",)), (3, ("101",)), (1, ("1",)))
+FAMILIES = ((12, ("111011", "1100001011", "11010011", "1001111", "111101")), (8, ("1101", "11001")), (5, ("1101", "1011")), (4, ("1101",)), (3, ("101",)), (1, ("1",)))
 #: Choices of substituted tokens that are gone through to find masks for other windows, and masks of a family, at most.
 MOST_CHOICES, MOST_MASKS, MOST_SPAN = 200_000, 3, 12
 #: Windows of an item that are compared together, by where they begin, and tokens of a document that a row holds.
