@@ -9,7 +9,7 @@ from check import differences
 from timberline.llm.components import components
 from timberline.llm.decontaminate import OP8_SQL, contaminated, family, left_out
 from timberline.llm.line_dedup import drop_repeated_lines
-from timberline.llm.url_filter import canonical_form, judge_urls, rule_table
+from timberline.llm.url_filter import OP2_SQL, canonical_form, judge_urls, resolved, rule_table
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,40 @@ def test_urls(spark, frame):
     assert judge_urls(frame([], "page_id bigint, url string, html string"), rule_table(spark)).count() == 0
 
 
+LINKS = {
+    "//y.com/de/1": "https://y.com/de/1", "/de/1?a=1&amp;b=2": "https://x.net/de/1?a=1&b=2", "p2.html": "https://x.net/a/b/p2.html", "../p": "https://x.net/a/p",
+    "../../../q/": "https://x.net/q/", "./": "https://x.net/a/b/", "..": "https://x.net/a/", "?x=1": "https://x.net/a/b/c?x=1", "#top": None, "mailto:a@b.c": None,
+    "http://z.org/k;v=1": "http://z.org/k;v=1", "c/./d/../e?f=../g": "https://x.net/a/b/c/e?f=../g",
+}
+
+
+def test_links_of_every_form(spark, con):
+    rows = [(t, "https://x.net/a/b/c?q#f") for t in LINKS]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "t string, u string").select("t", resolved(F.regexp_replace("t", "&amp;", "&"), F.col("u"))).collect()}
+    assert got == LINKS
+    # Two tags of a kind, and a verdict that rests on each form: the page is blocked as its alias is.
+    tags = lambda t: (f'<link rel="canonical" href="https://other.test/{t[:1]}"><link rel=canonical href="{t}">', f'<meta http-equiv=refresh content="9; url=https://o.test/"><META http-equiv="refresh" content="0;URL={t}">')
+    forms = {"//y.com/de/1": "https", "/de/1": "http", "1": "http", "../de/2": "http", "?v=1&amp;w=2": "http"}
+    pages, want = [], {}
+    for k, (form, scheme) in enumerate(forms.items()):
+        for n, html in enumerate(tags(form)):
+            page = 10 * k + n
+            at = f"{scheme}://s{page}.com" + ("/de/x" if form in ("1", "?v=1&amp;w=2") else "/fine/x")
+            at = at.replace(".com", ".com" if form != "//y.com/de/1" else ".net")
+            pages.append((page, at, html))
+            want[page] = "block"
+    pages.append((900, "https://calm.net/", '<link rel=canonical href="mailto:x@y.com/de/">'))
+    want[900] = "allow"
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    judged = judge_urls(df, rule_table(spark))
+    assert {r.page_id: r.verdict for r in judged.collect()} == want
+    con.execute("CREATE OR REPLACE TEMP TABLE given_pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    more = pages + [(1000 + k, f"https://x{k}.net/a/b/c?q", f'<link rel="canonical" href="{t}">') for k, t in enumerate(LINKS)] + [(2000, None, None), (2001, "no scheme", '<link rel=canonical href="/x">')]
+    con.executemany("INSERT INTO given_pages VALUES (?, ?, ?)", more)
+    both = judge_urls(spark.createDataFrame(more, "page_id bigint, url string, html string"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+    assert differences(both, con, OP2_SQL.replace("FROM pages", "FROM given_pages")) == []
+
+
 def test_canonical_form(spark):
     rows = [("http://www.A.net/x/?utm_a=1&page=2&ref=x#top",), ("https://m.a.net/x?gclid=1",), ("nothing",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "u string").select(canonical_form(F.col("u"))).collect()]

@@ -25,7 +25,9 @@ _REST = r"^[^/?#]*"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*>"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+_AMPERSAND = r"(?i)&(amp|#38|#x26);"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: Parameters that do not choose a page.
 _TRACKING = r"(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
@@ -55,22 +57,49 @@ def canonical_form(url: Column, prefixes: tuple[str, ...] = ("www.", "m.")) -> C
     return F.when(host != "", F.concat(F.lit("https://"), host, path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` steps taken."""
+    steps = F.split(path, "/")
+    taken = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda so_far, x: F.when(x == ".", so_far).when(x == "..", F.slice(so_far, 1, F.greatest(F.size(so_far) - 1, F.lit(0)))).otherwise(F.concat(so_far, F.array(x))),
+    )
+    ends = path.rlike(r"/\.\.?$")
+    return F.concat(F.lit("/"), F.array_join(taken, "/"), F.when(ends & (F.size(taken) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, at: Column) -> Column:
+    """The address that ``target`` names on the page at ``at``: whole ones as they are, ``//host``, rooted, relative and ``?`` forms completed. Null for others, as ``mailto:``."""
+    site = F.regexp_extract(at, r"^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_extract(at, r"^.*?://[^/?#]*([^?#]*)", 1), "^(.*/)", 1)
+    path = F.regexp_extract(target, "^[^?#]*", 0)
+    rest = F.substring(target, F.length(path) + 1, F.length(target))
+    joined = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    joined = F.when(joined.rlike(r"/\.\.?(/|$)"), _without_dots(joined)).otherwise(joined)
+    return (
+        F.when(target.rlike(_SCHEME), F.when(F.instr(target, "://") > 0, target))
+        .when((site == "") | (target == "") | F.startswith(target, F.lit("#")), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(at, "^(.*?:)//", 1), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(F.regexp_extract(at, r"^[^?#]*", 0), target))
+        .otherwise(F.concat(site, joined, rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``u, v``: a page's address with the addresses it redirects to or names as canonical.
 
-    Sources are the canonical link and the refresh target in ``html``, absolute or from the site's root, and the
-    canonical form of each address met. Nulls give no edge.
+    Sources are all canonical links and refresh targets in ``html``, completed by the page's own address (a ``base`` tag is not looked at), and the
+    canonical form of each address met. ``&amp;`` counts as ``&``. Nulls give no edge.
     """
-    at = F.col(url)
-    declared = [
-        F.regexp_extract(F.regexp_extract(F.col(html), _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(F.col(html), _REFRESH, 0), _TARGET, 1),
-    ]
-    site = F.regexp_extract(at, r"^(.*?://[^/?#]*)", 1)
-    whole = [F.when(F.startswith(x, F.lit("/")) & ~F.startswith(x, F.lit("//")), F.concat(site, x)).otherwise(x) for x in declared]
-    links = pages.select(at.alias("u"), F.array(*whole).alias("ends"))
-    named = links.select("u", F.explode("ends").alias("v")).filter("v like '%://%' and u is not null")
-    met = named.select("v").union(links.select("u")).filter("v is not null").distinct()
+    at, text = F.col(url), F.col(html)
+
+    def targets(tag: str, value: str) -> Column:
+        tags = F.regexp_extract_all(text, F.lit(tag), F.lit(0))
+        return F.transform(tags, lambda t: F.regexp_extract(F.regexp_replace(t, _AMPERSAND, "&"), value, 1))
+
+    found = pages.select(at.alias("u"), F.concat(targets(_CANONICAL, _HREF), targets(_REFRESH, _TARGET)).alias("ends")).filter("u is not null")
+    named = found.select("u", F.explode("ends").alias("t")).select("u", resolved(F.col("t"), F.col("u")).alias("v")).filter("v is not null")
+    met = named.select("v").union(pages.select(at.alias("v"))).filter("v is not null").distinct()
     formed = met.select(F.col("v").alias("u"), canonical_form(F.col("v")).alias("v")).filter("v is not null")
     return named.union(formed).filter("u <> v").distinct()
 
@@ -152,12 +181,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in RULES)}),
 linked AS (
-  SELECT url AS u, unnest([
-    regexp_extract(regexp_extract(html, '{_CANONICAL.replace("'", "''")}', 0), '{_HREF.replace("'", "''")}', 1),
-    regexp_extract(regexp_extract(html, '{_REFRESH.replace("'", "''")}', 0), '{_TARGET.replace("'", "''")}', 1)]) AS raw
-  FROM pages WHERE url IS NOT NULL
+  SELECT url AS u, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '{_CANONICAL.replace("'", "''")}', 0), lambda t: regexp_extract(regexp_replace(t, '{_AMPERSAND}', '&', 'g'), '{_HREF.replace("'", "''")}', 1)),
+    list_transform(regexp_extract_all(html, '{_REFRESH.replace("'", "''")}', 0), lambda t: regexp_extract(regexp_replace(t, '{_AMPERSAND}', '&', 'g'), '{_TARGET.replace("'", "''")}', 1)))) AS raw
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), based AS (
+  SELECT u, raw, regexp_extract(u, '^(.*?://[^/?#]*)', 1) AS site, regexp_extract(raw, '^[^?#]*') AS path,
+    coalesce(nullif(regexp_extract(regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1), '^(.*/)', 1), ''), '/') AS folder FROM linked
+), steps AS (
+  SELECT *, CASE WHEN starts_with(path, '/') THEN path ELSE folder || path END AS joined FROM based
+), taken AS (
+  SELECT *, CASE WHEN regexp_matches(joined, '/\\.\\.?(/|$)') THEN list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(joined, '/')[2:], lambda x: [x])),
+    lambda so_far, x: CASE WHEN x[1] = '.' THEN so_far WHEN x[1] = '..' THEN so_far[1:greatest(len(so_far) - 1, 0)] ELSE list_concat(so_far, x) END) END AS left_over FROM steps
 ), named AS (
-  SELECT u, CASE WHEN raw LIKE '/%' AND raw NOT LIKE '//%' THEN regexp_extract(u, '^(.*?://[^/?#]*)', 1) || raw ELSE raw END AS v FROM linked
+  SELECT u, CASE WHEN regexp_matches(raw, '{_SCHEME}') THEN CASE WHEN contains(raw, '://') THEN raw END
+    WHEN site = '' OR raw = '' OR starts_with(raw, '#') THEN NULL
+    WHEN starts_with(raw, '//') THEN regexp_extract(u, '^(.*?:)//', 1) || raw
+    WHEN starts_with(raw, '?') THEN regexp_extract(u, '^[^?#]*') || raw
+    ELSE site || CASE WHEN left_over IS NULL THEN joined ELSE '/' || array_to_string(left_over, '/') || CASE WHEN regexp_matches(joined, '/\\.\\.?$') AND len(left_over) > 0 THEN '/' ELSE '' END END
+      || substr(raw, length(path) + 1) END AS v FROM taken
 ), met AS (
   SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT v FROM named WHERE v LIKE '%://%'
 ), rest AS (
