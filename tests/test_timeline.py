@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import search, summary, timeline
 from timberline.operators.prefix import global_positions, running
+from timberline.session import stored
 
 LOW = -(2**63)
 
@@ -172,3 +173,17 @@ def test_latency_small(spark):
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "variant INT, ms DOUBLE")
     got = {r["variant"]: (r["n"], r["median"], r["p95"], r["min"], r["max"]) for r in summary.latency_summary(df).collect()}
     assert got == {0: (1, 5.0, 5.0, 5.0, 5.0), 1: (2, 1.5, 2.0, 1.0, 2.0), 2: (20, 10.5, 19.0, 1.0, 20.0), 3: (31, 2.0, 2.0, 2.0, 9.0)}
+
+
+def test_one_identifier_at_one_time_is_spread(spark):
+    rows = [(k % 3, k, 1000 + int(k % 5 == 0), "same", k % 7) for k in range(600)] + [(0, 700, 1500, "other", 0), (1, 701, None, "same", 0), (2, 702, 1000, None, 0)]
+    right = stored(spark.createDataFrame(rows, "source_id INT, seq BIGINT, key_ms BIGINT, user STRING, extra INT"))
+    left = spark.createDataFrame([(9, 0, 1000, "same"), (9, 1, 1500, "other"), (9, 2, 1001, "same")], "source_id INT, seq BIGINT, key_ms BIGINT, user STRING")
+    matches = stored(search.time_correlate(left, right, 0, "user"))
+    for width in (1 << 16, 4):
+        got = sorted((r["of_seq"], r["source_id"], r["seq"]) for r in search.related_items(matches, right, "user", width).collect())
+        want = sorted((i, r[0], r[1]) for i, key, who in ((0, 1000, "same"), (1, 1500, "other"), (2, 1001, "same")) for r in rows if r[2] == key and r[3] == who)
+        assert got == want
+    # Blocks of the innermost count hold no more than their width.
+    ranked = search._ranked(right.filter("key_ms is not null and user is not null"), "user", 4)
+    assert sorted(r["_place"] for r in ranked.filter("user = 'same'").collect()) == list(range(600))

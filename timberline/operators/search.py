@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.patterns import required_literals
 from timberline.operators import assemble
-from timberline.operators.prefix import global_positions, running
+from timberline.operators.prefix import BLOCK_ROWS, global_positions, running
 from timberline.session import stored
 
 # 2^22 ms, a little over an hour of distinct keys per block.
@@ -108,7 +108,7 @@ def time_correlate(left: DataFrame, right: DataFrame, tolerance_ms: int, identif
     )
 
 
-def related_items(matches: DataFrame, right: DataFrame, identifier: str | None = None) -> DataFrame:
+def related_items(matches: DataFrame, right: DataFrame, identifier: str | None = None, width: int = BLOCK_ROWS) -> DataFrame:
     """The items of ``right`` that chosen rows of :func:`time_correlate` point to, one row per match and item.
 
     ``matches`` is a chosen part of its result with ``source_id, seq``: the output is as large as their ``match_count`` say. Every match gives
@@ -123,10 +123,26 @@ def related_items(matches: DataFrame, right: DataFrame, identifier: str | None =
         F.explode(F.sequence(F.col("match_start"), F.col("match_start") + F.col("match_count") - 1)).alias("_place"),
     )
     if identifier:
-        order = ["key_ms", "source_id", "seq"]
-        placed = running(dated, keys, order, {"_nth": ("sum", F.lit(1).cast("bigint"))}, KEY_BLOCK).withColumn("_place", F.col("_nth") - 1).drop("_nth")
-        joined = placed.join(wanted.withColumnRenamed("_id", identifier), [identifier, "_place"])
+        joined = _ranked(dated, identifier, width).join(wanted.withColumnRenamed("_id", identifier), [identifier, "_place"])
     else:
         placed = global_positions(dated, ["key_ms", "source_id", "seq"]).withColumnRenamed("position", "_place")
         joined = placed.join(wanted, "_place")
     return joined.select(*right.columns, "of_source_id", "of_seq")
+
+
+def _ranked(dated: DataFrame, identifier: str, width: int) -> DataFrame:
+    """``dated`` with ``_place``, the number of items of the same identifier before each in the order (key, source, seq).
+
+    Counted in three levels, so that no block holds more than ``width`` distinct keys, sources or items of one source at one key: earlier keys of the
+    identifier, earlier sources at the key, earlier items of the source at the key. However many items one identifier has at one time, they are spread.
+    """
+    one = F.lit(1).cast("bigint")
+    levels = [[identifier], [identifier, "key_ms"]]
+    before = []
+    for keys, order in zip(levels, ("key_ms", "source_id")):
+        counts = dated.groupBy(*keys, order).agg(F.count("*").alias("_n"))
+        earlier = running(counts, keys, [order], {f"_before_{order}": ("sum", F.col("_n"))}, width, include_current=False)
+        before.append(earlier.drop("_n"))
+    own = running(dated, [*levels[1], "source_id"], ["seq"], {"_own": ("sum", one)}, width, include_current=False)
+    placed = own.join(before[0], levels[1]).join(before[1], [*levels[1], "source_id"])
+    return placed.withColumn("_place", F.col("_own") + F.col("_before_key_ms") + F.col("_before_source_id")).select(*dated.columns, "_place")
