@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import ranges
+from timberline.session import TASK_BYTES
 
 SCHEMA = "sel INT, pos BIGINT, start BIGINT, count BIGINT"
 KEYS = ["sel"]
@@ -147,3 +148,25 @@ def test_small_constructors(spark):
     assert ranges.select_all(spark, 0).count() == 0
     pair = spark.createDataFrame([(7, 3), (3, 7), (4, 4)], "a BIGINT, b BIGINT").select(ranges.range_between(F.col("a"), F.col("b")).alias("r"))
     assert [tuple(r["r"]) for r in pair.collect()] == [(3, 5), (3, 5), (4, 1)]
+
+
+def test_sweeps_run_in_small_tasks(spark, data, monkeypatch):
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen, keep = [spark.conf.get(n) for n in sizes], [], ranges.stored
+
+    def noted(df, label):
+        seen.append((label, [int(spark.conf.get(n)) for n in sizes]))
+        return keep(df, label)
+
+    monkeypatch.setattr(ranges, "stored", noted)
+    # No key, ranges over several block borders, a block without ends in between, toggles at a border.
+    rows = [(10, 65526), (65536, 1), (70000, 300000), (200000, 5), (500000, 2), (65530, 6)]
+    flips = [(65535,), (65535,), (65536,), (131072,), (369999,), (370000,), (370000,), (370000,)]
+    want = {p for a, n in rows for p in range(a, a + n)}
+    for (p,) in flips:
+        want ^= {p}
+    found = ranges.toggle_rows(spark.createDataFrame(rows, "start BIGINT, count BIGINT"), spark.createDataFrame(flips, "row BIGINT"), [])
+    assert sorted((r["start"], r["count"]) for r in found.collect()) == islands(want)
+    assert [label for label, _ in seen] == ["spans", "sweep"]
+    assert all(size <= TASK_BYTES for _, given in seen for size in given)
+    assert [spark.conf.get(n) for n in sizes] == before

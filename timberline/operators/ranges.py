@@ -7,11 +7,14 @@ block of positions never holds more rows than its width, however many ranges mee
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.prefix import running
-from timberline.session import stored
+from timberline.operators.prefix import BLOCK_ROWS, block_of, carry_in, running
+from timberline.session import small_side, small_tasks, stored
 
 PAGE_ROWS = 4096
 #: Bytes of running sums per block.
@@ -31,36 +34,69 @@ def _ends(ranges: DataFrame, keys: list[str], counter: str) -> DataFrame:
     ).select(*keys, F.col("_e.at").alias("at"), F.col(f"_e.{counter}").alias(counter))
 
 
-def _sweep(ends: DataFrame, keys: list[str], counters: list[str], selected: Column) -> DataFrame:
-    """Maximal stretches of positions where ``selected`` (over the running counters) holds."""
-    summed = ends.groupBy(*keys, "at").agg(*[F.sum(c).alias(c) for c in counters])
-    open_now = stored(running(summed, keys, ["at"], {f"in_{c}": ("sum", F.col(c)) for c in counters}), "sweep")
-    before = {f"in_{c}": F.col(f"in_{c}") - F.col(c) for c in counters}
-    flagged = open_now.withColumn("_now", selected)
-    flagged = flagged.withColumns(before).withColumn("_before", selected)
-    turns = flagged.filter(F.col("_now") != F.col("_before")).select(*keys, "at", "_now")
-    # Starts and ends alternate, so a start and its end share the number of starts so far.
-    paired = running(turns, keys, ["at"], {"_pair": ("sum", F.col("_now").cast("bigint"))})
-    return (
-        paired.groupBy(*keys, "_pair")
-        .agg(F.min("at").alias("start"), F.max("at").alias("_end"))
-        .select(*keys, "start", (F.col("_end") - F.col("start")).alias("count"))
-    )
+def _spans(ranges: DataFrame, keys: list[str], counters: list[str], counter: str) -> DataFrame:
+    """Non-empty ranges up to ``_stop``, counted by one of the ``counters``."""
+    weights = [F.lit(int(c == counter)).cast("bigint").alias(c) for c in counters]
+    return ranges.filter(F.col("count") > 0).select(*keys, "start", (F.col("start") + F.col("count")).alias("_stop"), *weights)
+
+
+def _carried(spans: DataFrame, ends: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
+    """Ranges open at the beginning of a block, as rows at its first position that add to ``from_<counter>``.
+
+    A range inside one block opens nothing in later ones, so only selections with a range over a border are looked at.
+    """
+    over = spans.filter(block_of(F.col("start")) != block_of(F.col("_stop")))
+    if keys:
+        reaching = ends.join(small_side(over.select(*keys).distinct(), 16 * len(keys), few=True), keys, "left_semi")
+    else:
+        reaching = ends.limit(0) if over.isEmpty() else ends
+    carry = carry_in(reaching, keys, "_block", {c: ("sum", F.col(c)) for c in counters})
+    opened = {f"from_{c}": F.coalesce(F.col(f"carry_{c}"), F.lit(0)) for c in counters}
+    rows = carry.withColumns(opened).withColumn("at", F.shiftleft("_block", BLOCK_ROWS.bit_length() - 1))
+    nothing = [F.lit(0).cast("bigint").alias(c) for c in counters]
+    return rows.filter(reduce(or_, [F.col(c) != 0 for c in opened])).select(*keys, "at", "_block", *nothing, *opened)
+
+
+def _sweep(spans: DataFrame, keys: list[str], counters: list[str], selected: Column) -> DataFrame:
+    """Maximal stretches of positions where ``selected`` (over the running counters) holds.
+
+    Rows are brought together by block once. A stretch that ends in its block is complete there; the ends of others, at most two per
+    block, are paired afterwards.
+    """
+    with small_tasks(spans.sparkSession):
+        spans = stored(spans, "spans")
+        both = F.array(
+            F.struct(F.col("start").alias("at"), *counters), F.struct(F.col("_stop").alias("at"), *[(-F.col(c)).alias(c) for c in counters])
+        )
+        ends = spans.select(*keys, F.explode(both).alias("_e")).select(*keys, "_e.*").withColumn("_block", block_of(F.col("at")))
+        opened = [f"from_{c}" for c in counters]
+        rows = ends.withColumns({c: F.lit(0).cast("bigint") for c in opened}).unionByName(_carried(spans, ends, keys, counters))
+        summed = rows.groupBy(*keys, "at", "_block").agg(*[F.sum(c).alias(c) for c in (*counters, *opened)])
+        local = Window.partitionBy(*keys, "_block").orderBy("at")
+        now = {f"in_{c}": F.sum(F.col(c) + F.col(f"from_{c}")).over(local) for c in counters}
+        before = {f"in_{c}": F.col(f"in_{c}") - F.col(c) for c in counters}
+        flagged = summed.withColumns(now).withColumn("_now", selected).withColumns(before).withColumn("_before", selected)
+        turns = flagged.filter(F.col("_now") != F.col("_before"))
+        # Starts and ends alternate.
+        paired = turns.withColumns({"_end": F.lead("at").over(local), "_first": F.lag("at").over(local).isNull()})
+        swept = stored(paired.filter(F.col("_now") | F.col("_first")).select(*keys, "at", "_end", "_now"), "sweep")
+    whole = swept.filter(F.col("_now") & F.col("_end").isNotNull()).select(*keys, F.col("at").alias("start"), "_end")
+    loose = swept.filter(~F.col("_now") | F.col("_end").isNull()).select(*keys, "at", "_now")
+    # A start and its end share the number of starts so far.
+    numbered = running(loose, keys, ["at"], {"_pair": ("sum", F.col("_now").cast("bigint"))})
+    joined = numbered.groupBy(*keys, "_pair").agg(F.min("at").alias("start"), F.max("at").alias("_end")).drop("_pair")
+    return whole.unionByName(joined).select(*keys, "start", (F.col("_end") - F.col("start")).alias("count"))
 
 
 def normalize_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Drop empty ranges and merge overlapping and adjacent ones."""
-    return _sweep(_ends(ranges, keys, "n"), keys, ["n"], F.col("in_n") > 0)
+    return _sweep(_spans(ranges, keys, ["n"], "n"), keys, ["n"], F.col("in_n") > 0)
 
 
 def _with_rows(ranges: DataFrame, rows: DataFrame, keys: list[str], selected: Column) -> DataFrame:
     rows = rows.select(*keys, F.col("row").alias("start"), F.lit(1).cast("bigint").alias("count"))
-    ends = (
-        _ends(ranges, keys, "n")
-        .withColumn("m", F.lit(0).cast("bigint"))
-        .unionByName(_ends(rows, keys, "m").withColumn("n", F.lit(0).cast("bigint")))
-    )
-    return _sweep(ends, keys, ["n", "m"], selected)
+    spans = _spans(ranges, keys, ["n", "m"], "n").unionByName(_spans(rows, keys, ["n", "m"], "m"))
+    return _sweep(spans, keys, ["n", "m"], selected)
 
 
 def subtract_rows(ranges: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,8 +106,7 @@ def subtract_rows(ranges: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 def toggle_rows(ranges: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Flip single rows: selected ones are removed, the others added. A row toggled twice is back where it was."""
-    odd = rows.groupBy(*keys, "row").agg(F.count("*").alias("_times")).filter(F.col("_times") % 2 == 1)
-    return _with_rows(ranges, odd, keys, (F.col("in_n") > 0) != (F.col("in_m") > 0))
+    return _with_rows(ranges, rows, keys, (F.col("in_n") > 0) != (F.col("in_m") % 2 == 1))
 
 
 def clamp_ranges(ranges: DataFrame, total: int | Column, keys: list[str]) -> DataFrame:
