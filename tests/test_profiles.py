@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.encoding import named_codepage, valid_utf8_head
+from timberline.functions.paths import is_pattern, pattern_regex, pattern_subject
 from timberline.operators import profiles
 
 PROFILES = "pos INT, name STRING, path_pattern STRING, priority BIGINT, encoding STRING, ansi_codepage INT, datetime_format STRING"
@@ -116,3 +117,17 @@ def test_catalog_order(spark):
     )
     rows = profiles.source_catalog(configured, opened).orderBy("section", "place").collect()
     assert [(r["display_name"], r["status"]) for r in rows] == [("one", "not_opened"), ("two", "error"), (None, "ready"), ("x", "ready"), ("gone", "ready")]
+
+
+def test_globs_are_sifted_before_their_regex(spark):
+    patterns = ["**", "**\\**", "*", "?", "a?", "**\\b*", "a\\**", "a\\**\\b", "a**b", "\\*", "*\\", "**\\a\\**\\b?\\*c", "a*a", "**\\ab*b\\**", "A\\*\\C", "*.*"]
+    paths = ["", "a", "b", "ab", "a\\b", "a\\x\\b", "aa", "a\\", "\\a", "x\\a\\bb\\c", "a\\y\\bz\\xc", "aba", "x\\abb\\y", "a/b/c", "ab\\b", "a.b", "bb"]
+    prof = table(spark, *[(p, p, 0) for p in patterns])
+    sources = spark.createDataFrame(list(enumerate(paths)), "source_id INT, path STRING")
+    found = profiles.glob_matches(sources, prof)
+    each = sources.crossJoin(prof).filter(is_pattern("path_pattern")).select("source_id", "pos", pattern_subject("path").alias("s"), pattern_regex("path_pattern").alias("r"))
+    assert {tuple(r) for r in found.select("source_id", "pos").collect()} == {tuple(r) for r in each.filter(F.expr("s RLIKE r")).select("source_id", "pos").collect()}
+    # Paths are dealt out, and cheap tests come before the regex, which is compiled for each row.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [source_id" in plan
+    assert 0 < plan.index("EndsWith(") < plan.index("RLIKE")

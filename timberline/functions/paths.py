@@ -49,6 +49,14 @@ def pattern_subject(path: str | Column) -> Column:
     return F.concat(folded(path), F.lit(SEPARATOR))
 
 
+def literal_runs(pattern: str | Column) -> Column:
+    """The texts between wildcards; every match holds all of them in order, the first and the last at its ends.
+
+    Both the pattern and what matches it are taken with a separator before and behind, so a ``**`` for no segments lets two of these share one.
+    """
+    return F.split(F.concat(F.lit(SEPARATOR), pattern_subject(pattern)), "[*?]+")
+
+
 def fixed_depth(pattern: str | Column) -> Column:
     """Number of leading segments without a wildcard."""
     parts = segments(pattern)

@@ -6,12 +6,15 @@ in list order; ``sources`` has ``source_id, path`` and optionally ``manual_profi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.datetime import FORMATS
 from timberline.functions.encoding import known_codepage, named_codepage
-from timberline.functions.paths import fixed_depth, folded, is_pattern, pattern_regex, pattern_subject, prefix_of, segments
+from timberline.functions.paths import SEPARATOR, fixed_depth, folded, is_pattern, literal_runs, pattern_regex, pattern_subject, prefix_of, segments
 from timberline.operators.prefix import global_positions
 from timberline.session import small_side
 
@@ -29,29 +32,36 @@ def resolve_profile_exact(sources: DataFrame, profiles: DataFrame) -> DataFrame:
 def glob_matches(sources: DataFrame, profiles: DataFrame) -> DataFrame:
     """``source_id, pos, name, priority`` of every pattern a path matches.
 
-    An equi-join on the pattern's leading wildcard-free segments picks the
-    candidates; only those are matched by regex.
+    An equi-join on the pattern's leading wildcard-free segments picks the candidates. Those whose path begins and ends as the pattern does
+    and holds the longest text between two wildcards are matched by regex, as a regex that comes from a column is compiled for each row.
     """
+    runs = literal_runs("path_pattern")
     patterns = profiles.filter(is_pattern("path_pattern")).select(
         "pos",
         "name",
         "priority",
         fixed_depth("path_pattern").alias("_depth"),
         pattern_regex("path_pattern").alias("_regex"),
+        runs[0].alias("_begin"),
+        F.element_at(runs, -1).alias("_finish"),
+        F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("text"))))["text"].alias("_inside"),
         "path_pattern",
     )
     patterns = patterns.withColumn("_prefix", prefix_of("path_pattern", F.col("_depth"))).drop("path_pattern")
-    paths = sources.select(
-        "source_id",
-        "path",
-        pattern_subject("path").alias("_subject"),
-        F.explode(F.sequence(F.lit(0), F.size(segments("path")))).alias("_depth"),
-    ).withColumn("_prefix", prefix_of("path", F.col("_depth")))
+    # A list of paths is a small file that one task would read, and each path takes long. Dealt by id, its matches stay in one task as well.
+    cut = sources.select("source_id", "path").repartition("source_id").select(
+        "source_id", pattern_subject("path").alias("_subject"), F.concat(F.lit(SEPARATOR), pattern_subject("path")).alias("_whole"), segments("path").alias("_parts")
+    )
+    depths = F.sequence(F.lit(0), F.size("_parts"))
+    paths = cut.select("source_id", "_subject", "_whole", F.posexplode(F.transform(depths, lambda d: F.array_join(F.slice("_parts", F.lit(1), d), SEPARATOR))).alias("_depth", "_prefix"))
     # A list of patterns that fits is sent to the paths: then no path is shuffled, however many share a prefix.
-    patterns = small_side(patterns, 48, F.octet_length("_regex") + F.octet_length("_prefix") + F.octet_length("name"))
+    texts = [F.octet_length(c) for c in ("_regex", "_prefix", "name", "_begin", "_finish", "_inside")]
+    patterns = small_side(patterns, 48, reduce(add, texts))
+    whole = F.col("_whole")
+    likely = whole.endswith(F.col("_finish")) & F.contains(whole, F.col("_inside")) & whole.startswith(F.col("_begin"))
     return (
         paths.join(patterns, ["_depth", "_prefix"])
-        .filter(F.expr("_subject RLIKE _regex"))
+        .filter(likely & F.expr("_subject RLIKE _regex"))
         .select("source_id", "pos", "name", "priority")
     )
 
@@ -61,12 +71,12 @@ def resolve_profile_glob(sources: DataFrame, profiles: DataFrame) -> DataFrame:
 
     ``source_id, glob_name, candidates``: the name is NULL when ambiguous, candidates come in list order.
     """
-    matches = glob_matches(sources, profiles)
-    best = matches.groupBy("source_id").agg(F.max("priority").alias("priority"))
     # A source matches at most as many rows as the profile list is long.
-    left = matches.join(best, ["source_id", "priority"]).groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda c: c["name"]).alias("candidates")
+    matches = glob_matches(sources, profiles).groupBy("source_id").agg(
+        F.max("priority").alias("_best"), F.array_sort(F.collect_list(F.struct("pos", "name", "priority"))).alias("_all")
     )
+    best = F.filter("_all", lambda c: c["priority"].eqNullSafe(F.col("_best")))
+    left = matches.filter(F.col("_best").isNotNull()).select("source_id", F.transform(best, lambda c: c["name"]).alias("candidates"))
     return left.select(
         "source_id", F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("glob_name"), "candidates"
     )
