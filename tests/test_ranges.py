@@ -170,3 +170,13 @@ def test_sweeps_run_in_small_tasks(spark, data, monkeypatch):
     assert [label for label, _ in seen] == ["spans", "sweep"]
     assert all(size <= TASK_BYTES for _, given in seen for size in given)
     assert [spark.conf.get(n) for n in sizes] == before
+
+
+def test_sizes_look_up_each_place_once(spark, monkeypatch):
+    view = spark.createDataFrame([(i, 4) for i in range(10)], "position BIGINT, body_bytes BIGINT")
+    chosen = spark.range(500).select(F.col("id").alias("sel"), F.lit(3).cast("bigint").alias("start"), F.lit(2).cast("bigint").alias("count"))
+    known, keep = [], ranges.small_side
+    monkeypatch.setattr(ranges, "small_side", lambda df, *a, **k: known.append(df.count()) or keep(df, *a, **k))
+    sized = ranges.sized_ranges(chosen, ranges.byte_sums(view))
+    assert known == [2]
+    assert {(r["_before"], r["_bytes"], r["_unknown"]) for r in sized.collect()} == {(15, 10, 0)} and sized.count() == 500

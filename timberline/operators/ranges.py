@@ -227,11 +227,18 @@ def byte_sums(view: DataFrame) -> DataFrame:
 
 
 def sized_ranges(ranges: DataFrame, sums: DataFrame) -> DataFrame:
-    """Ranges inside the view with ``_before`` (bytes up to their start), ``_bytes`` and ``_unknown``: two lookups by position each."""
-    first = sums.select((F.col("position") + 1).alias("start"), F.col("_cum").alias("_before"), F.col("_bad").alias("_bad_before"))
-    last = sums.select((F.col("position") + 1).alias("_stop"), F.col("_cum").alias("_until"), F.col("_bad").alias("_bad_until"))
+    """Ranges inside the view with ``_before`` (bytes up to their start), ``_bytes`` and ``_unknown``: two lookups by position each.
+
+    Looked up are the places where ranges begin or end, each once, however many ranges meet there; a few are sent to the ranges.
+    """
     zero = F.lit(0).cast("bigint")
-    placed = ranges.withColumn("_stop", F.col("start") + F.col("count")).join(first, "start", "left").join(last, "_stop")
+    placed = ranges.withColumn("_stop", F.col("start") + F.col("count"))
+    places = placed.select(F.explode(F.array("start", "_stop")).alias("_place")).distinct()
+    known = places.join(sums.withColumn("_place", F.col("position") + 1), "_place").select("_place", "_cum", "_bad")
+    known = small_side(known, 24)
+    first = known.select(F.col("_place").alias("start"), F.col("_cum").alias("_before"), F.col("_bad").alias("_bad_before"))
+    last = known.select(F.col("_place").alias("_stop"), F.col("_cum").alias("_until"), F.col("_bad").alias("_bad_until"))
+    placed = placed.join(first, "start", "left").join(last, "_stop")
     placed = placed.withColumn("_before", F.coalesce("_before", zero))
     return placed.select(
         *ranges.columns, "_before", (F.col("_until") - F.col("_before")).alias("_bytes"),
@@ -266,7 +273,8 @@ def extract_verdict(view: DataFrame, ranges: DataFrame, max_lines: int, max_byte
     wanted = ranges.join(small_enough.select(*keys), keys, "left_semi")
     last = view.agg(F.max("position")).first()[0]
     sums = byte_sums(view)
-    sized = stored(sized_ranges(clamp_ranges(wanted, 0 if last is None else last + 1, keys), sums), "sized")
+    with small_tasks(view.sparkSession):
+        sized = stored(sized_ranges(clamp_ranges(wanted, 0 if last is None else last + 1, keys), sums), "sized")
     totals = sized.groupBy(*keys).agg((F.sum("_bytes") - 1).alias("_all"), (F.sum("_unknown") > 0).alias("_unreadable"))
     # Where a selection overflows: in its first range whose end is past the limit, at the first row that is.
     over = sized.join(totals.filter(F.col("_all") > max_bytes).select(*keys), keys, "left_semi")
