@@ -416,3 +416,9 @@ def test_warc_round_trip(spark, frame):
     big = fresh_path(spark, "warc-test")
     warc.write_warc(frame(rows, "page_id bigint, url string, html string"), big, min_bytes=5)
     assert {r.record_id for r in warc.read_warc(spark, big).filter("record_type = 'revisit'").collect()} == {"<urn:page:1>"}
+
+
+def test_tasks_of_a_worker_share_their_words(tokenizer):
+    first = packing.word_cache(tokenizer)
+    first.ids(["some words here"])
+    assert packing.word_cache(tokenizer) is first and {"words", "here"} <= set(first.new[1])

@@ -12,6 +12,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,12 @@ class WordCache:
         ]
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """The cache of this Python worker: Spark keeps workers, so later tasks find the words of earlier ones."""
+    return WordCache(path)
+
+
 def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     """``start, length, crc32`` of each piece; only the first is shorter than ``capacity``."""
     n = len(ids) // 4
@@ -137,7 +144,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache, seen = TaskContext.get().partitionId(), WordCache(tokenizer), np.zeros(capacity + 1, np.int64)
+        part, cache, seen = TaskContext.get().partitionId(), word_cache(tokenizer), np.zeros(capacity + 1, np.int64)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
