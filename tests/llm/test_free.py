@@ -422,3 +422,22 @@ def test_tasks_of_a_worker_share_their_words(tokenizer):
     first = packing.word_cache(tokenizer)
     first.ids(["some words here"])
     assert packing.word_cache(tokenizer) is first and {"words", "here"} <= set(first.new[1])
+
+
+def test_words_of_letters_need_no_whole_encoding(tokenizer, monkeypatch):
+    texts = ["Plain Wörter, слово слова\nline two! ªº x²; it's ###", "čeština ends.\nÀ ß,, a"]
+    cache = packing.WordCache(tokenizer)
+    want = [np.asarray(w.ids, "<u4").tobytes() for w in cache.encoder.encode_batch(texts, add_special_tokens=False)]
+    assert cache.ids(texts) == want
+    cache = packing.WordCache(tokenizer)
+    monkeypatch.setattr(cache, "_encode", lambda text: pytest.fail(text))
+    assert cache.ids(["words of letters\nalone слово"]) == [np.asarray(cache.encoder.encode("words of letters\nalone слово").ids, "<u4").tobytes()]
+
+
+def test_words_kept_beside_later_stages_are_bounded(tokenizer):
+    """What a Python worker keeps when a packing task ends stays in memory beside the stages that follow."""
+    assert packing.CACHE_WORDS <= 100_000
+    cache = packing.WordCache(tokenizer)
+    for k in range(0, 240_000, 40_000):
+        cache.ids([" ".join(f"w{n}" for n in range(k, k + 40_000))])
+    assert sum(len(x) for x in (*cache.new, *cache.old)) <= 240_000 - 40_000

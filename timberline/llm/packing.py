@@ -8,24 +8,33 @@ come from counts per stored part, so no task sees all pieces of a length and no
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import table
+from timberline.llm.common import giving_back, table
 from timberline.session import stored
 
 CAPACITY = 2048
-#: Encoded words kept per task: two generations of this many.
-CACHE_WORDS = 300_000
+#: Encoded words kept per Python worker: two generations of about this many. They stay when a task ends, beside whatever runs next.
+CACHE_WORDS = 100_000
+#: Characters whose words are looked up together.
+CHUNK_CHARS = 2_000_000
 _MARKS = ".,;:!?#*$%&"
+#: Latin and Cyrillic letters: a byte-level pre-tokenizer keeps a run of them, and the blank before it, in one piece.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481]+")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 # ---- token ids -------------------------------------------------------------------------------------------------
@@ -36,8 +45,8 @@ class WordCache:
 
     A byte-level pre-tokenizer never joins a word with what follows the next single blank or line end, so lines of printable
     words may be cut at their blanks. A text with any other white space, or one that names a special token, is encoded as a
-    whole. New words are encoded many at a time, as lines of one text. ``tests/llm`` holds the ids against
-    those of whole texts.
+    whole. New words of letters alone are one piece each and go to the tokenizer's model as they are; other new words are encoded many at a
+    time, as lines of one text. ``tests/llm`` holds the ids against those of whole texts.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -47,6 +56,7 @@ class WordCache:
         self.encoder = Tokenizer.from_file(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.line_end = self._encode("\n")
+        self.model = self._model()
         self.most = most
         #: Ids of words at the start of a line and after a blank: two generations each, so that frequent words stay.
         self.new, self.old = ({}, {}), ({}, {})
@@ -55,34 +65,50 @@ class WordCache:
     def _encode(self, text: str) -> bytes:
         return array("I", self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """The words of each line, if the text may be cut."""
-        if len(self.line_end) != 4 or any(s in text for s in self.special):
+    def _model(self):
+        """The model, if what it is given are runs of letters as they stand."""
+        from tokenizers import models, pre_tokenizers
+
+        kind = self.encoder.pre_tokenizer
+        if not isinstance(kind, pre_tokenizers.ByteLevel) or not isinstance(self.encoder.model, models.BPE):
+            return None
+        told = json.loads(kind.__getstate__())
+        if self.encoder.normalizer or self.encoder.truncation or self.encoder.padding or any(told.get(k) != v for k, v in _BYTE_LEVEL.items()):
             return None
-        lines = text.split("\n")
-        for line in lines:
-            if not line or not line.isprintable() or line[0] == " " or line[-1] == " " or "  " in line:
-                return None
-        return [line.split(" ") for line in lines]
+        #: The same alphabet of bytes, without looking for pieces.
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return self.encoder.model
+
+    def _pieces(self, words: list[str], spaced: int) -> Iterator[tuple[str, bytes]]:
+        """Words that are one piece each, with their ids."""
+        model, of = self.model.tokenize, attrgetter("id")
+        between = self.level.pre_tokenize_str("\n")[0][0]
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            letters = self.level.pre_tokenize_str("\n".join([" " + w for w in some] if spaced else some))[0][0]
+            for w, piece in zip(some, letters.split(between)):
+                yield w, array("I", map(of, model(piece))).tobytes()
+
+    def _may_be_cut(self, text: str) -> bool:
+        """Lines of printable words with one blank between them, and no special token."""
+        if not text or len(self.line_end) != 4 or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in self.special):
+            return False
+        return not any(s in text for s in ("  ", "\n\n", " \n", "\n ")) and text.replace("\n", "").isprintable()
 
     def _fill(self, wanted: set[str], spaced: int) -> None:
-        """Ids of words not met before. Marks at a word's end are a token run of their own, so the bare word is looked up first."""
+        """Ids of words not met before."""
         new, old = self.new[spaced], self.old[spaced]
-        bare, marked = [], []
+        bare = []
         for w in wanted.difference(new):
             ids = old.get(w)
-            if ids is not None:
-                new[w] = ids
-                continue
-            core = w.rstrip(_MARKS)
-            if core is w or not core or not core[-1].isalnum():
+            if ids is None:
                 bare.append(w)
-                continue
-            marked.append((w, core, w[len(core) :]))
-            if core not in new:
-                new[core] = old.get(core, b"")
-                if not new[core]:
-                    bare.append(core)
+            else:
+                new[w] = ids
+        if self.model:
+            plain = list(filter(_LETTERS.fullmatch, bare))
+            new.update(self._pieces(plain, spaced))
+            bare = [w for w in bare if not _LETTERS.fullmatch(w)] if len(plain) < len(bare) else []
         end = int.from_bytes(self.line_end, "little")
         for k in range(0, len(bare), 1000):
             some = bare[k : k + 1000]
@@ -90,32 +116,74 @@ class WordCache:
             ends = np.flatnonzero(np.frombuffer(ids, "<u4") == end) * 4
             for w, a, b in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)]):
                 new[w] = ids[a:b]
-        for w, core, marks in marked:
-            tail = self.tails.get(marks)
-            if tail is None:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                tail = self.tails[marks] = self._encode(marks)
-            new[w] = new[core] + tail
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, per text."""
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids per word. One that begins with a line end stands at the start of a line and has the line end's id first, others have their blank."""
         for k in (0, 1):
             if len(self.new[k]) > self.most:
                 self.old = tuple(self.new[i] if i == k else self.old[i] for i in (0, 1))
                 self.new = tuple({} if i == k else self.new[i] for i in (0, 1))
-        cut = [self._lines(t) for t in texts]
-        heads = [[words.pop(0) for words in lines] if lines else None for lines in cut]
-        wanted: set[str] = set()
-        for lines in cut:
-            wanted.update(*lines or ())
-        self._fill(wanted, 1)
-        self._fill({w for head in heads for w in head or ()}, 0)
-        first, rest = self.new[0].__getitem__, self.new[1].__getitem__
-        return [
-            self.line_end.join([first(h) + b"".join(map(rest, words)) for h, words in zip(head, lines)]) if lines else self._encode(text)
-            for text, head, lines in zip(texts, heads, cut)
-        ]
+        self._fill({w for w in words if w[0] != "\n"}, 1)
+        self._fill({w[1:] for w in words if w[0] == "\n"}, 0)
+        first, rest, end = *self.new, self.line_end
+        return [rest[w] if w[0] != "\n" else end + first[w[1:]] for w in words]
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[marks] = self._encode(marks)
+        return ids
+
+    def _distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and how many each has. Marks at a word's end are a token run of their own, so the bare words are looked up."""
+        cores = pc.utf8_rtrim(words, characters=_MARKS)
+        tailed = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        cores = cores.dictionary_encode()
+        bare, core = _strings(cores.dictionary), cores.indices.to_numpy().astype(np.int64)
+        sound = np.fromiter((w[-1:].isalnum() for w in bare), bool, len(bare))
+        # What ends in neither letter nor digit before its marks is looked up as it is.
+        whole, tailed = tailed[~sound[core[tailed]]], tailed[sound[core[tailed]]]
+        core[whole] = np.arange(len(whole)) + len(bare)
+        bare += _strings(words.take(pa.array(whole)))
+        used, core = np.unique(core, return_inverse=True)
+        bare = [bare[k] for k in used.tolist()]
+        marks = [w[len(bare[k]) :] for w, k in zip(_strings(words.take(pa.array(tailed))), core[tailed].tolist())]
+        ends = {m: len(bare) + 1 + k for k, m in enumerate(dict.fromkeys(marks))}
+        table = [*self._ids_of(bare), b"", *map(self._tail, ends)]
+        # Each word is two parts: the bare word and its marks, or the empty part between the two kinds.
+        parts = np.full((len(words), 2), len(bare), np.int64)
+        parts[:, 0] = core
+        parts[tailed, 1] = [ends[m] for m in marks]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        return _chosen(np.frombuffer(b"".join(table), "<u4"), sizes, parts.ravel()), sizes[parts].sum(axis=1)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers, per text."""
+        may = [self._may_be_cut(t) for t in texts]
+        lines = "".join("\n" + t for t, ok in zip(texts, may) if ok)
+        if not lines:
+            return list(map(self._encode, texts))
+        words = pc.split_pattern(pa.array([lines.replace("\n", " \n")[1:]], pa.string()), " ").flatten().dictionary_encode()
+        at, (flat, sizes) = words.indices.to_numpy(), self._distinct(words.dictionary)
+        ids = _chosen(flat, sizes, at)
+        # Before each text's first word there is a line end too many.
+        counts = [t.count(" ") + t.count("\n") + 1 for t, ok in zip(texts, may) if ok]
+        ends = np.cumsum(sizes[at])[np.cumsum(counts) - 1].tolist()
+        cut = (ids[a + 1 : b].tobytes() for a, b in zip([0, *ends], ends))
+        return [next(cut) if ok else self._encode(t) for t, ok in zip(texts, may)]
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _chosen(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The stretches ``rows`` of ``flat``, whose stretches have ``sizes``, one behind the other."""
+    n, begins = sizes[rows], np.cumsum(sizes) - sizes
+    ends = np.cumsum(n)
+    return flat[np.repeat(begins[rows] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(maxsize=1)
@@ -151,7 +219,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str
             at = 0
             while at < len(ids_of):
                 chunk, size, begin = [], 0, at
-                while at < len(ids_of) and size < 1_000_000:
+                while at < len(ids_of) and size < CHUNK_CHARS:
                     chunk.append(texts[at].as_py() or "")
                     size += len(chunk[-1])
                     at += 1
@@ -169,7 +237,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     names = arrow.names
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(lambda batches: giving_back(run(batches)), schema)
 
 
 # ---- the plan --------------------------------------------------------------------------------------------------
