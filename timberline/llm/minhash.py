@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import table
+from timberline.llm.common import giving_back, table
 from timberline.llm.components import components
 from timberline.llm.textstats import groups_of
 from timberline.session import small_side, stored
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 )
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
+        lambda batches: giving_back(run(batches)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
     )
 
 
@@ -186,7 +186,7 @@ def shingles_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, doc_id:
                     names=["n_shingles", "h1", "h2", "shingles"],
                 )
 
-    sets = found.select("doc_id", text).mapInArrow(make, "n_shingles bigint, h1 bigint, h2 bigint, shingles binary")
+    sets = found.select("doc_id", text).mapInArrow(lambda batches: giving_back(make(batches)), "n_shingles bigint, h1 bigint, h2 bigint, shingles binary")
     return stored(sets.select(class_of().alias("cls"), "shingles").filter("cls is not null").dropDuplicates(["cls"]), "sets")
 
 
