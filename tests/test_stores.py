@@ -68,6 +68,32 @@ def test_only_pieces_that_change_are_written(spark, tmp_path):
     assert timeline_store.read_view(spark, empty)[0].count() == 110
 
 
+def test_finely_cut_views_have_few_tasks_and_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timeline_store, "CHUNK_ROWS", 400, raising=False)
+    rng, path = random.Random(5), str(tmp_path / "view")
+    sources = stored(spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "source_id INT, source_ordinal INT"))
+    rows = [(s, k, k * 10 + s, 5) for s in range(3) for k in range(800)]
+    timeline_store.write_view(spark.createDataFrame(rows, ITEMS), sources, path, piece_rows=8)
+    for generation in (1, 2, 3):
+        if generation > 1:
+            # What goes and what comes lies in several runs of pieces, which must not be cut across what stays.
+            gone = {2: {1: 797}, 3: {0: 0}}[generation]
+            new = [(s, at + k, rng.randrange(10, 8_000, 2_000) + k, 5) for s, at in gone.items() for k in range(40)]
+            new.sort(key=lambda r: r[1])
+            rows = [r for r in rows if r[1] < gone.get(r[0], 1 << 40)] + new
+            changed = spark.createDataFrame(list(gone.items()), "source_id INT, from_seq BIGINT")
+            timeline_store.update_view(spark, path, changed, spark.createDataFrame(new, ITEMS), sources, piece_rows=8)
+        view, current = timeline_store.read_view(spark, path)
+        assert current == generation and in_order(view) == merged(spark, rows, sources)
+        assert sorted(r["position"] for r in view.collect()) == list(range(len(rows)))
+        told = spark.read.parquet(f"{path}/manifest/generation={generation}").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        assert sum(r["n"] for r in told) == len(rows) and max(r["n"] for r in told) <= 8 and len(told) >= len(rows) / 8
+        folders = [f for f in (tmp_path / "view" / "rows").iterdir() if f.is_dir()]
+        assert len(folders) <= 8 * generation
+        page = timeline_store.fetch_page(spark, path, 1_203, 30)
+        assert page.orderBy("position").collect() == timeline.fetch_range(view, 1_203, 30).select(*page.columns).orderBy("position").collect()
+
+
 WORDS = ["alpha", "Beta", "gamma ray", "zürich", "İstanbul", "K", "ok", "error=17", "σΣς", "", "  ", "x"]
 
 

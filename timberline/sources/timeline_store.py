@@ -3,6 +3,9 @@
 The view lies in pieces, each a range of the order (key, source ordinal, seq), sorted inside. A manifest says where each piece begins, how many rows of
 each source it holds and up to which item. What a source gained or lost is dealt out to the pieces it falls in; these alone are written anew. No row
 holds its position: that is its place in the piece plus the rows of the pieces before, so that nothing behind a change has to move.
+
+Neighbouring pieces of one writing task share a folder, the chunk, so that tasks, files and folders grow with the rows and not with how finely they are
+cut. Of a chunk, the pieces no longer in the manifest are passed over.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ from timberline.session import small_side, stored
 
 ORDER = ["sort_key", "source_ordinal", "seq"]
 PIECE_ROWS = 1 << 20
+#: What a task writes as one chunk where pieces are smaller than that.
+CHUNK_ROWS = 1 << 18
 MANIFEST = "piece BIGINT, source_id INT, n BIGINT, max_seq BIGINT, low_key BIGINT, low_ordinal BIGINT, low_seq BIGINT"
-#: The parts of a piece's number: the generation that wrote it, the task, and which of the task's pieces it is.
+#: The parts of a piece's number: the generation that wrote it, the task, and which of the task's pieces it is. All but the last are the chunk's number.
 _TASK_BITS, _GROUP_BITS = 21, 21
-#: More pieces than that are met by a join and not named one by one in a filter.
+#: More pieces or chunks than that are met by a join and not named one by one in a filter.
 MOST_NAMED = 1000
+_LOCAL_ROW = (1 << 33) - 1
 
 
 def _keyed(items: DataFrame, sources: DataFrame, assembled: bool) -> DataFrame:
@@ -35,19 +41,20 @@ def _keyed(items: DataFrame, sources: DataFrame, assembled: bool) -> DataFrame:
     return keyed.join(ordinals, "source_id").withColumn("source_ordinal", F.col("source_ordinal").cast("bigint"))
 
 
-def _write(rows: DataFrame, path: str, generation: int, parts: int) -> DataFrame:
-    """Write ``rows`` (with ``_group``, ordered like ``ORDER``) as new pieces and return what the manifest says of them."""
+def _write(rows: DataFrame, path: str, generation: int, total: int, piece_rows: int) -> DataFrame:
+    """Write ``rows`` (with ``_group``, ordered like ``ORDER``, about ``total``) as new pieces and return what the manifest says of them."""
     spark = rows.sparkSession
-    number = F.lit(generation << (_TASK_BITS + _GROUP_BITS)) + F.shiftleft(F.spark_partition_id().cast("bigint"), _GROUP_BITS) + F.col("_group")
-    placed = rows.repartitionByRange(parts, "_group", *ORDER).withColumn("piece", number).drop("_group").sortWithinPartitions("piece", *ORDER)
-    first = Window.partitionBy("piece").orderBy(*ORDER)
-    # The rows are sorted as the window asks, but dealt by range; a piece lies in one task, so numbers per task will do.
+    chunk = F.lit(generation << _TASK_BITS) + F.spark_partition_id().cast("bigint")
+    parts = max(1, -(-total // max(piece_rows, CHUNK_ROWS)))
+    placed = rows.repartitionByRange(parts, "_group", *ORDER).withColumn("chunk", chunk).sortWithinPartitions("chunk", "_group", *ORDER)
+    # A chunk lies in one task, so numbers per task will do. Along them neither the group nor the count of full pieces falls: their sum changes with either.
     numbered = placed.withColumn("row", F.monotonically_increasing_id())
-    numbered.write.mode("append").partitionBy("piece").parquet(os.path.join(path, "rows"))
-    fresh = _rows(spark, path, numbered.schema).filter(F.col("piece") >= (generation << (_TASK_BITS + _GROUP_BITS)))
+    full = F.floor(F.col("row").bitwiseAND(F.lit(_LOCAL_ROW)) / piece_rows)
+    cut = numbered.withColumn("piece", F.shiftleft("chunk", _GROUP_BITS) + F.col("_group") + full).drop("_group")
+    cut.write.mode("append").partitionBy("chunk").parquet(os.path.join(path, "rows"))
+    fresh = _rows(spark, path, cut.schema).filter(F.col("chunk") >= generation << _TASK_BITS)
     counted = fresh.groupBy("piece", "source_id").agg(F.count("*").alias("n"), F.max("seq").alias("max_seq"), F.min(F.struct(*ORDER)).alias("low"))
-    least = F.min("low").over(first.partitionBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("source_id"))
-    told = counted.withColumn("low", least)
+    told = counted.withColumn("low", F.min("low").over(Window.partitionBy("piece")))
     return told.select("piece", "source_id", "n", "max_seq", F.col("low.sort_key").alias("low_key"), F.col("low.source_ordinal").alias("low_ordinal"), F.col("low.seq").alias("low_seq"))
 
 
@@ -78,8 +85,8 @@ def _manifest(spark: SparkSession, path: str, generation: int) -> DataFrame:
 def write_view(items: DataFrame, sources: DataFrame, path: str, assembled: bool = True, piece_rows: int = PIECE_ROWS) -> int:
     """Merge all ``items`` into a new store at ``path``; ``sources`` is ``source_id, source_ordinal``. Returns the generation, 1."""
     rows = stored(_keyed(items, sources, assembled).withColumn("_group", F.lit(0).cast("bigint")), "keyed")
-    told = _write(rows, path, 1, max(1, -(-rows.count() // piece_rows)))
-    columns = rows.drop("_group").withColumns({"row": F.lit(0).cast("bigint"), "piece": F.lit(0).cast("bigint")})
+    told = _write(rows, path, 1, rows.count(), piece_rows)
+    columns = rows.drop("_group").withColumns({name: F.lit(0).cast("bigint") for name in ("row", "piece", "chunk")})
     columns.limit(0).write.mode("overwrite").parquet(os.path.join(path, "columns"))
     _keep(told, path, 1)
     return 1
@@ -91,7 +98,7 @@ def update_view(
     """Bring the view up to date and return its new generation.
 
     ``changed`` is ``source_id, from_seq``: items from that number on are out of date and go, 0 for a whole source. ``added`` has the items that come instead, if any.
-    Pieces without either are neither read nor written. Only the beginnings of the pieces, one row each, come to the driver.
+    Pieces without either are not written, and chunks without any such piece are not read. Only the beginnings of the pieces, one row each, come to the driver.
     """
     before = current_generation(spark, path)
     manifest = stored(_manifest(spark, path, before), "manifest")
@@ -106,7 +113,7 @@ def update_view(
     generation = before + 1
     if not bounds and new is not None:
         rows = new.drop("piece").withColumn("_group", F.lit(0).cast("bigint"))
-        _keep(_write(rows, path, generation, max(1, -(-new.count() // piece_rows))), path, generation)
+        _keep(_write(rows, path, generation, new.count(), piece_rows), path, generation)
         return generation
     if not touched:
         _keep(manifest, path, generation)
@@ -119,11 +126,11 @@ def update_view(
             groups.append((bound["piece"], group, bound["n"]))
             last = k
     told = spark.createDataFrame([(p, g) for p, g, _ in groups], "piece BIGINT, _group BIGINT")
-    kept = _rows_of(spark, path, sorted(touched)).drop("row").join(small_side(gone, 16), "source_id", "left").filter("from_seq is null or seq < from_seq").drop("from_seq")
+    kept = _rows_of(spark, path, sorted(touched)).drop("row", "chunk").join(small_side(gone, 16), "source_id", "left").filter("from_seq is null or seq < from_seq").drop("from_seq")
     rows = kept if new is None else kept.unionByName(new)
     total = sum(n for _, _, n in groups) + (new.count() if new is not None else 0)
     grouped = rows.join(F.broadcast(told), "piece").drop("piece")
-    fresh = _write(grouped, path, generation, max(1, -(-total // piece_rows)))
+    fresh = _write(grouped, path, generation, total, piece_rows)
     _keep(manifest.join(F.broadcast(told.select("piece")), "piece", "left_anti").unionByName(fresh), path, generation)
     return generation
 
@@ -151,12 +158,16 @@ def _placed(keyed: DataFrame, bounds: list) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
+def _among(rows: DataFrame, column: str, values: list[int]) -> DataFrame:
+    """Rows whose ``column`` is one of the ``values``."""
+    if len(values) <= MOST_NAMED:
+        return rows.filter(F.col(column).isin(*values))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} BIGINT")), column, "left_semi")
+
+
 def _rows_of(spark: SparkSession, path: str, pieces: list[int]) -> DataFrame:
-    """Rows of some pieces, found by their folders."""
-    rows = _rows(spark, path)
-    if len(pieces) <= MOST_NAMED:
-        return rows.filter(F.col("piece").isin(*pieces))
-    return rows.join(F.broadcast(spark.createDataFrame([(p,) for p in pieces], "piece BIGINT")), "piece", "left_semi")
+    """Rows of some pieces, found by the folders of their chunks."""
+    return _among(_among(_rows(spark, path), "chunk", sorted({p >> _GROUP_BITS for p in pieces})), "piece", pieces)
 
 
 def _offsets(spark: SparkSession, path: str, generation: int) -> DataFrame:
@@ -170,7 +181,7 @@ def _offsets(spark: SparkSession, path: str, generation: int) -> DataFrame:
 def _positions(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     first = rows.groupBy("piece").agg(F.min("row").alias("_first"))
     known = offsets.join(first, "piece")
-    columns = [c for c in rows.columns if c not in ("piece", "row")]
+    columns = [c for c in rows.columns if c not in ("chunk", "piece", "row")]
     return rows.join(F.broadcast(known), "piece").select((F.col("begin") + F.col("row") - F.col("_first")).alias("position"), *columns)
 
 
@@ -180,7 +191,8 @@ def read_view(spark: SparkSession, path: str, expected: int | None = None) -> tu
     if expected is not None:
         timeline.check_generation(expected, generation)
     offsets = stored(_offsets(spark, path, generation), "offsets")
-    rows = _rows(spark, path)
+    chunks = offsets.select(F.shiftright("piece", _GROUP_BITS)).distinct().collect()
+    rows = _among(_rows(spark, path), "chunk", sorted(r[0] for r in chunks))
     return _positions(rows.join(F.broadcast(offsets.select("piece")), "piece", "left_semi"), offsets), generation
 
 
