@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import assemble, search
-from timberline.session import stored
+from timberline.session import TASK_BYTES, stored
 
 LINES = "source_id INT, line_no BIGINT, raw_offset BIGINT, raw_len INT, text STRING, confirmed BOOLEAN"
 
@@ -104,6 +104,21 @@ def test_items_equal_grouping_by_seq(spark):
     assert by_parts.exceptAll(by_group).count() == by_group.exceptAll(by_parts).count() == 0
 
 
+def test_parts_are_made_in_small_tasks(spark, monkeypatch):
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen, keep = [spark.conf.get(n) for n in sizes], {}, assemble.stored
+
+    def noted(df, label):
+        seen[label] = [spark.conf.get(n) for n in sizes]
+        return keep(df, label)
+
+    monkeypatch.setattr(assemble, "stored", noted)
+    df = spark.createDataFrame(lines_of({0: ["2031/02/03 10:00:00 x", "y", "2031/02/03 10:00:01 z"]}), LINES)
+    assert assemble.assemble_items(df, assemble.infer_source_format(df)).count() == 2
+    assert all(int(size) <= TASK_BYTES for size in seen["parts"])
+    assert [spark.conf.get(n) for n in sizes] == before
+
+
 def test_explicit_format_reads_004_and_005(spark):
     texts = ["2031/05/17 08:47:36:72 a", "2031/05/17 08:47:37 b"]
     df = spark.createDataFrame(lines_of({0: texts, 1: texts, 2: texts}), LINES)

@@ -70,6 +70,7 @@ def test_only_pieces_that_change_are_written(spark, tmp_path):
 
 def test_finely_cut_views_have_few_tasks_and_folders(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(timeline_store, "CHUNK_ROWS", 400, raising=False)
+    monkeypatch.setattr(timeline_store, "MOST_NAMED", 3)
     rng, path = random.Random(5), str(tmp_path / "view")
     sources = stored(spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "source_id INT, source_ordinal INT"))
     rows = [(s, k, k * 10 + s, 5) for s in range(3) for k in range(800)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import datetime as dt
 from timberline.operators.prefix import BLOCK_ROWS, running
-from timberline.session import small_side, stored
+from timberline.session import small_side, small_tasks, stored
 
 #: The most a body may have to be handed out as one value.
 BODY_BYTES = 1 << 30
@@ -137,7 +137,8 @@ def item_parts(numbered: DataFrame) -> DataFrame:
         (F.sum(F.col("text_bytes").cast("bigint")) + F.count("*")).alias("bytes"),
         F.bool_or("starts").alias("starts"),
     )
-    return stored(folded, "parts")
+    with small_tasks(folded.sparkSession):
+        return stored(folded, "parts")
 
 
 def items_of_parts(parts: DataFrame) -> DataFrame:
